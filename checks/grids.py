@@ -56,6 +56,12 @@ def grid_l(spark: SparkSession, sf_dir: str) -> Grid:
     return from_points(points, ["price"], L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), units={"price": "cent"})
 
 
+def grid_y(spark: SparkSession, sf_dir: str) -> Grid:
+    """Prices by year: as grid L with seven steps and few gaps."""
+    points = line_points(spark, sf_dir).withColumns({"grid_id": F.lit("Y"), "t": F.floor(F.col("t") / 4).cast("int")})
+    return from_points(points, ["price"], (7, 50, 40), one_id(spark, "Y"), units={"price": "cent"})
+
+
 def grid_l3(spark: SparkSession, sf_dir: str) -> Grid:
     points = line_points(spark, sf_dir)
     return from_points(points, L3_VARS, L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), units={"price": "cent"})
@@ -116,6 +122,11 @@ cells AS (
   SELECT 'L' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v
   FROM addr a LEFT JOIN (SELECT t, y, x, avg(price) AS v FROM pts GROUP BY t, y, x) p USING (t, y, x))"""
 
+SQL_Y = _POINTS + """,
+cells AS (
+  SELECT 'Y' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v
+  FROM (SELECT * FROM addr WHERE t < 7) a LEFT JOIN (SELECT t // 4 AS t, y, x, avg(price) AS v FROM pts GROUP BY t // 4, y, x) p USING (t, y, x))"""
+
 SQL_F = _POINTS + """,
 cells AS (
   SELECT 'L' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v

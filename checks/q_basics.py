@@ -455,7 +455,7 @@ st AS (SELECT grid_id, block_y, block_x, var, coalesce(avg(v), 0) AS mean, coale
   avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS missing_ratio FROM b GROUP BY ALL),
 bm AS (SELECT grid_id, block_y, block_x, var, y, x, avg(v) AS v FROM b GROUP BY ALL),
 {fill_sql('bm', 'fm', ('grid_id', 'block_y', 'block_x', 'var'), '0')}, {grad_sql('fm', 'gr', 'grid_id, var, block_y, block_x', 'f')},
-gs AS (SELECT grid_id, block_y, block_x, var, avg(g) AS gradient, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM gr GROUP BY ALL)
+gs AS (SELECT grid_id, block_y, block_x, var, coalesce(avg(g), 0) AS gradient, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM gr GROUP BY ALL)
 SELECT grid_id, block_y, block_x, var, y0, y1, x0, x1, {rd('mean')}, {rd('std')}, {rd('min')}, {rd('max')}, {rd('missing_ratio', 6)}, {rd('gradient')},
   {rd('(y0 + y1 - 1) / 2.0 / 7', 6, 'cy')}, {rd('(x0 + x1 - 1) / 2.0 / 15', 6, 'cx')}, {rd('(y1 - y0) / 8.0', 6, 'height')}, {rd('(x1 - x0) / 16.0', 6, 'width')}
 FROM st JOIN gs USING (grid_id, block_y, block_x, var)""")

@@ -182,7 +182,7 @@ t AS (SELECT grid_id, var, component, count(*) AS cells, avg(y) AS cy, avg(x) AS
   CAST(min(x) AS DOUBLE) AS lon_min, CAST(min(y) AS DOUBLE) AS lat_min, CAST(max(x) AS DOUBLE) AS lon_max, CAST(max(y) AS DOUBLE) AS lat_max FROM cc GROUP BY grid_id, var, component)
 SELECT grid_id, var, component, cells, {rd('cy', 4)}, {rd('cx', 4)}, {rd('cy', 4, 'lat')}, {rd('cx', 4, 'lon')}, {rd('mean', 4)}, {rd('peak', 4)}, lon_min, lat_min, lon_max, lat_max,
   peak_y, peak_x, CAST(peak_y AS DOUBLE) AS peak_lat, CAST(peak_x AS DOUBLE) AS peak_lon, CAST(row_number() OVER w AS INT) AS rank
-FROM t QUALIFY row_number() OVER w <= 12 WINDOW w AS (PARTITION BY grid_id, var ORDER BY cells DESC, round(peak, 6) DESC, component)""")
+FROM t WINDOW w AS (PARTITION BY grid_id, var ORDER BY cells DESC, round(peak, 6) DESC, component) QUALIFY row_number() OVER w <= 12""")
 def hotspot_table(spark, sf):
     g = grid_e(spark, sf)
     return rounded(reg.component_table(g, reg.hotspots(g, agg.mean_map(g)), n=12, by_peak=True), 4)
@@ -254,9 +254,9 @@ def spatial_features(spark, sf):
     return rounded(reg.spatial_features(g, mask=mis.missing_masks(g)), anisotropy=6)
 
 
-@query("spatial_features_many_variables", f"WITH RECURSIVE {SQL_L3}, {MEAN}, {SPATIAL_SQL} {_SPATIAL_OUT}")
+@query("spatial_features_many_variables", f"WITH RECURSIVE {SQL_E}, {MEAN}, {SPATIAL_SQL} {_SPATIAL_OUT}")
 def spatial_features_many_variables(spark, sf):
-    return rounded(reg.spatial_features(grid_l3(spark, sf)), anisotropy=6)
+    return rounded(reg.spatial_features(grid_e(spark, sf)), anisotropy=6)
 
 
 # --- change over time ------------------------------------------------------------------------------------------
@@ -321,12 +321,12 @@ def temporal_features(spark, sf):
 
 
 @query("features_across_variables", f"""
-WITH RECURSIVE {SQL_L3}, {MEAN}, {SERIES}, {SPATIAL_SQL}, {TEMPORAL_SQL}, tc AS (SELECT grid_id, trend, count(*) AS n FROM tr GROUP BY grid_id, trend)
+WITH RECURSIVE {SQL_E}, {MEAN}, {SERIES}, {SPATIAL_SQL}, {TEMPORAL_SQL}, tc AS (SELECT grid_id, trend, count(*) AS n FROM tr GROUP BY grid_id, trend)
 SELECT grid_id, {rd('avg(hotspot_count)', 4, 'mean_hotspot_count')}, {rd('avg(gradient_strength)', 4, 'mean_gradient_strength')}, {rd('avg(anisotropy)', 6, 'mean_anisotropy')},
   {rd('avg(connected_domains)', 4, 'mean_connected_domains')}, {rd('avg(boundary_change)', 4, 'mean_boundary_change')}, {rd('(SELECT avg(volatility) FROM tr)', 4, 'mean_volatility')},
   (SELECT string_agg(trend || ':' || n, ',' ORDER BY trend) FROM tc) AS trend_counts FROM sp GROUP BY grid_id""")
 def features_across_variables(spark, sf):
-    g = grid_l3(spark, sf)
+    g = grid_e(spark, sf)
     return rounded(agg.across_variables(reg.spatial_features(g), tem.classify_trend(agg.series_mean(g))), 4, mean_anisotropy=6)
 
 
@@ -360,8 +360,8 @@ def difference_map(spark, sf):
 
 @query("anomaly_days", f"""
 WITH {SQL_L3}, {SERIES}, {smooth_sql('sm', 'ss', 28)}, r AS (SELECT *, v - s AS residual FROM ss)
-SELECT grid_id, var, t, {rd('v', 4, 'mean')}, {rd('residual', 4)}, CAST(row_number() OVER w AS INT) AS rank FROM r QUALIFY row_number() OVER w <= 8
-WINDOW w AS (PARTITION BY grid_id, var ORDER BY abs(round(residual, 9)) DESC, t DESC)""")
+SELECT grid_id, var, t, {rd('v', 4, 'mean')}, {rd('residual', 4)}, CAST(row_number() OVER w AS INT) AS rank FROM r
+WINDOW w AS (PARTITION BY grid_id, var ORDER BY abs(round(residual, 9)) DESC, t DESC) QUALIFY row_number() OVER w <= 8""")
 def anomaly_days(spark, sf):
     return rounded(tem.anomaly_days(agg.series_mean(grid_l3(spark, sf))), 4)
 
@@ -389,7 +389,7 @@ def similar_slices(spark, sf):
 @query("driver_correlation", f"""
 WITH {SQL_E}, {SERIES}, r AS (SELECT a.grid_id, a.var, round_even({corr_sql('b.v', 'a.v')}, 4) AS correlation FROM sm a JOIN sm b ON a.grid_id = b.grid_id AND a.t = b.t AND b.var = 'view' AND a.var <> 'view'
   GROUP BY a.grid_id, a.var HAVING count(a.v + b.v) >= 3)
-SELECT grid_id, var, correlation, CAST(row_number() OVER w AS INT) AS rank FROM r WHERE correlation IS NOT NULL QUALIFY row_number() OVER w <= 12 WINDOW w AS (PARTITION BY grid_id ORDER BY abs(correlation) DESC, var)""")
+SELECT grid_id, var, correlation, CAST(row_number() OVER w AS INT) AS rank FROM r WHERE correlation IS NOT NULL WINDOW w AS (PARTITION BY grid_id ORDER BY abs(correlation) DESC, var) QUALIFY row_number() OVER w <= 12""")
 def driver_correlation(spark, sf):
     return tem.driver_correlation(agg.daily_matrix(grid_e(spark, sf)), "view")
 

@@ -197,16 +197,17 @@ def hotspot_trajectory(grid: Grid, q: float = 0.9) -> DataFrame:
 def spatial_features(grid: Grid, q: float = 0.9, mask: DataFrame | None = None) -> DataFrame:
     """One row per variable: hotspots, high domains, gradient, anisotropy, direction, change along hotspot borders.
 
-    The mean map is computed once and reused through its exchange.
+    The mean map and its gradient are each computed once.
     """
     mean = mean_map(grid)
     if mask is not None:
         valid = mask.select("grid_id", "y", "x", "valid_region")
         mean = mean.join(valid, ["grid_id", "y", "x"]).withColumn("v", F.when(F.col("valid_region"), F.col("v"))).drop("valid_region")
+    mean = cut_lineage(mean)
     marked = hotspot_mask(grid, mean, q)
     hot = marked.where("hot").select(*MAP, "y", "x", "v")
     counts = component_stats(components(hot, MAP, grid.shape), MAP).select(*MAP, F.col("components").alias("hotspot_count"))
-    sloped = filled_gradient(mean.select(*MAP, "y", "x", "v"))
+    sloped = cut_lineage(filled_gradient(mean.select(*MAP, "y", "x", "v")))
     stats = gradient_stats(sloped, grid.map_cells).drop("boundary_change").withColumnRenamed("gradient_p95", "gradient_strength_p95")
     edged = mask_boundary(marked.select(*MAP, "y", "x", "hot", "threshold"), "hot")
     border = (

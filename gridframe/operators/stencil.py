@@ -15,6 +15,7 @@ from gridframe.functions.columns import anisotropy, axis_direction
 from gridframe.model import MAP, Grid
 from gridframe.operators.missing import fill_nearest
 from gridframe.operators.quantile import agg_with_quantiles, group_quantiles
+from gridframe.session import cut_lineage
 
 
 def lines(keys: Sequence[str]):
@@ -31,15 +32,19 @@ def _slope(v: Column, along) -> Column:
     )
 
 
-def gradient(map_df: DataFrame, keys: Sequence[str] = MAP, value: str = "v") -> DataFrame:
+def gradient(map_df: DataFrame, keys: Sequence[str] = MAP, value: str = "v", neighbours: str | None = None) -> DataFrame:
     """Adds gy, gx and their length g: central differences inside, one-sided at the edges, unit spacing.
 
-    The map must have no gaps; g is NULL where an axis has one cell.
+    The map must have no gaps; g is NULL where an axis has one cell. With ``neighbours`` the right and lower
+    neighbour of that column are added as _right and _below from the same two windows.
     """
     row, column = lines(keys)
-    with_x = map_df.withColumn("gx", _slope(F.col(value), row))
-    with_y = with_x.withColumn("gy", _slope(F.col(value), column))
-    return with_y.withColumn("g", F.hypot("gx", "gy"))
+    along = {"gx": _slope(F.col(value), row)}
+    across = {"gy": _slope(F.col(value), column)}
+    if neighbours is not None:
+        along["_right"] = F.lead(neighbours).over(row)
+        across["_below"] = F.lead(neighbours).over(column)
+    return map_df.withColumns(along).withColumns(across).withColumn("g", F.hypot("gx", "gy"))
 
 
 def filled_gradient(map_df: DataFrame, keys: Sequence[str] = MAP) -> DataFrame:
@@ -151,10 +156,19 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _weighted(df: DataFrame, axis: str, value: str, size: str, weights: Sequence[float], keys: Sequence[str], out: str):
-    radius = len(weights) // 2
+def gaussian_kernel(sigma: Column, max_radius: int, truncate: float = 4.0) -> Column:
+    """Weights for offsets -max_radius..max_radius of a sigma that may differ by grid; zero beyond its own radius."""
+    own = F.floor(truncate * sigma + 0.5)
+    raw = F.transform(
+        F.sequence(F.lit(-max_radius), F.lit(max_radius)),
+        lambda k: F.when(F.abs(k) <= own, F.exp(-0.5 * (k / sigma) * (k / sigma))).otherwise(0.0),
+    )
+    total = F.aggregate(raw, F.lit(0.0), lambda s, w: s + w)
+    return F.transform(raw, lambda w: w / total)
+
+
+def _weighted(df: DataFrame, axis: str, value: str, size: str, kernel: Column, radius: int, keys: Sequence[str], out: str):
     line = Window.partitionBy(*keys).orderBy(axis).rowsBetween(-radius, radius)
-    kernel = F.array(*[F.lit(w) for w in weights])
     products = F.zip_with(F.collect_list(value).over(line), kernel, lambda v, w: v * w)
     padded = _mirrored(df, axis, F.col(size), radius)
     inside = (F.col(axis) >= 0) & (F.col(axis) < F.col(size))
@@ -163,20 +177,34 @@ def _weighted(df: DataFrame, axis: str, value: str, size: str, weights: Sequence
     ).drop("_p")
 
 
+def _fixed(sigma: float) -> tuple[Column, int]:
+    weights = gaussian_weights(sigma)
+    return F.array(*[F.lit(w) for w in weights]), len(weights) // 2
+
+
 def smooth_series(series: DataFrame, value: str = "v", sigma: float = 2.0, keys: Sequence[str] = MAP, out: str = "smoothed"):
     """Gaussian smoothing along t with mirrored ends. A series with a gap is NULL throughout, as a
     gap spreads through the whole filter."""
     whole = Window.partitionBy(*keys)
     sized = series.withColumns({"_n": F.count(F.lit(1)).over(whole), "_present": F.count(value).over(whole)})
-    smoothed = _weighted(sized, "t", value, "_n", gaussian_weights(sigma), keys, out)
+    smoothed = _weighted(sized, "t", value, "_n", *_fixed(sigma), keys, out)
     return smoothed.withColumn(out, F.when(F.col("_present") == F.col("_n"), F.col(out))).drop("_n", "_present")
 
 
-def smooth_map(df: DataFrame, value: str, sigma: float, keys: Sequence[str], out: str = "smoothed") -> DataFrame:
-    """Gaussian smoothing along rows, then columns, with mirrored edges. Needs n_y and n_x."""
-    weights = gaussian_weights(sigma)
-    first = _weighted(df, "y", value, "n_y", weights, [*keys, "x"], out)
-    return _weighted(first, "x", out, "n_x", weights, [*keys, "y"], out)
+def smooth_map(
+    df: DataFrame, value: str, sigma: float | Column, keys: Sequence[str], out: str = "smoothed", max_sigma: float | None = None
+) -> DataFrame:
+    """Gaussian smoothing along rows, then columns, with mirrored edges. Needs n_y and n_x.
+
+    ``sigma`` may be a column; then ``max_sigma`` bounds it.
+    """
+    if isinstance(sigma, Column):
+        radius = int(4.0 * max_sigma + 0.5)
+        df, kernel = df.withColumn("_kernel", gaussian_kernel(sigma, radius)), F.col("_kernel")
+    else:
+        kernel, radius = _fixed(sigma)
+    first = _weighted(df, "y", value, "n_y", kernel, radius, [*keys, "x"], out)
+    return _weighted(first, "x", out, "n_x", kernel, radius, [*keys, "y"], out).drop("_kernel")
 
 
 def min_max(df: DataFrame, value: str, keys: Sequence[str], out: str | None = None) -> DataFrame:
@@ -208,14 +236,6 @@ def neighbour_edges(mask: DataFrame, keys: Sequence[str] = MAP) -> DataFrame:
     return wanted.join(there, [*keys, "y2", "x2"])
 
 
-def moran_terms(v: Column, row, column, same_x: Column | None = None, same_y: Column | None = None) -> dict[str, Column]:
-    """Products with the right and lower neighbour, for use in ``moran_value`` after grouping."""
-    right, below = F.lead(v).over(row), F.lead(v).over(column)
-    if same_x is not None:
-        right, below = F.when(same_x, right), F.when(same_y, below)
-    return {"_right": right, "_below": below}
-
-
 def moran_value(v: Column, right: Column, below: Column) -> Column:
     """Aggregate: Moran's I with rook neighbours and symmetric weights; NULL for under four present
     cells, no spread, or no neighbours. Values should be shifted towards 0 beforehand."""
@@ -239,8 +259,7 @@ def moran(map_df: DataFrame, keys: Sequence[str] = MAP, by: Sequence[str] = ())
     centre = map_df.groupBy(*keys).agg(F.avg("v").alias("_c"))
     shifted = map_df.join(centre, [*keys]).withColumn("_v", F.col("v") - F.col("_c"))
     row, column = lines(groups)
-    terms = moran_terms(F.col("_v"), row, column)
-    placed = shifted.withColumn("_right", terms["_right"]).withColumn("_below", terms["_below"])
+    placed = shifted.withColumn("_right", F.lead("_v").over(row)).withColumn("_below", F.lead("_v").over(column))
     return placed.groupBy(*groups).agg(moran_value(F.col("_v"), F.col("_right"), F.col("_below")).alias("moran_i"))
 
 
@@ -251,4 +270,4 @@ def edge_threshold(sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP)
 
 
 def map_gradient_stats(grid: Grid, map_df: DataFrame) -> DataFrame:
-    return gradient_stats(filled_gradient(map_df), grid.map_cells)
+    return gradient_stats(cut_lineage(filled_gradient(map_df)), grid.map_cells)

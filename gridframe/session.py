@@ -33,6 +33,9 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "gridfram
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
+    Used where several consumers read one intermediate table (a map with its gradient, labels of a tile) and in
+    the rounds of component merging. The table is computed once, survives lost executors, and keeps the
+    plans of its consumers short.
     Only where neither the setting nor a directory on the context exists (local tests)
     is a folder of our own chosen.
     """
