@@ -18,7 +18,7 @@ from gridframe.operators.selection import slice_at
 WITH {SQL_L}, {MEAN}, {fill_sql('mm', 'fm', empty='0')}, {grad_sql('fm', 'gr', value='f')}
 SELECT grid_id, var, y, x, {rd('v')}, {rd('gx')}, {rd('gy')}, {rd('g')} FROM gr""")
 def gradient_map(spark, sf):
-    sloped = st.filled_gradient(agg.mean_map(grid_l(spark, sf)))
+    sloped = st.filled_gradient(agg.mean_map(grid_l(spark, sf)), width=40)
     return rounded(sloped.select(*MAP, "y", "x", "v", "gx", "gy", "g"))
 
 
@@ -46,7 +46,7 @@ m AS (SELECT grid_id, var, t, avg(gx) AS gx, avg(gy) AS gy FROM gr WHERE v IS NO
 SELECT grid_id, var, t, {COMPASS.format(gx='gx', gy='gy')} AS compass FROM m""")
 def gradient_compass(spark, sf):
     keys = ["grid_id", "var", "t"]
-    sloped = st.filled_gradient(grid_e(spark, sf).cells.select(*keys, "y", "x", "v"), keys)
+    sloped = st.filled_gradient(grid_e(spark, sf).cells.select(*keys, "y", "x", "v"), keys, width=16)
     means = sloped.where(F.col("v").isNotNull()).groupBy(*keys).agg(F.avg("gx").alias("gx"), F.avg("gy").alias("gy"))
     return means.select(*keys, compass(F.col("gx"), F.col("gy")).alias("compass"))
 

@@ -220,8 +220,8 @@ def channel_summary(spark, sf):
     return rounded(img.channel_summary(grid_rgb(spark, sf)), 4)
 
 
-_HSV = """hs AS (SELECT grid_id, y, x, r, g, b, mx AS value, CASE WHEN mx > 1e-12 THEN d / mx ELSE 0 END AS saturation, CASE WHEN d <= 1e-12 THEN 0 WHEN mx = b / 255 THEN (r - g) / 255 / d + 4
-    WHEN mx = g / 255 THEN (b - r) / 255 / d + 2 ELSE ((g - b) / 255 / d + 6) % 6 END / 6 AS hue
+_HSV = """hs AS (SELECT grid_id, y, x, r, g, b, mx AS value, CASE WHEN mx > 1e-12 THEN d / mx ELSE 0 END AS saturation, CASE WHEN d <= 1e-12 THEN 0 WHEN mx = b / 255 THEN (r / 255 - g / 255) / d + 4
+    WHEN mx = g / 255 THEN (b / 255 - r / 255) / d + 2 ELSE ((g / 255 - b / 255) / d + 6) % 6 END / 6 AS hue
   FROM (SELECT *, greatest(r, g, b) / 255 AS mx, greatest(r, g, b) / 255 - least(r, g, b) / 255 AS d FROM w WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL))"""
 
 
@@ -231,7 +231,7 @@ def hsv_map(spark, sf):
     return rounded(turned.select("grid_id", "y", "x", "hue", "saturation", "value"), 6)
 
 
-_HUES = [f"count(*) FILTER (least(floor(hue * 12), 11) = {i})" for i in range(12)]
+_HUES = [f"count(*) FILTER (hue >= {i} * (1 / 12.0::DOUBLE) AND hue <{'=' if i == 11 else ''} {i + 1} * (1 / 12.0::DOUBLE))" for i in range(12)]
 
 
 @query("hsv_statistics", f"""

@@ -106,11 +106,18 @@ def hsv(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Colum
 
 
 def bin_index(v: Column, low: float | Column, high: float | Column, bins: int) -> Column:
-    """Equal-width bin of a value, the last bin closed; NULL outside the range."""
-    low = F.lit(low) if not isinstance(low, Column) else low
-    high = F.lit(high) if not isinstance(high, Column) else high
-    position = F.floor((v - low) / ((high - low) / bins)).cast("int")
-    return F.when((v >= low) & (v <= high), F.least(position, F.lit(bins - 1)))
+    """Equal-width bin of a value, the last bin closed; NULL outside the range or where the range is empty.
+
+    A first guess is corrected by one against the bin edges themselves.
+    """
+    low = low if isinstance(low, Column) else F.lit(float(low))
+    high = high if isinstance(high, Column) else F.lit(float(high))
+    step = (high - low) / bins
+    guess = F.least(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(bins - 1)).cast("int")
+    over = (guess < bins - 1) & (v >= low + (guess + 1) * step)
+    under = v < low + guess * step
+    moved = guess + F.when(over, 1).otherwise(0) - F.when(under, 1).otherwise(0)
+    return F.when((v >= low) & (v <= high), moved.cast("int"))
 
 
 def dot(a: Column, b: Column) -> Column:

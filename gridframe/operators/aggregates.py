@@ -225,7 +225,7 @@ def block_features(grid: Grid, block: tuple[int, int] = (32, 32), missing: str =
         zero(F.max("v")).alias("max"), share(F.col(missing).isNull()).alias("missing_ratio"),
     )
     maps = mean_map(grid).withColumns(at).select(*keys, "y", "x", "v")
-    sloped = gradient(fill_nearest(maps, tuple(keys), all_missing=0.0), keys)
+    sloped = gradient(fill_nearest(maps, tuple(keys), all_missing=0.0, width=min(bw, grid.shape[2])), keys)
     slopes = sloped.groupBy(*keys).agg(
         zero(F.avg("g")).alias("gradient"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"),
         F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"),
@@ -257,7 +257,7 @@ def time_features(grid: Grid, mask: DataFrame | None = None) -> DataFrame:
         cells = cells.join(mask.select("grid_id", "y", "x", "valid_region"), ["grid_id", "y", "x"])
         cells = cells.withColumn("v", F.when(F.col("valid_region"), F.col("v"))).drop("valid_region")
     keys = ["grid_id", "t", "var"]
-    sloped = gradient(fill_nearest(cells, tuple(keys), all_missing=0.0), keys)
+    sloped = gradient(fill_nearest(cells, tuple(keys), all_missing=0.0, width=grid.shape[2]), keys)
     v = F.col("v_original")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return sloped.groupBy(*keys).agg(

@@ -158,12 +158,13 @@ def block_features_semantic(
         "_v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, largest,
     ).where(F.col("valid") > 0)
     edges = group_quantiles(cells, BLOCK, "_g", {"edge_strength": 0.9}, largest)
-    kinds = F.filter(F.array(F.when(F.col("high"), "high"), F.when(F.col("low"), "low")), lambda k: k.isNotNull())
-    marked = cells.select(*BLOCK, "y", "x", F.explode(kinds).alias("kind"))
-    sizes = component_stats(components(marked, [*BLOCK, "kind"], grid.shape), [*BLOCK, "kind"])
+    kinds = F.filter(F.array(F.when(F.col("high"), 1), F.when(F.col("low"), 0)), lambda k: k.isNotNull())
+    part = F.col("row").cast("bigint") * 1_000_000 + F.col("col")
+    marked = cells.select(*BLOCK, "y", "x", part.alias("part"), F.explode(kinds).alias("kind"))
+    sizes = component_stats(components(marked, MAP, grid.shape, layer="kind", barrier="part"), [*BLOCK, "kind"])
     of = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
     counts = sizes.groupBy(*BLOCK).agg(
-        of("high", "components").alias("components_high"), of("low", "components").alias("components_low"), F.max("largest").alias("largest")
+        of(1, "components").alias("components_high"), of(0, "components").alias("components_low"), F.max("largest").alias("largest")
     )
     joined = stats.join(edges, BLOCK).join(counts, BLOCK, "left").fillna(0, ["components_high", "components_low", "largest"])
     n = F.col("valid").cast("double")

@@ -7,6 +7,7 @@ bound, are embedded through a Gram matrix summed over partitions: only feature-b
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridframe.functions import rules
-from gridframe.functions.columns import cosine, ratio, share
+from gridframe.functions.columns import bin_index, cosine, ratio, share
 from gridframe.model import Grid
 from gridframe.operators.aggregates import block_features, relation_features, time_features, top_rows
 from gridframe.operators.missing import fill_nearest
@@ -135,7 +136,8 @@ def patch_maps(grid: Grid, shape: tuple[int, int], mask: DataFrame | None = None
     means = _masked_cells(grid, mask).groupBy("grid_id", "var", "y", "x").agg(F.avg("v").alias("v"))
     keys = [*PATCH, "var"]
     placed = with_patches(grid, means, shape).select(*keys, "y", "x", "v")
-    return cut_lineage(gradient(fill_nearest(placed, tuple(keys), all_missing=0.0), keys).select(*keys, "y", "x", F.col("v_original").alias("v"), "g"))
+    width = patch_shape(grid.shape[1], grid.shape[2], shape)[1]
+    return cut_lineage(gradient(fill_nearest(placed, tuple(keys), all_missing=0.0, width=width), keys).select(*keys, "y", "x", F.col("v_original").alias("v"), "g"))
 
 
 def _patch_slopes(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -173,8 +175,8 @@ def patch_summary(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame
         zero(F.avg(F.when(F.col("v").isNotNull(), F.col("g")))).alias("gradient_strength"), F.min("v").alias("_lo"), F.max("v").alias("_hi"),
     )
     placed = first.where(F.col("v").isNotNull()).join(stats.select(*PATCH, "_lo", "_hi"), PATCH)
-    level = F.least(F.floor(F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    counts = placed.groupBy(*PATCH, F.coalesce(level, F.lit(0)).alias("level")).agg(F.count(F.lit(1)).alias("k"))
+    level = F.coalesce(bin_index(F.col("v"), F.col("_lo"), F.col("_hi"), bins), F.lit(0))
+    counts = placed.groupBy(*PATCH, level.alias("level")).agg(F.count(F.lit(1)).alias("k"))
     totals = counts.groupBy(*PATCH).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("kl"))
     entropy = totals.select(*PATCH, ((F.log2("n") - F.col("kl") / F.col("n")) / math.log2(bins)).alias("entropy"))
     out = stats.join(entropy, PATCH, "left").withColumn("entropy", zero(F.col("entropy"))).drop("_lo", "_hi")
@@ -197,6 +199,7 @@ def colorfulness(red: Column, green: Column, blue: Column) -> Column:
 
 # --- attention ---------------------------------------------------------------------------------------------------
 
+@functools.lru_cache(maxsize=64)
 def fixed_weights(rows: int, cols: int, name: str) -> np.ndarray:
     """Standard normal matrix seeded by a name, the same on every machine."""
     seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big") % 2**32

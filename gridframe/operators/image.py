@@ -175,7 +175,7 @@ def scale_map(grid: Grid, map_df: DataFrame, mode: str, keys: Sequence[str] = MA
 
 def filled_intensity(grid: Grid) -> DataFrame:
     """Intensity with gaps filled (``filled``), the original (v), and the gradient (g)."""
-    full = fill_nearest(intensity(grid), ("grid_id",), all_missing=0.0)
+    full = fill_nearest(intensity(grid), ("grid_id",), all_missing=0.0, width=grid.shape[2])
     sloped = gradient(full, IMAGE)
     return cut_lineage(sloped.select("grid_id", "y", "x", F.col("v").alias("filled"), F.col("v_original").alias("v"), "g"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,6 +10,7 @@ from gridframe.functions.columns import count_where, ratio, share
 from gridframe.model import Grid
 
 FIXED_SHARE = 0.8
+NARROW = 64
 ROW_BAND = 32
 """Rows handled together in the second pass of the nearest fill; bounds a task's group to 32 rows."""
 
@@ -23,14 +22,17 @@ def missing_masks(grid: Grid, threshold: float = FIXED_SHARE) -> DataFrame:
     return per_cell.withColumns({"fixed_missing": fixed, "valid_region": ~fixed})
 
 
-def fill_nearest(df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"), all_missing: float | None = None) -> DataFrame:
+def fill_nearest(
+    df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"), all_missing: float | None = None, width: int | None = None
+) -> DataFrame:
     """Each missing cell takes the value of the nearest present cell of its slice, by index distance.
 
     Ties go to the smaller row, then the smaller column. The distance transform is separable: windows along
-    columns find the nearest present cell above and below; then each row looks outward column by column
-    until no closer cell is possible (Felzenszwalb and Huttenlocher 2012). A task sees one column or a band of
-    rows, never a map. Slices without any value stay missing, or become ``all_missing``.
-    Keeps ``v_original`` and sets ``filled``.
+    columns find the nearest present cell above and below; then each row picks among its columns
+    (Felzenszwalb and Huttenlocher 2012). Rows known to be at most ``NARROW`` wide (patches, small images) are
+    compared whole inside Spark; wider rows look outward column by column until no closer cell is possible, in
+    bands of 32 rows with numpy. No task sees a whole map. Slices without any value stay missing, or become
+    ``all_missing``. Keeps ``v_original`` and sets ``filled``.
     """
     keys = list(keys)
     col = Window.partitionBy(*keys, "x").orderBy("y")
@@ -40,13 +42,8 @@ def fill_nearest(df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"),
     above, below = F.col("y") - F.col("_a.y"), F.col("_b.y") - F.col("y")
     take_above = F.col("_b").isNull() | (above <= below)
     source = F.when(take_above, F.col("_a")).otherwise(F.col("_b"))
-    columns = [*keys, "y", "x", "v"]
-    staged = near.withColumn("_s", source).select(
-        *columns, F.col("_s.y").cast("double").alias("_sy"), F.col("_s.v").alias("_sv"), F.floor(F.col("y") / ROW_BAND).alias("_band")
-    )
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", nearest double"
-    filled = staged.groupBy(*keys, "_band").applyInPandas(_outward(columns), schema)
+    sourced = near.withColumn("_s", source).select(*keys, "y", "x", "v", F.col("_s.y").alias("_sy"), F.col("_s.v").alias("_sv"))
+    filled = _narrow_rows(sourced, keys) if width is not None and width <= NARROW else _wide_rows(sourced, keys)
     v = F.coalesce(F.col("v"), F.col("nearest"))
     if all_missing is not None:
         v = F.coalesce(v, F.lit(all_missing))
@@ -56,6 +53,31 @@ def fill_nearest(df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"),
     )
 
 
+def _narrow_rows(sourced: DataFrame, keys: list[str]) -> DataFrame:
+    rows = sourced.groupBy(*keys, "y").agg(F.collect_list(F.struct("x", "v", "_sy", "_sv")).alias("_row"))
+    sources = F.filter("_row", lambda s: s["_sv"].isNotNull())
+
+    def nearest(cell: Column) -> Column:
+        def offer(s: Column) -> Column:
+            across, along = s["x"] - cell["x"], s["_sy"] - F.col("y")
+            return F.struct((across * across + along * along).alias("d"), s["_sy"].alias("sy"), s["x"].alias("sx"), s["_sv"].alias("sv"))
+
+        return F.array_min(F.transform("_sources", offer))["sv"]
+
+    picked = F.transform(
+        "_row", lambda c: F.struct(c["x"].alias("x"), c["v"].alias("v"), F.when(c["v"].isNull(), nearest(c)).alias("nearest"))
+    )
+    return rows.withColumn("_sources", sources).select(*keys, "y", F.inline(picked))
+
+
+def _wide_rows(sourced: DataFrame, keys: list[str]) -> DataFrame:
+    columns = [*keys, "y", "x", "v"]
+    types = dict(sourced.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", nearest double"
+    staged = sourced.withColumns({"_sy": F.col("_sy").cast("double"), "_band": F.floor(F.col("y") / ROW_BAND)})
+    return staged.groupBy(*keys, "_band").applyInPandas(_outward(columns), schema)
+
+
 def _outward(columns: list[str]):
     def fill(band: pd.DataFrame) -> pd.DataFrame:
         band = band.sort_values(["y", "x"], kind="stable")
@@ -104,7 +126,9 @@ def fill_mean(map_df: DataFrame, replace_outside: bool = False, region: str | No
     return map_df.join(means, ["grid_id", "var"]).withColumn("v", F.coalesce(usable, F.col("_mean"), F.lit(0.0))).drop("_mean")
 
 
-def fill_linear(df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"), fallback: str | None = "nearest") -> DataFrame:
+def fill_linear(
+    df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"), fallback: str | None = "nearest", width: int | None = None
+) -> DataFrame:
     """Gaps between two present cells of a row are interpolated linearly, then those of a column.
 
     What remains (edges, empty rows) is left missing or filled from the nearest cell.
@@ -125,7 +149,7 @@ def fill_linear(df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"),
     staged = df.select(*keys, "y", "x", "v", F.col("v").alias("_before"))
     done = along(along(staged, "x", "y"), "y", "x")
     if fallback == "nearest":
-        rest = fill_nearest(done.select(*keys, "y", "x", "v"), tuple(keys)).select(*keys, "y", "x", "v")
+        rest = fill_nearest(done.select(*keys, "y", "x", "v"), tuple(keys), width=width).select(*keys, "y", "x", "v")
         before = staged.select(*keys, "y", "x", "_before")
         done = rest.join(before, [*keys, "y", "x"])
     return done.select(
@@ -139,11 +163,11 @@ def fill(grid: Grid, method: str | None = "nearest") -> Grid:
     if method is None:
         cells = grid.cells.withColumns({"v_original": F.col("v"), "filled": F.lit(False)})
     elif method == "nearest":
-        cells = fill_nearest(grid.cells)
+        cells = fill_nearest(grid.cells, width=grid.shape[2])
     elif method == "linear":
         cells = fill_linear(grid.cells, fallback=None)
     elif method == "linear_then_nearest":
-        cells = fill_linear(grid.cells)
+        cells = fill_linear(grid.cells, width=grid.shape[2])
     else:
         raise ValueError("fill method is one of nearest, linear, linear_then_nearest, None")
     return grid.with_cells(cells)

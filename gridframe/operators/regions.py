@@ -29,55 +29,57 @@ MAX_ROUNDS = 60
 
 # --- labelling --------------------------------------------------------------------------------------
 
-def components(mask: DataFrame, keys: Sequence[str], shape: tuple[int, int, int], tile: int = TILE) -> DataFrame:
+def components(
+    mask: DataFrame, keys: Sequence[str], shape: tuple[int, int, int], tile: int = TILE, layer: str | None = None, barrier: str | None = None
+) -> DataFrame:
     """Adds ``component`` to the cells of a mask: the smallest raster position y * width + x of its region.
 
-    Cells are 4-connected when they agree on ``keys``. Other columns of ``mask`` are kept.
+    Cells are 4-connected when they agree on ``keys``, on the integer column ``layer`` (several masks over one map) and
+    on the integer column ``barrier`` (parts of a map that do not connect, such as blocks). Layers and barriers
+    share a tile, so small parts do not become small tasks. Other columns of ``mask`` are kept.
     """
     keys = list(keys)
     _, n_y, n_x = shape
     position = F.col("y").cast("bigint") * n_x + F.col("x")
     tiled = mask.withColumns({
         "_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int"), "component": position,
+        "_layer": (F.col(layer) if layer else F.lit(0)).cast("bigint"), "_part": (F.col(barrier) if barrier else F.lit(0)).cast("bigint"),
     })
-    schema = tiled.schema
-    local = tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(_label_tile, schema)
+    local = tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(_label_tile, tiled.schema)
     if n_y <= tile and n_x <= tile:
-        return local.drop("_ty", "_tx")
+        return local.select(*mask.columns, "component")
     local = cut_lineage(local)
-    edges = _border_edges(local, keys, tile)
-    roots = _star_roots(edges, keys)
+    keys = [*keys, "_layer", "_part"]
+    roots = _star_roots(_border_edges(local, keys, tile), keys)
     joined = local.join(roots, [*keys, "component"], "left")
     return joined.withColumn("component", F.coalesce("root", "component")).select(*mask.columns, "component")
 
 
 def _label_tile(cells: pd.DataFrame) -> pd.DataFrame:
     """Labels the cells of one tile by runs: horizontal runs are joined where they overlap vertically."""
-    cells = cells.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
+    cells = cells.sort_values(["_layer", "y", "x"], kind="stable", ignore_index=True)
+    layer, part = cells["_layer"].to_numpy(), cells["_part"].to_numpy()
     y, x = cells["y"].to_numpy(np.int64), cells["x"].to_numpy(np.int64)
-    starts = np.flatnonzero(np.r_[True, (np.diff(y) != 0) | (np.diff(x) != 1)])
-    ends = np.r_[starts[1:], len(y)] - 1
-    run_of = np.repeat(np.arange(len(starts)), ends - starts + 1)
-    spot = {}
-    parent = list(range(len(starts)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    width = x.max() + 2
-    flat = y * width + x
-    below = np.searchsorted(flat, flat + width)
-    touching = np.flatnonzero((below < len(flat)) & (flat[np.minimum(below, len(flat) - 1)] == flat + width))
-    for a, b in {(int(run_of[i]), int(run_of[below[i]])) for i in touching}:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    first = np.array([starts[spot.setdefault(i, root(i))] for i in range(len(starts))], dtype=np.int64)
-    own = cells["component"].to_numpy()
-    cells["component"] = own[first][run_of]
+    width, height = x.max() + 2, y.max() + 2
+    place = (layer * height + y) * width + x
+    new_run = np.r_[True, (np.diff(place) != 1) | (np.diff(part) != 0)]
+    run = np.cumsum(new_run) - 1
+    under = np.searchsorted(place, place + width)
+    hit = np.minimum(under, len(place) - 1)
+    met = (place[hit] == place + width) & (part[hit] == part)
+    pairs = np.unique(np.c_[run[met], run[hit[met]]], axis=0)
+    parent = np.arange(run[-1] + 1)
+    # Hook the larger root below the smaller one and shorten paths until nothing changes.
+    while len(pairs):
+        a, b = parent[pairs[:, 0]], parent[pairs[:, 1]]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if (low == high).all():
+            break
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    first_cell = np.flatnonzero(new_run)
+    cells["component"] = cells["component"].to_numpy()[first_cell[parent[run]]]
     return cells
 
 
@@ -207,7 +209,7 @@ def spatial_features(grid: Grid, q: float = 0.9, mask: DataFrame | None = None)
     marked = hotspot_mask(grid, mean, q)
     hot = marked.where("hot").select(*MAP, "y", "x", "v")
     counts = component_stats(components(hot, MAP, grid.shape), MAP).select(*MAP, F.col("components").alias("hotspot_count"))
-    sloped = cut_lineage(filled_gradient(mean.select(*MAP, "y", "x", "v")))
+    sloped = cut_lineage(filled_gradient(mean.select(*MAP, "y", "x", "v"), width=grid.shape[2]))
     stats = gradient_stats(sloped, grid.map_cells).drop("boundary_change").withColumnRenamed("gradient_p95", "gradient_strength_p95")
     edged = mask_boundary(marked.select(*MAP, "y", "x", "hot", "threshold"), "hot")
     border = (

@@ -47,9 +47,9 @@ def gradient(map_df: DataFrame, keys: Sequence[str] = MAP, value: str = "v", nei
     return map_df.withColumns(along).withColumns(across).withColumn("g", F.hypot("gx", "gy"))
 
 
-def filled_gradient(map_df: DataFrame, keys: Sequence[str] = MAP) -> DataFrame:
+def filled_gradient(map_df: DataFrame, keys: Sequence[str] = MAP, width: int | None = None) -> DataFrame:
     """Nearest fill, then gradient; v holds the original value, NULL where it was missing."""
-    filled = fill_nearest(map_df, tuple(keys), all_missing=0.0)
+    filled = fill_nearest(map_df, tuple(keys), all_missing=0.0, width=width)
     return gradient(filled, keys).drop("v", "filled").withColumnRenamed("v_original", "v")
 
 
@@ -270,4 +270,4 @@ def edge_threshold(sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP)
 
 
 def map_gradient_stats(grid: Grid, map_df: DataFrame) -> DataFrame:
-    return gradient_stats(cut_lineage(filled_gradient(map_df)), grid.map_cells)
+    return gradient_stats(cut_lineage(filled_gradient(map_df, width=grid.shape[2])), grid.map_cells)
