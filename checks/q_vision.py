@@ -221,7 +221,7 @@ def channel_summary(spark, sf):
 
 
 _HSV = """hs AS (SELECT grid_id, y, x, r, g, b, mx AS value, CASE WHEN mx > 1e-12 THEN d / mx ELSE 0 END AS saturation, CASE WHEN d <= 1e-12 THEN 0 WHEN mx = b / 255 THEN (r / 255 - g / 255) / d + 4
-    WHEN mx = g / 255 THEN (b / 255 - r / 255) / d + 2 ELSE ((g / 255 - b / 255) / d + 6) % 6 END / 6 AS hue
+    WHEN mx = g / 255 THEN (b / 255 - r / 255) / d + 2 WHEN g < b THEN (g / 255 - b / 255) / d + 6 ELSE (g / 255 - b / 255) / d END / 6 AS hue
   FROM (SELECT *, greatest(r, g, b) / 255 AS mx, greatest(r, g, b) / 255 - least(r, g, b) / 255 AS d FROM w WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL))"""
 
 

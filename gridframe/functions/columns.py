@@ -21,6 +21,11 @@ def finite(c: Column | str, digits: int | None = None) -> Column:
     return kept if digits is None else F.bround(kept, digits)
 
 
+def strip(c: Column) -> Column:
+    """Text without white space, line breaks included, at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def clamp01(c: Column) -> Column:
     return F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 

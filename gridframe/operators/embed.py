@@ -1,7 +1,8 @@
 """Embeddings of blocks, slices and patches, attention over patches, saliency, text alignment.
 
-Patches of one grid are capped at about 384 by enlarging them, so attention runs on one bounded group per grid with
-numpy inside the task, and many grids run in parallel. Feature rows (blocks, slices), whose number has no
+Patches of one grid are kept to about 384 by enlarging them (a map one row high holds more, growing with the square
+root of its length), so attention runs on one bounded group per grid with numpy inside the task, and many grids run in
+parallel. Feature rows (blocks, slices), whose number has no
 bound, are embedded through a Gram matrix summed over partitions: only feature-by-feature sums are grouped.
 """
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridframe.functions import rules
-from gridframe.functions.columns import bin_index, cosine, ratio, share
+from gridframe.functions.columns import bin_index, cosine, ratio, share, strip
 from gridframe.model import Grid
 from gridframe.operators.aggregates import block_features, relation_features, time_features, top_rows
 from gridframe.operators.missing import fill_nearest
@@ -371,7 +372,7 @@ def hash_embed(df: DataFrame, text: str, dim: int, key: str = "id") -> DataFrame
 
     Pairs are counted before they are hashed into place, so a long or repetitive text moves few rows.
     """
-    clean = F.regexp_replace(F.lower(F.col(text)), r"^\s+|\s+$", "")
+    clean = strip(F.lower(F.col(text)))
     size = F.length("s")
     starts = F.when(size > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)))
     grams = df.select(key, clean.alias("s")).select(key, F.explode(F.transform(starts, lambda i: F.substr(F.col("s"), i, F.lit(2)))).alias("gram"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridframe.functions import rules
-from gridframe.functions.columns import compact_number, first_match, unite
+from gridframe.functions.columns import compact_number, first_match, strip, unite
 from gridframe.model import MAP
 from gridframe.operators.aggregates import top_rows
 from gridframe.operators.selection import match_available
@@ -177,10 +177,10 @@ def parse_replies(df: DataFrame, text: str, out: str = "reply") -> DataFrame:
 
     NULL where neither parses, or where the JSON is not an object.
     """
-    bare = F.trim(F.col(text))
+    bare = strip(F.col(text))
     fenced = bare.startswith("```")
-    opened = F.trim(F.regexp_replace(bare, r"^```(?:json)?", ""))
-    body = F.when(fenced, F.trim(F.regexp_replace(opened, r"```$", ""))).otherwise(bare)
+    opened = strip(F.regexp_replace(bare, r"^```(?:json)?", ""))
+    body = F.when(fenced, strip(F.regexp_replace(opened, r"```$", ""))).otherwise(bare)
     staged = df.withColumn("_body", body)
     whole = F.try_parse_json("_body").isNotNull()
     inner = F.regexp_extract("_body", r"(?s)\{.*\}", 0)

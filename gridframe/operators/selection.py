@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridframe.functions import rules
-from gridframe.functions.columns import finite
+from gridframe.functions.columns import finite, strip
 from gridframe.model import MAP, Grid, skeleton
 
 
@@ -110,7 +110,7 @@ def resolve_variable(
     The candidate lists are fixed and small, so the ranked match is one projection: no join.
     """
     fallback = default if default in variables else variables[0]
-    name = F.trim(F.col(text))
+    name = strip(F.col(text))
     lowered = F.lower(name)
     usable = [(a, v) for a, v in aliases if v in variables]
     exact = F.when(name.isin(list(variables)), name)
@@ -231,7 +231,7 @@ def text_date(text: Column) -> Column:
 def select_slice(axis_t: DataFrame, requests: DataFrame, text: str = "text") -> DataFrame:
     """For each request (request_id, grid_id, text) the step whose label is the date in the text, else the last."""
     wanted = requests.select(
-        "request_id", "grid_id", F.coalesce(text_date(F.col(text)), F.trim(F.col(text))).alias("label")
+        "request_id", "grid_id", F.coalesce(text_date(F.col(text)), strip(F.col(text))).alias("label")
     )
     last = axis_t.groupBy("grid_id").agg(F.max("t").alias("last_t"), F.max_by("label", "t").alias("last_label"))
     hits = axis_t.where(F.col("label").isNotNull()).select("grid_id", "label", F.col("t").alias("hit_t"))

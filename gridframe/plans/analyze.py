@@ -91,10 +91,9 @@ def analyze(
 def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> dict[str, DataFrame]:
     mean = agg.mean_map(subset)
 
+    other = sel.secondary_variable(grid, var)
+
     def pairs() -> DataFrame:
-        other = sel.secondary_variable(grid, var)
-        if other is None:
-            return agg.pair_vars(subset, var, var).limit(0)
         both = subset.with_cells(
             subset.cells.drop("in_region").unionByName(grid.one(other).cells.select("grid_id", "t", "var", "y", "x", "v")), variables=(var, other)
         )
@@ -110,7 +109,8 @@ def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> dict[str, DataFr
         "hotspot_cells": lambda: reg.hotspots(subset, mean),
         "pairs": pairs,
     }
-    return {name: makers[name]() for name in TASK_TABLES.get(task, ("mean_map", "hotspot_mask"))}
+    names = TASK_TABLES.get(task, ("mean_map", "hotspot_mask"))
+    return {name: makers[name]() for name in names if name != "pairs" or other is not None}
 
 
 def describe(grid: Grid, fill: str | None = "nearest") -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gridframe.functions.columns import finite
+from gridframe.functions.columns import finite, strip
 from gridframe.model import CELLS, Grid, skeleton
 from gridframe.operators.selection import clean_name, resolve_axes, value_columns
 
@@ -121,7 +121,7 @@ def matrix_cells(files: DataFrame, text: str = "value", separator: str = ",") ->
 
     Columns with any text that is not a number are dropped, as is a header line.
     """
-    lines = files.select("grid_id", F.posexplode(F.split(F.rtrim(F.col(text)), r"\r?\n")).alias("line", "txt"))
+    lines = files.select("grid_id", F.posexplode(F.split(F.regexp_replace(F.col(text), r"\s+$", ""), r"\r?\n")).alias("line", "txt"))
     parts = lines.select("grid_id", "line", F.posexplode(F.split("txt", separator)).alias("col", "raw"))
     blank = F.lower(F.trim("raw")).isin("", "nan", "na", "null", "inf", "-inf")
     numbers = parts.withColumn("v", finite(F.expr("try_cast(trim(raw) as double)"))).withColumn("text", F.col("v").isNull() & ~blank)
@@ -150,7 +150,7 @@ def matrix_json_cells(files: DataFrame, text: str = "value") -> DataFrame:
     two-dimensional [y][x] or three-dimensional [t][y][x]."""
     raw = F.col(text)
     wrapped = [F.get_json_object(raw, f"$.{k}") for k in ("data", "grid", "values")]
-    payload = F.when(F.ltrim(raw).startswith("["), raw).otherwise(F.coalesce(*wrapped))
+    payload = F.when(strip(raw).startswith("["), raw).otherwise(F.coalesce(*wrapped))
     deep = F.from_json(payload, "array<array<array<double>>>", {"mode": "PERMISSIVE"})
     flat = F.from_json(payload, "array<array<double>>")
     is_3d = F.regexp_replace(payload, r"\s", "").startswith("[[[")
