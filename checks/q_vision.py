@@ -31,17 +31,17 @@ def standardize_features(spark, sf):
 
 @query("block_embedding")
 def block_embedding(spark, sf):
-    return emb.embeddings(grid_e(spark, sf), SHAPE, 8)["block"]
+    return emb.block_embedding(grid_e(spark, sf), SHAPE, 8)
 
 
 @query("time_slice_embedding")
 def time_slice_embedding(spark, sf):
-    return emb.embeddings(grid_e(spark, sf), SHAPE, 8)["time_slice"]
+    return emb.time_slice_embedding(grid_e(spark, sf), 8)
 
 
 @query("relation_embedding")
 def relation_embedding(spark, sf):
-    return emb.embeddings(grid_l3(spark, sf), SHAPE, 8)["relation"]
+    return emb.relation_embedding(grid_l3(spark, sf), 8)
 
 
 _PATCHES = "pc AS (SELECT grid_id, y // 3 AS py, x // 5 AS px, t, var, y, x, v FROM cells), pm AS (SELECT grid_id, py, px, var, y, x, avg(v) AS v FROM pc GROUP BY ALL)"

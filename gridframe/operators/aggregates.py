@@ -34,7 +34,7 @@ def statistics(grid: Grid, value: str = "v", missing: str = "v") -> DataFrame:
     stats = agg_with_quantiles(
         grid.cells, MAP,
         [*_moments(F.col(value)), share(F.col(missing).isNull()).alias("missing_ratio"), F.count(value).alias("n")],
-        value, {"p05": 0.05, "median": 0.5, "p95": 0.95}, grid.stack_cells,
+        {value: {"p05": 0.05, "median": 0.5, "p95": 0.95}}, grid.stack_cells,
     )
     return with_units(grid, stats)
 
@@ -113,7 +113,7 @@ def series_mean(grid: Grid, mask: DataFrame | None = None) -> DataFrame:
 def series_stats(grid: Grid) -> DataFrame:
     """Per slice: mean, 95th percentile, maximum."""
     return agg_with_quantiles(
-        grid.cells, [*MAP, "t"], [F.avg("v").alias("mean"), F.max("v").alias("max")], "v", {"p95": 0.95}, grid.map_cells
+        grid.cells, [*MAP, "t"], [F.avg("v").alias("mean"), F.max("v").alias("max")], {"v": {"p95": 0.95}}, grid.map_cells
     )
 
 
@@ -327,7 +327,7 @@ def label_distribution(blocks: DataFrame, labels: Sequence[str], column: str = "
 
 def robust_scale(map_df: DataFrame, map_cells: int, keys: Sequence[str] = MAP) -> DataFrame:
     """Median, median absolute deviation, and max(1.4826 MAD, std, 1e-9)."""
-    centre = agg_with_quantiles(map_df, keys, [F.stddev_pop("v").alias("std")], "v", {"median": 0.5}, map_cells)
+    centre = agg_with_quantiles(map_df, keys, [F.stddev_pop("v").alias("std")], {"v": {"median": 0.5}}, map_cells)
     away = map_df.join(centre, [*keys]).withColumn("away", F.abs(F.col("v") - F.col("median")))
     mad = group_quantiles(away, keys, "away", {"mad": 0.5}, map_cells)
     scale = F.greatest(1.4826 * F.col("mad"), F.col("std"), F.lit(1e-9))

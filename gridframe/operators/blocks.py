@@ -71,26 +71,24 @@ def block_reference(grid: Grid, maps: DataFrame) -> DataFrame:
     ``maps`` carries v (the chosen slice), mean, g and ``masked``. A map whose slice is empty refers to the mean map.
     """
     ok = F.col("masked")
-    there = maps.withColumns({"_s": F.when(ok, F.col("v")), "_m": F.when(ok, F.col("mean"))})
-    counts = there.groupBy(*MAP).agg(F.count("_s").alias("_n"))
-    chosen = there.join(counts, MAP).withColumn("ref", F.when(F.col("_n") > 0, F.col("_s")).otherwise(F.col("_m")))
-    base = agg_with_quantiles(
-        chosen, MAP, [F.min("ref").alias("ref_min"), F.max("ref").alias("ref_max"), F.stddev_pop("ref").alias("ref_std")],
-        "ref", {"p25": 0.25, "median": 0.5, "p75": 0.75}, grid.map_cells,
-    )
-    away = chosen.join(base.select(*MAP, "median"), MAP).withColumns({
-        "away": F.abs(F.col("ref") - F.col("median")), "gs": F.when(F.col("_s").isNotNull(), F.col("g")),
+    there = maps.withColumns({
+        "_s": F.when(ok, F.col("v")), "_m": F.when(ok, F.col("mean")), "_g": F.when(ok & F.col("v").isNotNull(), F.col("g")),
     })
+    spread = [f(c).alias(f"{n}{c}") for c in ("_s", "_m") for n, f in (("min", F.min), ("max", F.max), ("std", F.stddev_pop))]
+    quarters = {c: {f"p25{c}": 0.25, f"median{c}": 0.5, f"p75{c}": 0.75} for c in ("_s", "_m")}
+    both = agg_with_quantiles(there, MAP, [F.count("_s").alias("_n"), *spread], {**quarters, "_g": {"slope95": 0.95}}, grid.map_cells)
+    empty = F.col("_n") == 0
+    pick = lambda n: F.coalesce(F.when(empty, F.col(f"{n}_m")).otherwise(F.col(f"{n}_s")), F.lit(0.0)).alias(n)
+    base = both.select(*MAP, empty.alias("_empty"), "slope95", *[pick(n) for n in ("min", "max", "std", "p25", "median", "p75")])
+    ref = F.when(F.col("_empty"), F.col("_m")).otherwise(F.col("_s"))
+    away = there.join(base.select(*MAP, "_empty", "median"), MAP).withColumn("away", F.abs(ref - F.col("median")))
     mad = group_quantiles(away, MAP, "away", {"mad": 0.5}, grid.map_cells)
-    slope = group_quantiles(away, MAP, "gs", {"gradient_p95": 0.95}, grid.map_cells)
-    whole = base.join(mad, MAP).join(slope, MAP)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return whole.select(
-        *MAP, zero("ref_min").alias("ref_min"), zero("ref_max").alias("ref_max"),
-        F.greatest(zero("ref_max") - zero("ref_min"), F.lit(1e-9)).alias("value_range_all"),
-        zero("p25").alias("low_threshold"), zero("p75").alias("high_threshold"), zero("median").alias("median"),
-        F.greatest(1.4826 * zero("mad"), zero("ref_std"), F.lit(1e-9)).alias("outlier_scale"),
-        F.greatest(F.coalesce("gradient_p95", F.lit(1.0)), F.lit(1e-9)).alias("gradient_p95"),
+    least = F.lit(1e-9)
+    return base.join(mad, MAP).select(
+        *MAP, F.col("min").alias("ref_min"), F.col("max").alias("ref_max"), F.greatest(F.col("max") - F.col("min"), least).alias("value_range_all"),
+        F.col("p25").alias("low_threshold"), F.col("p75").alias("high_threshold"), "median",
+        F.greatest(1.4826 * F.coalesce("mad", F.lit(0.0)), F.col("std"), least).alias("outlier_scale"),
+        F.greatest(F.coalesce("slope95", F.lit(1.0)), least).alias("gradient_p95"),
     )
 
 
@@ -155,9 +153,8 @@ def block_features_semantic(
             F.avg(F.when(masked, F.abs("z"))).alias("abs_z"), F.avg(F.when(ok, F.abs("diff"))).alias("abs_diff"),
             F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"),
         ],
-        "_v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, largest,
+        {"_v": {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "_g": {"edge_strength": 0.9}}, largest,
     ).where(F.col("valid") > 0)
-    edges = group_quantiles(cells, BLOCK, "_g", {"edge_strength": 0.9}, largest)
     kinds = F.filter(F.array(F.when(F.col("high"), 1), F.when(F.col("low"), 0)), lambda k: k.isNotNull())
     part = F.col("row").cast("bigint") * 1_000_000 + F.col("col")
     marked = cells.select(*BLOCK, "y", "x", part.alias("part"), F.explode(kinds).alias("kind"))
@@ -166,7 +163,7 @@ def block_features_semantic(
     counts = sizes.groupBy(*BLOCK).agg(
         of(1, "components").alias("components_high"), of(0, "components").alias("components_low"), F.max("largest").alias("largest")
     )
-    joined = stats.join(edges, BLOCK).join(counts, BLOCK, "left").fillna(0, ["components_high", "components_low", "largest"])
+    joined = stats.join(counts, BLOCK, "left").fillna(0, ["components_high", "components_low", "largest"])
     n = F.col("valid").cast("double")
     per = lambda c: F.bround(F.col(c) / n, 4)
     normal = lambda c, by: F.bround(c / F.col(by), 4)

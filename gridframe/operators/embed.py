@@ -49,7 +49,7 @@ def svd_embed(features: DataFrame, dim: int, vector: str = "features") -> DataFr
 
     The largest loading of each direction is made positive.
     """
-    scaled = standardize(features, vector)
+    scaled = standardize(cut_lineage(features), vector)
     sums = scaled.select("grid_id", vector).mapInPandas(_gram_parts(vector), "grid_id string, k int, s double, n bigint")
     gram = sums.groupBy("grid_id", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     axes = gram.groupBy("grid_id").applyInPandas(_leading(dim), "grid_id string, axes array<array<double>>")
@@ -93,15 +93,24 @@ def _ordered(rows: DataFrame, grid: Grid, keys: Sequence[str], names: Sequence[s
     return packed
 
 
-def embeddings(grid: Grid, block: tuple[int, int] = (32, 32), dim: int = 8, mask: DataFrame | None = None, missing: str = "v") -> dict[str, DataFrame]:
-    """Embeddings of fixed-size blocks, of time slices and of variable pairs."""
+def block_embedding(grid: Grid, block: tuple[int, int] = (32, 32), dim: int = 8, missing: str = "v") -> DataFrame:
+    """Embedding of every fixed-size block from the features of all variables and its place."""
     rows = block_features(grid, block, missing)
     place = [F.first(c).alias(c) for c in ("cy", "cx", "height", "width")]
     blocks = _ordered(rows, grid, ["grid_id", "block_y", "block_x"], ["mean", "std", "min", "max", "missing_ratio", "gradient"], place)
-    blocks = blocks.select("grid_id", "block_y", "block_x", F.concat("features", F.array("cy", "cx", "height", "width")).alias("features"))
-    slices = _ordered(time_features(grid, mask), grid, ["grid_id", "t"], ["mean", "std", "min", "max", "gradient"])
+    vectors = F.concat("features", F.array("cy", "cx", "height", "width")).alias("features")
+    return svd_embed(blocks.select("grid_id", "block_y", "block_x", vectors), dim)
+
+
+def time_slice_embedding(grid: Grid, dim: int = 8, mask: DataFrame | None = None) -> DataFrame:
+    """Embedding of every time slice from the features of all variables."""
+    return svd_embed(_ordered(time_features(grid, mask), grid, ["grid_id", "t"], ["mean", "std", "min", "max", "gradient"]), dim)
+
+
+def relation_embedding(grid: Grid, dim: int = 8) -> DataFrame:
+    """Embedding of every pair of variables."""
     pairs = relation_features(grid).select("grid_id", "left", "right", F.array("f0", "f1", "f2", "f3", "f4").alias("features"))
-    return {"block": svd_embed(blocks, dim), "time_slice": svd_embed(slices, dim), "relation": svd_embed(pairs, dim)}
+    return svd_embed(pairs, dim)
 
 
 # --- patches -------------------------------------------------------------------------------------------------
@@ -156,7 +165,7 @@ def patch_features(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFram
     stats = agg_with_quantiles(
         with_patches(grid, _masked_cells(grid, mask), shape), keys,
         [zero(F.avg(v)).alias("mean"), zero(F.stddev_pop(v)).alias("std"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"), share(v.isNull()).alias("missing_ratio"), F.count("v").alias("n")],
-        "v", {"p05": 0.05, "p95": 0.95}, grid.shape[0] * h * w,
+        {"v": {"p05": 0.05, "p95": 0.95}}, grid.shape[0] * h * w,
     )
     # A patch without any value is all zeros.
     filled = stats.withColumns({
@@ -372,10 +381,11 @@ def hash_embed(df: DataFrame, text: str, dim: int, key: str = "id") -> DataFrame
 
     Pairs are counted before they are hashed into place, so a long or repetitive text moves few rows.
     """
-    clean = strip(F.lower(F.col(text)))
-    size = F.length("s")
-    starts = F.when(size > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)))
-    grams = df.select(key, clean.alias("s")).select(key, F.explode(F.transform(starts, lambda i: F.substr(F.col("s"), i, F.lit(2)))).alias("gram"))
+    chars = F.split(strip(F.lower(F.col(text))), "")
+    pairs = F.when(
+        F.size("c") > 1, F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.concat(a, b))
+    ).otherwise(F.filter("c", lambda a: a != ""))
+    grams = df.select(key, chars.alias("c")).select(key, F.explode(pairs).alias("gram"))
     counted = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
     digest = F.sha2(F.col("gram").cast("binary"), 256)
     at = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim).cast("int")

@@ -61,8 +61,8 @@ def edge_stats(grid: Grid, sloped: DataFrame) -> DataFrame:
     """Share of present pixels at or above the 90th gradient percentile, that threshold, mean and p95 strength."""
     present = sloped.where(F.col("v").isNotNull())
     stats = agg_with_quantiles(
-        present, IMAGE, [F.avg("g").alias("mean_edge_strength"), F.count(F.lit(1)).alias("n")], "g",
-        {"edge_threshold_p90": 0.9, "p95_edge_strength": 0.95}, grid.map_cells,
+        present, IMAGE, [F.avg("g").alias("mean_edge_strength"), F.count(F.lit(1)).alias("n")],
+        {"g": {"edge_threshold_p90": 0.9, "p95_edge_strength": 0.95}}, grid.map_cells,
     )
     strong = present.join(stats.select("grid_id", "edge_threshold_p90"), "grid_id").where(F.col("g") >= F.col("edge_threshold_p90"))
     counts = strong.groupBy("grid_id").agg(F.count(F.lit(1)).alias("k"))
@@ -80,10 +80,12 @@ def texture_stats(grid: Grid, sloped: DataFrame) -> DataFrame:
     """
     sized = grid.with_dims(sloped.select("grid_id", "y", "x", "v", "filled"))
     textured = local_entropy(local_std(sized, "filled", 5, IMAGE), "filled", IMAGE)
-    present = cut_lineage(textured.where(F.col("v").isNotNull()).select("grid_id", "local_std", "entropy"))
-    stats = agg_with_quantiles(present, IMAGE, [F.avg("local_std").alias("local_std_mean"), F.avg("entropy").alias("local_entropy_mean")], "local_std", {"local_std_p95": 0.95}, grid.map_cells)
-    rest = group_quantiles(present, IMAGE, "entropy", {"local_entropy_p95": 0.95}, grid.map_cells)
-    return stats.join(rest, "grid_id").withColumn("texture_label", texture_label(F.col("local_std_mean")))
+    present = textured.where(F.col("v").isNotNull()).select("grid_id", "local_std", "entropy")
+    stats = agg_with_quantiles(
+        present, IMAGE, [F.avg("local_std").alias("local_std_mean"), F.avg("entropy").alias("local_entropy_mean")],
+        {"local_std": {"local_std_p95": 0.95}, "entropy": {"local_entropy_p95": 0.95}}, grid.map_cells,
+    )
+    return stats.withColumn("texture_label", texture_label(F.col("local_std_mean")))
 
 
 def histogram(df: DataFrame, value: str, bins: int, low: float, high: float, keys: Sequence[str] = IMAGE, out: str = "counts") -> DataFrame:
@@ -132,7 +134,7 @@ def hsv_stats(grid: Grid, maps: DataFrame, bins: int = 12) -> DataFrame:
             F.avg(F.sin(angle)).alias("_s"), F.avg(F.cos(angle)).alias("_c"), F.avg("saturation").alias("mean_saturation"), F.avg("value").alias("mean_value"),
             F.coalesce(colorfulness(F.col("red"), F.col("green"), F.col("blue")), F.lit(0.0)).alias("colorfulness"),
         ],
-        "saturation", {"p95_saturation": 0.95}, grid.map_cells,
+        {"saturation": {"p95_saturation": 0.95}}, grid.map_cells,
     )
     hue = F.pmod(F.atan2("_s", "_c"), F.lit(2 * math.pi)) / (2 * math.pi)
     counts = histogram(turned, "hue", bins, 0.0, 1.0, out="hue_counts")

@@ -39,17 +39,23 @@ def agg_with_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     aggs: Sequence[Column],
-    value: str,
-    probs: Mapping[str, float],
+    quantiles: Mapping[str, Mapping[str, float]],
     max_group: int,
 ) -> DataFrame:
-    """Aggregates and quantiles of one column per group: one pass for small groups, a join for large ones."""
+    """Aggregates per group with quantiles of some columns, given as {column: {name: probability}}.
+
+    One pass for small groups; large groups take each column's quantiles by their own route and join them.
+    """
     if max_group <= SMALL_GROUP:
-        wanted = [float(p) for p in probs.values()]
-        packed = df.groupBy(*keys).agg(*aggs, F.percentile(F.col(value), wanted).alias("_q"))
-        kept = [c for c in packed.columns if c not in (*keys, "_q")]
-        return packed.select(*keys, *kept, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    return df.groupBy(*keys).agg(*aggs).join(group_quantiles(df, keys, value, probs, max_group), [*keys], "left")
+        packs = [F.percentile(F.col(c), [float(p) for p in probs.values()]).alias(f"_q{i}") for i, (c, probs) in enumerate(quantiles.items())]
+        packed = df.groupBy(*keys).agg(*aggs, *packs)
+        kept = [c for c in packed.columns if c not in keys and not c.startswith("_q")]
+        opened = [F.col(f"_q{i}")[j].alias(name) for i, probs in enumerate(quantiles.values()) for j, name in enumerate(probs)]
+        return packed.select(*keys, *kept, *opened)
+    rows = df.groupBy(*keys).agg(*aggs)
+    for column, probs in quantiles.items():
+        rows = rows.join(group_quantiles(df, keys, column, probs, max_group), [*keys], "left")
+    return rows
 
 
 def _bracketed(df: DataFrame, keys: list[str], value: str, probs: Mapping[str, float], accuracy: int) -> DataFrame:

@@ -65,7 +65,7 @@ def gradient_stats(sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP)
             F.avg(on("gx") * on("gx")).alias("x_energy"),
             F.avg(on("gy") * on("gy")).alias("y_energy"),
         ],
-        "gp", {"gradient_p90": 0.9, "gradient_p95": 0.95}, map_cells,
+        {"gp": {"gradient_p90": 0.9, "gradient_p95": 0.95}}, map_cells,
     )
     edge = (
         sloped.join(stats.select(*keys, "gradient_p90"), [*keys])

@@ -14,6 +14,7 @@ from gridframe.functions.columns import pearson, r_squared
 from gridframe.model import CELL, MAP, Grid
 from gridframe.operators.aggregates import series_mean, top_rows
 from gridframe.operators.stencil import diffs, smooth_series
+from gridframe.session import cut_lineage
 
 MAX_LAG = 366
 
@@ -133,8 +134,8 @@ def periodicity(grid: Grid, series: DataFrame) -> DataFrame:
 
 
 def temporal_features(grid: Grid, mask: DataFrame | None = None) -> DataFrame:
-    """Per variable: trend summary, periodicity and number of change points."""
-    series = series_mean(grid, mask)
+    """Per variable: trend summary, periodicity and number of change points. The series are computed once."""
+    series = cut_lineage(series_mean(grid, mask))
     points = change_points(series).groupBy(*MAP).agg(F.count(F.lit(1)).alias("change_points"))
     rows = classify_trend(series).join(periodicity(grid, series).select(*MAP, "periodicity"), MAP, "left").join(points, MAP, "left")
     return rows.fillna(0, ["change_points"]).withColumn("is_primary", F.col("var") == grid.primary)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,12 +23,30 @@ TASK_TABLES: Mapping[str, tuple[str, ...]] = {
 }
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Named tables, each built when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def stats_of(df: DataFrame, cells: int, keys: Sequence[str] = MAP) -> DataFrame:
     """min, max, mean, std, p05, p50, p95 rounded to six digits."""
     v = F.col("v")
     rows = agg.agg_with_quantiles(
         df, keys, [F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")],
-        "v", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, cells,
+        {"v": {"p05": 0.05, "p50": 0.5, "p95": 0.95}}, cells,
     )
     return rows.select(*keys, *[F.bround(c, 6).alias(c) for c in ("min", "max", "mean", "std", "p05", "p50", "p95")])
 
@@ -43,11 +61,11 @@ def analyze(
     block_rows: int = 9,
     block_cols: int = 14,
     min_similar_cells: int = 200,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Tables of the analysis of a variable in a region for one step; with a task, only those it needs.
 
-    The masked cells of the variable are computed once and shared; every table is lazy apart from that and from the
-    block maps, so a caller pays for what it reads.
+    The masked cells of the variable are computed once and shared. A table is built when it is asked for, so a caller
+    pays for what it reads.
     """
     var = var or grid.primary
     subset = sel.prepare(grid, var, region, None, boxes)
@@ -55,40 +73,38 @@ def analyze(
     if task is not None:
         return _for_task(grid, subset, var, task)
     n_t = subset.shape[0]
-    mean = agg.mean_map(subset)
-    maps = tem.cell_maps(subset, t)
-    series = agg.series_mean(subset)
-    daily = agg.daily_matrix(grid)
-    hot = reg.hotspots(subset, mean)
-    blocks = cut_lineage(blk.block_table(subset, t, block_rows, block_cols))
-    labels = blk.block_labels(blocks)
-    days = tem.anomaly_days(series)
-    correlations = tem.driver_correlation(daily, var)
-    tables = {
-        "statistics_overall": stats_of(subset.cells, subset.stack_cells),
-        "statistics_slice": stats_of(maps, subset.map_cells),
-        "statistics_mean_map": stats_of(mean, subset.map_cells),
-        "maps": maps,
-        "trend": tem.daily_trend(series, n_t),
-        "quality": agg.quality(subset),
-        "series": agg.series_stats(subset).join(agg.hotspot_share(subset), [*MAP, "t"]),
-        "anomaly_days": subset.with_time(days),
-        "hotspots": reg.component_table(subset, hot, n=12, by_peak=True),
-        "blocks": blocks,
-        "top_blocks": blk.top_blocks(blocks),
-        "block_labels": labels,
-        "recommendations": blk.recommend(labels),
-        "similar_slices": tem.similar_slices(subset, t, min_cells=min_similar_cells),
-        "correlations": correlations,
-        "variables": agg.variable_cards(daily, var, n_t),
-    }
-    for name, column in (("mean", "mean"), ("slice", "v"), ("trend", "trend"), ("anomaly", "z")):
-        tables[f"{name}_display"] = sel.downsample(subset, maps.select(*MAP, "y", "x", F.col(column).alias("v")))
-    tables["facts"] = req.narrative_facts(tables["trend"], correlations, blocks)
-    return tables
-
-
-def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> dict[str, DataFrame]:
+    mean = lambda: agg.mean_map(subset)
+    series = lambda: agg.series_mean(subset)
+    out: Tables
+
+    def display(column: str):
+        return lambda: sel.downsample(subset, out["maps"].select(*MAP, "y", "x", F.col(column).alias("v")))
+
+    out = Tables({
+        "statistics_overall": lambda: stats_of(subset.cells, subset.stack_cells),
+        "statistics_slice": lambda: stats_of(out["maps"], subset.map_cells),
+        "statistics_mean_map": lambda: stats_of(mean(), subset.map_cells),
+        "maps": lambda: tem.cell_maps(subset, t),
+        "mean_display": display("mean"), "slice_display": display("v"), "trend_display": display("trend"), "anomaly_display": display("z"),
+        "trend": lambda: tem.daily_trend(series(), n_t),
+        "quality": lambda: agg.quality(subset),
+        "series": lambda: agg.series_stats(subset).join(agg.hotspot_share(subset), [*MAP, "t"]),
+        "anomaly_days": lambda: subset.with_time(tem.anomaly_days(series())),
+        "hotspots": lambda: reg.component_table(subset, reg.hotspots(subset, mean()), n=12, by_peak=True),
+        "blocks": lambda: cut_lineage(blk.block_table(subset, t, block_rows, block_cols)),
+        "top_blocks": lambda: blk.top_blocks(out["blocks"]),
+        "block_labels": lambda: blk.block_labels(out["blocks"]),
+        "recommendations": lambda: blk.recommend(out["block_labels"]),
+        "similar_slices": lambda: tem.similar_slices(subset, t, min_cells=min_similar_cells),
+        "daily": lambda: cut_lineage(agg.daily_matrix(grid)),
+        "correlations": lambda: tem.driver_correlation(out["daily"], var),
+        "variables": lambda: agg.variable_cards(out["daily"], var, n_t),
+        "facts": lambda: req.narrative_facts(out["trend"], out["correlations"], out["blocks"]),
+    })
+    return out
+
+
+def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> Mapping[str, DataFrame]:
     mean = agg.mean_map(subset)
 
     other = sel.secondary_variable(grid, var)
@@ -110,59 +126,58 @@ def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> dict[str, DataFr
         "pairs": pairs,
     }
     names = TASK_TABLES.get(task, ("mean_map", "hotspot_mask"))
-    return {name: makers[name]() for name in names if name != "pairs" or other is not None}
+    return Tables({name: makers[name] for name in names if name != "pairs" or other is not None})
 
 
-def describe(grid: Grid, fill: str | None = "nearest") -> dict[str, DataFrame]:
+def describe(grid: Grid, fill: str | None = "nearest") -> Mapping[str, DataFrame]:
     """What a loaded grid is: masks, filled cells, profiles, axes, coverage."""
     filled = mis.fill(grid, fill)
     filled = filled.with_cells(cut_lineage(filled.cells))
-    masks = mis.missing_masks(grid)
-    return {
-        "cells": filled.cells,
-        "masks": masks,
-        "profiles": agg.profile(filled),
-        "spec": agg.grid_spec(grid),
-        "space_resolution": agg.space_resolution(grid),
-        "time_resolution": agg.time_resolution(grid),
-        "missing": mis.missing_summary(filled, masks),
-        "recommendations": mis.fill_recommendations(masks),
-        "hottest": agg.hottest(filled),
-        "change": agg.first_last(filled),
-    }
+    masks = cut_lineage(mis.missing_masks(grid))
+    return Tables({
+        "cells": lambda: filled.cells,
+        "masks": lambda: masks,
+        "profiles": lambda: agg.profile(filled),
+        "spec": lambda: agg.grid_spec(grid),
+        "space_resolution": lambda: agg.space_resolution(grid),
+        "time_resolution": lambda: agg.time_resolution(grid),
+        "missing": lambda: mis.missing_summary(filled, masks),
+        "recommendations": lambda: mis.fill_recommendations(masks),
+        "hottest": lambda: agg.hottest(filled),
+        "change": lambda: agg.first_last(filled),
+    })
 
 
 def extract_features(
     grid: Grid, block: tuple[int, int] = (32, 32), dim: int = 8, q: float = 0.9, fill: str | None = "nearest", patches: bool = True
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """The feature tables of a grid: statistics, correlation, spatial, temporal, embeddings, image, patches, labels."""
-    masks = mis.missing_masks(grid)
     whole = mis.fill(grid, fill)
     whole = whole.with_cells(cut_lineage(whole.cells))
-    valid = cut_lineage(masks)
-    correlations = agg.correlation(whole)
-    spatial = reg.spatial_features(whole, q, valid)
-    temporal = tem.temporal_features(whole, valid)
-    tables = {
-        "statistics": agg.statistics(whole, missing="v_original"),
-        "overall": agg.overall_statistics(whole),
-        "correlation": correlations,
-        "strongest_partner": agg.strongest_partner(correlations, grid.primary),
-        "spatial": spatial,
-        "temporal": temporal,
-        "across_variables": agg.across_variables(spatial, temporal),
-        "labels": req.semantic_labels(spatial.join(temporal, MAP)),
+    valid = cut_lineage(mis.missing_masks(grid))
+    out: Tables
+    makers: dict[str, Callable[[], DataFrame]] = {
+        "statistics": lambda: agg.statistics(whole, missing="v_original"),
+        "overall": lambda: agg.overall_statistics(whole),
+        "correlation": lambda: agg.correlation(whole),
+        "strongest_partner": lambda: agg.strongest_partner(out["correlation"], grid.primary),
+        "spatial": lambda: reg.spatial_features(whole, q, valid),
+        "temporal": lambda: tem.temporal_features(whole, valid),
+        "across_variables": lambda: agg.across_variables(out["spatial"], out["temporal"]),
+        "labels": lambda: req.semantic_labels(out["spatial"].join(out["temporal"], MAP)),
+        "block_embedding": lambda: emb.block_embedding(whole, block, dim, "v_original"),
+        "time_slice_embedding": lambda: emb.time_slice_embedding(whole, dim, valid),
+        "relation_embedding": lambda: emb.relation_embedding(whole, dim),
     }
-    tables.update({f"{k}_embedding": v for k, v in emb.embeddings(whole, block, dim, valid, "v_original").items()})
     if img.is_image(grid):
-        tables["image"] = img.image_features(whole)
+        makers["image"] = lambda: img.image_features(whole)
     if patches:
-        encoded = emb.encode(whole, block, max(16, dim * 4), 4, valid)
-        tables["patches"] = encoded
-        tables["top_patches"] = emb.top_patches(encoded)
-        tables["attention_edges"] = emb.attention_edges(encoded)
-        tables["saliency_summary"] = emb.saliency_summary(encoded)
-    return tables
+        makers["patches"] = lambda: emb.encode(whole, block, max(16, dim * 4), 4, valid)
+        makers["top_patches"] = lambda: emb.top_patches(out["patches"])
+        makers["attention_edges"] = lambda: emb.attention_edges(out["patches"])
+        makers["saliency_summary"] = lambda: emb.saliency_summary(out["patches"])
+    out = Tables(makers)
+    return out
 
 
 def flags(spatial: DataFrame, statistics: DataFrame, steps: int, image: bool, anomalies: DataFrame | None = None) -> DataFrame:

@@ -36,15 +36,15 @@ def from_points(
     Points in one cell are averaged. Empty cells are added in the same grouping, so the raw points are
     shuffled once, after map-side averaging; a crowded cell is combined before it moves.
     """
-    wide = points.select("grid_id", "t", "y", "x", *[finite(v).alias(v) for v in variables])
-    pairs = ", ".join(f"'{v}', `{v}`" for v in variables)
-    long = wide.selectExpr("grid_id", "t", "y", "x", f"stack({len(variables)}, {pairs}) as (var, v)")
+    keys = ["grid_id", "t", "y", "x"]
+    wide = points.select(*keys, *[finite(v).alias(v) for v in variables])
     ids = points.select("grid_id").distinct() if ids is None else ids
-    empty = skeleton(ids, variables, shape).withColumn("v", F.lit(None).cast("double"))
-    order = ["grid_id", "t", "var", "y", "x", "v"]
-    stacked = long.select(*order).unionByName(empty.select(*order))
-    cells = stacked.groupBy("grid_id", "t", "var", "y", "x").agg(F.avg("v").alias("v"))
-    return Grid(cells, tuple(variables), shape, **fields)
+    gap = {v: F.lit(None).cast("double") for v in variables}
+    empty = skeleton(ids, ["-"], shape).withColumns(gap).select(*keys, *variables)
+    means = wide.unionByName(empty).groupBy(*keys).agg(*[F.avg(v).alias(v) for v in variables])
+    pairs = ", ".join(f"'{v}', `{v}`" for v in variables)
+    long = means.selectExpr(*keys, f"stack({len(variables)}, {pairs}) as (var, v)")
+    return Grid(long.select("grid_id", "t", "var", "y", "x", "v"), tuple(variables), shape, **fields)
 
 
 def rasterize(
