@@ -53,23 +53,23 @@ def day_axis(spark: SparkSession, grid_id: str) -> DataFrame:
 
 def grid_l(spark: SparkSession, sf_dir: str) -> Grid:
     points = line_points(spark, sf_dir)
-    return from_points(points, ["price"], L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), units={"price": "cent"})
+    return from_points(points, ["price"], L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), n_grids=1, units={"price": "cent"})
 
 
 def grid_y(spark: SparkSession, sf_dir: str) -> Grid:
     """Prices by year: as grid L with seven steps and few gaps."""
     points = line_points(spark, sf_dir).withColumns({"grid_id": F.lit("Y"), "t": F.floor(F.col("t") / 4).cast("int")})
-    return from_points(points, ["price"], (7, 50, 40), one_id(spark, "Y"), units={"price": "cent"})
+    return from_points(points, ["price"], (7, 50, 40), one_id(spark, "Y"), n_grids=1, units={"price": "cent"})
 
 
 def grid_l3(spark: SparkSession, sf_dir: str) -> Grid:
     points = line_points(spark, sf_dir)
-    return from_points(points, L3_VARS, L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), units={"price": "cent"})
+    return from_points(points, L3_VARS, L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), n_grids=1, units={"price": "cent"})
 
 
 def grid_f(spark: SparkSession, sf_dir: str) -> Grid:
     points = line_points(spark, sf_dir).where(((F.col("y") * 7 + F.col("x") * 13) % 5 != 0) | (F.col("t") < 4))
-    return from_points(points, ["price"], L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"))
+    return from_points(points, ["price"], L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), n_grids=1)
 
 
 def grid_e(spark: SparkSession, sf_dir: str) -> Grid:
@@ -79,7 +79,7 @@ def grid_e(spark: SparkSession, sf_dir: str) -> Grid:
         F.round(F.col("value") * 100).alias("value"),
     )
     wide = points.select("grid_id", "t", "y", "x", *[F.when(F.col("event_type") == v, F.col("value")).alias(v) for v in E_VARS])
-    return from_points(wide, E_VARS, E_SHAPE, one_id(spark, "E"), axis_t=day_axis(spark, "E"))
+    return from_points(wide, E_VARS, E_SHAPE, one_id(spark, "E"), axis_t=day_axis(spark, "E"), n_grids=1)
 
 
 def grid_i(spark: SparkSession, sf_dir: str) -> Grid:

@@ -16,6 +16,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CELLS = "grid_id string, t int, var string, y int, x int, v double"
+BROADCAST_ROWS = 100_000
+CELLS_PER_TASK = 2_000_000
 CELL = ["grid_id", "var", "y", "x"]
 MAP = ["grid_id", "var"]
 SERIES = ["grid_id", "var"]
@@ -34,6 +36,10 @@ class Grid:
     axis_y: DataFrame | None = None
     """(grid_id, y, lat); None means index coordinates."""
     axis_x: DataFrame | None = None
+    ids: DataFrame | None = None
+    """(grid_id) of every grid, where known without reading cells."""
+    n_grids: int | None = None
+    """Number of grids, where known; bounds the size of per-grid tables."""
     units: Mapping[str, str | None] = field(default_factory=dict)
     long_names: Mapping[str, str | None] = field(default_factory=dict)
     crs: str = "EPSG:4326/inferred"
@@ -71,7 +77,11 @@ class Grid:
     def dims_table(self) -> DataFrame:
         if self.dims is not None:
             return self.dims.select("grid_id", "n_t", "n_y", "n_x")
-        return self.with_dims(self.cells.select("grid_id").distinct())
+        return self.with_dims(self.ids if self.ids is not None else self.cells.select("grid_id").distinct())
+
+    def per_map(self, df: DataFrame, rows: int = 1) -> DataFrame:
+        """A table of at most ``rows`` rows per grid and variable, marked for broadcast where that is a known small number."""
+        return bounded(df, None if self.n_grids is None else self.n_grids * len(self.variables) * rows)
 
     def lat_axis(self) -> DataFrame:
         if self.axis_y is not None:
@@ -124,13 +134,29 @@ class Grid:
         return replace(self, cells=self.cells.where(F.col("var") == var), variables=(var,))
 
 
+def bounded(df: DataFrame, rows: int | None) -> DataFrame:
+    """Marks a table for broadcast if its number of rows is known and small; otherwise the join is left to Spark, which
+    measures the sides at run time."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+
+
+def spread(rows: DataFrame, cells: int, *keys: str) -> DataFrame:
+    """Distributes a small table that is about to be expanded into ``cells`` rows."""
+    parts = min(10_000, cells // CELLS_PER_TASK)
+    return rows.repartition(parts, *keys) if parts > 1 else rows
+
+
 def skeleton(ids: DataFrame, variables: Sequence[str], shape: tuple[int, int, int]) -> DataFrame:
-    """Every cell address of the given grids, made by nested expansion of the axes, without a join."""
+    """Every cell address of the given grids, made by nested expansion of the axes, without a join.
+
+    Large grids are spread over tasks once their rows are listed, before the columns are.
+    """
     n_t, n_y, n_x = shape
     names = F.array(*[F.lit(v) for v in variables])
-    return (
+    rows = (
         ids.select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("t"))
         .select("grid_id", "t", F.explode(names).alias("var"))
         .select("grid_id", "t", "var", F.explode(F.sequence(F.lit(0), F.lit(n_y - 1))).alias("y"))
-        .select("grid_id", "t", "var", "y", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))).alias("x"))
     )
+    rows = spread(rows, n_t * n_y * n_x * len(variables), "grid_id", "t", "y")
+    return rows.select("grid_id", "t", "var", "y", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))).alias("x"))

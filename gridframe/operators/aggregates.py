@@ -120,7 +120,7 @@ def series_stats(grid: Grid) -> DataFrame:
 def hotspot_share(grid: Grid, q: float = 0.9) -> DataFrame:
     """Per slice: share of all cells of the grid at or above the quantile of the mean map."""
     thresholds = group_quantiles(mean_map(grid), MAP, "v", {"threshold": q}, grid.map_cells)
-    marked = grid.cells.join(thresholds, MAP)
+    marked = grid.cells.join(grid.per_map(thresholds), MAP)
     return marked.groupBy(*MAP, "t").agg(share(F.col("v") >= F.col("threshold")).alias("hotspot_share"))
 
 

@@ -81,7 +81,7 @@ def block_reference(grid: Grid, maps: DataFrame) -> DataFrame:
     pick = lambda n: F.coalesce(F.when(empty, F.col(f"{n}_m")).otherwise(F.col(f"{n}_s")), F.lit(0.0)).alias(n)
     base = both.select(*MAP, empty.alias("_empty"), "slope95", *[pick(n) for n in ("min", "max", "std", "p25", "median", "p75")])
     ref = F.when(F.col("_empty"), F.col("_m")).otherwise(F.col("_s"))
-    away = there.join(base.select(*MAP, "_empty", "median"), MAP).withColumn("away", F.abs(ref - F.col("median")))
+    away = there.join(grid.per_map(base.select(*MAP, "_empty", "median")), MAP).withColumn("away", F.abs(ref - F.col("median")))
     mad = group_quantiles(away, MAP, "away", {"mad": 0.5}, grid.map_cells)
     least = F.lit(1e-9)
     return base.join(mad, MAP).select(
@@ -105,7 +105,7 @@ def block_maps(grid: Grid, t: int | None = None, variant: str = "region") -> Dat
     maps = maps.withColumn("masked", masked)
     usable = F.when(F.col("masked"), F.col("v"))
     means = maps.groupBy(*MAP).agg(F.avg(usable).alias("_fill"))
-    filled = maps.join(means, MAP).withColumn("filled", F.coalesce(usable, F.col("_fill"), F.lit(0.0))).drop("_fill")
+    filled = maps.join(grid.per_map(means), MAP).withColumn("filled", F.coalesce(usable, F.col("_fill"), F.lit(0.0))).drop("_fill")
     return cut_lineage(gradient(filled.withColumn("usable", usable), MAP, "filled", neighbours="usable").drop("usable", "filled"))
 
 
@@ -124,7 +124,7 @@ def block_features_semantic(
     """
     largest = block_cells(grid, rows, cols, shape)
     reference = block_reference(grid, maps)
-    placed = assign_blocks(grid, maps, rows, cols, shape).join(reference, MAP)
+    placed = assign_blocks(grid, maps, rows, cols, shape).join(grid.per_map(reference), MAP)
     ok = F.col("masked") & F.col("v").isNotNull()
     value = F.when(ok, F.col("v"))
     # A neighbour counts for Moran's I where it lies in the same block; its block follows from its index.

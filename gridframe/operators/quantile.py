@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SMALL_GROUP = 2_000_000
+SMALL_GROUP = 200_000
 ACCURACY = 20_000
 
 
@@ -68,16 +68,15 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: Mapping[str, f
         F.count("_v").alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lower, accuracy).alias("_lo"),
-        F.percentile_approx("_v", upper, accuracy).alias("_hi"),
+        F.percentile_approx("_v", lower + upper, accuracy).alias("_at"),
     )
     # A group the sketch holds whole is its own bracket.
     tiny = F.col("_n") <= accuracy
     brackets = sketch.select(
         *keys,
         "_n",
-        *[F.when(tiny, F.col("_min")).otherwise(F.col("_lo")[i]).alias(f"_lo{i}") for i in range(len(names))],
-        *[F.when(tiny, F.col("_max")).otherwise(F.col("_hi")[i]).alias(f"_hi{i}") for i in range(len(names))],
+        *[F.when(tiny, F.col("_min")).otherwise(F.col("_at")[i]).alias(f"_lo{i}") for i in range(len(names))],
+        *[F.when(tiny, F.col("_max")).otherwise(F.col("_at")[len(names) + i]).alias(f"_hi{i}") for i in range(len(names))],
     )
     marked = present.join(brackets, [*keys])
     below = marked.groupBy(*keys).agg(

@@ -156,7 +156,7 @@ def component_table(grid: Grid, labelled: DataFrame, keys: Sequence[str] = MAP,
 def hotspot_mask(grid: Grid, map_df: DataFrame, q: float = 0.9) -> DataFrame:
     """Adds ``threshold`` (quantile of present values) and ``hot``."""
     thresholds = group_quantiles(map_df, MAP, "v", {"threshold": q}, grid.map_cells)
-    return map_df.join(thresholds, MAP).withColumn("hot", F.coalesce(F.col("v") >= F.col("threshold"), F.lit(False)))
+    return map_df.join(grid.per_map(thresholds), MAP).withColumn("hot", F.coalesce(F.col("v") >= F.col("threshold"), F.lit(False)))
 
 
 def hotspots(grid: Grid, map_df: DataFrame, q: float = 0.9) -> DataFrame:
@@ -168,7 +168,7 @@ def hotspots(grid: Grid, map_df: DataFrame, q: float = 0.9) -> DataFrame:
 def high_domains(grid: Grid, map_df: DataFrame) -> DataFrame:
     """Number of regions at or above mean + std."""
     bounds = map_df.groupBy(*MAP).agg((F.avg("v") + F.stddev_pop("v")).alias("bound"))
-    high = map_df.join(bounds, MAP).where(F.col("v") >= F.col("bound")).select(*MAP, "y", "x")
+    high = map_df.join(grid.per_map(bounds), MAP).where(F.col("v") >= F.col("bound")).select(*MAP, "y", "x")
     return component_stats(components(high, MAP, grid.shape), MAP).select(*MAP, F.col("components").alias("connected_domains"))
 
 
@@ -177,7 +177,7 @@ def spatial_anomaly(grid: Grid, threshold: float = 2.0) -> DataFrame:
     last = slice_at(grid)
     bounds = last.groupBy(*MAP).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     z = F.when(F.col("v").isNotNull(), F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("s")), F.lit(0.0)))
-    return last.join(bounds, MAP).select(*MAP, "y", "x", "v", z.alias("z")).withColumn("odd", F.abs("z") >= threshold)
+    return last.join(grid.per_map(bounds), MAP).select(*MAP, "y", "x", "v", z.alias("z")).withColumn("odd", F.abs("z") >= threshold)
 
 
 def anomaly_components(grid: Grid, n: int = 10) -> DataFrame:
@@ -190,7 +190,7 @@ def hotspot_trajectory(grid: Grid, q: float = 0.9) -> DataFrame:
     """Per slice: threshold, cell count and centroid of the cells at or above the slice's quantile."""
     keys = [*MAP, "t"]
     thresholds = group_quantiles(grid.cells, keys, "v", {"threshold": q}, grid.map_cells)
-    hot = grid.cells.join(thresholds, keys).where(F.col("v") >= F.col("threshold"))
+    hot = grid.cells.join(grid.per_map(thresholds, grid.shape[0]), keys).where(F.col("v") >= F.col("threshold"))
     return hot.groupBy(*keys).agg(
         F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.count(F.lit(1)).alias("cells"), F.max("threshold").alias("threshold")
     )
@@ -210,7 +210,7 @@ def spatial_features(grid: Grid, q: float = 0.9, mask: DataFrame | None = None)
     hot = marked.where("hot").select(*MAP, "y", "x", "v")
     counts = component_stats(components(hot, MAP, grid.shape), MAP).select(*MAP, F.col("components").alias("hotspot_count"))
     sloped = cut_lineage(filled_gradient(mean.select(*MAP, "y", "x", "v"), width=grid.shape[2]))
-    stats = gradient_stats(sloped, grid.map_cells).drop("boundary_change").withColumnRenamed("gradient_p95", "gradient_strength_p95")
+    stats = gradient_stats(sloped, grid.map_cells, small=grid.per_map).drop("boundary_change").withColumnRenamed("gradient_p95", "gradient_strength_p95")
     edged = mask_boundary(marked.select(*MAP, "y", "x", "hot", "threshold"), "hot")
     border = (
         edged.where("boundary").join(sloped.select(*MAP, "y", "x", "v", "g"), [*MAP, "y", "x"])

@@ -7,7 +7,7 @@ Maps are dense: one row per (keys, y, x).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,7 +53,9 @@ def filled_gradient(map_df: DataFrame, keys: Sequence[str] = MAP, width: int | N
     return gradient(filled, keys).drop("v", "filled").withColumnRenamed("v_original", "v")
 
 
-def gradient_stats(sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP) -> DataFrame:
+def gradient_stats(
+    sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP, small: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """Mean and 95th percentile of the gradient on present cells, anisotropy, dominant axis,
     and the mean gradient of high-gradient cells (at or above the 90th percentile, wherever they lie)."""
     present = sloped.withColumn("gp", F.when(F.col("v").isNotNull(), F.col("g")))
@@ -68,7 +70,7 @@ def gradient_stats(sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP)
         {"gp": {"gradient_p90": 0.9, "gradient_p95": 0.95}}, map_cells,
     )
     edge = (
-        sloped.join(stats.select(*keys, "gradient_p90"), [*keys])
+        sloped.join(small(stats.select(*keys, "gradient_p90")), [*keys])
         .where(F.col("g") >= F.col("gradient_p90"))
         .groupBy(*keys).agg(F.avg("g").alias("boundary_change"))
     )
@@ -270,4 +272,4 @@ def edge_threshold(sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP)
 
 
 def map_gradient_stats(grid: Grid, map_df: DataFrame) -> DataFrame:
-    return gradient_stats(cut_lineage(filled_gradient(map_df, width=grid.shape[2])), grid.map_cells)
+    return gradient_stats(cut_lineage(filled_gradient(map_df, width=grid.shape[2])), grid.map_cells, small=grid.per_map)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridframe.functions.columns import finite, strip
-from gridframe.model import CELLS, Grid, skeleton
+from gridframe.model import CELLS, Grid, skeleton, spread
 from gridframe.operators.selection import clean_name, resolve_axes, value_columns
 
 
@@ -44,7 +44,7 @@ def from_points(
     means = wide.unionByName(empty).groupBy(*keys).agg(*[F.avg(v).alias(v) for v in variables])
     pairs = ", ".join(f"'{v}', `{v}`" for v in variables)
     long = means.selectExpr(*keys, f"stack({len(variables)}, {pairs}) as (var, v)")
-    return Grid(long.select("grid_id", "t", "var", "y", "x", "v"), tuple(variables), shape, **fields)
+    return Grid(long.select("grid_id", "t", "var", "y", "x", "v"), tuple(variables), shape, ids=ids, **fields)
 
 
 def rasterize(
@@ -85,14 +85,13 @@ def rasterize(
         axis_t = means.select("grid_id").distinct().select("grid_id", F.lit(0).alias("t"), F.lit(None).cast("timestamp").alias("time"))
     sizes = [a.groupBy("grid_id").agg((F.max(i) + 1).alias(n)) for a, i, n in ((axis_t, "t", "n_t"), (axis_y, "y", "n_y"), (axis_x, "x", "n_x"))]
     dims = sizes[0].join(sizes[1], "grid_id").join(sizes[2], "grid_id")
-    largest = dims.agg(F.max("n_t"), F.max("n_y"), F.max("n_x")).first()
+    largest = dims.agg(F.max("n_t"), F.max("n_y"), F.max("n_x"), F.count(F.lit(1))).first()
     stepped = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    empty = (
-        dims.select("grid_id", "n_y", "n_x", F.explode(stepped("n_t")).alias("t"))
-        .select("grid_id", "n_x", "t", F.explode(stepped("n_y")).alias("y"))
-        .select("grid_id", "t", "y", F.explode(stepped("n_x")).alias("x"))
-        .withColumns({v: F.lit(None).cast("double") for v in values})
+    lines = dims.select("grid_id", "n_y", "n_x", F.explode(stepped("n_t")).alias("t")).select(
+        "grid_id", "n_x", "t", F.explode(stepped("n_y")).alias("y")
     )
+    spaced = spread(lines, largest[0] * largest[1] * largest[2], "grid_id", "t", "y")
+    empty = spaced.select("grid_id", "t", "y", F.explode(stepped("n_x")).alias("x")).withColumns({v: F.lit(None).cast("double") for v in values})
     keys = ["grid_id", "t", "y", "x"]
     wide = indexed.select(*keys, *values).unionByName(empty.select(*keys, *values))
     dense = wide.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values])
@@ -101,7 +100,7 @@ def rasterize(
     label = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss") if timed else F.lit(None).cast("string")
     ts = F.try_to_timestamp(F.col("time").cast("string"))
     return Grid(
-        cells.select("grid_id", "t", "var", "y", "x", "v"), tuple(values), tuple(largest), dims=dims,
+        cells.select("grid_id", "t", "var", "y", "x", "v"), tuple(values), tuple(largest[:3]), dims=dims, n_grids=largest[3],
         axis_t=axis_t.select("grid_id", "t", ts.alias("ts"), label.alias("label")),
         axis_y=axis_y.select("grid_id", "y", F.col("lat").cast("double").alias("lat")),
         axis_x=axis_x.select("grid_id", "x", F.col("lon").cast("double").alias("lon")), **fields,
@@ -172,9 +171,9 @@ def sized(cells: DataFrame, **fields) -> Grid:
     dims = cells.groupBy("grid_id").agg(
         (F.max("t") + 1).alias("n_t"), (F.max("y") + 1).alias("n_y"), (F.max("x") + 1).alias("n_x")
     )
-    largest = dims.agg(F.max("n_t"), F.max("n_y"), F.max("n_x")).first()
+    largest = dims.agg(F.max("n_t"), F.max("n_y"), F.max("n_x"), F.count(F.lit(1))).first()
     names = fields.pop("variables", ("value",))
-    return Grid(cells, tuple(names), tuple(largest), dims=dims, **fields)
+    return Grid(cells, tuple(names), tuple(largest[:3]), dims=dims, n_grids=largest[3], **fields)
 
 
 # --- many files along time ----------------------------------------------------------------------------------
