@@ -68,7 +68,9 @@ def grid_l3(spark: SparkSession, sf_dir: str) -> Grid:
 
 
 def grid_f(spark: SparkSession, sf_dir: str) -> Grid:
-    points = line_points(spark, sf_dir).where(((F.col("y") * 7 + F.col("x") * 13) % 5 != 0) | (F.col("t") < 4))
+    """Grid L where a fifth of the cells falls silent after the fourth quarter."""
+    seen = ((F.col("y") * 7 + F.col("x") * 13) % 5 != 0) | (F.col("t") < 4)
+    points = line_points(spark, sf_dir).withColumn("price", F.when(seen, F.col("price")))
     return from_points(points, ["price"], L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), n_grids=1)
 
 
@@ -131,7 +133,7 @@ SQL_F = _POINTS + """,
 cells AS (
   SELECT 'L' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v
   FROM addr a LEFT JOIN (
-    SELECT t, y, x, avg(price) AS v FROM pts WHERE (y * 7 + x * 13) % 5 <> 0 OR t < 4 GROUP BY t, y, x) p USING (t, y, x))"""
+    SELECT t, y, x, avg(CASE WHEN (y * 7 + x * 13) % 5 <> 0 OR t < 4 THEN price END) AS v FROM pts GROUP BY t, y, x) p USING (t, y, x))"""
 
 SQL_L3 = _POINTS + """,
 agg3 AS (SELECT t, y, x, avg(price) AS price, avg(discount) AS discount, avg(tax) AS tax FROM pts GROUP BY t, y, x),

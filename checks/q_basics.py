@@ -44,8 +44,7 @@ def cells_by_index(spark, sf):
 
 
 @query("matrix_text", f"""
-WITH {SQL_L}, s AS (SELECT * FROM cells WHERE y % 1 = 0)
-SELECT 'L' || t AS grid_id, 0 AS t, 'value' AS var, y, x, {rd('floor(v)', 3, 'v')} FROM s""")
+WITH {SQL_L} SELECT 'L' || t AS grid_id, 0 AS t, 'value' AS var, y, x, {rd('floor(v)', 3, 'v')} FROM cells""")
 def matrix_text(spark, sf):
     """Each slice written as a comma-separated matrix and read back."""
     cells = grid_l(spark, sf).cells
@@ -80,11 +79,11 @@ def file_name_time(spark, sf):
 
 @query("concatenate_time", f"""
 WITH {SQL_L} SELECT grid_id, t, var, y, x, {rd('v')} FROM cells
-UNION ALL SELECT grid_id, t + 28, var, y, x, {rd('v')} FROM cells WHERE t < 4""")
+UNION ALL SELECT grid_id, t + 28, var, y, x, {rd('v * 2', 3, 'v')} FROM cells""")
 def concatenate_time(spark, sf):
     g = grid_l(spark, sf)
-    head = g.with_cells(g.cells.where("t < 4"), shape=(4, 50, 40), axis_t=g.axis_t.where("t < 4"))
-    return rounded(tab.concat_time([g, head]).cells)
+    doubled = g.with_cells(g.cells.withColumn("v", F.col("v") * 2))
+    return rounded(tab.concat_time([g, doubled]).cells)
 
 
 @query("override_coordinates", f"""
@@ -201,12 +200,12 @@ def thin_pairs(spark, sf):
 @query("polygon_mask", f"""
 WITH {SQL_L}, {MEAN}, edge AS (
   SELECT c_custkey AS k, 2.3::DOUBLE + (c_custkey % 5) AS lon1, 3.1::DOUBLE + (c_custkey % 11) * 3.0::DOUBLE AS lat1, 31.7::DOUBLE - (c_custkey % 7) AS lon2, 44.9::DOUBLE - (c_custkey % 13) * 2.0::DOUBLE AS lat2
-  FROM customer WHERE c_nationkey = 3)
+  FROM customer)
 SELECT grid_id, y, x, (SELECT count(*) FROM edge WHERE (lat1 > y) <> (lat2 > y) AND lon1 + (y - lat1) * (lon2 - lon1) / (lat2 - lat1) > x) % 2 = 1 AS inside
 FROM mm""")
 def polygon_mask(spark, sf):
     k = F.col("c_custkey")
-    rings = table(spark, sf, "customer").where("c_nationkey = 3").select(
+    rings = table(spark, sf, "customer").select(
         (2.3 + k % 5).alias("lon1"), (3.1 + (k % 11) * 3.0).alias("lat1"), (31.7 - k % 7).alias("lon2"), (44.9 - (k % 13) * 2.0).alias("lat2")
     )
     return sel.polygon_mask(grid_l(spark, sf), rings, band=8.0)

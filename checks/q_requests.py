@@ -18,7 +18,7 @@ from checks.registry import MEAN, SERIES, corr_sql, query
 from gridframe.functions import rules
 from gridframe.functions.columns import unite
 from gridframe.model import MAP
-from gridframe.operators import aggregates as agg, requests as req, regions as reg, selection as sel, temporal as tem
+from gridframe.operators import aggregates as agg, blocks as blk, requests as req, regions as reg, selection as sel, temporal as tem
 from gridframe.plans import analyze as plans
 from gridframe.sources import arrays, catalog, images, sinks, tabular as tab
 
@@ -212,16 +212,17 @@ def evidence_table(spark, sf):
 
 
 @query("narrative_facts", f"""
-WITH {SQL_L3}, {SERIES}, f AS (SELECT grid_id, var, CASE WHEN count(v) = count(*) THEN regr_slope(v, t) END AS s, arg_max(v, t) - arg_min(v, t) AS d FROM sm GROUP BY grid_id, var),
+WITH RECURSIVE {SQL_L3.replace("cells AS (", "cells3 AS (")}, cells AS (SELECT *, true AS in_region FROM cells3 WHERE var = 'price'), {blocks_sql(27, 'region')},
+sm AS (SELECT grid_id, var, t, avg(v) AS v FROM cells3 GROUP BY grid_id, var, t), f AS (SELECT grid_id, var, CASE WHEN count(v) = count(*) THEN regr_slope(v, t) END AS s, arg_max(v, t) - arg_min(v, t) AS d FROM sm GROUP BY grid_id, var),
 r AS (SELECT a.var, round_even({corr_sql('b.v', 'a.v')}, 4) AS c FROM sm a JOIN sm b ON a.t = b.t AND b.var = 'price' AND a.var <> 'price' GROUP BY a.var)
 SELECT grid_id, var, CASE WHEN s IS NULL OR abs(s) < 1e-5 THEN 'stable' WHEN s > 0 AND d >= 0 THEN 'rising' WHEN s < 0 AND d <= 0 THEN 'falling' ELSE 'fluctuating' END AS direction,
-  (SELECT string_agg(var || '(' || CASE WHEN c < 0 THEN '' ELSE '+' END || printf('%.2f', c) || ')', ', ' ORDER BY abs(c) DESC) FROM r) AS top_correlations FROM f""")
+  (SELECT string_agg(var || '(' || CASE WHEN c < 0 THEN '' ELSE '+' END || printf('%.2f', c) || ')', ', ' ORDER BY abs(c) DESC) FROM r) AS top_correlations,
+  CASE WHEN var = 'price' THEN (SELECT string_agg(block_id || '[' || primary_label || '/' || trend_label || ']', ', ' ORDER BY k) FROM (SELECT *, row_number() OVER (ORDER BY saliency DESC, row, col) AS k FROM lc) WHERE k <= 3) END AS top_blocks FROM f""")
 def narrative_facts(spark, sf):
     g = grid_l3(spark, sf)
     trend = tem.daily_trend(agg.series_mean(g), 28)
     drivers = tem.driver_correlation(agg.daily_matrix(g), "price")
-    empty = trend.limit(0).select(*MAP, F.lit(0.0).alias("saliency"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("").alias("block_id"), F.lit("").alias("primary_label"), F.lit("").alias("trend_label"))
-    return req.narrative_facts(trend, drivers, empty).drop("top_blocks")
+    return req.narrative_facts(trend, drivers, blk.block_table(g.one("price")))
 
 
 @query("exported_rows", "SELECT CAST(vec_id AS VARCHAR) AS id, 64 AS dim, 4 AS shown FROM embeddings")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.grids import SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
-from checks.q_fields import box_sql
+from checks.grids import E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
+from checks.q_fields import _mirror, box_sql
 from checks.registry import MEAN, fill_sql, grad_sql, query
 from gridframe.functions import rules
 from gridframe.model import MAP
@@ -101,37 +101,100 @@ def patch_sizes(spark, sf):
     return emb.with_patches(g, dims.select("grid_id", F.lit(0).alias("y"), F.lit(0).alias("x")), (8, 8)).select("grid_id", "ph", "pw")
 
 
-@query("encoded_patches")
+def _matrix(name: str, rows: int, cols: int) -> str:
+    """A fixed weight matrix as a table (i, j, w)."""
+    lists = ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in r) + "]" for r in emb.fixed_weights(rows, cols, name))
+    return f"(SELECT i, unnest(range({cols})) AS j, unnest(r) AS w FROM (SELECT unnest(range({rows})) AS i, unnest([{lists}]) AS r))"
+
+
+def attention_sql(variables: list[str], ny: int, nx: int, shape: tuple[int, int], dim: int = 32, heads: int = 4) -> str:
+    """Encoded patches of many grids in SQL: needs ``cells``; gives en(grid_id, py, px, j, x), at(grid_id, h, a, b, w) and sa."""
+    width, n = dim // heads, 8 * len(variables)
+    pos = " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(variables))
+    feats = ["mean", "std", "min", "max", "p05", "p95", "missing_ratio", "gradient"]
+    ln = lambda c: f"({c} - avg({c}) OVER t) / greatest(stddev_pop({c}) OVER t, 1e-6)"
+    half = dim // 2
+    project = lambda name: f"SELECT grid_id, py, px, m.j, sum(x * w) AS x FROM tk JOIN {_matrix(name, dim, dim)} m ON m.i = tk.j GROUP BY ALL"
+    energy = "abs(coalesce(mean, 0)) + coalesce(std, 0) + coalesce(dynamic_range, 0) + coalesce(gradient_strength, 0)"
+    visual = " + ".join(f"{w} * {_scale(f'coalesce({c}, 0)')}" for c, w in rules.VISUAL_WEIGHTS.items())
+    return f"""
+fg AS (SELECT grid_id, py, px, var, coalesce(avg(g) FILTER (v IS NOT NULL), 0) AS gradient FROM pg GROUP BY ALL),
+fs AS (SELECT grid_id, py, px, var, coalesce(avg(v), 0) AS mean, coalesce(stddev_pop(v), 0) AS std, coalesce(min(v), 0) AS min, coalesce(max(v), 0) AS max, coalesce(quantile_cont(v, 0.05), 0) AS p05,
+  coalesce(quantile_cont(v, 0.95), 0) AS p95, CASE WHEN count(v) > 0 THEN avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) ELSE 0 END AS missing_ratio FROM pc GROUP BY ALL),
+lf AS (SELECT grid_id, py, px, CASE var {pos} END * 8 + unnest(range(8)) AS i, unnest([{", ".join(feats)}]) AS f FROM fs JOIN fg USING (grid_id, py, px, var)),
+zf AS (SELECT grid_id, py, px, i, (f - avg(f) OVER w) / CASE WHEN stddev_pop(f) OVER w > 1e-12 THEN stddev_pop(f) OVER w ELSE 1 END AS z FROM lf WINDOW w AS (PARTITION BY grid_id, i)),
+ct AS (SELECT grid_id, py, px, (min(y) + max(y)) / 2.0::DOUBLE / {ny - 1} AS cy, (min(x) + max(x)) / 2.0::DOUBLE / {nx - 1} AS cx FROM pm GROUP BY ALL),
+pj AS (SELECT grid_id, py, px, m.j, sum(z * w) / sqrt({n}) AS x FROM zf JOIN {_matrix("feature_projection", n, dim)} m ON m.i = zf.i GROUP BY ALL),
+pp AS (SELECT grid_id, py, px, j, x + CASE WHEN j % 2 = 0 THEN sin(ang) ELSE cos(ang) END AS x FROM (
+  SELECT *, CASE WHEN j < {half} THEN cy ELSE cx END * exp(-((j % {half}) // 2) * 2 * ln(10000.0::DOUBLE) / {half}) * 2 * pi() AS ang FROM pj JOIN ct USING (grid_id, py, px))),
+tk AS (SELECT grid_id, py, px, j, {ln('x')} AS x FROM pp WINDOW t AS (PARTITION BY grid_id, py, px)),
+qq AS ({project('wq')}), kk AS ({project('wk')}), vv AS ({project('wv')}),
+sc AS (SELECT q.grid_id, q.py AS ay, q.px AS ax, k.py AS by_, k.px AS bx, q.j // {width} AS h, sum(q.x * k.x) / sqrt({width}) AS s FROM qq q JOIN kk k ON q.grid_id = k.grid_id AND q.j = k.j GROUP BY ALL),
+ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY grid_id, ay, ax, h)) AS e FROM sc),
+aw AS (SELECT *, e / sum(e) OVER (PARTITION BY grid_id, ay, ax, h) AS w FROM ex),
+mx AS (SELECT a.grid_id, a.ay AS py, a.ax AS px, v.j, sum(a.w * v.x) AS x FROM aw a JOIN vv v ON a.grid_id = v.grid_id AND a.by_ = v.py AND a.bx = v.px AND v.j // {width} = a.h GROUP BY ALL),
+oo AS (SELECT grid_id, py, px, m.j, sum(x * w) / sqrt({dim}) AS o FROM mx JOIN {_matrix('wo', dim, dim)} m ON m.i = mx.j GROUP BY ALL),
+en AS (SELECT grid_id, py, px, j, {ln('(x + o)')} AS x FROM tk JOIN oo USING (grid_id, py, px, j) WINDOW t AS (PARTITION BY grid_id, py, px)),
+am AS (SELECT grid_id, ay, ax, by_, bx, avg(w) AS w FROM aw GROUP BY ALL),
+ic AS (SELECT grid_id, by_ AS py, bx AS px, avg(w) AS incoming FROM am GROUP BY ALL),
+nr AS (SELECT grid_id, py, px, sqrt(sum(x * x)) AS len FROM en GROUP BY ALL),
+t0 AS (SELECT *, {visual} AS vis, {energy} AS eng, incoming * len AS cen FROM su JOIN ic USING (grid_id, py, px) JOIN nr USING (grid_id, py, px) WINDOW w AS (PARTITION BY grid_id)),
+t1 AS (SELECT *, {_scale('vis')} AS visual, {_scale('eng')} AS energy, {_scale('cen')} AS centrality FROM t0 WINDOW w AS (PARTITION BY grid_id)),
+t2 AS (SELECT *, 0.50 * visual + 0.30 * centrality + 0.20 * energy AS fused FROM t1),
+sa AS (SELECT *, {_scale('fused')} AS saliency, row_number() OVER (PARTITION BY grid_id ORDER BY py, px) - 1 AS token_id FROM t2 WINDOW w AS (PARTITION BY grid_id))"""
+
+
+_ENCODED = f"WITH {SQL_E}, {_SUMMARY}, {attention_sql(list(E_VARS), 8, 16, SHAPE)}"
+
+
+@query("encoded_patches", f"""{_ENCODED} SELECT grid_id, py, px, CAST(token_id AS INT) AS token_id, {rd('visual', 5)}, {rd('centrality', 5)}, {rd('energy', 5)}, {rd('saliency', 5)}, 32 AS dim FROM sa""")
 def encoded_patches(spark, sf):
     done = emb.encode(grid_e(spark, sf), SHAPE)
-    return done.select(*emb.PATCH, "token_id", "visual", "centrality", "energy", "saliency", F.size("vector").alias("dim"))
+    return rounded(done.select(*emb.PATCH, "token_id", "visual", "centrality", "energy", "saliency", F.size("vector").alias("dim")), 5)
 
 
-@query("attention_over_many_grids")
+@query("patch_vectors", f"{_ENCODED} SELECT grid_id, py, px, CAST(j AS INT) AS j, {rd('x', 5)} FROM en")
+def patch_vectors(spark, sf):
+    done = emb.encode(grid_e(spark, sf), SHAPE)
+    return rounded(done.select(*emb.PATCH, F.posexplode("vector").alias("j", "x")), 5)
+
+
+_SUMMARY_I = _SUMMARY.replace("y // 3 AS py, x // 5 AS px", "y // 2 AS py, x // 2 AS px").replace("WHERE var = 'click'", "WHERE var = 'intensity'")
+
+
+@query("attention_over_many_grids", f"""
+WITH {SQL_I}, {_SUMMARY_I}, {attention_sql(["intensity"], 8, 8, (2, 2))}
+SELECT grid_id, {rd('min(saliency)', 5, 'min')}, {rd('max(saliency)', 5, 'max')}, {rd('avg(saliency)', 5, 'mean')}, {rd('quantile_cont(saliency, 0.95)', 5, 'p95')}, count(*) AS tokens FROM sa GROUP BY grid_id""")
 def attention_over_many_grids(spark, sf):
     g = grid_i(spark, sf)
-    return emb.saliency_summary(emb.encode(g, (2, 2)))
+    return rounded(emb.saliency_summary(emb.encode(g, (2, 2))), 5)
 
 
-@query("grid_token")
+@query("grid_token", f"""{_ENCODED}, gm AS (SELECT grid_id, j, avg(x) AS x FROM en GROUP BY grid_id, j)
+SELECT grid_id, CAST(j AS INT) AS j, {rd('(x - avg(x) OVER t) / greatest(stddev_pop(x) OVER t, 1e-6)', 5, 'x')} FROM gm WINDOW t AS (PARTITION BY grid_id)""")
 def grid_token(spark, sf):
-    return emb.grid_token(emb.encode(grid_e(spark, sf), SHAPE))
+    done = emb.grid_token(emb.encode(grid_e(spark, sf), SHAPE))
+    return rounded(done.select("grid_id", F.posexplode("grid_token").alias("j", "x")), 5)
 
 
-@query("attention_edges")
+@query("attention_edges", f"""{_ENCODED}, e AS (SELECT am.grid_id, a.token_id AS source, b.token_id AS target, w FROM am JOIN sa a ON a.py = ay AND a.px = ax JOIN sa b ON b.py = by_ AND b.px = bx WHERE a.token_id <> b.token_id)
+SELECT grid_id, CAST(source AS INT) AS source, CAST(target AS INT) AS target, {rd('w', 5, 'attention')}, CAST(row_number() OVER w AS INT) AS rank FROM e WINDOW w AS (PARTITION BY grid_id ORDER BY w DESC) QUALIFY row_number() OVER w <= 20""")
 def attention_edges(spark, sf):
-    return emb.attention_edges(emb.encode(grid_e(spark, sf), SHAPE))
+    return rounded(emb.attention_edges(emb.encode(grid_e(spark, sf), SHAPE)), 5)
 
 
-@query("top_salient_patches")
+@query("top_salient_patches", f"""{_ENCODED} SELECT grid_id, py, px, {rd('saliency', 5)}, CAST(row_number() OVER w AS INT) AS rank FROM sa WINDOW w AS (PARTITION BY grid_id ORDER BY saliency DESC) QUALIFY row_number() OVER w <= 10""")
 def top_salient_patches(spark, sf):
-    return emb.top_patches(emb.encode(grid_e(spark, sf), SHAPE)).select(*emb.PATCH, "saliency", "rank")
+    return rounded(emb.top_patches(emb.encode(grid_e(spark, sf), SHAPE)).select(*emb.PATCH, "saliency", "rank"), 5)
 
 
-@query("saliency_map")
+@query("saliency_map", f"""{_ENCODED}, fm AS (SELECT a.y, a.x, saliency AS v FROM (SELECT DISTINCT y, x FROM cells) a JOIN sa ON a.y // 3 = py AND a.x // 5 = px),
+kw AS (SELECT CAST(range AS INT) AS k, exp(-0.5::DOUBLE * range * range) AS w FROM range(-4, 5)),
+sm AS (SELECT a.y, a.x, sum(b.v * wy.w * wx.w) / sum(wy.w * wx.w) AS s FROM fm a CROSS JOIN kw wy CROSS JOIN kw wx JOIN fm b ON b.y = {_mirror('(a.y + wy.k)', 8)} AND b.x = {_mirror('(a.x + wx.k)', 16)} GROUP BY a.y, a.x)
+SELECT 'E' AS grid_id, y, x, {rd('(s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ())', 5, 'v')} FROM sm""")
 def saliency_map(spark, sf):
     g = grid_e(spark, sf)
-    return emb.saliency_map(g, emb.encode(g, SHAPE), SHAPE)
+    return rounded(emb.saliency_map(g, emb.encode(g, SHAPE), SHAPE), 5)
 
 
 @query("text_hash_embedding", f"""
@@ -146,11 +209,18 @@ def text_hash_embedding(spark, sf):
     return rounded(emb.hash_embed(texts, "text", 16).select("id", F.posexplode("vector").alias("i", "w")), 6)
 
 
-@query("text_patch_alignment")
+@query("text_patch_alignment", f"""{_ENCODED},
+ts AS (SELECT conv_id * 1000 + turn AS id, trim(lower(text), ' \t\n\r') AS s FROM conversations),
+tg AS (SELECT id, unnest([substr(s, CAST(i AS INT), 2) for i in range(1, greatest(2, length(s)))]) AS gram FROM ts WHERE length(s) > 0),
+tv AS (SELECT id, CAST(('0x' || substr(d, 1, 8))::BIGINT % 32 AS INT) AS j, sum(CASE WHEN ('0x' || substr(d, 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END) AS w FROM (SELECT id, sha256(gram) AS d FROM tg) GROUP BY 1, 2),
+tn AS (SELECT id, sqrt(sum(w * w)) AS n FROM tv GROUP BY id),
+sim AS (SELECT tv.id, en.grid_id, en.py, en.px, sum(w * x) AS d FROM tv JOIN en USING (j) GROUP BY ALL),
+r AS (SELECT sim.id, grid_id, token_id, d / n / len AS score FROM sim JOIN tn USING (id) JOIN sa USING (grid_id, py, px))
+SELECT id, grid_id, CAST(token_id AS INT) AS token_id, {rd('score', 5)}, CAST(row_number() OVER w AS INT) AS rank FROM r WINDOW w AS (PARTITION BY id ORDER BY score DESC, token_id) QUALIFY row_number() OVER w <= 10""")
 def text_patch_alignment(spark, sf):
     texts = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     vectors = emb.hash_embed(texts, "text", 32).withColumn("grid_id", F.lit("E"))
-    return emb.align(vectors, emb.encode(grid_e(spark, sf), SHAPE))
+    return rounded(emb.align(vectors, emb.encode(grid_e(spark, sf), SHAPE)), 5)
 
 
 # --- images ------------------------------------------------------------------------------------------------------
