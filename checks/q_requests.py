@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from checks.grids import BOXES, E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
 from checks.q_blocks import REGION_CELLS, blocks_sql
 from checks.q_fields import SPATIAL_SQL, TEMPORAL_SQL, similar_sql
-from checks.registry import MEAN, SERIES, corr_sql, query
+from checks.q_vision import flat_image, image_sql
+from checks.registry import MEAN, SERIES, corr_sql, fill_sql, query
 from gridframe.functions import rules
 from gridframe.functions.columns import unite
 from gridframe.model import MAP
@@ -321,20 +322,32 @@ def task_pairs(spark, sf):
     return rounded(plans.analyze(grid_l3(spark, sf), "price", "core", task="attribution", boxes=BOXES)["pairs"])
 
 
-@query("feature_bundle_labels")
+_FILLED_E = f"""{SQL_E.replace("cells AS (", "cells0 AS (")}, {fill_sql('cells0', 'filled', ('grid_id', 't', 'var'))}"""
+_VALID_E = f"""{_FILLED_E}, ok AS (SELECT y, x, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) < 0.8 AS valid FROM cells0 GROUP BY y, x),
+cells AS (SELECT grid_id, t, var, f.y, f.x, CASE WHEN valid THEN f END AS v FROM filled f JOIN ok ON ok.y = f.y AND ok.x = f.x)"""
+
+
+@query("feature_bundle_labels", f"""
+WITH RECURSIVE {_VALID_E}, {MEAN}, {SERIES}, {SPATIAL_SQL}, {TEMPORAL_SQL}
+SELECT grid_id, var, hotspot_count || ' ' || {_SPREAD} AS spatial_pattern, trend || ', ' || CASE WHEN volatility > 1 THEN 'volatile' ELSE 'low volatility' END AS temporal_pattern FROM sp JOIN tr USING (grid_id, var)""")
 def feature_bundle_labels(spark, sf):
     done = plans.extract_features(grid_e(spark, sf), block=(3, 5))
     return done["labels"].select(*MAP, "spatial_pattern", "temporal_pattern")
 
 
-@query("feature_bundle_image")
+@query("feature_bundle_image", f"WITH {SQL_I}, {MEAN}, {image_sql(False)}")
 def feature_bundle_image(spark, sf):
-    return plans.extract_features(grid_i(spark, sf), block=(8, 8), patches=False)["image"]
+    return flat_image(plans.extract_features(grid_i(spark, sf), block=(8, 8), patches=False)["image"])
 
 
-@query("grid_description")
+@query("grid_description", f"""
+WITH {_FILLED_E}, c AS (SELECT grid_id, var, y, x, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS r FROM cells0 GROUP BY grid_id, var, y, x),
+st AS (SELECT grid_id, var, CASE WHEN avg(CASE WHEN r >= 0.8 THEN 1.0 ELSE 0.0 END) > 0.05 THEN 'fixed_nearest' WHEN avg(r) > 0 THEN 'linear' ELSE 'none' END AS strategy FROM c GROUP BY grid_id, var)
+SELECT grid_id, var, strategy, 30 AS n_t, 8 AS n_y, 16 AS n_x, CAST(NULL AS VARCHAR) AS unit, list_position({list(E_VARS)}, var) - 1 AS pos, count(*) FILTER (v IS NULL) AS missing_count,
+  {rd('avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END)', 3, 'missing_ratio')}, count(*) FILTER (v IS NULL AND f IS NOT NULL) AS filled_count, {rd('min(f)', 3, 'min')}, {rd('max(f)', 3, 'max')}, {rd('avg(f)', 3, 'mean')}, {rd('stddev_pop(f)', 3, 'std')}
+FROM filled JOIN st USING (grid_id, var) GROUP BY grid_id, var, strategy""")
 def grid_description(spark, sf):
-    return plans.describe(grid_e(spark, sf))["profiles"]
+    return rounded(plans.describe(grid_e(spark, sf))["profiles"])
 
 
 assert SQL_I and SQL_L and tab

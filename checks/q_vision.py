@@ -355,9 +355,39 @@ def scale_spread(spark, sf):
     return rounded(img.scale_map(g, agg.mean_map(g), "spread"), 5)
 
 
-@query("image_features")
+def image_sql(color: bool) -> str:
+    """Image features of 8 by 8 grids from mm(grid_id, var, y, x, v), and from hs where there are colours."""
+    level = "least(greatest(floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 15), 0), 15)"
+    near = lambda c: _mirror(f"(a.{c} + d{c}.range)", 8)
+    parts = f"""{grad_sql('mm', 'gr', 'grid_id')},
+eq AS (SELECT grid_id, quantile_cont(g, 0.9) AS p90, quantile_cont(g, 0.95) AS p95, avg(g) AS m FROM gr GROUP BY grid_id),
+ed AS (SELECT grid_id, avg(CASE WHEN g >= p90 THEN 1.0 ELSE 0.0 END) AS density FROM gr JOIN eq USING (grid_id) GROUP BY grid_id),
+{box_sql('mm', 'bx', 5, 8, 8, keys='grid_id')}, ls AS (SELECT grid_id, avg(s) AS m, quantile_cont(s, 0.95) AS p FROM (SELECT grid_id, sqrt(greatest(q - m * m, 0)) AS s FROM bx) GROUP BY grid_id),
+lv AS (SELECT *, {level} AS level FROM mm WINDOW w AS (PARTITION BY grid_id)),
+pr AS (SELECT a.grid_id, a.y, a.x, b.level, count(*) / 49.0::DOUBLE AS p FROM lv a CROSS JOIN range(-3, 4) dy CROSS JOIN range(-3, 4) dx JOIN lv b ON a.grid_id = b.grid_id AND b.y = {near('y')} AND b.x = {near('x')} GROUP BY a.grid_id, a.y, a.x, b.level),
+ep AS (SELECT grid_id, avg(e) AS m, quantile_cont(e, 0.95) AS p FROM (SELECT grid_id, y, x, sum(-p * log2(p)) / 4 AS e FROM pr GROUP BY ALL) GROUP BY grid_id),
+im AS (SELECT grid_id, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS mn, max(v) AS mx, {_HIST} AS counts FROM mm GROUP BY grid_id)"""
+    out = f"""grid_id, 8 AS width, 8 AS height, 1.0::DOUBLE AS aspect_ratio, {3 if color else 1} AS channel_count, {rd('im.mean', 4, 'mean')}, {rd('im.std', 4, 'std')}, {rd('mn', 4, 'min')}, {rd('mx', 4, 'max')}, {rd('mx - mn', 4, 'dynamic_range')},
+  {rd('eq.m', 4, 'mean_edge_strength')}, {rd('p90', 4, 'edge_threshold_p90')}, {rd('p95', 4, 'p95_edge_strength')}, {rd('density', 4, 'edge_density')}, {rd('ls.m', 4, 'local_std_mean')}, {rd('ls.p', 4, 'local_std_p95')},
+  {rd('ep.m', 4, 'local_entropy_mean')}, {rd('ep.p', 4, 'local_entropy_p95')}, CASE WHEN ls.m < 5 THEN 'smooth image regions' WHEN ls.m < 20 THEN 'moderate local texture' ELSE 'high local texture or sharp detail' END AS texture_label, counts"""
+    tail = " FROM im JOIN eq USING (grid_id) JOIN ed USING (grid_id) JOIN ls USING (grid_id) JOIN ep USING (grid_id)"
+    if not color:
+        return f"{parts} SELECT {out}{tail}"
+    hv = f"""hv AS (SELECT grid_id, avg(sin(hue * 2 * pi())) AS s, avg(cos(hue * 2 * pi())) AS c, avg(saturation) AS ms, quantile_cont(saturation, 0.95) AS ps, avg(value) AS mv, [{", ".join(_HUES)}] AS h,
+  sqrt(var_pop(r - g) + var_pop(0.5 * (r + g) - b)) + 0.3 * sqrt(avg(r - g) * avg(r - g) + avg(0.5 * (r + g) - b) * avg(0.5 * (r + g) - b)) AS cf FROM hs GROUP BY grid_id)"""
+    tint = f"""{rd('((atan2(s, c) + 2 * pi()) % (2 * pi())) / (2 * pi())', 4, 'mean_hue')}, {rd('ms', 4, 'mean_saturation')}, {rd('ps', 4, 'p95_saturation')}, {rd('mv', 4, 'mean_value')}, {rd('cf', 4, 'colorfulness')},
+  array_to_string(h, ',') AS hue_counts, {list(rules.HUE_NAMES)}[list_position(h, list_max(h))] AS dominant_color"""
+    return f"{parts}, {hv} SELECT {out}, {tint}{tail} JOIN hv USING (grid_id)"
+
+
+def flat_image(df):
+    text = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("counts", "hue_counts") if c in df.columns}
+    return rounded(df.withColumns(text), 4)
+
+
+@query("image_features", f"WITH {SQL_RGB}, {_WIDE}, {_LUMA.replace('FROM w', 'FROM w WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL')}, {_HSV}, {image_sql(True)}")
 def image_features(spark, sf):
-    return img.image_features(grid_rgb(spark, sf))
+    return flat_image(img.image_features(grid_rgb(spark, sf)))
 
 
 assert SQL_L and grid_l and mis and MAP
