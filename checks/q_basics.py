@@ -448,13 +448,16 @@ def first_last_change(spark, sf):
     return rounded(agg.first_last(grid_e(spark, sf)))
 
 
-@query("block_feature_rows", f"""
-WITH {SQL_E}, b AS (SELECT *, y // 3 AS block_y, x // 5 AS block_x FROM cells),
+BLOCK_ROWS = f"""WITH {SQL_E}, b AS (SELECT *, y // 3 AS block_y, x // 5 AS block_x FROM cells),
 st AS (SELECT grid_id, block_y, block_x, var, coalesce(avg(v), 0) AS mean, coalesce(stddev_pop(v), 0) AS std, coalesce(min(v), 0) AS min, coalesce(max(v), 0) AS max,
   avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS missing_ratio FROM b GROUP BY ALL),
 bm AS (SELECT grid_id, block_y, block_x, var, y, x, avg(v) AS v FROM b GROUP BY ALL),
 {fill_sql('bm', 'fm', ('grid_id', 'block_y', 'block_x', 'var'), '0')}, {grad_sql('fm', 'gr', 'grid_id, var, block_y, block_x', 'f')},
-gs AS (SELECT grid_id, block_y, block_x, var, coalesce(avg(g), 0) AS gradient, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM gr GROUP BY ALL)
+gs AS (SELECT grid_id, block_y, block_x, var, coalesce(avg(g), 0) AS gradient, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM gr GROUP BY ALL)"""
+
+
+@query("block_feature_rows", f"""
+{BLOCK_ROWS}
 SELECT grid_id, block_y, block_x, var, y0, y1, x0, x1, {rd('mean')}, {rd('std')}, {rd('min')}, {rd('max')}, {rd('missing_ratio', 6)}, {rd('gradient')},
   {rd('(y0 + y1 - 1) / 2.0 / 7', 6, 'cy')}, {rd('(x0 + x1 - 1) / 2.0 / 15', 6, 'cx')}, {rd('(y1 - y0) / 8.0', 6, 'height')}, {rd('(x1 - x0) / 16.0', 6, 'width')}
 FROM st JOIN gs USING (grid_id, block_y, block_x, var)""")
@@ -462,8 +465,11 @@ def block_feature_rows(spark, sf):
     return rounded(agg.block_features(grid_e(spark, sf), (3, 5)), missing_ratio=6, cy=6, cx=6, height=6, width=6)
 
 
+TIME_ROWS = f"""WITH {SQL_E}, {fill_sql('cells', 'fc', ('grid_id', 't', 'var'), '0')}, {grad_sql('fc', 'gr', 'grid_id, var, t', 'f')}"""
+
+
 @query("time_feature_rows", f"""
-WITH {SQL_E}, {fill_sql('cells', 'fc', ('grid_id', 't', 'var'), '0')}, {grad_sql('fc', 'gr', 'grid_id, var, t', 'f')}
+{TIME_ROWS}
 SELECT grid_id, t, var, {rd('coalesce(avg(v), 0)', 3, 'mean')}, {rd('coalesce(stddev_pop(v), 0)', 3, 'std')}, {rd('coalesce(min(v), 0)', 3, 'min')},
   {rd('coalesce(max(v), 0)', 3, 'max')}, {rd('avg(g)', 3, 'gradient')} FROM gr GROUP BY grid_id, t, var""")
 def time_feature_rows(spark, sf):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.grids import E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
+from checks.q_basics import BLOCK_ROWS, TIME_ROWS
 from checks.q_fields import _mirror, box_sql
 from checks.registry import MEAN, fill_sql, grad_sql, query
 from gridframe.functions import rules
+from gridframe.functions.columns import norm
 from gridframe.model import MAP
 from gridframe.operators import aggregates as agg, embed as emb, image as img, missing as mis
 
@@ -44,6 +46,32 @@ def relation_embedding(spark, sf):
     return emb.relation_embedding(grid_l3(spark, sf), 8)
 
 
+def _norms(keys: str) -> str:
+    """Lengths of standardised vectors from lf(keys, i, f); an embedding of full dimension keeps them."""
+    return f"""zf AS (SELECT {keys}, (coalesce(f, m) - m) AS d, i FROM lf JOIN (SELECT i, coalesce(avg(f), 0) AS m FROM lf GROUP BY i) USING (i)),
+zs AS (SELECT i, sqrt(avg(d * d)) AS s FROM zf GROUP BY i) SELECT {keys}, {rd('sqrt(sum((d / CASE WHEN s > 0 THEN s ELSE 1 END) ** 2))', 5, 'length')} FROM zf JOIN zs USING (i) GROUP BY {keys}"""
+
+
+_POS = "CASE var WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
+
+
+@query("block_embedding_lengths", f"""
+{BLOCK_ROWS}, r AS (SELECT * FROM st JOIN gs USING (grid_id, block_y, block_x, var)),
+lf AS (SELECT grid_id, block_y, block_x, {_POS} * 6 + unnest(range(6)) AS i, unnest([mean, std, min, max, missing_ratio, gradient]) AS f FROM r
+  UNION ALL SELECT grid_id, block_y, block_x, 30 + unnest(range(4)), unnest([(y0 + y1 - 1) / 14.0::DOUBLE, (x0 + x1 - 1) / 30.0::DOUBLE, (y1 - y0) / 8.0::DOUBLE, (x1 - x0) / 16.0::DOUBLE]) FROM r WHERE var = 'click'), {_norms('grid_id, block_y, block_x')}""")
+def block_embedding_lengths(spark, sf):
+    done = emb.block_embedding(grid_e(spark, sf), SHAPE, 34)
+    return rounded(done.select("grid_id", "block_y", "block_x", norm(F.col("embedding")).alias("length")), 5)
+
+
+@query("time_slice_embedding_lengths", f"""
+{TIME_ROWS}, r AS (SELECT grid_id, t, var, coalesce(avg(v), 0) AS mean, coalesce(stddev_pop(v), 0) AS std, coalesce(min(v), 0) AS min, coalesce(max(v), 0) AS max, avg(g) AS gradient FROM gr GROUP BY grid_id, t, var),
+lf AS (SELECT grid_id, t, {_POS} * 5 + unnest(range(5)) AS i, unnest([mean, std, min, max, gradient]) AS f FROM r), {_norms('grid_id, t')}""")
+def time_slice_embedding_lengths(spark, sf):
+    done = emb.time_slice_embedding(grid_e(spark, sf), 25)
+    return rounded(done.select("grid_id", "t", norm(F.col("embedding")).alias("length")), 5)
+
+
 _PATCHES = "pc AS (SELECT grid_id, y // 3 AS py, x // 5 AS px, t, var, y, x, v FROM cells), pm AS (SELECT grid_id, py, px, var, y, x, avg(v) AS v FROM pc GROUP BY ALL)"
 _PKEYS = ("grid_id", "py", "px", "var")
 _PGRAD = f"{fill_sql('pm', 'pf', _PKEYS, '0')}, {grad_sql('pf', 'pg', 'grid_id, py, px, var', 'f')}"
