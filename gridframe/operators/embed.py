@@ -399,9 +399,14 @@ def hash_embed(df: DataFrame, text: str, dim: int, key: str = "id") -> DataFrame
 
 
 def align(texts: DataFrame, encoded: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
-    """Patches of a grid closest in cosine to each text about that grid; ``texts`` has key, grid_id, vector."""
-    asked = texts.select(key, "grid_id", F.col("vector").alias("q"))
-    scored = asked.join(encoded.select("grid_id", "token_id", "vector"), "grid_id").select(
-        key, "grid_id", "token_id", cosine(F.col("q"), F.col("vector")).alias("score")
+    """Patches of a grid closest in cosine to each text about that grid; ``texts`` has key, grid_id, vector.
+
+    The patches of a grid travel as one array of bounded length to its texts, so no text-patch pair becomes a row.
+    """
+    packed = encoded.groupBy("grid_id").agg(F.collect_list(F.struct("token_id", "vector")).alias("_tokens"))
+    asked = texts.select(key, "grid_id", F.col("vector").alias("_q")).join(packed, "grid_id")
+    scored = F.transform("_tokens", lambda t: F.struct((-cosine(F.col("_q"), t["vector"])).alias("neg"), t["token_id"].alias("token_id")))
+    best = F.slice(F.array_sort(scored), 1, n)
+    return asked.select(key, "grid_id", F.posexplode(best).alias("k", "b")).select(
+        key, "grid_id", F.col("b.token_id").alias("token_id"), (-F.col("b.neg")).alias("score"), (F.col("k") + 1).alias("rank")
     )
-    return top_rows(scored, [key], [F.col("score").desc(), F.col("token_id")], n)

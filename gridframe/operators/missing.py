@@ -22,6 +22,12 @@ def missing_masks(grid: Grid, threshold: float = FIXED_SHARE) -> DataFrame:
     return per_cell.withColumns({"fixed_missing": fixed, "valid_region": ~fixed})
 
 
+def _last_seen(value: Column, keys: list[str], order: Column) -> Column:
+    """Latest present value up to each row. Looking ahead is the same in reverse order: a growing frame costs one step
+    per row, a shrinking one would start over for every row."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def fill_nearest(
     df: DataFrame, keys: tuple[str, ...] = ("grid_id", "t", "var"), all_missing: float | None = None, width: int | None = None
 ) -> DataFrame:
@@ -35,10 +41,8 @@ def fill_nearest(
     ``all_missing``. Keeps ``v_original`` and sets ``filled``.
     """
     keys = list(keys)
-    col = Window.partitionBy(*keys, "x").orderBy("y")
-    up, down = col.rowsBetween(Window.unboundedPreceding, 0), col.rowsBetween(0, Window.unboundedFollowing)
     here = F.when(F.col("v").isNotNull(), F.struct("y", "v"))
-    near = df.withColumns({"_a": F.last(here, ignorenulls=True).over(up), "_b": F.first(here, ignorenulls=True).over(down)})
+    near = df.withColumn("_a", _last_seen(here, [*keys, "x"], F.col("y"))).withColumn("_b", _last_seen(here, [*keys, "x"], F.col("y").desc()))
     above, below = F.col("y") - F.col("_a.y"), F.col("_b.y") - F.col("y")
     take_above = F.col("_b").isNull() | (above <= below)
     source = F.when(take_above, F.col("_a")).otherwise(F.col("_b"))
@@ -136,12 +140,9 @@ def fill_linear(
     keys = list(keys)
 
     def along(frame: DataFrame, axis: str, across: str) -> DataFrame:
-        line = Window.partitionBy(*keys, across).orderBy(axis)
         here = F.when(F.col("v").isNotNull(), F.struct(F.col(axis).alias("p"), F.col("v").alias("v")))
-        frame = frame.withColumns({
-            "_l": F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)),
-            "_r": F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)),
-        })
+        frame = frame.withColumn("_l", _last_seen(here, [*keys, across], F.col(axis)))
+        frame = frame.withColumn("_r", _last_seen(here, [*keys, across], F.col(axis).desc()))
         part = F.try_divide((F.col(axis) - F.col("_l.p")).cast("double"), (F.col("_r.p") - F.col("_l.p")).cast("double"))
         between = F.col("_l.v") + part * (F.col("_r.v") - F.col("_l.v"))
         return frame.withColumn("v", F.coalesce(F.col("v"), between)).drop("_l", "_r")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridframe.functions.columns import finite, strip
 from gridframe.model import CELLS, Grid, skeleton, spread
 from gridframe.operators.selection import clean_name, resolve_axes, value_columns
+from gridframe.session import cut_lineage
 
 
 def read_cells(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
@@ -55,7 +56,8 @@ def rasterize(
 ) -> Grid:
     """Points with lat, lon and optional time columns (found by alias) become a dense grid.
 
-    Axes are the sorted distinct coordinates. The averaged points, already far fewer than the raw ones, feed the axes.
+    Axes are the sorted distinct coordinates. The raw points are read once; the averaged points, far fewer, are kept and
+    feed the axes.
     """
     named = resolve_axes(df)
     if "grid_id" not in named.columns:
@@ -69,6 +71,7 @@ def rasterize(
     means = named.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("grid_id", "time", "lat", "lon").agg(
         *[F.avg(finite(v)).alias(v) for v in values]
     )
+    means = cut_lineage(means)
 
     def axis(coordinate: str, index: str) -> DataFrame:
         places = means.select("grid_id", coordinate).distinct()
