@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.grids import E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
 from checks.q_basics import BLOCK_ROWS, TIME_ROWS
 from checks.q_fields import _mirror, box_sql
-from checks.registry import MEAN, fill_sql, grad_sql, query
+from checks.registry import MEAN, corr_sql, fill_sql, grad_sql, query
 from gridframe.functions import rules
 from gridframe.functions.columns import norm
 from gridframe.model import MAP
@@ -72,6 +72,19 @@ def time_slice_embedding_lengths(spark, sf):
     return rounded(done.select("grid_id", "t", norm(F.col("embedding")).alias("length")), 5)
 
 
+_PAIR_FEATURES = " UNION ALL ".join(
+    f"""SELECT '{a}' AS "left", '{b}' AS "right", [{corr_sql(a, b)}, avg({a}) FILTER ({b} IS NOT NULL) / avg({b}) FILTER ({a} IS NOT NULL), avg(abs({a} - {b})), stddev_pop({a} - {b}), count({a} - {b})::DOUBLE] AS f FROM wide"""
+    for a, b in (("price", "discount"), ("price", "tax"), ("discount", "tax"))
+)
+
+
+@query("relation_embedding_lengths", f"""
+WITH {SQL_L3}, pf AS ({_PAIR_FEATURES}), lf AS (SELECT "left", "right", unnest(range(5)) AS i, unnest(f) AS f FROM pf), {_norms('"left", "right"')}""")
+def relation_embedding_lengths(spark, sf):
+    done = emb.relation_embedding(grid_l3(spark, sf), 8)
+    return rounded(done.select("left", "right", norm(F.col("embedding")).alias("length")), 5)
+
+
 _PATCHES = "pc AS (SELECT grid_id, y // 3 AS py, x // 5 AS px, t, var, y, x, v FROM cells), pm AS (SELECT grid_id, py, px, var, y, x, avg(v) AS v FROM pc GROUP BY ALL)"
 _PKEYS = ("grid_id", "py", "px", "var")
 _PGRAD = f"{fill_sql('pm', 'pf', _PKEYS, '0')}, {grad_sql('pf', 'pg', 'grid_id, py, px, var', 'f')}"
