@@ -1,5 +1,11 @@
 """Queries over the given tables, one or more per operator, with SQL that gives the same rows."""
 
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def all_queries():
     from checks import registry

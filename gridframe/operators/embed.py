@@ -8,7 +8,6 @@ bound, are embedded through a Gram matrix summed over partitions: only feature-b
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
@@ -209,7 +208,6 @@ def colorfulness(red: Column, green: Column, blue: Column) -> Column:
 
 # --- attention ---------------------------------------------------------------------------------------------------
 
-@functools.lru_cache(maxsize=64)
 def fixed_weights(rows: int, cols: int, name: str) -> np.ndarray:
     """Standard normal matrix seeded by a name, the same on every machine."""
     seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big") % 2**32
