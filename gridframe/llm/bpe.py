@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import pieces
+from gridframe.llm.common import pieces, send
 
 #: How the byte-level pre-tokenizer splits text. A fixed value of the public format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -167,15 +167,14 @@ def encode_decode(documents: DataFrame, tokenizer: str, text: str = "text") -> D
     ties, repeated rows and ids play no part. A null text counts as empty: no ids, empty ``decoded``. Columns of the input
     that have one of the three names are replaced. An empty table gives an empty one.
     """
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(Automaton.read(tokenizer))
+    sent = send(documents, Automaton.read(tokenizer))
     kept = [c for c in documents.columns if c not in ("ids", "n_tokens", "decoded")]
     out = documents.select(*kept)
     at = kept.index(text)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(sent.value)
+        coder = Coder(sent())
         for batch in pieces(batches, at):
             coded = [coder.encode(t or "") for t in batch.column(at).to_pylist()]
             offsets = pa.array([0, *_sums(map(len, coded))], pa.int32())

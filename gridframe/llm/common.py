@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +67,9 @@ def small(df: DataFrame) -> tuple[DataFrame, bool]:
     df = cut_lineage(df)
     fits = df.count() <= BROADCAST_ROWS
     return (F.broadcast(df) if fits else df), fits
+
+
+def send(df: DataFrame, thing: Any) -> Callable[[], Any]:
+    """Broadcasts an object with the code of its class; the result, called in a task, gives it back."""
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)

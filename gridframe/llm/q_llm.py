@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.llm import licenses
+from gridframe.llm.common import share
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_licenses", licenses.oracle())
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), share("doc_id", 3) != 1)
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (share("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm import langid
+
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents, share("doc_id", 5) != 0)
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (share("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
