@@ -17,7 +17,7 @@ from gridframe.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if its most probable language has at least this calibrated probability.
-SURE = 0.5
+SURE = 0.35
 
 #: Learned languages and tokens have no form in SQL.
 ORACLE_SQL = None
