@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import pieces
@@ -25,6 +25,8 @@ EDGE = 2 + sum(ROUNDS)
 #: Words of the longest symbol.
 LONGEST = 2 * max(ROUNDS)
 ODD = 0x9E3779B97F4A7C15
+#: Bytes of text that a task works on at a time.
+SLICE = 6 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,16 +120,39 @@ class Cut:
         high = np.searchsorted(self.end, starts + self.window - EDGE, "right")
         return starts[(high > low) & (unshared[high] == unshared[np.minimum(low, high)])]
 
-    def sequences(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the window's words: 64 and 32 bits."""
-        out = []
-        n = len(self.words)
-        for base, words in ((ODD, self.words), (0xC2B2AE3D27D4EB4F, mix(self.words + np.uint64(ODD)))):
-            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
-            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers[:n], dtype=np.uint64)])
-            out.append(mix((sums[starts + self.window] - sums[starts]) * back[starts]))
-        return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def sequences(self, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+        """A hash of the words from each start to its end; two kinds are independent."""
+        base = (ODD, 0xC2B2AE3D27D4EB4F)[kind]
+        words, n = mix(self.words + np.uint64(kind)), len(self.words)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers[:n], dtype=np.uint64)])
+        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Outstanding symbols in order: index, first word, and the last window start up to the next one in the document.
+
+        The words from the first to the end of that last window are the symbol's stretch; it is empty if the last start lies
+        before the first word.
+        """
+        at = np.unique(self.best)
+        place = self.start[at]
+        doc = self.doc[place]
+        last = self.first[doc + 1] - self.window
+        following = np.append(place[1:], np.iinfo(np.int64).max)
+        following[:-1][doc[1:] != doc[:-1]] = np.iinfo(np.int64).max
+        return at, place, np.minimum(following, last)
+
+
+def _ranges(places: np.ndarray, cut: Cut) -> tuple[np.ndarray, pa.ListArray]:
+    """Documents of sorted places, and for each a list: first place in the document, how many follow each other, and so on."""
+    docs = cut.doc[places]
+    new = np.ones(len(places), bool)
+    new[1:] = (np.diff(places) != 1) | (docs[1:] != docs[:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(places)))
+    flat = np.stack([places[at] - cut.first[docs[at]], size], axis=1).reshape(-1)
+    return _lists(np.repeat(docs[at], 2), flat)
 
 
 def _lists(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -137,48 +162,65 @@ def _lists(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListAr
     return owner[first[:-1]] if len(owner) else owner, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int32()))
 
 
-def _symbols(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(settled, k1, k2, d, r, starts) for outstanding symbols.
+#: Rows that go on by key have a place; settled rows have a list and stay with their document.
+KEYED = "settled boolean, k1 long, k2 long, d long, r int, place int, list array<int>"
 
-    A symbol that several documents of these have is known to be shared: its places come as one settled row per document, and
-    one row goes on by name, for the documents elsewhere. So a name has one row per slice at most, however frequent it is.
-    """
-    for batch in pieces(batches, 2):
-        r, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cut = Cut(batch.column(2).to_pylist(), window)
-        at = np.unique(cut.best)
-        names, places = cut.name[at], cut.start[at]
-        docs = cut.doc[places]
-        order = np.argsort(names, kind="stable")
-        names, places, docs = names[order], places[order], docs[order]
-        edge = np.flatnonzero(np.diff(names.view(np.int64))) + 1
-        first = np.concatenate([[0], edge]) if len(names) else np.zeros(0, np.int64)
-        last = np.append(edge, len(names)) - 1 if len(names) else first
-        several = docs[first] != docs[last]
-        known = np.repeat(several, last - first + 1)
-        yield _rows(cut, r, d, False, names[first][several].view(np.int64), np.zeros(several.sum(), np.int32), docs[first][several], pa.ListArray.from_arrays(pa.array(np.zeros(several.sum() + 1), pa.int32()), pa.array([], pa.int32())))
-        alone = np.flatnonzero(~known)
-        owner, lists = _lists(np.repeat(np.arange(len(first)), last - first + 1)[alone], (places - cut.first[docs])[alone])
-        yield _rows(cut, r, d, False, names[first][owner].view(np.int64), np.zeros(len(owner), np.int32), docs[first][owner], lists)
-        yield _settled(cut, r, d, places[known])
 
+def _going(k1: np.ndarray, k2: np.ndarray, d: np.ndarray, r: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    n = len(k1)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(k1), pa.array(k2), pa.array(d), pa.array(r), pa.array(place.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], NAMES)
 
-def _settled(cut: Cut, r: np.ndarray, d: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    places = np.unique(places)
-    docs, lists = _lists(cut.doc[places], places - cut.first[cut.doc[places]])
-    return _rows(cut, r, d, True, r[docs], np.zeros(len(docs), np.int32), docs, lists)
 
+def _settled(d: np.ndarray, r: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
+    n = len(d)
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(d), pa.array(r.astype(np.int64)), pa.array(d), pa.array(r), pa.nulls(n, pa.int32()), lists], NAMES)
 
-def _rows(cut: Cut, r: np.ndarray, d: np.ndarray, settled: bool, k1: np.ndarray, k2: np.ndarray, docs: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), settled)), pa.array(k1), pa.array(k2), pa.array(d[docs]), pa.array(r[docs]), lists], ["settled", "k1", "k2", "d", "r", "starts"])
 
+NAMES = [part.split()[0] for part in KEYED.split(", ")]
 
-KEYED = "settled boolean, k1 long, k2 int, d long, r long, starts array<int>"
+
+def _least(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The first value of each group, at every member. groups: where one begins."""
+    return values[np.maximum.accumulate(np.where(groups, np.arange(len(values)), 0))]
+
+
+def _symbols(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Outstanding symbols: k1 is the name, k2 the hash of the stretch (0 without one), place is 4 * word + 2 if the name is known to be shared.
+
+    Of equal stretches in a slice the one of the smallest document goes on by name, for the documents elsewhere; the others are settled.
+    So a stretch has about one row per slice, however frequent it is. Entries of settled lists are like places, with 1 added if the
+    windows of the stretch are covered.
+    """
+    for batch in pieces(batches, 2, SLICE):
+        r, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = Cut(batch.column(2).to_pylist(), window)
+        at, place, last = cut.stretches()
+        if not len(at):
+            continue
+        has = last >= place
+        name = (cut.name[at] >> np.uint64(8)).view(np.int64)
+        stretch = np.zeros(len(at), np.int64)
+        stretch[has] = cut.sequences(place[has], last[has] + window, 0) | 1
+        doc = cut.doc[place]
+        order = np.lexsort((d[doc], stretch, name))
+        name, stretch, place, doc = name[order], stretch[order], place[order], doc[order]
+        named = np.append(True, name[1:] != name[:-1])
+        first = np.flatnonzero(named)
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        known = np.repeat(several, np.diff(np.append(first, len(name))))
+        later = d[doc] > _least(named | np.append(True, stretch[1:] != stretch[:-1]), d[doc])
+        word = (place - cut.first[doc]) * 4
+        go = np.flatnonzero(~later)
+        yield _going(name[go], stretch[go], d[doc[go]], r[doc[go]], word[go] + 2 * known[go])
+        back = np.flatnonzero(later)
+        back = back[np.argsort(place[back])]
+        docs, lists = _lists(doc[back], word[back] + 2 + (stretch[back] != 0))
+        yield _settled(d[docs], r[docs], lists)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The same for candidate windows: those of a smaller document in the slice are settled, the smallest one's go on."""
-    for batch in pieces(batches, 2):
+    """Candidate windows: those of a smaller document in the slice and those of covered stretches are settled, the smallest one's go on."""
+    for batch in pieces(batches, 2, SLICE):
         batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(3)).fill_null(0), 0))
         if not batch.num_rows:
             continue
@@ -186,35 +228,44 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         cut = Cut(batch.column(2).to_pylist(), window)
         marks = batch.column(3)
         owner = np.repeat(np.arange(len(marks)), pa.compute.list_value_length(marks).to_numpy())
+        code = marks.flatten().to_numpy()
+        places = cut.first[owner] + code // 4
         shared = np.zeros(len(cut.words) + 1, bool)
-        shared[cut.first[owner] + marks.flatten().to_numpy()] = True
+        shared[places] = True
+        whole = np.zeros(len(cut.words) + 1, bool)
+        whole[places[code % 2 == 1]] = True
+        _, place, last = cut.stretches()
+        steps = np.zeros(len(cut.words) + 2, np.int64)
+        np.add.at(steps, place[whole[place]], 1)
+        np.add.at(steps, last[whole[place]] + 1, -1)
+        done = np.cumsum(steps)[: len(cut.words)] > 0
         starts = cut.candidates(shared)
-        if not len(starts):
-            continue
-        k1, k2 = cut.sequences(starts)
+        starts = starts[~done[starts]]
+        k1, k2 = cut.sequences(starts, starts + window, 0), cut.sequences(starts, starts + window, 1) & 0xFFFF
         docs = cut.doc[starts]
         order = np.lexsort((d[docs], k2, k1))
         k1, k2, starts, docs = k1[order], k2[order], starts[order], docs[order]
         new = np.ones(len(k1), bool)
         new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        least = d[docs][np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))]
-        later = d[docs] > least
+        later = d[docs] > _least(new, d[docs]) if len(k1) else new
         go = np.flatnonzero(~later)
-        yield _rows(cut, r, d, False, k1[go], k2[go], docs[go], pa.ListArray.from_arrays(pa.array(np.arange(len(go) + 1), pa.int32()), pa.array((starts - cut.first[docs])[go], pa.int32())))
-        yield _settled(cut, r, d, starts[later])
+        yield _going(k1[go], k2[go], d[docs[go]], r[docs[go]], (starts - cut.first[docs])[go])
+        done[starts[later]] = True
+        docs, lists = _ranges(np.flatnonzero(done), cut)
+        yield _settled(d[docs], r[docs], lists)
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 2):
+    for batch in pieces(batches, 2, SLICE):
         kept, n_words, n_removed = [], [], []
         for text, starts in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
             words = text.encode().split() if text else []
             gone = 0
             if starts.is_valid and len(starts.values):
-                at = starts.values.to_numpy()
+                first, many = starts.values.to_numpy().reshape(-1, 2).T
                 steps = np.zeros(len(words) + 1, np.int64)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + window, -1)
+                np.add.at(steps, first, 1)
+                np.add.at(steps, first + many - 1 + window, -1)
                 stays = np.cumsum(steps[:-1]) == 0
                 gone = len(words) - int(stays.sum())
                 kept.append(b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s]))
@@ -222,7 +273,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 kept.append(b" ".join(words))
             n_words.append(len(words))
             n_removed.append(gone)
-        yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*batch.schema.names[4:], "kept", "n_words", "n_removed"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[4:], batch.column(2), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*batch.schema.names[4:], "__text", "kept", "n_words", "n_removed"])
 
 
 def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
@@ -232,22 +283,25 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
     id. Windows are judged on the input. A null text has no words. A null id counts as larger than all others. Rows with the
     same id don't remove from each other, and repeated rows get equal results. Passages repeated within one document
     alone stay. Columns of the input that have one of the three names are replaced. An empty table gives an empty one.
-    Window sequences are compared by 96 bits of hashes.
+    Window sequences are compared by 80 bits of hashes; rows that share an id but not the text are told apart by 24 bits.
     """
-    rest = [c for c in documents.columns if c not in ("kept", "n_words", "n_removed")]
-    largest = (1 << 63) - 1
-    keyed = [F.xxhash64(id, text).alias("__r"), F.coalesce(F.col(id).cast("long"), F.lit(largest)).alias("__d"), F.col(text).alias("__text")]
-    rows = documents.select(*keyed)
-    whole = documents.select(*keyed, *rest)
-
-    def by_row(found: DataFrame, name: str) -> DataFrame:
-        return found.groupBy(F.col("r").alias("__r"), F.col("d").alias("__d")).agg(F.flatten(F.collect_list("starts")).alias(name))
-
-    symbols = rows.mapInArrow(lambda batches: _symbols(batches, window), KEYED)
-    symbols = symbols.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("settled", "k1"))).where("(settled OR n > 1) AND size(starts) > 0")
-    marked = whole.join(by_row(symbols, "__at"), ["__r", "__d"], "left").select("__r", "__d", "__text", "__at")
+    rest = [c for c in documents.columns if c not in ("kept", "n_words", "n_removed", text)]
+    row = F.xxhash64(id, text).bitwiseAND(0xFFFFFF).cast("int").alias("__r")
+    rows = documents.select(row, F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("__d"), F.col(text).alias("__text"), *rest)
+
+    def by_row(found: DataFrame, entries: Column) -> DataFrame:
+        return found.groupBy(F.col("r").alias("__r"), F.col("d").alias("__d")).agg(F.flatten(F.collect_list(F.when(F.col("settled"), F.col("list")).otherwise(entries))).alias("__at"))
+
+    # Both joins have the same left side, which is shuffled once: each takes all columns.
+    columns = ["__r", "__d", "__text", "__at", *rest]
+    symbols = rows.select("__r", "__d", "__text").mapInArrow(lambda batches: _symbols(batches, window), KEYED)
+    name, stretch = Window.partitionBy("settled", "k1"), Window.partitionBy("settled", "k1", "k2")
+    symbols = symbols.withColumn("covered", (F.col("k2") != 0) & (F.col("d") > F.min("d").over(stretch)))
+    symbols = symbols.withColumn("shared", F.min("d").over(name) < F.max("d").over(name)).where("settled OR shared OR place % 4 = 2")
+    marked = rows.join(by_row(symbols, F.array(F.col("place") + F.col("covered").cast("int"))), ["__r", "__d"], "left").select(*columns)
     windows = marked.mapInArrow(lambda batches: _windows(batches, window), KEYED)
-    windows = windows.withColumn("least", F.min("d").over(Window.partitionBy("settled", "k1", "k2"))).where("settled OR d > least")
-    covered = whole.join(by_row(windows, "__at"), ["__r", "__d"], "left").select("__r", "__d", "__text", "__at", *rest)
+    windows = windows.withColumn("least", F.min("d").over(stretch)).where("settled OR d > least")
+    covered = rows.join(by_row(windows, F.array("place", F.lit(1))), ["__r", "__d"], "left").select(*columns)
     types = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in rest)
-    return covered.mapInArrow(lambda batches: _remove(batches, window), f"{types}, kept string, n_words long, n_removed long")
+    out = covered.mapInArrow(lambda batches: _remove(batches, window), f"{types}, __text string, kept string, n_words long, n_removed long")
+    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in documents.columns if c in (*rest, text)], "kept", "n_words", "n_removed")
