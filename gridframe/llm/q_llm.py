@@ -110,3 +110,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(documents, share("doc_id", 5) != 0)
     found = langid.identify(documents.select("doc_id", "text"), model)
     return found.select("doc_id", (share("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+@query("op9_embeddings", OP9_SQL)
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
