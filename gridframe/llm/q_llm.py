@@ -126,3 +126,11 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridframe.llm.embeddings import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_ppm")
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.ppm import score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(documents, share("doc_id", 7) != 2).select("doc_id", (share("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
