@@ -134,3 +134,10 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(documents, share("doc_id", 7) != 2).select("doc_id", (share("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.wrappers import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
