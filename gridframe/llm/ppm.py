@@ -183,7 +183,9 @@ def score(documents: DataFrame, learn: Column, id: str = "doc_id", text: str = "
     distinct, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     unit = np.log10(total + distinct + 1)
     floor = _floor([tuple(r) for r in words.groupBy(_level(F.col("n"))).count().collect()], common)
-    frequent = {bytes(w): int(n) for w, n in words.where(_level(F.col("n")) >= floor).collect()}
+    most = words.where(_level(F.col("n")) >= floor).toArrow()
+    frequent = dict(zip(most.column(0).to_pylist(), most.column(1).to_pylist(), strict=True))
+    del most
 
     masks = F.explode(F.array(*[F.struct(F.lit(k).alias("length"), F.lit((1 << 8 * (k + 1)) - 1).cast("long").alias("mask")) for k in range(ORDER + 1)])).alias("m")
     entries = counted.where("gram IS NOT NULL").select("gram", "n", masks).groupBy("m.length", F.col("gram").bitwiseAND(F.col("m.mask")).alias("key")).agg(F.sum("n").alias("n"))
