@@ -24,10 +24,13 @@ def shingles(names: str, length: int) -> Column:
 
 def occurrences(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """One row for each place and shingle length: ``length``, ``place`` (from 0) and ``code`` beside the columns of ``rows``, which have ``names``."""
-    made = F.concat(*[F.transform(shingles("names", n), lambda code, i, n=n: F.struct(F.lit(n).alias("length"), i.alias("place"), code.alias("code"))) for n in lengths]) if len(lengths) > 1 else None
-    if made is None:
+    if len(lengths) == 1:
         return rows.select("*", F.posexplode(shingles("names", lengths[0])).alias("place", "code")).withColumn("length", F.lit(lengths[0]))
-    return rows.select("*", F.explode(made).alias("o")).select("*", "o.length", "o.place", "o.code").drop("o")
+
+    def placed(n: int) -> Column:
+        return F.transform(shingles("names", n), lambda code, i: F.struct(F.lit(n).alias("length"), i.alias("place"), code.alias("code")))
+
+    return rows.select("*", F.explode(F.concat(*map(placed, lengths))).alias("o")).select("*", "o.length", "o.place", "o.code").drop("o")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5) -> DataFrame:
