@@ -300,11 +300,11 @@ def test_embeddings(spark, monkeypatch):
 
 
 def test_main_text(spark):
-    page = "<html><head><title>T</title></head><body><div class='top-menu'><a>x</a></div><div class=box>Site name</div><div id=body><h2>{0}</h2><p>A &amp; B\n {0}<p>C<br>D<script>if (a<b) x</script></div><div class=box>All rights reserved</div><div class='ad'>buy</div><div class=comments><p>me too</p></div></body>"
+    page = "<html><head><title>T</title></head><body><div class='top-menu'><a>x</a></div><div class=box>Site name</div><div id=body><h2>{0}</h2><p>A &amp; B\n {0}<p>C {0}<br>D<script>if (a<b) x</script></div><div class=box>All rights reserved</div><div class='ad'>buy</div><div class=comments><p>me too</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page.format(f"text {i}")) for i in range(5)]
     rows += [(10, "http://one.example/", "<article><header><h1>H</h1></header><p>a<b>b</b> c</p><footer>f</footer></article><footer>no</footer>"), (11, None, None), (12, "", ""), (13, "x", "plain &lt;text&gt;"), (14, "http://d.example", "<b>" * 5000 + "deep")]
     got = {r.page_id: r for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i].text == f"text {i}\nA & B text {i}\nC D" for i in range(5))
+    assert all(got[i].text == f"text {i}\nA & B text {i}\nC text {i} D" for i in range(5))
     assert [got[i].text for i in (10, 11, 12, 13, 14)] == ["H\nab c", "", "", "plain <text>", "deep"]
     assert all(r.n_chars == len(r.text) for r in got.values())
 
