@@ -283,11 +283,11 @@ def classified_trend(spark, sf):
     return rounded(tem.classify_trend(agg.series_mean(grid_e(spark, sf))), 4)
 
 
-_JUMPS = "jp AS (SELECT nv.grid_id, nv.var, t, i, d FROM nv JOIN sv USING (grid_id, var) WHERE n >= 3 AND volatility > 0 AND abs(d) >= greatest(2 * volatility, p90) QUALIFY row_number() OVER (PARTITION BY grid_id, var ORDER BY i) <= 10)"
+_JUMPS = "jp AS (SELECT nv.grid_id, nv.var, t, i, d FROM nv JOIN sv USING (grid_id, var) WHERE n >= 3 AND volatility > 0 AND abs(d) >= greatest(2 * volatility, p90))"
 
 
 @query("change_points", f"""
-WITH {SQL_E}, {SERIES}, {TEMPORAL_SQL}, {_JUMPS} SELECT grid_id, var, t, CAST(i AS INT) AS i, {rd('d', 4, 'delta')} FROM jp""")
+WITH {SQL_E}, {SERIES}, {TEMPORAL_SQL}, {_JUMPS} SELECT grid_id, var, t, CAST(i AS INT) AS i, {rd('d', 4, 'delta')} FROM jp QUALIFY row_number() OVER (PARTITION BY grid_id, var ORDER BY i) <= 10""")
 def change_points(spark, sf):
     return rounded(tem.change_points(agg.series_mean(grid_e(spark, sf))), 4)
 
@@ -370,7 +370,7 @@ def anomaly_days(spark, sf):
 WITH {SQL_L3}, {SERIES}, f AS (SELECT grid_id, var, CASE WHEN count(v) = count(*) THEN round_even(regr_slope(v, t), 6) END AS slope, arg_min(v, t) AS a, arg_max(v, t) AS b FROM sm GROUP BY grid_id, var)
 SELECT grid_id, var, {rd('slope', 4)}, {rd('a', 4, 'first_mean')}, {rd('b', 4, 'last_mean')}, {rd('b - a', 4, 'delta')}, CASE WHEN slope > 0 THEN 'increase' WHEN slope < 0 THEN 'decrease' ELSE 'stable' END AS direction FROM f""")
 def daily_trend(spark, sf):
-    return rounded(tem.daily_trend(agg.series_mean(grid_l3(spark, sf)), 28), 4)
+    return rounded(tem.daily_trend(agg.series_mean(grid_l3(spark, sf))), 4)
 
 
 def similar_sql(t: int, least: int) -> str:

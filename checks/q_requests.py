@@ -221,7 +221,7 @@ SELECT grid_id, var, CASE WHEN s IS NULL OR abs(s) < 1e-5 THEN 'stable' WHEN s >
   CASE WHEN var = 'price' THEN (SELECT string_agg(block_id || '[' || primary_label || '/' || trend_label || ']', ', ' ORDER BY k) FROM (SELECT *, row_number() OVER (ORDER BY saliency DESC, row, col) AS k FROM lc) WHERE k <= 3) END AS top_blocks FROM f""")
 def narrative_facts(spark, sf):
     g = grid_l3(spark, sf)
-    trend = tem.daily_trend(agg.series_mean(g), 28)
+    trend = tem.daily_trend(agg.series_mean(g))
     drivers = tem.driver_correlation(agg.daily_matrix(g), "price")
     return req.narrative_facts(trend, drivers, blk.block_table(g.one("price")))
 

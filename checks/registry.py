@@ -46,7 +46,7 @@ def fill_sql(src: str, out: str, keys: tuple[str, ...] = ("grid_id", "var"), emp
     """Nearest fill by comparing every gap with every present cell; adds column f."""
     same = " AND ".join(f"m.{k} = p.{k}" for k in keys)
     cols = ", ".join(f"m.{k}" for k in keys)
-    return f"""{out}_near AS (
+    return f"""{out}_near AS MATERIALIZED (
   SELECT {cols}, m.y, m.x, arg_min(p.v, CAST((m.y - p.y) * (m.y - p.y) + (m.x - p.x) * (m.x - p.x) AS BIGINT) * 1000000 + p.y * 1000 + p.x) AS n
   FROM {src} m JOIN {src} p ON {same} WHERE m.v IS NULL AND p.v IS NOT NULL GROUP BY {cols}, m.y, m.x),
 {out} AS (

@@ -261,7 +261,7 @@ def _attend(dim: int, heads: int):
         out["vector"] = list(encoded)
         out["incoming"] = mean.mean(axis=0)
         np.fill_diagonal(mean, 0.0)
-        best = np.argsort(-mean, axis=1, kind="stable")[:, :20]
+        best = np.argsort(-mean, axis=1, kind="stable")[:, : max(0, len(rows) - 1)]
         out["edge_to"] = [b.astype(np.int32) for b in best]
         out["edge_weight"] = [mean[i, b] for i, b in enumerate(best)]
         return out
@@ -272,7 +272,7 @@ def _attend(dim: int, heads: int):
 def attend(tokens: DataFrame, dim: int = 32, heads: int = 4) -> DataFrame:
     """Projection, positions and one round of self-attention over the patches of each grid.
 
-    Adds the encoded vector, the mean incoming attention and each patch's 20 strongest outgoing edges. A group holds the
+    Adds the encoded vector, the mean incoming attention and each patch's outgoing edges, strongest first. A group holds the
     patches of one grid, which the patch size keeps to about 384.
     """
     schema = (
@@ -339,14 +339,14 @@ def grid_token(encoded: DataFrame) -> DataFrame:
     return packed.select("grid_id", F.transform("m", lambda x: (x - F.col("c")) / F.greatest(F.col("s"), F.lit(1e-6))).alias("grid_token"))
 
 
-def attention_edges(encoded: DataFrame, n: int = 20) -> DataFrame:
-    """Strongest edges between different patches. Each patch brings its own best, so none of the best is missed."""
+def attention_edges(encoded: DataFrame, n: int | None = 20) -> DataFrame:
+    """The ``n`` strongest edges between different patches of a grid; all of them if None."""
     pairs = F.explode(F.arrays_zip("edge_to", "edge_weight")).alias("e")
     edges = encoded.select("grid_id", F.col("token_id").alias("source"), pairs).select(
         "grid_id", "source", F.col("e.edge_to").alias("target"), F.col("e.edge_weight").alias("attention")
     )
     kept = edges.where((F.col("attention") > 0) & (F.col("source") != F.col("target")))
-    return top_rows(kept, ["grid_id"], [F.col("attention").desc(), F.col("source").desc(), F.col("target").desc()], n)
+    return kept if n is None else top_rows(kept, ["grid_id"], [F.col("attention").desc(), F.col("source").desc(), F.col("target").desc()], n)
 
 
 def top_patches(encoded: DataFrame, n: int = 10) -> DataFrame:

@@ -16,7 +16,6 @@ from gridframe.operators.aggregates import series_mean, top_rows
 from gridframe.operators.stencil import diffs, smooth_series
 from gridframe.session import cut_lineage
 
-MAX_LAG = 366
 
 
 # --- trends of series ------------------------------------------------------------------------------------
@@ -59,17 +58,18 @@ def classify_trend(series: DataFrame, keys: Sequence[str] = MAP) -> DataFrame:
     )
 
 
-def change_points(series: DataFrame, keys: Sequence[str] = MAP, n: int = 10) -> DataFrame:
-    """First ``n`` steps whose change is at least max(2 std, 90th percentile of changes)."""
+def change_points(series: DataFrame, keys: Sequence[str] = MAP, n: int | None = 10) -> DataFrame:
+    """First ``n`` steps (None: all) whose change is at least max(2 std, 90th percentile of changes)."""
     stepped = diffs(series, keys)
     bounds = stepped.groupBy(*keys).agg(
         F.count("v").alias("n"), F.stddev_pop("d").alias("spread"), F.percentile(F.abs("d"), F.lit(0.9)).alias("p90")
     ).where((F.col("n") >= 3) & (F.col("spread") > 0))
     jumps = stepped.join(bounds, [*keys]).where(F.abs("d") >= F.greatest(2 * F.col("spread"), F.col("p90")))
-    return top_rows(jumps, keys, [F.col("i")], n).select(*keys, "t", "i", F.col("d").alias("delta"))
+    first = jumps if n is None else top_rows(jumps, keys, [F.col("i")], n)
+    return first.select(*keys, "t", "i", F.col("d").alias("delta"))
 
 
-def periodicity(grid: Grid, series: DataFrame) -> DataFrame:
+def periodicity(grid: Grid, series: DataFrame, max_lag: int | None = None) -> DataFrame:
     """Strongest repeating lag of the detrended series and its name from the median time step.
 
     Each series is one array, at most as long as the time axis, so lags are compared in place.
@@ -92,7 +92,7 @@ def periodicity(grid: Grid, series: DataFrame) -> DataFrame:
         .withColumn("res_mean", F.try_divide(total(F.col("res")), F.col("n").cast("double")))
         .withColumn("e", centred)
         .withColumn("power", total(F.transform("e", lambda v: v * v)))
-        .withColumn("max_lag", F.least(F.floor(F.col("n") / 2).cast("int"), F.lit(MAX_LAG)))
+        .withColumn("max_lag", F.least(F.floor(F.col("n") / 2).cast("int"), F.lit(max_lag).cast("int")))
     )
     enough = (F.col("n") >= 6) & (F.col("spread") > 0)
 
@@ -136,7 +136,7 @@ def periodicity(grid: Grid, series: DataFrame) -> DataFrame:
 def temporal_features(grid: Grid, mask: DataFrame | None = None) -> DataFrame:
     """Per variable: trend summary, periodicity and number of change points. The series are computed once."""
     series = cut_lineage(series_mean(grid, mask))
-    points = change_points(series).groupBy(*MAP).agg(F.count(F.lit(1)).alias("change_points"))
+    points = change_points(series, n=None).groupBy(*MAP).agg(F.count(F.lit(1)).alias("change_points"))
     rows = classify_trend(series).join(periodicity(grid, series).select(*MAP, "periodicity"), MAP, "left").join(points, MAP, "left")
     return rows.fillna(0, ["change_points"]).withColumn("is_primary", F.col("var") == grid.primary)
 
@@ -148,29 +148,33 @@ def trend_map(grid: Grid) -> DataFrame:
 
     Missing values count as no deviation; one grouped pass.
     """
-    n = grid.shape[0]
-    x = F.col("t") - (n - 1) / 2.0
-    squares = n * (n * n - 1) / 12.0 or 1.0
+    x, squares = _centred()
     there = F.col("v").isNotNull()
     total = F.sum(x * F.col("v")) - F.avg("v") * F.sum(F.when(there, x))
-    return grid.cells.groupBy(*CELL).agg(F.coalesce(total / squares, F.lit(0.0)).alias("v"))
+    maps = grid.with_dims(grid.cells).groupBy(*CELL, "n_t").agg(total.alias("total"))
+    return maps.select(*CELL, F.coalesce(F.col("total") / squares, F.lit(0.0)).alias("v"))
+
+
+def _centred() -> tuple[Column, Column]:
+    """Step less the middle of its grid's own axis, and the sum of squares of these; 1 for a single step."""
+    n = F.col("n_t").cast("double")
+    return F.col("t") - (n - 1) / 2, F.when(n > 1, n * (n * n - 1) / 12).otherwise(1.0)
 
 
 def cell_maps(grid: Grid, t: int | None = None) -> DataFrame:
     """All per-cell maps in one pass over the stack: mean, std, trend, the chosen slice, z and difference from
     the mean (z is 0 where the std is at most 1e-9)."""
-    n = grid.shape[0]
-    chosen = n - 1 if t is None else t
-    x = F.col("t") - (n - 1) / 2.0
-    squares = n * (n * n - 1) / 12.0 or 1.0
+    chosen = F.col("n_t") - 1 if t is None else F.lit(t)
+    x, squares = _centred()
     there = F.col("v").isNotNull()
     aggs = [
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max(F.when(F.col("t") == chosen, F.col("v"))).alias("v"),
-        F.coalesce((F.sum(x * F.col("v")) - F.avg("v") * F.sum(F.when(there, x))) / squares, F.lit(0.0)).alias("trend"),
+        (F.sum(x * F.col("v")) - F.avg("v") * F.sum(F.when(there, x))).alias("trend"),
     ]
     if "in_region" in grid.cells.columns:
         aggs.append(F.max("in_region").alias("in_region"))
-    maps = grid.cells.groupBy(*CELL).agg(*aggs)
+    maps = grid.with_dims(grid.cells).groupBy(*CELL, "n_t").agg(*aggs)
+    maps = maps.withColumn("trend", F.coalesce(F.col("trend") / squares, F.lit(0.0))).drop("n_t")
     z = F.when(F.col("std") > 1e-9, (F.col("v") - F.col("mean")) / F.col("std")).otherwise(0.0)
     return maps.withColumns({"z": z, "diff": F.col("v") - F.col("mean")})
 
@@ -185,9 +189,9 @@ def anomaly_diff(grid: Grid, t: int | None = None) -> DataFrame:
 
 def difference_map(grid: Grid) -> DataFrame:
     """Last slice minus first slice."""
-    last, first = F.col("t") == grid.shape[0] - 1, F.col("t") == 0
+    last, first = F.col("t") == F.col("n_t") - 1, F.col("t") == 0
     change = F.max(F.when(last, F.col("v"))) - F.max(F.when(first, F.col("v")))
-    return grid.cells.groupBy(*CELL).agg(change.alias("v"))
+    return grid.with_dims(grid.cells).groupBy(*CELL).agg(change.alias("v"))
 
 
 # --- anomalies, retrieval, drivers ------------------------------------------------------------------------------
@@ -199,10 +203,10 @@ def anomaly_days(series: DataFrame, n: int = 8, sigma: float = 2.0) -> DataFrame
     return top_rows(residual, MAP, order, n).select(*MAP, "t", F.col("v").alias("mean"), "residual", "rank")
 
 
-def daily_trend(series: DataFrame, steps: int) -> DataFrame:
+def daily_trend(series: DataFrame) -> DataFrame:
     """Slope of the series (more than two steps, no gap), direction, first and last mean."""
     gapless = F.count("v") == F.count(F.lit(1))
-    slope = F.when(gapless, F.regr_slope("v", F.col("t").cast("double"))) if steps > 2 else F.lit(None).cast("double")
+    slope = F.when(gapless & (F.count(F.lit(1)) > 2), F.regr_slope("v", F.col("t").cast("double")))
     fit = series.groupBy(*MAP).agg(
         F.bround(slope, 6).alias("slope"), F.min_by("v", "t").alias("first_mean"), F.max_by("v", "t").alias("last_mean")
     )
@@ -213,10 +217,11 @@ def daily_trend(series: DataFrame, steps: int) -> DataFrame:
 
 def similar_slices(grid: Grid, t: int | None = None, n: int = 8, min_cells: int = 200) -> DataFrame:
     """Slices most correlated with the chosen one over cells present in both, with the RMSE."""
-    chosen = grid.shape[0] - 1 if t is None else max(0, min(t, grid.shape[0] - 1))
-    present = grid.cells.where(F.col("v").isNotNull()).select(*CELL, "t", "v")
-    target = present.where(F.col("t") == chosen).select(*CELL, F.col("v").alias("target"))
-    met = present.where(F.col("t") != chosen).join(target, CELL)
+    end = F.col("n_t") - 1
+    chosen = end if t is None else F.least(F.lit(max(0, t)), end)
+    present = grid.with_dims(grid.cells.where(F.col("v").isNotNull())).select(*CELL, "t", "v", chosen.alias("chosen"))
+    target = present.where("t = chosen").select(*CELL, F.col("v").alias("target"))
+    met = present.where("t != chosen").join(target, CELL)
     d = F.col("target") - F.col("v")
     scores = met.groupBy(*MAP, "t").agg(
         F.count(F.lit(1)).alias("cells"), F.bround(pearson(F.col("target"), F.col("v")), 4).alias("similarity"),

@@ -86,7 +86,7 @@ def analyze(
         "statistics_mean_map": lambda: stats_of(mean(), subset.map_cells),
         "maps": lambda: tem.cell_maps(subset, t),
         "mean_display": display("mean"), "slice_display": display("v"), "trend_display": display("trend"), "anomaly_display": display("z"),
-        "trend": lambda: tem.daily_trend(series(), n_t),
+        "trend": lambda: tem.daily_trend(series()),
         "quality": lambda: agg.quality(subset),
         "series": lambda: agg.series_stats(subset).join(agg.hotspot_share(subset), [*MAP, "t"]),
         "anomaly_days": lambda: subset.with_time(tem.anomaly_days(series())),

@@ -34,13 +34,18 @@ def image_cells(images: DataFrame) -> DataFrame:
     return long.select("grid_id", F.lit(0).alias("t"), "e.var", "y", "x", "e.v")
 
 
-def read_images(spark: SparkSession, path: str, glob: str = "*") -> Grid:
-    """One grid per image file, named by the file without its suffix; pixel coordinates."""
-    rows = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", glob).load(path).select(
+def read_images(spark: SparkSession, path: str, glob: str = "*", skip_unreadable: bool = False) -> Grid:
+    """One grid per image file, named by the file without its suffix; pixel coordinates.
+
+    Files that can't be decoded raise an error that counts them and names the first; with ``skip_unreadable`` they are left out.
+    """
+    rows = spark.read.format("image").option("dropInvalid", skip_unreadable).option("pathGlobFilter", glob).load(path).select(
         F.regexp_extract("image.origin", r"([^/]+?)(\.[^./]*)?$", 1).alias("grid_id"), "image.height", "image.width", "image.nChannels", "image.data"
     )
     dims = rows.select("grid_id", F.lit(1).alias("n_t"), F.col("height").alias("n_y"), F.col("width").alias("n_x"))
-    largest = rows.agg(F.max("height"), F.max("width"), F.max("nChannels")).first()
+    largest = rows.agg(F.max("height"), F.max("width"), F.max("nChannels"), F.sum((F.col("height") <= 0).cast("int")), F.min(F.when(F.col("height") <= 0, F.col("grid_id")))).first()
+    if largest[3]:
+        raise ValueError(f"{largest[3]} image files can't be decoded, the first is {largest[4]}")
     names = ("intensity", "red", "green", "blue", "alpha") if largest[2] == 4 else ("intensity", "red", "green", "blue") if largest[2] == 3 else ("intensity",)
     return Grid(
         image_cells(rows), names, (1, largest[0], largest[1]), dims=dims, grid_type="image", coordinate_system="pixel", crs="pixel_coordinates"

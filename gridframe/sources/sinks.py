@@ -21,16 +21,16 @@ def write_cells(grid: Grid, path: str, masks: DataFrame | None = None, mode: str
     out.write.mode(mode).partitionBy("grid_id", "var").parquet(path)
 
 
-def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per row, vectors shortened to a preview."""
-    json_rows(df).write.mode(mode).text(path)
+def write_results(df: DataFrame, path: str, mode: str = "errorifexists", preview: int | None = None) -> None:
+    """One JSON object per row; vectors whole, or cut to their length and first values if ``preview`` is given."""
+    json_rows(df, preview).write.mode(mode).text(path)
 
 
-def json_rows(df: DataFrame, preview: int = 4) -> DataFrame:
-    """Rows as JSON text; each array of numbers becomes its length and first values."""
+def json_rows(df: DataFrame, preview: int | None = 4) -> DataFrame:
+    """Rows as JSON text; each array of numbers becomes its length and first values, or stays whole if ``preview`` is None."""
     parts = []
     for name, kind in df.dtypes:
-        if kind in ("array<double>", "array<float>"):
+        if preview is not None and kind in ("array<double>", "array<float>"):
             parts += [F.size(name).alias(f"{name}_dim"), F.slice(name, 1, preview).alias(f"{name}_preview")]
         else:
             parts.append(F.col(name))

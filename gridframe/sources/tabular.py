@@ -13,13 +13,14 @@ from gridframe.session import cut_lineage
 
 
 def read_cells(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
-    """Cells from files with the declared schema; filters on var, t, y, x reach the scan."""
+    """Cells from files with the declared schema; NaN and infinite values become NULL. Filters on var, t, y, x reach the scan."""
     reader = spark.read.schema(CELLS).options(**options)
-    return reader.format(format).load(path)
+    return reader.format(format).load(path).withColumn("v", finite("v"))
 
 
 def grid_of(cells: DataFrame, **fields) -> Grid:
-    """Wraps dense cells; sizes and variables not given are measured with one aggregate."""
+    """Wraps dense cells; NaN and infinite values become NULL. Sizes and variables not given are measured with one aggregate."""
+    cells = cells.withColumn("v", finite("v"))
     if "shape" not in fields or "variables" not in fields:
         row = cells.agg(
             F.max("t").alias("t"), F.max("y").alias("y"), F.max("x").alias("x"), F.array_sort(F.collect_set("var")).alias("vars")

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from gridframe.functions import rules
 from gridframe.model import CELLS, Grid
 from gridframe.operators import aggregates as agg, blocks as blk, embed as emb, image as img
-from gridframe.sources.catalog import demo_grid
+from tests.fields import bumpy_field
 
 
 @pytest.fixture(scope="module")
 def demo(spark):
-    return demo_grid(spark)
+    return bumpy_field(spark)
 
 
 @pytest.fixture(scope="module")

@@ -265,3 +265,22 @@ def test_block_cuts_equal_linspace(spark, parts):
     for r in df.select("n", "i", block_index(F.col("i"), F.col("n"), parts).alias("b")).collect():
         edges = np.linspace(0, r["n"], parts + 1, dtype=int)
         assert edges[r["b"]] <= r["i"] < edges[r["b"] + 1]
+
+
+def test_grids_of_different_lengths_keep_their_own_axis(spark):
+    from gridframe.model import CELLS, Grid
+
+    rows = [(g, t, "v", 0, x, float(t * slope + x)) for g, n, slope in (("a", 3, 1), ("b", 6, 2)) for t in range(n) for x in range(2)]
+    dims = spark.createDataFrame([("a", 3, 1, 2), ("b", 6, 1, 2)], "grid_id string, n_t int, n_y int, n_x int")
+    g = Grid(spark.createDataFrame(rows, CELLS), ("v",), (6, 1, 2), dims=dims)
+    assert {(r.grid_id, round(r.v, 9)) for r in tem.trend_map(g).collect()} == {("a", 1.0), ("b", 2.0)}
+    assert {(r.grid_id, r.v) for r in tem.difference_map(g).collect()} == {("a", 2.0), ("b", 10.0)}
+    assert {(r.grid_id, r.x, r.v) for r in tem.cell_maps(g).collect()} == {("a", 0, 2.0), ("a", 1, 3.0), ("b", 0, 10.0), ("b", 1, 11.0)}
+
+
+def test_all_change_points_are_counted(spark):
+    values = [0.0] * 10
+    for k in range(300):
+        values.append(values[-1] + (50.0 if k % 20 == 19 else 0.1 if k % 2 else -0.1))
+    series = spark.createDataFrame([("g", "v", t, v) for t, v in enumerate(values)], "grid_id string, var string, t int, v double")
+    assert tem.change_points(series, n=None).count() == 15 and tem.change_points(series).count() == 10

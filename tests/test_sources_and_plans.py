@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.fields import bumpy_field
 from gridframe.functions import rules
 from gridframe.operators import missing as mis, requests as req, selection as sel
 from gridframe.plans import analyze as plans
@@ -145,8 +146,8 @@ def test_replies(spark, text, task):
     assert (row["reply"] and row["reply"]["task_graph"]["task_type"]) == task
 
 
-def test_analysis_of_demo_grid(spark):
-    g = catalog.demo_grid(spark, 36, 56, 5)
+def test_analysis_of_bumpy_field(spark):
+    g = bumpy_field(spark, 36, 56, 5)
     tables = plans.analyze(g, region="box", boxes=(("box", 5.0, 50.0, 2.0, 30.0),))
     for name, df in tables.items():
         assert df.columns, name
@@ -159,7 +160,7 @@ def test_analysis_of_demo_grid(spark):
 
 
 def test_feature_bundle(spark):
-    g = catalog.demo_grid(spark, 18, 20, 6)
+    g = bumpy_field(spark, 18, 20, 6)
     tables = plans.extract_features(g, block=(6, 5), dim=4)
     assert tables["statistics"].first()["missing_ratio"] > 0
     assert tables["block_embedding"].count() == 12 and len(tables["block_embedding"].first()["embedding"]) == 4
