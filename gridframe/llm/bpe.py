@@ -23,7 +23,7 @@ from gridframe.llm.common import pieces, send
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Words and arcs kept by a task before it starts afresh.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -143,7 +143,7 @@ class Coder:
         ids = list(chain.from_iterable(map(words.__getitem__, found)))
         if len(words) > MEMORY:
             words.clear()
-        if len(self.arcs) > 4 * MEMORY:
+        if len(self.arcs) > 2 * MEMORY:
             self.arcs.clear()
         return ids
 

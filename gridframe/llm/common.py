@@ -30,7 +30,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of text, so that a task's memory doesn't depend on Spark's batch size."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()

@@ -26,7 +26,7 @@ EDGE = 2 + sum(ROUNDS)
 LONGEST = 2 * max(ROUNDS)
 ODD = 0x9E3779B97F4A7C15
 #: Bytes of text that a task works on at a time.
-SLICE = 6 << 20
+SLICE = 3 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
