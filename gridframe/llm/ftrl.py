@@ -39,10 +39,10 @@ class Ftrl:
         """Rows are (features, values); the order of each epoch is drawn from a fixed seed."""
         draw = np.random.default_rng(seed)
         last = len(self.z) - 1
-        rows = [(np.append(at, last), np.append(x, 1.0)) for at, x in rows]
         for _ in range(epochs):
             for i in draw.permutation(len(rows)):
-                self.step(*rows[i], targets[i])
+                at, x = rows[i]
+                self.step(np.append(at, last), np.append(x, 1.0), targets[i])
 
 
 def chances(logits: np.ndarray) -> np.ndarray:

@@ -76,19 +76,22 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, id: str = "doc
     known = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("chosen")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("chosen"), "chosen").limit(fit_rows)
     sample = documents.join(F.broadcast(chosen), F.col(id) == F.col("chosen")).select("label", F.col(text).alias("text"))
-    rows = sorted(map(tuple, sample.mapInArrow(_gather, "label int, found binary").collect()))
-    if not rows:
+    rows = sample.mapInArrow(_gather, "label int, found binary").toArrow()
+    if not rows.num_rows:
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
+    # The order of the rows must not depend on how tasks ended.
+    rows = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
     texts = [np.frombuffer(found, np.int32) for _, found in rows]
     target = np.array([[float(label)] for label, _ in rows])
-    del rows
     names, counts = np.unique(np.concatenate(texts), return_counts=True)
     names = names[counts >= least]
+    ones = np.ones(max(map(len, texts)), np.float32)
     vectors = []
-    for found in texts:
-        at = np.searchsorted(names, found)
+    for i, found in enumerate(texts):
+        at = np.searchsorted(names, found).astype(np.int32)
         at = at[names[np.minimum(at, len(names) - 1)] == found] if len(names) else at[:0]
-        vectors.append((at, np.ones(len(at))))
+        vectors.append((at, ones[: len(at)]))
+        texts[i] = rows[i] = None  # the raw features of a row are needed no more
     learner = Ftrl(len(names), 1, alpha, l1, l2)
     learner.fit(vectors, target, epochs)
     weights = learner.weights()[:, 0]
