@@ -1,9 +1,8 @@
 """Embeddings of blocks, slices and patches, attention over patches, saliency, text alignment.
 
 Patches of one grid are kept to about 384 by enlarging them (a map one row high holds more, growing with the square
-root of its length), so attention runs on one bounded group per grid with numpy inside the task, and many grids run in
-parallel. Feature rows (blocks, slices), whose number has no
-bound, are embedded through a Gram matrix summed over partitions: only feature-by-feature sums are grouped.
+root of its length). Attention works on pairs of blocks of patches, so it doesn't depend on that number. Feature rows
+(blocks, slices) are embedded through a Gram matrix summed over partitions: only feature-by-feature sums are grouped.
 """
 
 from __future__ import annotations
@@ -208,78 +207,144 @@ def colorfulness(red: Column, green: Column, blue: Column) -> Column:
 
 # --- attention ---------------------------------------------------------------------------------------------------
 
+#: Patches whose scores one task holds at a time: a block of queries against a block of keys.
+BLOCK = 512
+
+
 def fixed_weights(rows: int, cols: int, name: str) -> np.ndarray:
     """Standard normal matrix seeded by a name, the same on every machine."""
     seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big") % 2**32
     return np.random.default_rng(seed).normal(0.0, 1.0, size=(rows, cols))
 
 
-def layer_norm(x: np.ndarray) -> np.ndarray:
-    return (x - x.mean(axis=-1, keepdims=True)) / np.maximum(x.std(axis=-1, keepdims=True), 1e-6)
+def _scaled_rows(x: np.ndarray) -> np.ndarray:
+    """Every row with mean 0 and, unless it is constant, standard deviation 1."""
+    x = x - x.mean(axis=1)[:, None]
+    return x / np.sqrt((x * x).mean(axis=1)).clip(1e-6)[:, None]
 
 
-def _positions(centres: np.ndarray, dim: int) -> np.ndarray:
-    """Sine and cosine of the two normalised centre coordinates, half of the dimensions each."""
-    out = np.zeros((len(centres), dim))
+def _waves(y: np.ndarray, x: np.ndarray, dim: int) -> np.ndarray:
+    """Place of a patch centre as waves: the first half of the dimensions for y, the second for x.
+
+    Dimension k of a half is the sine (k even) or cosine (k odd) of 2 pi c / 10000 ** (2 floor(k / 2) / half). A dimension
+    left over by an odd number is 0.
+    """
     half = max(1, dim // 2)
-    for axis in range(2):
-        width = min(dim, (axis + 1) * half) - axis * half
-        if width <= 0:
-            continue
-        waves = np.exp(np.arange(0, width, 2) * (-math.log(10000.0) / width))
-        angles = centres[:, [axis]] * waves * 2 * math.pi
-        part = out[:, axis * half: axis * half + width]
-        part[:, 0::2], part[:, 1::2] = np.sin(angles), np.cos(angles)[:, : width // 2]
-    return out
-
-
-def _attend(dim: int, heads: int):
-    def attend(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["py", "px"]).reset_index(drop=True)
-        f = np.stack(rows["features"].to_numpy()).astype(float)
-        spread = f.std(axis=0)
-        f = (f - f.mean(axis=0)) / np.where(spread > 1e-12, spread, 1.0)
-        projected = f @ fixed_weights(f.shape[1], dim, "feature_projection") / math.sqrt(max(1, f.shape[1]))
-        tokens = layer_norm(projected + _positions(rows[["center_y", "center_x"]].to_numpy(float), dim))
-        n_heads = max(1, min(heads, dim))
-        width = max(1, dim // n_heads)
-        used = width * n_heads
-        q, k, v = (
-            (tokens[:, :used] @ fixed_weights(used, used, name)).reshape(len(rows), n_heads, width).swapaxes(0, 1) for name in ("wq", "wk", "wv")
-        )
-        scores = q @ k.swapaxes(1, 2) / math.sqrt(width)
-        weights = np.exp(scores - scores.max(axis=-1, keepdims=True))
-        weights /= np.maximum(weights.sum(axis=-1, keepdims=True), 1e-12)
-        mixed = (weights @ v).swapaxes(0, 1).reshape(len(rows), used) @ fixed_weights(used, used, "wo") / math.sqrt(used)
-        added = tokens.copy()
-        added[:, :used] += mixed
-        added[:, used:] *= 2
-        encoded = layer_norm(added)
-        mean = weights.mean(axis=0)
-        out = rows[["grid_id", "py", "px"]].copy()
-        out["token_id"] = np.arange(len(rows), dtype=np.int32)
-        out["vector"] = list(encoded)
-        out["incoming"] = mean.mean(axis=0)
-        np.fill_diagonal(mean, 0.0)
-        best = np.argsort(-mean, axis=1, kind="stable")[:, : max(0, len(rows) - 1)]
-        out["edge_to"] = [b.astype(np.int32) for b in best]
-        out["edge_weight"] = [mean[i, b] for i, b in enumerate(best)]
-        return out
-
-    return attend
+    axis, k = np.divmod(np.arange(dim), half)
+    centre = np.stack([y, x, np.zeros(len(y))])[axis.clip(max=2)].T
+    turns = 2 * np.pi * centre / 10000.0 ** ((k - k % 2) / half)
+    return np.where(axis > 1, 0.0, np.where(k % 2 == 0, np.sin(turns), np.cos(turns)))
+
+
+def _project(dim: int, heads: int):
+    """Tokens and their queries, keys and values."""
+    used = dim // heads * heads
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if rows.empty:
+                continue
+            f = np.stack(rows.pop("features").to_list()).astype(float)
+            seen = f @ fixed_weights(f.shape[1], dim, "feature_projection") / math.sqrt(f.shape[1])
+            token = _scaled_rows(seen + _waves(rows.pop("center_y").to_numpy(float), rows.pop("center_x").to_numpy(float), dim))
+            sides = {c: list(token[:, :used] @ fixed_weights(used, used, "w" + c)) for c in "qkv"}
+            yield rows.assign(token=list(token), **sides)
+
+    return project
+
+
+def _packed(tokens: DataFrame, side: str, columns: Sequence[str]) -> DataFrame:
+    """One row per block of patches: their numbers and vectors, one behind the other."""
+    rows = F.array_sort(F.collect_list(F.struct("token_id", *columns)))
+    blocks = tokens.groupBy("grid_id", F.floor(F.col("token_id") / BLOCK).alias(f"{side}_block")).agg(F.max("n_tokens").alias("n_tokens"), rows.alias("r"))
+    return blocks.select("grid_id", f"{side}_block", "n_tokens", F.col("r.token_id").alias(f"{side}_id"), *[F.flatten(f"r.{c}").alias(c) for c in columns])
+
+
+def _block_pairs(tokens: DataFrame, of_query: Sequence[str], of_key: Sequence[str]) -> DataFrame:
+    """Every block of queries beside every block of keys of its grid; pairs are dealt out by grid and key block."""
+    queries = _packed(tokens, "query", of_query)
+    queries = queries.withColumn("key_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / BLOCK))))
+    return queries.join(_packed(tokens, "key", of_key).drop("n_tokens"), ["grid_id", "key_block"])
+
+
+def _scores(pair, heads: int) -> np.ndarray:
+    """Scaled products of a pair's queries and keys: [head, query, key]."""
+    q, k = (np.asarray(side).reshape(len(ids), heads, -1) for side, ids in ((pair.q, pair.query_id), (pair.k, pair.key_id)))
+    return np.einsum("ihw,jhw->hij", q, k) / math.sqrt(q.shape[2])
+
+
+def _weights(pair) -> np.ndarray:
+    """Attention from each query to each key, averaged over heads, given the logarithm of each query's total."""
+    total = np.asarray(pair.total).reshape(len(pair.query_id), -1).T
+    return np.exp(_scores(pair, len(total)) - total[:, :, None]).mean(axis=0)
+
+
+def _mixtures(heads: int):
+    """Per query and key block: the logarithm of the summed weights of each head, then the weighted mean of the values."""
+
+    def mixtures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pair in batch.itertuples():
+                scores = _scores(pair, heads)
+                total = np.logaddexp.reduce(scores, axis=2)
+                values = np.asarray(pair.v).reshape(len(pair.key_id), heads, -1)
+                mixed = np.einsum("hij,jhw->ihw", np.exp(scores - total[:, :, None]), values)
+                yield pd.DataFrame({"grid_id": pair.grid_id, "token_id": pair.query_id, "part": list(np.concatenate([total.T, mixed.reshape(len(mixed), -1)], axis=1))})
+
+    return mixtures
+
+
+def _encoded(dim: int, heads: int):
+    """Joins a token's mixtures over all key blocks and adds them to the token."""
+    used = dim // heads * heads
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = fixed_weights(used, used, "wo") / math.sqrt(used)
+        for rows in batches:
+            if rows.empty:
+                continue
+            totals, mixed = [], []
+            for parts in rows.pop("parts"):
+                parts = np.asarray(parts).reshape(-1, heads + used)
+                total = np.logaddexp.reduce(parts[:, :heads], axis=0)
+                share_of = np.exp(parts[:, :heads] - total)
+                mixed.append(np.einsum("ph,phw->hw", share_of, parts[:, heads:].reshape(len(parts), heads, -1)).reshape(-1))
+                totals.append(total)
+            token = np.stack(rows.pop("token").to_list())
+            # Dimensions that no head uses pass through attention unchanged.
+            change = np.concatenate([np.stack(mixed) @ out, token[:, used:]], axis=1)
+            yield rows.assign(vector=list(_scaled_rows(token + change)), total=totals)
+
+    return encoded
+
+
+def _incoming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for pair in batch.itertuples():
+            yield pd.DataFrame({"grid_id": pair.grid_id, "token_id": pair.key_id, "incoming": _weights(pair).sum(axis=0) / pair.n_tokens})
 
 
 def attend(tokens: DataFrame, dim: int = 32, heads: int = 4) -> DataFrame:
     """Projection, positions and one round of self-attention over the patches of each grid.
 
-    Adds the encoded vector, the mean incoming attention and each patch's outgoing edges, strongest first. A group holds the
-    patches of one grid, which the patch size keeps to about 384.
+    Adds the encoded vector, the mean incoming attention, and what edges are computed from (q, k and the logarithm of each
+    head's total). A task holds one block of queries and one of keys; the parts of a query are joined by their totals, so a
+    grid may have any number of patches.
     """
-    schema = (
-        "grid_id string, py int, px int, token_id int, vector array<double>, incoming double, edge_to array<int>, edge_weight array<double>"
-    )
-    inputs = tokens.select(*PATCH, "features", "center_y", "center_x")
-    return inputs.groupBy("grid_id").applyInPandas(_attend(dim, heads), schema)
+    heads = max(1, min(heads, dim))
+    whole = Window.partitionBy("grid_id")
+    rows = standardize(tokens.select(*PATCH, "features", "center_y", "center_x"), least=1e-12)
+    rows = rows.withColumns({"token_id": (F.row_number().over(whole.orderBy("py", "px")) - 1).cast("int"), "n_tokens": F.count(F.lit(1)).over(whole)})
+    known = "grid_id string, py int, px int, token_id int, n_tokens bigint"
+    sides = "q array<double>, k array<double>"
+    rows = rows.select(*PATCH, "token_id", "n_tokens", "features", "center_y", "center_x")
+    placed = cut_lineage(rows.mapInPandas(_project(dim, heads), f"{known}, token array<double>, {sides}, v array<double>"))
+    parts = _block_pairs(placed, ["q"], ["k", "v"]).mapInPandas(_mixtures(heads), "grid_id string, token_id int, part array<double>")
+    joined = parts.groupBy("grid_id", "token_id").agg(F.flatten(F.collect_list("part")).alias("parts"))
+    inputs = placed.join(joined, ["grid_id", "token_id"]).select(*PATCH, "token_id", "n_tokens", "token", "q", "k", "parts")
+    done = cut_lineage(inputs.mapInPandas(_encoded(dim, heads), f"{known}, {sides}, vector array<double>, total array<double>"))
+    arrived = _block_pairs(done, ["q", "total"], ["k"]).mapInPandas(_incoming, "grid_id string, token_id int, incoming double")
+    return done.join(arrived.groupBy("grid_id", "token_id").agg(F.sum("incoming").alias("incoming")), ["grid_id", "token_id"])
 
 
 def patch_tokens(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame | None = None) -> DataFrame:
@@ -339,13 +404,23 @@ def grid_token(encoded: DataFrame) -> DataFrame:
     return packed.select("grid_id", F.transform("m", lambda x: (x - F.col("c")) / F.greatest(F.col("s"), F.lit(1e-6))).alias("grid_token"))
 
 
+def _edges(n: int | None):
+    """Edges of a pair of blocks, the ``n`` strongest."""
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pair in batch.itertuples():
+                weights = _weights(pair)
+                i, j = np.nonzero((weights > 0) & (np.asarray(pair.query_id)[:, None] != np.asarray(pair.key_id)))
+                found = pd.DataFrame({"grid_id": pair.grid_id, "source": np.asarray(pair.query_id)[i], "target": np.asarray(pair.key_id)[j], "attention": weights[i, j]})
+                yield found if n is None else found.sort_values(["attention", "source", "target"], ascending=False).head(n)
+
+    return edges
+
+
 def attention_edges(encoded: DataFrame, n: int | None = 20) -> DataFrame:
     """The ``n`` strongest edges between different patches of a grid; all of them if None."""
-    pairs = F.explode(F.arrays_zip("edge_to", "edge_weight")).alias("e")
-    edges = encoded.select("grid_id", F.col("token_id").alias("source"), pairs).select(
-        "grid_id", "source", F.col("e.edge_to").alias("target"), F.col("e.edge_weight").alias("attention")
-    )
-    kept = edges.where((F.col("attention") > 0) & (F.col("source") != F.col("target")))
+    kept = _block_pairs(encoded, ["q", "total"], ["k"]).mapInPandas(_edges(n), "grid_id string, source int, target int, attention double")
     return kept if n is None else top_rows(kept, ["grid_id"], [F.col("attention").desc(), F.col("source").desc(), F.col("target").desc()], n)
 
 

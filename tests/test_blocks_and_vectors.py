@@ -142,6 +142,24 @@ def test_attention_against_plain_loops(spark):
     assert np.allclose(got, want)
 
 
+def test_attention_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(g, i // 5, i % 5, rng.normal(size=6).tolist(), i // 5 / 2, i % 5 / 4) for g, n in (("a", 15), ("b", 10), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "grid_id string, py int, px int, features array<double>, center_y double, center_x double")
+
+    def results():
+        done = emb.attend(df, 9, 2)
+        vectors = [(r["grid_id"], r["token_id"], [*r["vector"], r["incoming"]]) for r in done.orderBy("grid_id", "token_id").collect()]
+        edges = [sorted(map(tuple, emb.attention_edges(done, n).select("grid_id", "source", "target", F.round("attention", 9)).collect())) for n in (None, 7)]
+        return vectors, edges
+
+    whole, all_edges = results()
+    monkeypatch.setattr(emb, "BLOCK", 4)
+    parts, edges = results()
+    assert [r[:2] for r in whole] == [r[:2] for r in parts] and np.allclose([r[2] for r in whole], [r[2] for r in parts])
+    assert edges == all_edges and len(edges[0]) == 15 * 14 + 10 * 9 and len(edges[1]) == 14
+
+
 def test_patch_shape():
     assert emb.patch_shape(72, 112, (32, 32)) == (32, 32)
     h, w = emb.patch_shape(3000, 5000, (32, 32))
