@@ -123,7 +123,7 @@ def _scale(c: str) -> str:
 
 @query("saliency_parts", f"""
 WITH {SQL_E}, {_SUMMARY},
-n AS (SELECT *, {" + ".join(f"{w} * {_scale(c)}" for c, w in rules.VISUAL_WEIGHTS.items())} AS vis, abs(mean) + std + dynamic_range + gradient_strength AS en FROM su WINDOW w AS (PARTITION BY grid_id))
+n AS (SELECT *, {" + ".join(f"{w} * {_scale(f'coalesce({c}, 0)')}" for c, w in rules.VISUAL_WEIGHTS.items())} AS vis, abs(coalesce(mean, 0)) + coalesce(std, 0) + coalesce(dynamic_range, 0) + coalesce(gradient_strength, 0) AS en FROM su WINDOW w AS (PARTITION BY grid_id))
 SELECT grid_id, py, px, {rd(_scale('vis'), 6, 'visual')}, {rd(_scale('en'), 6, 'energy')} FROM n WINDOW w AS (PARTITION BY grid_id)""")
 def saliency_parts(spark, sf):
     done = emb.saliency_parts(emb.patch_tokens(grid_e(spark, sf), SHAPE))
