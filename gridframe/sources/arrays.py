@@ -1,94 +1,172 @@
-"""Grids from array files: .npy and .npz, one file per grid, decoded inside tasks."""
+"""Grids from array files: .npy and .npz, one file per grid, decoded inside tasks.
+
+A first pass reads the headers and the coordinate arrays alone and yields them as rows; names, sizes and axes of the grid come
+from that table. Values are decoded by a second pass, one array at a time.
+"""
 
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridframe.functions import rules
 from gridframe.model import CELLS, Grid
 from gridframe.operators.selection import match_name
-from gridframe.sources.tabular import sized
-
-COORDS = "grid_id string, axis string, i int, value double"
-
-
-def oriented(array: np.ndarray, n_lat: int, n_lon: int, n_time: int) -> np.ndarray:
-    """An array as [time, lat, lon], its axes told apart by their lengths."""
-    if array.ndim == 2:
-        return array[None]
-    if array.ndim == 3:
-        if array.shape[1:] == (n_lat, n_lon):
-            return array
-        if array.shape[:2] == (n_lat, n_lon):
-            return np.moveaxis(array, 2, 0)
-        if n_time and array.shape[0] == n_time:
-            return array
-    raise ValueError(f"cannot tell the axes of an array of shape {array.shape}")
-
-
-def _load(path: str, content: bytes) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Variables as [time, lat, lon] and coordinate arrays of one file."""
-    loaded = np.load(io.BytesIO(content), allow_pickle=False)
-    if isinstance(loaded, np.ndarray):
-        array = loaded.astype(float)
-        if array.ndim == 4:
-            return {f"var_{i}": array[:, i] for i in range(array.shape[1])}, {}
-        if array.ndim not in (2, 3):
-            raise ValueError("array files must have two, three or four dimensions")
-        return {"value": array if array.ndim == 3 else array[None]}, {}
-    names = {kind: match_name(loaded.files, aliases) for kind, aliases in
-             (("lon", rules.LON_NAMES), ("lat", rules.LAT_NAMES), ("time", rules.TIME_NAMES))}
-    coords = {kind: np.atleast_1d(loaded[name].squeeze()) for kind, name in names.items() if name}
-    grids = {n: loaded[n].astype(float) for n in loaded.files if n not in names.values() and loaded[n].ndim >= 2}
-    if not grids:
+from gridframe.session import cut_lineage
+
+#: A row per array: its axes as letters (t, v, y, x; one letter for coordinates), its lengths, and the values of coordinates.
+HEADS = "grid_id string, member string, var string, axes string, n_t int, n_y int, n_x int, values array<double>, labels array<string>"
+
+
+def axis_letters(shape: tuple[int, ...], n_y: int, n_x: int, n_t: int) -> str:
+    """Which axis is which, one letter each, told apart by the known lengths (0 where unknown)."""
+    known = {"y": n_y, "x": n_x, "t": n_t}
+    for letters, must in (("yx", ""), ("tyx", "yx"), ("yxt", "yx"), ("tyx", "t")):
+        if len(letters) == len(shape) and all(known[a] and known[a] == n for a, n in zip(letters, shape, strict=True) if a in must):
+            return letters
+    raise ValueError(f"cannot tell the axes of an array of shape {shape}")
+
+
+def _shape(stream) -> tuple[int, ...]:
+    """Shape in the header of an array; its values are not read."""
+    read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(stream) == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(stream)[0]
+
+
+def _members(content: bytes) -> dict[str, str]:
+    """Array names of a .npz file and their places in it; one without a name for .npy."""
+    source = io.BytesIO(content)
+    if not zipfile.is_zipfile(source):
+        return {"": ""}
+    with zipfile.ZipFile(source) as packed:
+        return {place.removesuffix(".npy"): place for place in packed.namelist()}
+
+
+def _open(content: bytes, place: str):
+    return zipfile.ZipFile(io.BytesIO(content)).open(place) if place else io.BytesIO(content)
+
+
+def _values(content: bytes, place: str) -> np.ndarray:
+    with _open(content, place) as stream:
+        return np.lib.format.read_array(stream, allow_pickle=False)
+
+
+def _heads(path: str, content: bytes) -> list[dict]:
+    """Rows of HEADS for one file, coordinates first."""
+    grid_id = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    places = _members(content)
+    shapes = {}
+    for name, place in places.items():
+        with _open(content, place) as stream:
+            shapes[name] = _shape(stream)
+    rows, lengths = [], {"y": 0, "x": 0, "t": 0}
+    for axis, aliases in (("x", rules.LON_NAMES), ("y", rules.LAT_NAMES), ("t", rules.TIME_NAMES)):
+        name = match_name([n for n in places if n], aliases)
+        if not name:
+            continue
+        found = _values(content, places[name])
+        shapes.pop(name, None)
+        # Coordinates given for every cell: the first row or column has the axis.
+        found = found[:, 0] if found.ndim == 2 and axis == "y" else found.reshape(-1, found.shape[-1])[0] if found.ndim > 1 else np.atleast_1d(found)
+        lengths[axis] = len(found)
+        plain = found.astype(float).tolist() if axis != "t" else None
+        labels = (np.datetime_as_string(found, unit="s").tolist() if found.dtype.kind == "M" else found.astype(str).tolist()) if axis == "t" else None
+        rows.append({"grid_id": grid_id, "member": name, "var": name, "axes": axis, "n_t": None, "n_y": None, "n_x": None, "values": plain, "labels": labels})
+    fields = {n: s for n, s in shapes.items() if len(s) >= 2}
+    if not fields:
         raise ValueError(f"no arrays of two or more dimensions in {path}")
-    sample = next(iter(grids.values()))
-    sizes = [len(coords[k]) if k in coords else sample.shape[d] for k, d in (("lat", -2), ("lon", -1))]
-    n_time = len(coords.get("time", ()))
-    return {n.rsplit("/", 1)[-1].replace(" ", "_"): oriented(a, *sizes, n_time) for n, a in grids.items()}, coords
-
-
-def _stem(path: str) -> str:
-    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-
-
-def _cells(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in files:
-        for path, content in zip(batch["path"], batch["content"]):
-            for var, stack in _load(path, content)[0].items():
-                for t, field in enumerate(stack):
+    first = next(iter(fields.values()))
+    for name, shape in fields.items():
+        if name:
+            letters = axis_letters(shape, lengths["y"] or first[-2], lengths["x"] or first[-1], lengths["t"])
+        elif len(shape) > 4:
+            raise ValueError(f"{path} has more than four dimensions")
+        else:
+            letters = "tvyx" if len(shape) == 4 else "tyx"[-len(shape):]
+        size = dict(zip(letters, shape, strict=True))
+        var = name.rsplit("/", 1)[-1].replace(" ", "_") or "value"
+        for v in [f"var_{i}" for i in range(size["v"])] if "v" in size else [var]:
+            rows.append({"grid_id": grid_id, "member": name, "var": v, "axes": letters, "n_t": size.get("t", 1), "n_y": size["y"], "n_x": size["x"], "values": None, "labels": None})
+    return rows
+
+
+def array_heads(files: DataFrame) -> DataFrame:
+    """Names, axes, sizes and coordinates of array files given as (path, content)."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                found = pd.DataFrame(_heads(path, content))
+                yield found.astype({c: "Int32" for c in ("n_t", "n_y", "n_x")})
+
+    return files.select("path", "content").mapInPandas(heads, HEADS)
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            places = _members(content)
+            member, array = None, None
+            for head in _heads(path, content):
+                letters = head["axes"]
+                if len(letters) == 1:
+                    continue
+                if head["member"] != member:
+                    member, array = head["member"], _values(content, places[head["member"]])
+                part = array.transpose([letters.index(a) for a in "vtyx" if a in letters]).reshape(-1, head["n_t"], head["n_y"], head["n_x"])
+                for t, field in enumerate(part[int(head["var"].removeprefix("var_")) if "v" in letters else 0].astype(float)):
                     y, x = np.indices(field.shape, dtype=np.int32)
-                    bad = ~np.isfinite(field) | (np.abs(field) > rules.FILL_LIMIT)
-                    values = pd.Series(np.where(bad, np.nan, field).ravel()).astype("Float64")
-                    yield pd.DataFrame({"grid_id": _stem(path), "t": np.int32(t), "var": var, "y": y.ravel(), "x": x.ravel(), "v": values.mask(bad.ravel())})
-
-
-def _coords(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in files:
-        for path, content in zip(batch["path"], batch["content"]):
-            for axis, values in _load(path, content)[1].items():
-                if axis != "time":
-                    yield pd.DataFrame({"grid_id": _stem(path), "axis": axis, "i": np.arange(len(values), dtype=np.int32), "value": values.astype(float)})
+                    bad = ~(np.abs(field) <= rules.FILL_LIMIT)
+                    values = pd.Series(np.where(bad, 0.0, field).ravel()).astype("Float64").mask(bad.ravel())
+                    yield pd.DataFrame({"grid_id": head["grid_id"], "t": np.int32(t), "var": head["var"], "y": y.ravel(), "x": x.ravel(), "v": values})
 
 
 def array_cells(files: DataFrame) -> DataFrame:
-    """Cells of array files given as (path, content). A task decodes one file at a time and yields slice by slice."""
+    """Cells of array files given as (path, content). A task decodes one array at a time and yields slice by slice."""
     return files.select("path", "content").mapInPandas(_cells, CELLS)
 
 
 def read_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> Grid:
-    """One grid per .npy or .npz file: [y, x], [t, y, x] or [t, variable, y, x]; in .npz, coordinates by name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    cells = array_cells(files)
-    names = tuple(r["var"] for r in cells.select("var").distinct().orderBy("var").collect())
-    return sized(cells, variables=names)
+    """One grid per .npy or .npz file: [y, x], [t, y, x] or [t, variable, y, x]; in .npz, coordinates and times by name."""
+    return arrays_grid(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+
+
+def arrays_grid(files: DataFrame) -> Grid:
+    """Grid of array files given as (path, content).
+
+    Latitude, longitude and time arrays become the axes of their grid. A file without one keeps indexes there; times that are no
+    dates keep their text as the label of the step. The driver sees the variable names and the largest sizes.
+    """
+    heads = cut_lineage(array_heads(files))
+    fields = heads.where(F.length("axes") > 1)
+    dims = fields.groupBy("grid_id").agg(F.max("n_t").alias("n_t"), F.max("n_y").alias("n_y"), F.max("n_x").alias("n_x"))
+    largest = dims.agg(F.max("n_t"), F.max("n_y"), F.max("n_x"), F.count(F.lit(1))).first()
+    names = fields.agg(F.array_sort(F.collect_set("var"))).first()[0]
+    with_axis = {r["axes"] for r in heads.where(F.length("axes") == 1).select("axes").distinct().collect()}
+
+    def axis(letter: str, column: str) -> DataFrame:
+        given = heads.where(F.col("axes") == letter).select("grid_id", column)
+        steps = F.posexplode(F.sequence(F.lit(0), F.col(f"n_{letter}") - 1)).alias(letter, "_i")
+        return dims.join(given, "grid_id", "left").select("grid_id", column, steps).withColumn("found", F.get(column, F.col(letter)))
+
+    axes = {}
+    for letter, name in (("y", "lat"), ("x", "lon")):
+        if letter in with_axis:
+            axes[f"axis_{letter}"] = axis(letter, "values").select("grid_id", letter, F.coalesce("found", F.col(letter).cast("double")).alias(name))
+    if "t" in with_axis:
+        # Plain numbers are no dates.
+        ts = F.when(F.col("found").rlike(r"^\d{4}-\d"), F.col("found").try_cast("timestamp"))
+        dated = axis("t", "labels").withColumn("ts", ts)
+        axes["axis_t"] = dated.select("grid_id", "t", "ts", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), "found").alias("label"))
+    return Grid(array_cells(files), tuple(names), tuple(largest[:3]), dims=dims, n_grids=largest[3], **axes)
 
 
 def array_axes(files: DataFrame) -> DataFrame:
     """(grid_id, axis, i, value): latitude and longitude arrays found in .npz files."""
-    return files.select("path", "content").mapInPandas(_coords, COORDS)
+    name = F.when(F.col("axes") == "y", "lat").otherwise("lon").alias("axis")
+    return array_heads(files).where("axes IN ('y', 'x')").select("grid_id", name, F.posexplode("values").alias("i", "value"))

@@ -67,6 +67,28 @@ def test_array_files(spark, tmp_path):
     assert values(g, (2, 3, 4), "my_var", "z")[1, 2, 3] == 23.0
     axes = arrays.array_axes(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert {(r["axis"], r["value"]) for r in axes if r["axis"] == "lat"} == {("lat", 5.0), ("lat", 6.0), ("lat", 7.0)}
+    at = {(r["grid_id"], r["y"], r["x"]): (r["lat"], r["lon"]) for r in g.with_coords(g.cells.where("t = 0").select("grid_id", "y", "x").distinct()).collect()}
+    assert at["z", 2, 3] == (7.0, 3.0) and at["s", 2, 3] == (2.0, 3.0) and len(at) == 12 + 8 + 12
+    assert g.shape == (2, 3, 4) and {tuple(r) for r in g.dims_table().collect()} == {("s", 2, 3, 4), ("q", 1, 2, 4), ("z", 2, 3, 4)}
+
+
+def test_array_times_and_meshes(spark, tmp_path):
+    lat, lon = np.meshgrid([40.0, 41.0], [7.0, 8.0, 9.0], indexing="ij")
+    days = np.array(["2024-03-01", "2024-03-02"], "datetime64[D]")
+    np.savez(tmp_path / "m.npz", lat=lat, lon=lon, time=days, v=np.arange(12.0).reshape(2, 2, 3))
+    np.savez(tmp_path / "n.npz", time=np.array([6, 12, 18]), v=np.ones((3, 2, 2)))
+    g = arrays.read_arrays(spark, str(tmp_path))
+    steps = {(r["grid_id"], r["t"]): (r["ts"] is not None, r["label"]) for r in g.time_axis().collect()}
+    assert steps == {("m", 0): (True, "2024-03-01"), ("m", 1): (True, "2024-03-02"), ("n", 0): (False, "6"), ("n", 1): (False, "12"), ("n", 2): (False, "18")}
+    placed = {(r["lat"], r["lon"], r["v"]) for r in g.with_coords(g.cells.where("grid_id = 'm' AND t = 1")).collect()}
+    assert placed == {(40.0 + i // 3, 7.0 + i % 3, 6.0 + i) for i in range(6)}
+
+
+def test_array_axes_are_told_apart():
+    assert arrays.axis_letters((5, 6), 0, 0, 0) == "yx" and arrays.axis_letters((9, 5, 6), 5, 6, 0) == "tyx"
+    assert arrays.axis_letters((5, 6, 9), 5, 6, 0) == "yxt" and arrays.axis_letters((9, 2, 3), 5, 6, 9) == "tyx"
+    with pytest.raises(ValueError):
+        arrays.axis_letters((7, 8, 9), 5, 6, 0)
 
 
 def png(pixels, kind):
