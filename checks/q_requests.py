@@ -239,14 +239,6 @@ def map_summaries(spark, sf):
     return rounded(sinks.map_summaries(agg.mean_map(grid_e(spark, sf))))
 
 
-@query("catalog", f"""
-SELECT 'E' AS grid_id, 8 AS n_lat, 0.0::DOUBLE AS lat_min, 7.0::DOUBLE AS lat_max, 16 AS n_lon, 0.0::DOUBLE AS lon_min, 15.0::DOUBLE AS lon_max, 30 AS n_time, '2024-01-01' AS time_start, '2024-01-30' AS time_end, 5 AS n_variables,
-  'EPSG:4326/inferred' AS crs, 'spatiotemporal_grid' AS grid_type, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS variables, {len(rules.REGION_NAMES)} AS regions FROM events""")
-def catalog_row(spark, sf):
-    done = catalog.catalog(grid_e(spark, sf))
-    return done.withColumns({"variables": F.array_join("variables.name", ","), "regions": F.size("regions")})
-
-
 # --- images and arrays as sources --------------------------------------------------------------------------------------
 
 
@@ -281,6 +273,41 @@ def array_files(spark, sf):
     return arrays.array_cells(files).withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
+def _save_placed(batches):
+    """Each vector as an .npz file with its own latitudes, longitudes and day."""
+    for batch in batches:
+        content = []
+        for i, values in zip(batch["vec_id"], batch["embedding"], strict=True):
+            buffer = io.BytesIO()
+            day = np.array(["2024-01-01"], "datetime64[D]") + i % 28
+            np.savez(buffer, lat=i % 50 + np.arange(8) / 2, lon=100.0 + np.arange(8), time=day, level=np.asarray(values, dtype=float).reshape(1, 8, 8))
+            content.append(buffer.getvalue())
+        yield pd.DataFrame({"path": "/x/" + batch["vec_id"].astype(str) + ".npz", "content": content})
+
+
+def placed_arrays(spark, sf):
+    return arrays.arrays_grid(table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(_save_placed, "path string, content binary"))
+
+
+@query("array_coordinates", """
+SELECT CAST(vec_id AS VARCHAR) AS grid_id, 'level' AS var, vec_id % 50 + (i // 8) / 2 AS lat, CAST(100 + i % 8 AS DOUBLE) AS lon, strftime(DATE '2024-01-01' + CAST(vec_id % 28 AS INT), '%Y-%m-%d') AS label,
+  round(CAST(embedding[i + 1] AS DOUBLE), 6) + 0.0 AS v
+FROM embeddings, (SELECT CAST(range AS INT) AS i FROM range(64))""")
+def array_coordinates(spark, sf):
+    g = placed_arrays(spark, sf)
+    return g.with_time(g.with_coords(g.cells)).select("grid_id", "var", "lat", "lon", "label", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+@query("catalog", f"""
+SELECT CAST(vec_id AS VARCHAR) AS grid_id, 8 AS n_lat, CAST(vec_id % 50 AS DOUBLE) AS lat_min, vec_id % 50 + 3.5::DOUBLE AS lat_max, 8 AS n_lon, 100.0::DOUBLE AS lon_min, 107.0::DOUBLE AS lon_max, 1 AS n_time,
+  strftime(DATE '2024-01-01' + CAST(vec_id % 28 AS INT), '%Y-%m-%d') AS time_start, strftime(DATE '2024-01-01' + CAST(vec_id % 28 AS INT), '%Y-%m-%d') AS time_end, 1 AS n_variables,
+  'EPSG:4326/inferred' AS crs, 'spatiotemporal_grid' AS grid_type, 'level' AS variables, {len(rules.REGION_NAMES)} AS regions FROM embeddings""")
+def catalog_rows(spark, sf):
+    """Axes of the array files made of the vectors."""
+    done = catalog.catalog(placed_arrays(spark, sf))
+    return done.withColumns({"variables": F.array_join("variables.name", ","), "regions": F.size("regions")})
+
+
 # --- composed analyses ---------------------------------------------------------------------------------------------------
 
 
