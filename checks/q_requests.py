@@ -226,12 +226,23 @@ def narrative_facts(spark, sf):
     return req.narrative_facts(trend, drivers, blk.block_table(g.one("price")))
 
 
-@query("exported_rows", "SELECT CAST(vec_id AS VARCHAR) AS id, 64 AS dim, 4 AS shown FROM embeddings")
+@query("exported_rows", f"""
+SELECT CAST(vec_id AS VARCHAR) AS id, 64 AS dim, 4 AS shown, {", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 4) + 0.0 AS e{i}" for i in range(4))} FROM embeddings""")
 def exported_rows(spark, sf):
     """Vectors shortened to a preview in the JSON export."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    read = sinks.json_rows(rows).select(F.from_json("value", "vec_id bigint, embedding_dim int, embedding_preview array<double>").alias("j"))
-    return read.select(F.col("j.vec_id").cast("string").alias("id"), F.col("j.embedding_dim").alias("dim"), F.size("j.embedding_preview").alias("shown"))
+    read = sinks.json_rows(rows, 4).select(F.from_json("value", "vec_id bigint, embedding_dim int, embedding_preview array<double>").alias("j"))
+    first = [(F.round(F.col("j.embedding_preview")[i], 4) + F.lit(0.0)).alias(f"e{i}") for i in range(4)]
+    return read.select(F.col("j.vec_id").cast("string").alias("id"), F.col("j.embedding_dim").alias("dim"), F.size("j.embedding_preview").alias("shown"), *first)
+
+
+@query("exported_vectors", """
+SELECT CAST(vec_id AS VARCHAR) AS id, i, round(CAST(embedding[i + 1] AS DOUBLE), 4) + 0.0 AS v FROM embeddings, (SELECT CAST(range AS INT) AS i FROM range(64))""")
+def exported_vectors(spark, sf):
+    """Whole vectors in the JSON export."""
+    rows = sinks.json_rows(table(spark, sf, "embeddings").select("vec_id", "embedding"), None)
+    read = rows.select(F.from_json("value", "vec_id bigint, embedding array<double>").alias("j"))
+    return read.select(F.col("j.vec_id").cast("string").alias("id"), F.posexplode("j.embedding").alias("i", "v")).withColumn("v", F.round("v", 4) + F.lit(0.0))
 
 
 @query("map_summaries", f"WITH {SQL_E}, {MEAN} SELECT grid_id, var, 8 AS n_y, 16 AS n_x, {rd('min(v)', 3, 'min')}, {rd('max(v)', 3, 'max')} FROM mm GROUP BY grid_id, var")

@@ -426,7 +426,14 @@ def flat_image(df):
     return rounded(df.withColumns(text), 4)
 
 
-@query("image_features", f"WITH {SQL_RGB}, {_WIDE}, {_LUMA.replace('FROM w', 'FROM w WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL')}, {_HSV}, {image_sql(True)}")
+_COLOURED = f"WITH {SQL_RGB}, {_WIDE}, {_LUMA.replace('FROM w', 'FROM w WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL')}, {_HSV}, {image_sql(True)}"
+
+
+# The last image may lack colours and thus any intensity: it has a row as well.
+@query("image_features", f"""
+SELECT * FROM ({_COLOURED}) UNION ALL BY NAME
+SELECT CAST(vec_id // 3 AS VARCHAR) AS grid_id, 8 AS width, 8 AS height, 1.0::DOUBLE AS aspect_ratio, 3 AS channel_count, 'unknown texture' AS texture_label, '{",".join("0" * 16)}' AS counts,
+  0.0::DOUBLE AS colorfulness, '{",".join("0" * 12)}' AS hue_counts, 'unknown' AS dominant_color FROM embeddings GROUP BY 1 HAVING count(*) < 3""")
 def image_features(spark, sf):
     return flat_image(img.image_features(grid_rgb(spark, sf)))
 

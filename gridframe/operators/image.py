@@ -175,19 +175,21 @@ def scale_map(grid: Grid, map_df: DataFrame, mode: str, keys: Sequence[str] = MA
     return map_df.join(limits, [*keys]).withColumn("v", scaled).drop("a", "b")
 
 
-def filled_intensity(grid: Grid) -> DataFrame:
+def filled_intensity(grid: Grid, maps: DataFrame | None = None) -> DataFrame:
     """Intensity with gaps filled (``filled``), the original (v), and the gradient (g)."""
-    full = fill_nearest(intensity(grid), ("grid_id",), all_missing=0.0, width=grid.shape[2])
+    plain = intensity(grid) if maps is None else maps.select("grid_id", "y", "x", F.col("intensity").alias("v"))
+    full = fill_nearest(plain, ("grid_id",), all_missing=0.0, width=grid.shape[2])
     sloped = gradient(full, IMAGE)
     return cut_lineage(sloped.select("grid_id", "y", "x", F.col("v").alias("filled"), F.col("v_original").alias("v"), "g"))
 
 
 def image_features(grid: Grid) -> DataFrame:
-    """All image features, one row per grid."""
+    """All image features, one row per grid. An image without a present intensity keeps its size; what it lacks is NULL."""
     maps = cut_lineage(pixels(grid))
-    sloped = filled_intensity(grid)
-    rows = image_summary(grid, maps).join(edge_stats(grid, sloped), "grid_id").join(texture_stats(grid, sloped), "grid_id")
-    rows = rows.join(histogram(maps, "intensity", 16, 0.0, 255.0), "grid_id")
+    sloped = filled_intensity(grid, maps)
+    rows = image_summary(grid, maps).join(edge_stats(grid, sloped), "grid_id", "left").join(texture_stats(grid, sloped), "grid_id", "left")
+    rows = rows.withColumn("texture_label", F.coalesce("texture_label", texture_label(F.col("local_std_mean"))))
+    rows = rows.join(histogram(maps, "intensity", 16, 0.0, 255.0), "grid_id", "left")
     if has_color(grid):
-        rows = rows.join(hsv_stats(grid, maps), "grid_id")
+        rows = rows.join(hsv_stats(grid, maps), "grid_id", "left")
     return rows
