@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.grids import (
-    BOXES, E_VARS, L_SHAPE, SQL_E, SQL_F, SQL_L, SQL_L3, grid_e, grid_f, grid_l, grid_l3, line_points, one_id, quarter_axis, rd, rounded, table,
-)
+from checks.grids import BOXES, L_SHAPE, SQL_E, SQL_F, SQL_L, SQL_L3, grid_e, grid_f, grid_l, grid_l3, line_points, one_id, rd, rounded, table
 from checks.registry import MEAN, SERIES, corr_sql, fill_sql, grad_sql, query
-from gridframe.functions import rules
 from gridframe.functions.columns import compact_number, coverage_label
 from gridframe.model import Grid
 from gridframe.operators import aggregates as agg, missing as mis, selection as sel
@@ -522,6 +519,3 @@ def log_summary(spark, sf):
 def compact_numbers(spark, sf):
     v = F.when(F.col("o_orderkey") % 10 != 0, F.round("o_totalprice") % 9 + 1)
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), compact_number(v).alias("s"))
-
-
-assert rules.FILL_LIMIT and E_VARS and quarter_axis

@@ -8,7 +8,7 @@ from checks.grids import BOXES, SQL_L, SQL_Y, grid_l, grid_y, rd, rounded
 from checks.registry import COMPASS, comp_sql, grad_sql, query
 from gridframe.functions import rules
 from gridframe.model import MAP
-from gridframe.operators import aggregates as agg, blocks as blk, selection as sel
+from gridframe.operators import blocks as blk, selection as sel
 from gridframe.sources import sinks
 
 REGION_CELLS = SQL_L.replace("cells AS (", "cells0 AS (") + """,
@@ -263,6 +263,3 @@ def block_matrix(spark, sf):
     matrix = sinks.to_matrix(_plain(spark, sf), "primary_label", 9, 14)
     line = F.array_join(F.transform("line", lambda v: F.coalesce(v, F.lit("-"))), " ")
     return matrix.select(*MAP, F.posexplode("matrix").alias("row", "line")).select(*MAP, "row", line.alias("line"))
-
-
-assert agg

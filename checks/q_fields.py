@@ -9,7 +9,6 @@ from checks.registry import COMPASS, MEAN, SERIES, comp_sql, corr_sql, fill_sql,
 from gridframe.functions.columns import compass
 from gridframe.model import MAP
 from gridframe.operators import aggregates as agg, missing as mis, regions as reg, stencil as st, temporal as tem
-from gridframe.operators.selection import slice_at
 
 # --- stencils ------------------------------------------------------------------------------------------------
 
@@ -392,6 +391,3 @@ WITH {SQL_E}, {SERIES}, r AS (SELECT a.grid_id, a.var, round_even({corr_sql('b.v
 SELECT grid_id, var, correlation, CAST(row_number() OVER w AS INT) AS rank FROM r WHERE correlation IS NOT NULL WINDOW w AS (PARTITION BY grid_id ORDER BY abs(correlation) DESC, var) QUALIFY row_number() OVER w <= 12""")
 def driver_correlation(spark, sf):
     return tem.driver_correlation(agg.daily_matrix(grid_e(spark, sf)), "view")
-
-
-assert slice_at and SQL_E

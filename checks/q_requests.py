@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from checks.grids import BOXES, E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
+from checks.grids import BOXES, E_VARS, SQL_E, SQL_I, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
 from checks.q_blocks import REGION_CELLS, blocks_sql
 from checks.q_fields import SPATIAL_SQL, TEMPORAL_SQL, similar_sql
 from checks.q_vision import flat_image, image_sql
@@ -21,7 +21,7 @@ from gridframe.functions.columns import unite
 from gridframe.model import MAP
 from gridframe.operators import aggregates as agg, blocks as blk, requests as req, regions as reg, selection as sel, temporal as tem
 from gridframe.plans import analyze as plans
-from gridframe.sources import arrays, catalog, images, sinks, tabular as tab
+from gridframe.sources import arrays, catalog, images, sinks
 
 PHRASES = (
     "今天和昨天的PM2.5对比", "近7天温度变化趋势", "过去 30 天污染扩散轨迹", "湿度异常在哪里", "华北地区的风速分布", "京津冀污染来源溯源", "杭州市降水与气压的关系",
@@ -386,6 +386,3 @@ SELECT grid_id, var, strategy, 30 AS n_t, 8 AS n_y, 16 AS n_x, CAST(NULL AS VARC
 FROM filled JOIN st USING (grid_id, var) GROUP BY grid_id, var, strategy""")
 def grid_description(spark, sf):
     return rounded(plans.describe(grid_e(spark, sf))["profiles"])
-
-
-assert SQL_I and SQL_L and tab

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.grids import E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
+from checks.grids import E_VARS, SQL_E, SQL_I, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l3, grid_rgb, rd, rounded, table
 from checks.q_basics import BLOCK_ROWS, TIME_ROWS
 from checks.q_fields import _mirror, box_sql
 from checks.registry import MEAN, corr_sql, fill_sql, grad_sql, query
 from gridframe.functions import rules
 from gridframe.functions.columns import norm
-from gridframe.model import MAP
-from gridframe.operators import aggregates as agg, embed as emb, image as img, missing as mis
+from gridframe.operators import aggregates as agg, embed as emb, image as img
 
 SHAPE = (3, 5)
 
@@ -436,6 +435,3 @@ SELECT CAST(vec_id // 3 AS VARCHAR) AS grid_id, 8 AS width, 8 AS height, 1.0::DO
   0.0::DOUBLE AS colorfulness, '{",".join("0" * 12)}' AS hue_counts, 'unknown' AS dominant_color FROM embeddings GROUP BY 1 HAVING count(*) < 3""")
 def image_features(spark, sf):
     return flat_image(img.image_features(grid_rgb(spark, sf)))
-
-
-assert SQL_L and grid_l and mis and MAP
