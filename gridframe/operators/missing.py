@@ -36,8 +36,8 @@ def fill_nearest(
     Ties go to the smaller row, then the smaller column. The distance transform is separable: windows along
     columns find the nearest present cell above and below; then each row picks among its columns
     (Felzenszwalb and Huttenlocher 2012). Rows known to be at most ``NARROW`` wide (patches, small images) are
-    compared whole inside Spark; wider rows look outward column by column until no closer cell is possible, in
-    bands of 32 rows with numpy. No task sees a whole map. Slices without any value stay missing, or become
+    compared whole inside Spark; wider rows build the lower envelope of their sources in time linear in the
+    row, in bands of 32 rows. No task sees a whole map. Slices without any value stay missing, or become
     ``all_missing``. Keeps ``v_original`` and sets ``filled``.
     """
     keys = list(keys)
@@ -79,38 +79,21 @@ def _wide_rows(sourced: DataFrame, keys: list[str]) -> DataFrame:
     types = dict(sourced.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", nearest double"
     staged = sourced.withColumns({"_sy": F.col("_sy").cast("double"), "_band": F.floor(F.col("y") / ROW_BAND)})
-    return staged.groupBy(*keys, "_band").applyInPandas(_outward(columns), schema)
+    return staged.groupBy(*keys, "_band").applyInPandas(_across(columns), schema)
 
 
-def _outward(columns: list[str]):
+def _across(columns: list[str]):
     def fill(band: pd.DataFrame) -> pd.DataFrame:
         band = band.sort_values(["y", "x"], kind="stable")
         rows = band["y"].nunique()
         shape = (rows, len(band) // rows)
         y = band["y"].to_numpy(float).reshape(shape)
         sy = band["_sy"].to_numpy(float).reshape(shape)
-        sv = band["_sv"].to_numpy(float).reshape(shape)
+        value = band["_sv"].to_numpy(float).reshape(shape).copy()
         own = (sy - y) ** 2
-        own[np.isnan(own)] = np.inf
-        best, best_y, value = own.copy(), sy.copy(), sv.copy()
-        best_x = np.broadcast_to(np.arange(shape[1], dtype=float), shape).copy()
-        for step in range(1, shape[1]):
-            if not (best > step * step).any() and not (best == step * step).any():
-                break
-            for side in (-step, step):
-                to = slice(max(0, -side), shape[1] - max(0, side))
-                frm = slice(max(0, side), shape[1] - max(0, -side))
-                distance = own[:, frm] + step * step
-                source_x = np.arange(frm.start, frm.stop, dtype=float)
-                tie = distance == best[:, to]
-                wins = (distance < best[:, to]) | (
-                    tie & np.isfinite(distance)
-                    & ((sy[:, frm] < best_y[:, to]) | ((sy[:, frm] == best_y[:, to]) & (source_x < best_x[:, to])))
-                )
-                best[:, to] = np.where(wins, distance, best[:, to])
-                best_y[:, to] = np.where(wins, sy[:, frm], best_y[:, to])
-                value[:, to] = np.where(wins, sv[:, frm], value[:, to])
-                best_x[:, to] = np.where(wins, source_x, best_x[:, to])
+        for r in np.flatnonzero(np.isfinite(own).any(axis=1) & (own != 0).any(axis=1)):
+            gaps, nearest = _row_sources(own[r], sy[r])
+            value[r, gaps] = value[r, nearest]
         out = band[columns].copy()
         out["nearest"] = value.reshape(-1)
         return out
@@ -118,6 +101,47 @@ def _outward(columns: list[str]):
     return fill
 
 
+def _row_sources(own: np.ndarray, sy: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Columns of a row's gaps, and for each the column whose source is nearest; ties by row, then column.
+
+    ``own`` is the squared distance to the nearest source within the column. Over x, every source is a parabola, and the lower envelope
+    of all of them is built once from left to right, so time is linear in the row. Between a gap and a present cell beside
+    it nothing farther can win, so present cells inside present stretches are left out.
+    """
+    gap = own != 0
+    beside = gap.copy()
+    beside[1:] |= gap[:-1]
+    beside[:-1] |= gap[1:]
+    at = np.flatnonzero(beside & np.isfinite(own))
+    xs, heights, ys = at.tolist(), own[at].astype(np.int64).tolist(), sy[at].astype(np.int64).tolist()
+    hull: list[int] = []
+    since: list[float] = []  # where a parabola takes over from the one before; equal bounds stay, as ties need all of them
+    for i, x in enumerate(xs):
+        bound = -np.inf
+        while hull:
+            p = hull[-1]
+            bound = (heights[i] + x * x - heights[p] - xs[p] * xs[p]) / (2 * (x - xs[p]))
+            if len(hull) == 1 or bound >= since[-1]:
+                break
+            hull.pop()
+            since.pop()
+        hull.append(i)
+        since.append(bound)
+    since.append(np.inf)
+    gaps, nearest, k = np.flatnonzero(gap), [], 0
+    for x in gaps.tolist():
+        while since[k + 1] < x:
+            k += 1
+        best, j = None, k
+        while best is None or since[j] <= x:
+            i = hull[j]
+            offer = (heights[i] + (x - xs[i]) ** 2, ys[i], xs[i])
+            best = offer if best is None or offer < best else best
+            j += 1
+        nearest.append(best[2])
+    return gaps, nearest
+
+
 def fill_mean(map_df: DataFrame, replace_outside: bool = False, region: str | None = None) -> DataFrame:
     """Missing cells take the mean of the map.
 

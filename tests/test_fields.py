@@ -31,6 +31,19 @@ def nearest(a):
     return out
 
 
+def test_row_sources_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        for _ in range(200):
+            sy, y = rng.integers(0, 9, n).astype(float), int(rng.integers(0, 9))
+            sy[rng.random(n) < rng.random()] = np.nan
+            if np.isnan(sy).all() or (sy == y).all():
+                continue
+            gaps, nearest = mis._row_sources((sy - y) ** 2, sy)
+            there = np.flatnonzero(~np.isnan(sy))
+            assert nearest == [min(there, key=lambda i: ((sy[i] - y) ** 2 + (i - x) ** 2, sy[i], i)) for x in gaps]
+
+
 @pytest.mark.parametrize("width", [None, 9])
 def test_nearest_fill_equals_brute_force(grid_from, as_map, width):
     a = gappy((70, 9), 0.9)
