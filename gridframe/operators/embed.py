@@ -7,9 +7,11 @@ root of its length). Attention works on pairs of blocks of patches, so it doesn'
 
 from __future__ import annotations
 
-import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -213,7 +215,7 @@ BLOCK = 512
 
 def fixed_weights(rows: int, cols: int, name: str) -> np.ndarray:
     """Standard normal matrix seeded by a name, the same on every machine."""
-    seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big") % 2**32
+    seed = int.from_bytes(sha256(name.encode()).digest()[:8], "big") % 2**32
     return np.random.default_rng(seed).normal(0.0, 1.0, size=(rows, cols))
 
 
@@ -452,23 +454,32 @@ def saliency_map(grid: Grid, encoded: DataFrame, shape: tuple[int, int] = (32, 3
 def hash_embed(df: DataFrame, text: str, dim: int, key: str = "id") -> DataFrame:
     """Adds nothing to texts but a vector: signed counts of hashed character pairs, scaled to length 1.
 
-    Pairs are counted before they are hashed into place, so a long or repetitive text moves few rows.
+    Every row is handled where it lies, without a shuffle. Null and blank texts get zeros; rows with one key keep a vector each.
     """
-    chars = F.split(strip(F.lower(F.col(text))), "")
-    pairs = F.when(
-        F.size("c") > 1, F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.concat(a, b))
-    ).otherwise(F.filter("c", lambda a: a != ""))
-    grams = df.select(key, chars.alias("c")).select(key, F.explode(pairs).alias("gram"))
-    counted = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.sha2(F.col("gram").cast("binary"), 256)
-    at = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    summed = counted.groupBy(key, at.alias("i")).agg(F.sum(sign * F.col("n")).alias("w"))
-    packed = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    entry = lambda i: ratio(F.coalesce(F.try_element_at("m", i), F.lit(0.0)), F.col("len"))
-    vectors = packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), entry).alias("vector"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return df.select(key).join(vectors, key, "left").select(key, F.coalesce("vector", zero).alias("vector"))
+    return df.select(key, _pair_vectors(dim)(strip(F.lower(F.col(text)))).alias("vector"))
+
+
+def _pair_vectors(dim: int):
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        @lru_cache(maxsize=100_000)
+        def place(pair: str) -> tuple[int, float]:
+            digest = sha256(pair.encode("utf-8", "surrogatepass")).digest()
+            return int.from_bytes(digest[:4], "big") % dim, -1.0 if digest[4] % 2 else 1.0
+
+        def one(text: str | None) -> np.ndarray:
+            out = np.zeros(dim)
+            text = text or ""
+            pairs = Counter(map("".join, zip(text, text[1:]))) if len(text) > 1 else Counter(text)
+            for pair, n in pairs.items():
+                i, sign = place(pair)
+                out[i] += sign * n
+            length = np.sqrt((out * out).sum())
+            return out / length if length else out
+
+        return texts.map(one)
+
+    return vectors
 
 
 def align(texts: DataFrame, encoded: DataFrame, n: int = 10, key: str = "id") -> DataFrame:

@@ -167,11 +167,11 @@ def test_patch_shape():
 
 
 def test_text_hash_embedding(spark):
-    texts = ["", "  A ", "wind field 风速", "aaaa"]
+    texts = ["", "  A ", "wind field 风速", "aaaa", None, "wind"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r["id"]: r["vector"] for r in emb.hash_embed(df, "text", 16).collect()}
     for i, text in enumerate(texts):
-        clean, want = text.lower().strip(), np.zeros(16)
+        clean, want = (text or "").lower().strip(), np.zeros(16)
         for gram in [clean[j: j + 2] for j in range(max(1, len(clean) - 1))] if clean else []:
             d = hashlib.sha256(gram.encode()).digest()
             want[int.from_bytes(d[:4], "big") % 16] += 1 if d[4] % 2 == 0 else -1
