@@ -161,7 +161,8 @@ PLAN = (
 
 def with_defaults(plans: DataFrame) -> DataFrame:
     """Missing fields of flat plans filled: task_type, region, variables, time_range, chart_type, layout,
-    color_encoding, focus_region, uncertainty_risks."""
+    color_encoding, focus_region, uncertainty_risks, follow_up_questions."""
+    asked = F.col("follow_up_questions") if "follow_up_questions" in plans.columns else F.lit(None)
     region = F.coalesce("region", F.lit(rules.DEFAULT_REGION))
     none = F.array().cast("array<string>")
     return plans.withColumns({
@@ -169,6 +170,7 @@ def with_defaults(plans: DataFrame) -> DataFrame:
         "time_range": F.coalesce("time_range", F.lit(rules.DEFAULT_TIME_RANGE)), "chart_type": F.coalesce("chart_type", F.lit("heatmap + contour overlay")),
         "layout": F.coalesce("layout", F.lit("single map with summary cards")), "color_encoding": F.coalesce("color_encoding", F.lit("sequential color scale")),
         "focus_region": F.coalesce("focus_region", region), "uncertainty_risks": F.coalesce("uncertainty_risks", none),
+        "follow_up_questions": F.coalesce(asked, none),
     })
 
 
@@ -202,7 +204,10 @@ def merge_plans(plans: DataFrame, reply: str = "reply") -> DataFrame:
         "time_range": text("task_graph.time_range", "time_range"),
         "chart_type": text("visualization_strategy.chart_type", "chart_type"),
         "layout": text("visualization_strategy.layout", "layout"),
+        "color_encoding": text("visualization_strategy.color_encoding", "color_encoding"),
+        "focus_region": text("visualization_strategy.focus_region", "focus_region"),
         "uncertainty_risks": unite(F.col("uncertainty_risks"), r("uncertainty_risks")),
+        "follow_up_questions": unite(F.col("follow_up_questions"), r("follow_up_questions")),
     })
 
 
