@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from gridframe.model import MAP, Grid
 
 
-def write_cells(grid: Grid, path: str, masks: DataFrame | None = None, mode: str = "errorifexists") -> None:
-    """Values with their missing, filled and permanently-missing flags, partitioned by grid and variable."""
+def write_cells(grid: Grid, path: str, masks: DataFrame | None = None, mode: str = "errorifexists", buckets: int = 32) -> None:
+    """Values with their missing, filled and permanently-missing flags, partitioned by variable and hash bucket of the grid.
+
+    Files are sorted by grid, step and row, so filters on these skip row groups. Buckets are rebalanced: small ones share
+    a task, and a bucket with one huge grid is split over several.
+    """
     cells = grid.cells
     original = F.col("v_original") if "v_original" in cells.columns else F.col("v")
     out = cells.withColumn("orig_missing", original.isNull())
@@ -18,7 +22,8 @@ def write_cells(grid: Grid, path: str, masks: DataFrame | None = None, mode: str
         out = out.withColumn("filled", F.lit(False))
     if masks is not None:
         out = out.join(masks.select("grid_id", "y", "x", "fixed_missing"), ["grid_id", "y", "x"])
-    out.write.mode(mode).partitionBy("grid_id", "var").parquet(path)
+    out = out.withColumn("bucket", F.pmod(F.hash("grid_id"), F.lit(buckets))).hint("rebalance", "var", "bucket")
+    out.sortWithinPartitions("var", "bucket", "grid_id", "t", "y", "x").write.mode(mode).partitionBy("var", "bucket").parquet(path)
 
 
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists", preview: int | None = None) -> None:
