@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from checks.grids import BOXES, E_VARS, SQL_E, SQL_I, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
+from checks.grids import BOXES, E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
 from checks.q_blocks import REGION_CELLS, blocks_sql
 from checks.q_fields import SPATIAL_SQL, TEMPORAL_SQL, similar_sql
 from checks.q_vision import flat_image, image_sql
@@ -19,7 +19,7 @@ from checks.registry import MEAN, SERIES, corr_sql, fill_sql, query
 from gridframe.functions import rules
 from gridframe.functions.columns import unite
 from gridframe.model import MAP
-from gridframe.operators import aggregates as agg, blocks as blk, requests as req, regions as reg, selection as sel, temporal as tem
+from gridframe.operators import aggregates as agg, blocks as blk, missing as mis, requests as req, regions as reg, selection as sel, temporal as tem
 from gridframe.plans import analyze as plans
 from gridframe.sources import arrays, catalog, images, sinks
 
@@ -126,6 +126,8 @@ def _reply_texts(spark, sf):
             F.when(F.col("turn") % 2 == 0, "clustering").otherwise("something else").alias("task_type"), F.when(F.col("turn") % 3 == 0, "").otherwise("华南地区").alias("region"),
             F.when(F.col("turn") % 2 == 1, F.array(F.lit("temp"), F.lit("wind"))).alias("variables"),
         ).alias("task_graph"),
+        F.struct(F.when(F.col("turn") % 2 == 0, "two colours").alias("color_encoding"), F.col("role").alias("focus_region")).alias("visualization_strategy"),
+        F.array(F.lit("why"), F.col("role"), F.lit("why")).alias("follow_up_questions"),
         F.array(F.lit("r1"), F.lit("base risk"), F.concat(F.lit("r"), F.col("conv_id").cast("string"))).alias("uncertainty_risks"),
     ))
     form = (F.col("conv_id") + F.col("turn")) % 5
@@ -136,7 +138,7 @@ def _reply_texts(spark, sf):
     return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", text.alias("reply_text"))
 
 
-_REPLY = """rp AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, (conv_id + turn) % 5 IN (0, 1, 2) AS ok FROM conversations)"""
+_REPLY = """rp AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, (conv_id + turn) % 5 IN (0, 1, 2) AS ok FROM conversations)"""
 
 
 @query("parsed_replies", f"""
@@ -148,7 +150,8 @@ def parsed_replies(spark, sf):
 
 @query("merged_plans", f"""
 WITH {_REPLY} SELECT id, CASE WHEN ok AND turn % 2 = 0 THEN 'clustering' ELSE 'summary' END AS task_type, CASE WHEN ok AND turn % 3 <> 0 THEN '华南地区' ELSE '数据覆盖区域' END AS region,
-  CASE WHEN ok AND turn % 2 = 1 THEN 'temp,wind' ELSE 'PM2.5' END AS variables, 'heatmap + contour overlay' AS chart_type, 'base risk' || CASE WHEN ok THEN ',r1' || CASE WHEN conv_id = 1 THEN '' ELSE ',r' || conv_id END ELSE '' END AS risks FROM rp""")
+  CASE WHEN ok AND turn % 2 = 1 THEN 'temp,wind' ELSE 'PM2.5' END AS variables, 'heatmap + contour overlay' AS chart_type, 'base risk' || CASE WHEN ok THEN ',r1' || CASE WHEN conv_id = 1 THEN '' ELSE ',r' || conv_id END ELSE '' END AS risks,
+  CASE WHEN ok AND turn % 2 = 0 THEN 'two colours' ELSE 'sequential color scale' END AS color_encoding, CASE WHEN ok THEN role ELSE '数据覆盖区域' END AS focus_region, CASE WHEN ok THEN 'why,' || role ELSE '' END AS follow_up FROM rp""")
 def merged_plans(spark, sf):
     none = F.lit(None).cast("string")
     plan = req.parse_replies(_reply_texts(spark, sf), "reply_text").withColumns({
@@ -156,7 +159,7 @@ def merged_plans(spark, sf):
         "focus_region": none, "uncertainty_risks": F.array(F.lit("base risk")),
     })
     done = req.merge_plans(req.with_defaults(plan))
-    return done.select("id", "task_type", "region", F.array_join("variables", ",").alias("variables"), "chart_type", F.array_join("uncertainty_risks", ",").alias("risks"))
+    return done.select("id", "task_type", "region", F.array_join("variables", ",").alias("variables"), "chart_type", F.array_join("uncertainty_risks", ",").alias("risks"), "color_encoding", "focus_region", F.array_join("follow_up_questions", ",").alias("follow_up"))
 
 
 @query("united_lists", """
@@ -353,6 +356,14 @@ def task_difference_map(spark, sf):
     return rounded(plans.analyze(grid_l(spark, sf), "price", "core", task="comparison", boxes=BOXES)["difference_map"])
 
 
+@query("task_mean_map_of_valid_cells", f"""
+WITH {SQL_L}, ok AS (SELECT y, x, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) < 0.4 AND x BETWEEN 5 AND 30 AND y BETWEEN 10 AND 40 AS valid FROM cells GROUP BY y, x)
+SELECT grid_id, var, y, x, {rd('avg(CASE WHEN valid THEN v END)', 3, 'v')} FROM cells JOIN ok USING (y, x) GROUP BY grid_id, var, y, x""")
+def task_mean_map_of_valid_cells(spark, sf):
+    grid = grid_l(spark, sf)
+    return rounded(plans.analyze(grid, "price", "core", task="clustering", boxes=BOXES, mask=mis.missing_masks(grid, 0.4))["mean_map"])
+
+
 @query("task_pairs", f"""
 WITH {SQL_L3}, p AS (SELECT t, y, x, price AS a, discount AS b, row_number() OVER (ORDER BY t, y, x) - 1 AS k, count(*) OVER () AS n FROM wide WHERE price IS NOT NULL AND discount IS NOT NULL AND x BETWEEN 5 AND 30 AND y BETWEEN 10 AND 40)
 SELECT 'L' AS grid_id, t, y, x, {rd('a')}, {rd('b')} FROM p WHERE n <= 3000 OR k % (n // 3000) = 0""")

@@ -21,6 +21,8 @@ TASK_TABLES: Mapping[str, tuple[str, ...]] = {
     "attribution": ("mean_map", "hotspot_mask", "pairs"),
     "correlation_analysis": ("mean_map", "hotspot_mask", "pairs"),
 }
+DEFAULT_TABLES = ("mean_map", "hotspot_mask")
+OVER_TIME = ("trend_analysis", "source_tracing", "comparison")
 
 
 class Tables(Mapping[str, DataFrame]):
@@ -61,14 +63,18 @@ def analyze(
     block_rows: int = 9,
     block_cols: int = 14,
     min_similar_cells: int = 200,
+    mask: DataFrame | None = None,
 ) -> Mapping[str, DataFrame]:
     """Tables of the analysis of a variable in a region for one step; with a task, only those it needs.
 
+    Cells outside the valid region of ``mask`` (as ``missing_masks`` returns it) count as missing. The tasks that compare steps
+    fall back on the mean map where no grid has a second step.
+
     The masked cells of the variable are computed once and shared. A table is built when it is asked for, so a caller
     pays for what it reads.
     """
     var = var or grid.primary
-    subset = sel.prepare(grid, var, region, None, boxes)
+    subset = sel.prepare(grid, var, region, mask, boxes)
     subset = subset.with_cells(cut_lineage(subset.cells))
     if task is not None:
         return _for_task(grid, subset, var, task)
@@ -125,7 +131,9 @@ def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> Mapping[str, Dat
         "hotspot_cells": lambda: reg.hotspots(subset, mean),
         "pairs": pairs,
     }
-    names = TASK_TABLES.get(task, ("mean_map", "hotspot_mask"))
+    names = TASK_TABLES.get(task, DEFAULT_TABLES)
+    if subset.shape[0] <= 1 and task in OVER_TIME:
+        names = (*DEFAULT_TABLES, *(n for n in names if n == "hotspot_cells"))
     return Tables({name: makers[name] for name in names if name != "pairs" or other is not None})
 
 

@@ -181,6 +181,31 @@ def test_analysis_of_bumpy_field(spark):
         assert all(df.columns for df in plans.analyze(g, task=task).values())
 
 
+def test_task_analysis_keeps_to_valid_cells_and_single_steps(spark, grid_from):
+    a = np.arange(24, dtype=float).reshape(2, 4, 3)
+    a[:, 1, 2] = np.nan
+    g = grid_from(a)
+    masks = mis.missing_masks(g)
+    valid = plans.analyze(mis.fill(g), task="clustering", mask=masks)["mean_map"]
+    assert [(r["y"], r["x"]) for r in valid.where("v is null").collect()] == [(1, 2)]
+    assert "difference_map" in plans.analyze(g, task="comparison")
+    one = grid_from(a[:1])
+    for task, names in (("comparison", ["mean_map", "hotspot_mask"]), ("source_tracing", ["mean_map", "hotspot_mask", "hotspot_cells"])):
+        tables = plans.analyze(one, task=task)
+        assert list(tables) == names and tables["mean_map"].count() == 12
+
+
+def test_reply_fields_are_merged(spark):
+    reply = '{"visualization_strategy": {"color_encoding": "", "focus_region": "north"}, "follow_up_questions": ["b", "a", ""]}'
+    none = F.lit(None).cast("string")
+    plan = spark.createDataFrame([(reply, ["a"]), ("no reply", None)], "r string, follow_up_questions array<string>").withColumns(
+        {c: none for c in ("task_type", "region", "time_range", "chart_type", "layout", "color_encoding", "focus_region")}
+    ).withColumns({c: F.lit(None).cast("array<string>") for c in ("variables", "uncertainty_risks")})
+    rows = req.merge_plans(req.with_defaults(req.parse_replies(plan, "r"))).collect()
+    assert rows[0]["focus_region"] == "north" and rows[0]["color_encoding"] == rows[1]["color_encoding"] == "sequential color scale"
+    assert rows[0]["follow_up_questions"] == ["a", "b"] and rows[1]["follow_up_questions"] == []
+
+
 def test_feature_bundle(spark):
     g = bumpy_field(spark, 18, 20, 6)
     tables = plans.extract_features(g, block=(6, 5), dim=4)
