@@ -498,7 +498,7 @@ d AS (SELECT grid_id, var, median(abs(v - med)) AS mad FROM mm JOIN m USING (gri
 SELECT grid_id, var, {rd('med', 3, 'median')}, {rd('mad')}, {rd('greatest(1.4826 * mad, sd, 1e-9)', 3, 'outlier_scale')} FROM m JOIN d USING (grid_id, var)""")
 def robust_scale(spark, sf):
     g = grid_e(spark, sf)
-    return rounded(agg.robust_scale(agg.mean_map(g), g.map_cells))
+    return rounded(agg.robust_scale(agg.mean_map(g), g.map_cells, small=g.per_map))
 
 
 @query("log_summary", """

@@ -6,7 +6,7 @@ still spreads over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -325,10 +325,10 @@ def label_distribution(blocks: DataFrame, labels: Sequence[str], column: str = "
     return counted.select("grid_id", F.explode(F.array(*entries)).alias("e")).select("grid_id", "e.label", "e.n")
 
 
-def robust_scale(map_df: DataFrame, map_cells: int, keys: Sequence[str] = MAP) -> DataFrame:
+def robust_scale(map_df: DataFrame, map_cells: int, keys: Sequence[str] = MAP, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Median, median absolute deviation, and max(1.4826 MAD, std, 1e-9)."""
     centre = agg_with_quantiles(map_df, keys, [F.stddev_pop("v").alias("std")], {"v": {"median": 0.5}}, map_cells)
-    away = map_df.join(centre, [*keys]).withColumn("away", F.abs(F.col("v") - F.col("median")))
+    away = map_df.join(small(centre), [*keys]).withColumn("away", F.abs(F.col("v") - F.col("median")))
     mad = group_quantiles(away, keys, "away", {"mad": 0.5}, map_cells)
     scale = F.greatest(1.4826 * F.col("mad"), F.col("std"), F.lit(1e-9))
     return centre.join(mad, [*keys]).select(*keys, "median", "mad", scale.alias("outlier_scale"))

@@ -442,11 +442,11 @@ def saliency_map(grid: Grid, encoded: DataFrame, shape: tuple[int, int] = (32, 3
     sides = encoded.select("grid_id", F.explode(F.array(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))).alias("side"))
     sigma = sides.groupBy("grid_id").agg(F.greatest(F.lit(1.0), F.percentile("side", F.lit(0.5)) / 7.0).alias("sigma"))
     area = F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")
-    rows = encoded.join(sigma, "grid_id").select("grid_id", "n_y", "n_x", "sigma", "saliency", "x0", "x1", area)
+    rows = encoded.join(grid.per_map(sigma), "grid_id").select("grid_id", "n_y", "n_x", "sigma", "saliency", "x0", "x1", area)
     cells = rows.select("grid_id", "n_y", "n_x", "sigma", "saliency", "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
     widest = max(1.0, max(patch_shape(grid.shape[1], grid.shape[2], shape)) / 7.0)
     smoothed = smooth_map(cells, "saliency", F.col("sigma"), ["grid_id"], max_sigma=widest)
-    return min_max(smoothed.select("grid_id", "y", "x", F.col("smoothed").alias("v")), "v", ["grid_id"])
+    return min_max(smoothed.select("grid_id", "y", "x", F.col("smoothed").alias("v")), "v", ["grid_id"], small=grid.per_map)
 
 
 # --- text ------------------------------------------------------------------------------------------------------------

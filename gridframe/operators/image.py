@@ -64,7 +64,7 @@ def edge_stats(grid: Grid, sloped: DataFrame) -> DataFrame:
         present, IMAGE, [F.avg("g").alias("mean_edge_strength"), F.count(F.lit(1)).alias("n")],
         {"g": {"edge_threshold_p90": 0.9, "p95_edge_strength": 0.95}}, grid.map_cells,
     )
-    strong = present.join(stats.select("grid_id", "edge_threshold_p90"), "grid_id").where(F.col("g") >= F.col("edge_threshold_p90"))
+    strong = present.join(grid.per_map(stats.select("grid_id", "edge_threshold_p90")), "grid_id").where(F.col("g") >= F.col("edge_threshold_p90"))
     counts = strong.groupBy("grid_id").agg(F.count(F.lit(1)).alias("k"))
     return stats.join(counts, "grid_id", "left").withColumn("edge_density", ratio(F.coalesce("k", F.lit(0)), F.col("n"))).drop("k", "n")
 
@@ -79,7 +79,7 @@ def texture_stats(grid: Grid, sloped: DataFrame) -> DataFrame:
     ``sloped`` carries the gap-free intensity in ``filled`` and the original in v.
     """
     sized = grid.with_dims(sloped.select("grid_id", "y", "x", "v", "filled"))
-    textured = local_entropy(local_std(sized, "filled", 5, IMAGE), "filled", IMAGE)
+    textured = local_entropy(local_std(sized, "filled", 5, IMAGE), "filled", IMAGE, small=grid.per_map)
     present = textured.where(F.col("v").isNotNull()).select("grid_id", "local_std", "entropy")
     stats = agg_with_quantiles(
         present, IMAGE, [F.avg("local_std").alias("local_std_mean"), F.avg("entropy").alias("local_entropy_mean")],
@@ -172,7 +172,8 @@ def scale_map(grid: Grid, map_df: DataFrame, mode: str, keys: Sequence[str] = MA
         scaled = F.when(present, inside)
     else:
         raise ValueError(f"unknown mode {mode}")
-    return map_df.join(limits, [*keys]).withColumn("v", scaled).drop("a", "b")
+    steps = grid.shape[0] if "t" in keys else 1
+    return map_df.join(grid.per_map(limits, steps), [*keys]).withColumn("v", scaled).drop("a", "b")
 
 
 def filled_intensity(grid: Grid, maps: DataFrame | None = None) -> DataFrame:

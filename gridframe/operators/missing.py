@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -142,7 +144,9 @@ def _row_sources(own: np.ndarray, sy: np.ndarray) -> tuple[np.ndarray, list[int]
     return gaps, nearest
 
 
-def fill_mean(map_df: DataFrame, replace_outside: bool = False, region: str | None = None) -> DataFrame:
+def fill_mean(
+    map_df: DataFrame, replace_outside: bool = False, region: str | None = None, small: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """Missing cells take the mean of the map.
 
     With ``replace_outside`` the mean is taken inside the boolean column ``region`` and cells outside it are
@@ -151,7 +155,7 @@ def fill_mean(map_df: DataFrame, replace_outside: bool = False, region: str | No
     inside = F.col(region) if region is not None else F.lit(True)
     usable = F.when(inside, F.col("v")) if replace_outside else F.col("v")
     means = map_df.groupBy("grid_id", "var").agg(F.avg(usable).alias("_mean"))
-    return map_df.join(means, ["grid_id", "var"]).withColumn("v", F.coalesce(usable, F.col("_mean"), F.lit(0.0))).drop("_mean")
+    return map_df.join(small(means), ["grid_id", "var"]).withColumn("v", F.coalesce(usable, F.col("_mean"), F.lit(0.0))).drop("_mean")
 
 
 def fill_linear(

@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gridframe.functions.columns import count_where
 from gridframe.model import MAP, Grid
 from gridframe.operators.aggregates import mean_map, top_rows
 from gridframe.operators.quantile import group_quantiles
@@ -223,10 +222,3 @@ def spatial_features(grid: Grid, q: float = 0.9, mask: DataFrame | None = None)
     empty = F.col("threshold").isNull()
     blank = {c: F.when(~empty, F.col(c)) for c in ("gradient_strength", "gradient_strength_p95", "anisotropy", "direction")}
     return rows.fillna(0, ["hotspot_count", "connected_domains"]).withColumns(blank)
-
-
-def hotspot_areas(labelled: DataFrame) -> DataFrame:
-    """Share of hotspot cells held by each component."""
-    sizes = labelled.groupBy(*MAP, "component").agg(F.count(F.lit(1)).alias("cells"))
-    totals = sizes.groupBy(*MAP).agg(F.sum("cells").alias("total"), count_where(F.col("cells") > 1).alias("larger"))
-    return sizes.join(totals, MAP)

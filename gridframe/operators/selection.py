@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -287,11 +286,3 @@ def thin(grid: Grid, pairs: DataFrame, limit: int = rules.MAX_SCATTER_POINTS) ->
         .where((F.col("offset") + F.col("inner")) % every == 0)
         .drop("inner", "offset", "total")
     )
-
-
-def maps_only(df: DataFrame) -> DataFrame:
-    return df.select(*MAP, "y", "x", "v")
-
-
-def step_for(size: int, limit: int = rules.MAX_MAP_POINTS) -> int:
-    return max(1, math.ceil(size / limit))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridframe.functions.columns import anisotropy, axis_direction
 from gridframe.model import MAP, Grid
 from gridframe.operators.missing import fill_nearest
-from gridframe.operators.quantile import agg_with_quantiles, group_quantiles
+from gridframe.operators.quantile import agg_with_quantiles
 from gridframe.session import cut_lineage
 
 
@@ -137,13 +137,13 @@ def local_std(df: DataFrame, value: str, n: int, keys: Sequence[str], out: str =
     return boxed.withColumn(out, spread).drop("_m", "_q")
 
 
-def local_entropy(df: DataFrame, value: str, keys: Sequence[str], bins: int = 16, n: int = 7) -> DataFrame:
+def local_entropy(df: DataFrame, value: str, keys: Sequence[str], bins: int = 16, n: int = 7, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds ``entropy``: entropy of min-max quantised levels in an n by n box, scaled to 0..1; 0 on flat maps."""
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     scaled = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (bins - 1)
     level = F.least(F.greatest(F.floor(scaled), F.lit(0)), F.lit(bins - 1))
     flags = {f"_l{i}": F.when(F.col("_level") == i, 1.0).otherwise(0.0) for i in range(bins)}
-    levels = df.join(span, [*keys]).withColumn("_level", level).withColumns(flags)
+    levels = df.join(small(span), [*keys]).withColumn("_level", level).withColumns(flags)
     boxed = box_mean(levels, list(flags), n, keys)
     total = F.lit(0.0)
     for p in flags:
@@ -209,11 +209,11 @@ def smooth_map(
     return _weighted(first, "x", out, "n_x", kernel, radius, [*keys, "y"], out).drop("_kernel")
 
 
-def min_max(df: DataFrame, value: str, keys: Sequence[str], out: str | None = None) -> DataFrame:
+def min_max(df: DataFrame, value: str, keys: Sequence[str], out: str | None = None, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Scales to 0..1 per group; 0 where a group has no spread."""
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     scaled = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    return df.join(span, [*keys]).withColumn(out or value, scaled).drop("_lo", "_hi")
+    return df.join(small(span), [*keys]).withColumn(out or value, scaled).drop("_lo", "_hi")
 
 
 # --- differences and autocorrelation -------------------------------------------------------------
@@ -255,21 +255,15 @@ def moran_value(v: Column, right: Column, below: Column) -> Column:
     return F.when(n >= 4, value)
 
 
-def moran(map_df: DataFrame, keys: Sequence[str] = MAP, by: Sequence[str] = ()) -> DataFrame:
+def moran(map_df: DataFrame, keys: Sequence[str] = MAP, by: Sequence[str] = (), small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Moran's I per map, or per part of a map named by the columns ``by``."""
     groups = [*keys, *by]
     centre = map_df.groupBy(*keys).agg(F.avg("v").alias("_c"))
-    shifted = map_df.join(centre, [*keys]).withColumn("_v", F.col("v") - F.col("_c"))
+    shifted = map_df.join(small(centre), [*keys]).withColumn("_v", F.col("v") - F.col("_c"))
     row, column = lines(groups)
     placed = shifted.withColumn("_right", F.lead("_v").over(row)).withColumn("_below", F.lead("_v").over(column))
     return placed.groupBy(*groups).agg(moran_value(F.col("_v"), F.col("_right"), F.col("_below")).alias("moran_i"))
 
 
-def edge_threshold(sloped: DataFrame, map_cells: int, keys: Sequence[str] = MAP) -> DataFrame:
-    """90th percentile of the gradient on present cells."""
-    present = sloped.withColumn("gp", F.when(F.col("v").isNotNull(), F.col("g")))
-    return group_quantiles(present, keys, "gp", {"gradient_p90": 0.9}, map_cells)
-
-
 def map_gradient_stats(grid: Grid, map_df: DataFrame) -> DataFrame:
     return gradient_stats(cut_lineage(filled_gradient(map_df, width=grid.shape[2])), grid.map_cells, small=grid.per_map)
