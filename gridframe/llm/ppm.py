@@ -23,7 +23,7 @@ from gridframe.session import cut_lineage
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Entries of the trie per context length, at most: the most frequent ones are kept. The counts always cover all texts.
+#: Contexts with their byte whose chances go to every task, at most: the most frequent ones. Those of all others are joined.
 NODES = 2_000_000
 #: Words whose counts go to every task, at most: the most frequent ones. Counts of all others are joined.
 COMMON = 200_000
@@ -54,7 +54,8 @@ def codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of contexts with the next byte (``gram``) and of words (``word``, empty: the end), summed up within a task."""
+    """Counts in the texts to learn from of contexts with the next byte (``gram``) and of words (``word``, empty: the end), summed up within a task.
+    Grams of the other texts come with the count 0."""
     keys, counts, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], Counter()
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +68,19 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], ["gram", "word", "n"])
 
     for batch in pieces(batches, 0, SLICE):
-        texts = [words_of(t) for t in batch.column(0).to_pylist()]
-        words.update(chain.from_iterable(texts))
-        words[b""] += len(texts)
-        code, real, _ = codes(texts)
-        at, n = np.unique(code[real], return_counts=True)
-        keys.append(at)
-        counts.append(n)
+        parts: tuple[list, list] = [], []
+        for t, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts[learn].append(words_of(t))
+        for learn, texts in enumerate(parts):
+            if not texts:
+                continue
+            code, real, _ = codes(texts)
+            at, n = np.unique(code[real], return_counts=True)
+            keys.append(at)
+            counts.append(n * learn)
+            if learn:
+                words.update(chain.from_iterable(texts))
+                words[b""] += len(texts)
         if sum(map(len, keys)) > HELD or len(words) > HELD:
             keys[:], counts[:] = zip(merged(), strict=True)
             if len(keys[0]) > HELD // 2 or len(words) > HELD:
@@ -83,68 +90,49 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-class Trie:
-    """Sorted entries per context length, with what scoring needs of each context."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        """tables: for each context length from 0, (context and byte as one number, sorted; count)."""
-        self.key, self.own, self.log, self.context, self.leave, self.rest, self.pass_on = [], [], [], [], [], [], []
-        below = None
-        for length, (key, n) in enumerate(tables):
-            contexts, at = np.unique(key >> np.uint64(8), return_inverse=True)
-            total, kinds = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
-            self.key.append(key)
-            self.own.append((np.log(n) - np.log(total + kinds)[at]).astype(np.float32))
-            self.log.append(np.log(n).astype(np.float32))
-            self.context.append(contexts)
-            self.leave.append((np.log(kinds) - np.log(total + kinds)).astype(np.float32))
-            if below is None:
-                self.new = 256 - len(key)
-                self.rest.append(None)
-                self.pass_on.append(None)
-            else:
-                # The shorter context without the bytes that this one rules out.
-                shorter, shorter_total, shorter_kinds, shorter_key, shorter_n = below
-                mask = np.uint64((1 << 8 * (length - 1)) - 1)
-                up = np.searchsorted(shorter, contexts & mask)
-                same = shorter_n[np.searchsorted(shorter_key, key & np.uint64((1 << 8 * length) - 1))]
-                left = shorter_total[up] - np.bincount(at, weights=same, minlength=len(contexts))
-                fresh = shorter_kinds[up] - kinds
-                self.rest.append(np.log(np.maximum(left + fresh, 1)).astype(np.float32))
-                self.pass_on.append(np.where(fresh > 0, np.log(np.maximum(fresh, 1)) - np.log(np.maximum(left + fresh, 1)), 0.0).astype(np.float32))
-            below = contexts, total, kinds, key, n
-
-    @staticmethod
-    def _find(where: np.ndarray, what: np.ndarray) -> np.ndarray:
-        """Positions, -1 where there is none."""
-        if not len(where):
-            return np.full(len(what), -1)
-        at = np.searchsorted(where, what)
-        return np.where(where[np.minimum(at, len(where) - 1)] == what, at, -1)
-
-    def logs(self, code: np.ndarray) -> np.ndarray:
-        """Natural log of the chance of each byte after its context."""
-        out, sofar = np.zeros(len(code)), np.zeros(len(code))
-        open_, came = np.arange(len(code)), np.full(len(code), -1)
-        for length in range(len(self.key) - 1, -1, -1):
-            gram = code[open_] & np.uint64((1 << 8 * (length + 1)) - 1)
-            at = self._find(self.key[length], gram)
-            hit, before = at >= 0, came[open_]
-            longer = self.rest[length + 1] if length + 1 < len(self.key) else None
-            chance = self.own[length][at] if len(self.key[length]) else np.zeros(len(at))
-            if longer is not None and len(longer):
-                chance = np.where(before >= 0, self.log[length][at] - longer[before], chance) if len(self.key[length]) else chance
-            out[open_[hit]] = (sofar[open_] + chance)[hit]
-            open_, before, gram = open_[~hit], before[~hit], gram[~hit]
-            context = self._find(self.context[length], gram >> np.uint64(8))
-            if len(self.context[length]):
-                step = self.leave[length][context]
-                if longer is not None and len(longer):
-                    step = np.where(before >= 0, self.pass_on[length + 1][before], step)
-                sofar[open_] += np.where(context >= 0, step, 0.0)
-            came[open_] = context
-        out[open_] = sofar[open_] - np.log(max(self.new, 1))
-        return out
+#: The chance of a gram by its contexts from the longest on, those that don't occur having no total. A context with
+#: ``kinds`` bytes leaves ``rest`` of the next shorter one, once its own bytes are excluded, of which ``fresh`` new bytes' share.
+FOLD = """aggregate(sort_array(collect_list(struct(length, n, total, kinds, rest, fresh)), false),
+  named_struct('log', 0D, 'rest', -1D, 'fresh', 0D, 'done', false),
+  (s, x) -> CASE WHEN s.done OR x.total IS NULL THEN s
+    WHEN x.n IS NOT NULL THEN named_struct('log', s.log + ln(x.n) - ln(IF(s.rest < 0, x.total + x.kinds, s.rest)), 'rest', s.rest, 'fresh', s.fresh, 'done', true)
+    ELSE named_struct('log', s.log + CASE WHEN s.rest < 0 THEN ln(x.kinds) - ln(x.total + x.kinds) WHEN s.fresh > 0 THEN ln(s.fresh) - ln(s.rest) ELSE 0D END,
+      'rest', greatest(x.rest, 1D), 'fresh', x.fresh, 'done', false) END)"""
+
+
+def chances(grams: DataFrame) -> DataFrame:
+    """(gram, n, log): natural log of the chance of each gram's byte after its context, by the whole trie of the grams with n > 0.
+
+    All of the trie stays a table: entries per context length, grouped to contexts. A gram that was learned needs its longest
+    context only; the others are few, and meet their contexts of every length. Contexts of up to one byte, 257 at most, are sent.
+    """
+    lengths = F.explode(F.array(*[F.struct(F.lit(k).alias("length"), F.lit((1 << 8 * (k + 1)) - 1).cast("long").alias("mask")) for k in range(ORDER + 1)])).alias("m")
+    entries = grams.where("n > 0").select("gram", "n", lengths).groupBy("m.length", F.col("gram").bitwiseAND(F.col("m.mask")).alias("key")).agg(F.sum("n").alias("n"))
+    entries = cut_lineage(entries)
+    shorter = entries.select((F.col("length") + 1).alias("length"), F.col("key").alias("up"), F.col("n").alias("same"))
+    own = entries.withColumn("up", F.expr("key & (shiftleft(1L, 8 * length) - 1)")).join(shorter, ["length", "up"], "left")
+    own = own.groupBy("length", F.shiftright("key", 8).alias("context")).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("same").alias("same"), F.map_from_entries(F.collect_list(F.struct(F.expr("key & 255L"), "n"))).alias("next")
+    )
+    own = cut_lineage(own)
+    above = own.select((F.col("length") + 1).alias("length"), F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+    contexts = own.withColumn("up", F.expr("IF(length = 0, 0L, context & (shiftleft(1L, 8 * (length - 1)) - 1))")).join(above, ["length", "up"], "left")
+    fresh = F.col("up_kinds") - F.col("kinds")
+    contexts = contexts.select(
+        "length", "context", "next", F.col("total").cast("double"), F.col("kinds").cast("double"),
+        F.coalesce(F.col("up_total") - F.col("same") + fresh, F.lit(0)).cast("double").alias("rest"), F.coalesce(fresh, F.lit(0)).cast("double").alias("fresh"),
+    )
+    longest = own.where(F.col("length") == ORDER).select("context", F.ln(F.col("total") + F.col("kinds")).alias("whole"))
+    learned = grams.where("n > 0").withColumn("context", F.shiftright("gram", 8)).join(longest, "context").select("gram", "n", (F.ln("n") - F.col("whole")).alias("log"))
+    seen = own.where("length = 0").select("kinds").first()
+    steps = grams.where("n = 0").select("gram", lengths).select("gram", "m.length", F.col("gram").bitwiseAND(F.col("m.mask")).alias("key"))
+    steps = steps.select("gram", "length", F.shiftright("key", 8).alias("context"), F.expr("key & 255L").alias("byte"))
+    near = steps.where("length < 2").join(F.broadcast(contexts.where("length < 2")), ["length", "context"], "left")
+    far = steps.where("length >= 2").join(contexts.where("length >= 2"), ["length", "context"], "left")
+    met = near.unionByName(far).withColumn("n", F.expr("try_element_at(next, byte)").cast("double"))
+    new = float(np.log(max(256 - (seen[0] if seen else 0), 1)))
+    other = met.groupBy("gram").agg(F.expr(FOLD).alias("s")).select("gram", F.lit(0).cast("long").alias("n"), F.when(F.col("s.done"), F.col("s.log")).otherwise(F.col("s.log") - new).alias("log"))
+    return cut_lineage(learned.unionByName(other))
 
 
 def _level(n: Column) -> Column:
@@ -168,16 +156,15 @@ def score(documents: DataFrame, learn: Column, id: str = "doc_id", text: str = "
 
     Texts are lower-cased (A-Z) and cut into words; each text ends with one more token. ``base_score`` adds log10((c + 1) / (N + V + 1)) over
     the tokens, with counts c, N and V of all training tokens; ``score`` is the byte model's log10 probability of the words joined by one space and
-    the end. All training texts are counted. If a context length has more than ``nodes`` entries, its least frequent ones are left out
-    of the trie, and their bytes are reached by escape. Counts of the ``common`` most frequent words are sent to the tasks, all
-    others are joined by word, so the base is exact.
+    the end. All training texts are counted. Chances of the ``nodes`` most frequent contexts with their byte and counts of the ``common`` most
+    frequent words are sent to the tasks, all others are joined, so both scores are exact.
     A null text is empty: its only token is the end. Without training rows every byte has the chance 1/256, N and V are 0. Repeated rows come
     back as often as they went in, with equal scores. Rows are told apart by id and text; a null id is allowed. An empty
     table gives an empty one. Other columns are not read.
     """
     if order != ORDER:
         raise ValueError(f"contexts have {ORDER} bytes")
-    counted = documents.where(learn).select(text).mapInArrow(_grams, "gram long, word binary, n long")
+    counted = documents.select(text, F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(_grams, "gram long, word binary, n long")
     counted = cut_lineage(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")))
     words = counted.where("word IS NOT NULL").select("word", "n")
     distinct, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -187,63 +174,68 @@ def score(documents: DataFrame, learn: Column, id: str = "doc_id", text: str = "
     frequent = dict(zip(most.column(0).to_pylist(), most.column(1).to_pylist(), strict=True))
     del most
 
-    masks = F.explode(F.array(*[F.struct(F.lit(k).alias("length"), F.lit((1 << 8 * (k + 1)) - 1).cast("long").alias("mask")) for k in range(ORDER + 1)])).alias("m")
-    entries = counted.where("gram IS NOT NULL").select("gram", "n", masks).groupBy("m.length", F.col("gram").bitwiseAND(F.col("m.mask")).alias("key")).agg(F.sum("n").alias("n"))
-    entries = cut_lineage(entries)
-    levels = entries.groupBy("length", _level(F.col("n"))).count().collect()
-    floors = [_floor([(level, n) for k, level, n in levels if k == length], nodes) for length in range(ORDER + 1)]
-    for length in range(ORDER - 1, -1, -1):  # what a longer context has, a shorter one has too
-        floors[length] = min(floors[length], floors[length + 1])
-    keep = F.element_at(F.array(*map(F.lit, floors)), F.col("length") + 1)
-    kept = entries.where(_level(F.col("n")) >= keep).select("length", "key", "n").toArrow()
-    lengths, key, n = (kept.column(i).to_numpy() for i in range(3))
-    tables = []
-    for length in range(ORDER + 1):
-        own = np.flatnonzero(lengths == length)
-        own = own[np.argsort(key[own].view(np.uint64))]
-        tables.append((key[own].view(np.uint64), n[own].astype(float)))
-    sent = send(documents, (Trie(tables), frequent))
+    grams = chances(counted.where("gram IS NOT NULL").select("gram", "n"))
+    levels = grams.groupBy(_level(F.col("n") + 1)).count().collect()
+    floor = _floor([tuple(r) for r in levels], nodes)
+    kept = grams.where(_level(F.col("n") + 1) >= floor).select("gram", "log").toArrow()
+    key, log = (kept.column(i).to_numpy() for i in range(2))
+    at = np.argsort(key)
+    missing = len(key) < sum(r[1] for r in levels)
+    sent = send(documents, (key[at].view(np.uint64), log[at], frequent))
+    del kept, key, log, at
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, frequent = sent()
+        key, log, frequent = sent()
         table = np.log10(np.array([*frequent.values()], float) + 1) - unit if frequent else np.zeros(1)
         get = {w: i for i, w in enumerate(frequent)}.get
         for batch in pieces(batches, 2, SLICE):
             texts = [words_of(t) for t in batch.column(2).to_pylist()]
             code, real, first = codes(texts)
             grams, at = np.unique(code, return_inverse=True)
-            logs = np.where(real, trie.logs(grams)[at], 0.0)
+            place = np.minimum(np.searchsorted(key, grams), max(len(key) - 1, 0))
+            met = key[place] == grams if len(key) else np.zeros(len(grams), bool)
+            logs = np.where(real & met[at], (log[place] if len(key) else np.zeros(len(grams)))[at], 0.0)
             totals = np.add.reduceat(logs, first[:-1]) / np.log(10) if len(texts) else logs
+            unmet: list[dict[bytes, int]] = [{} for _ in texts]
+            where = np.flatnonzero(real & ~met[at])
+            for i, g in zip((np.searchsorted(first, where, "right") - 1).tolist(), grams[at[where]].tolist(), strict=True):
+                gram = END + g.to_bytes(ORDER + 1, "big")
+                unmet[i][gram] = unmet[i].get(gram, 0) + 1
             known, base, others, sizes = [], [], [], []
-            for words in texts:
+            for words, more in zip(texts, unmet, strict=True):
                 words = [*words, b""]
                 found = list(map(get, words))
                 seen = [i for i in found if i is not None]
                 known.append(len(seen))
                 base.append(float(table[seen].sum()) if seen else 0.0)
                 rare = Counter(w for w, i in zip(words, found, strict=True) if i is None) if len(seen) < len(words) else {}
-                others.append(rare)
-                sizes.append(len(rare))
+                others.append({**rare, **more})
+                sizes.append(len(others[-1]))
             yield _tall(batch, known, base, [len(w) + 1 for w in texts], totals, others, sizes)
 
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("r"), F.col(text)).mapInArrow(scored, "id long, r long, word binary, n long, n_tokens long, n_known long, base double, score double")
-    lookup = words.withColumnRenamed("n", "c") if len(frequent) < distinct else words.withColumnRenamed("n", "c").where("false")
-    rows = rows.join(lookup, "word", "left") if len(frequent) < distinct else rows.withColumn("c", F.lit(None).cast("long"))
-    own = F.col("n_tokens").isNull()
+    lookup = words.select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("log")) if len(frequent) < distinct else None
+    if missing:  # grams go by their bytes behind an end, which no word has
+        rare = grams.where(_level(F.col("n") + 1) < floor)
+        rare = rare.select(F.concat(F.lit(END), F.unhex(F.lpad(F.hex("gram"), 2 * ORDER + 2, "0"))).alias("word"), F.lit(None).cast("long").alias("c"), "log")
+        lookup = rare if lookup is None else lookup.unionByName(rare)
+    rows = rows.join(lookup, "word", "left") if lookup is not None else rows.select("*", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("log"))
+    own = F.col("n_tokens").isNull() & F.col("log").isNull()
     sums = rows.groupBy("id", "r").agg(
         F.count("n_tokens").alias("times"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"),
+        F.sum(F.coalesce(F.col("n") * F.col("log") / float(np.log(10)), F.lit(0.0))).alias("joined"),
         F.sum(F.coalesce("n_known", F.when(F.col("c").isNotNull(), F.col("n")), F.lit(0))).alias("n_known"),
         F.sum(F.coalesce("base", F.when(own, F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(float(unit)))), F.lit(0.0))).alias("base"),
     )
     sums = sums.withColumn("copy", F.explode(F.expr("array_repeat(0, CAST(times AS INT))")))
     return sums.select(
         F.col("id").alias(id), "n_tokens", (F.col("n_known") / F.col("times")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("times")).alias("base_score"), "score",
+        (F.col("base") / F.col("times")).alias("base_score"), (F.col("score") + F.col("joined") / F.col("times")).alias("score"),
     )
 
 
 def _tall(batch: pa.RecordBatch, known: list, base: list, n_tokens: list, totals: np.ndarray, others: list, sizes: list) -> pa.RecordBatch:
-    """One row per document with what is known of it, under a word of its own that no text has; one for each of its rarer words."""
+    """One row per document with what is known of it, under a word of its own that no text has; one for each of its rarer words and grams."""
     n, rare = batch.num_rows, sum(sizes)
     at = pa.array(np.concatenate([np.arange(n), np.repeat(np.arange(n), sizes)]))
     own = [b" %d" % r for r in batch.column(1).to_pylist()]

@@ -272,6 +272,12 @@ def test_ppm(docs, common):
         assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 and abs(a[5] - b[5]) < 1e-2
 
 
+def test_ppm_by_join_is_the_same(docs):
+    rows = lambda **sizes: sorted(map(tuple, ppm.score(docs, F.col("doc_id") % 7 != 2, **sizes).collect()), key=repr)
+    for a, b in zip(rows(nodes=20, common=3), rows(), strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
+
+
 def test_ppm_without_training_rows(docs):
     got = ppm.score(docs, F.lit(False)).collect()
     assert len(got) == docs.count() and all(r.train_tokens == 0 and r.n_known == 0 for r in got)
