@@ -315,6 +315,12 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_names_of_the_page_and_the_article_drop_nothing():
+    page = "<html class=menu><body class='no-sidebar nav-open'><article class='post has-comments comments'><p>A</p><div class='comments'>no</div></article></body>"
+    assert wrappers.text_of(page, frozenset()) == "A"
+    assert wrappers.text_of("<body class=widget><div id='content' class='with-sidebar no-header'><p>B</p></div><div class='sidebar'>no</div><ol class='comment-list'><li>no</ol>", frozenset()) == "B"
+
+
 def test_tree_matching():
     a = ["r", 0, [["x", 1, []], ["y", 2, []], ["z", 3, []]]]
     b = ["r", 0, [["y", 2, []], ["x", 9, []], ["z", 4, []]]]
