@@ -321,6 +321,17 @@ def test_names_of_the_page_and_the_article_drop_nothing():
     assert wrappers.text_of("<body class=widget><div id='content' class='with-sidebar no-header'><p>B</p></div><div class='sidebar'>no</div><ol class='comment-list'><li>no</ol>", frozenset()) == "B"
 
 
+def test_template_inside_articles_and_over_all_pages(spark):
+    inside = "<body><article><h1>T{0}</h1><p>Own text {0} of this page</p><p>{1}</p></article></body>"
+    rows = [(i, "http://a.example/", inside.format(i, "Read our terms" if i != 4 else "Another end")) for i in range(9)]
+    rows += [(100 + 2 * h + k, f"http://two{h}.example/", f"<body><p>Name</p><div><p>page {h} {k}</p></div></body>") for h in range(20) for k in range(2)]
+    rows += [(200, "http://t.example/", "<body><div>" + "<p>The long story that no mark is around.</p>" * 3 + "</div><article>teaser</article></body>")]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\nOwn text {i} of this page" + "\nAnother end" * (i == 4) for i in range(9))
+    assert all(got[100 + 2 * h + k] == f"page {h} {k}" for h in range(20) for k in range(2))
+    assert got[200].count("The long story") == 3
+
+
 def test_tree_matching():
     a = ["r", 0, [["x", 1, []], ["y", 2, []], ["z", 3, []]]]
     b = ["r", 0, [["y", 2, []], ["x", 9, []], ["z", 4, []]]]
