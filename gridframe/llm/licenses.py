@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 #: Sentences end at a line end and at a full stop, semicolon, colon or similar mark that is followed by white space or the end.
 BREAK = r"[\n\r]+|[.;:!?]+(?=\s|$)"
+#: Stand between sentences, and for a blank line, where sentences are recognised.
+EDGE, BLANK = "\x1f", "\x1e"
 
 
 def by_length() -> list[tuple[str, str]]:
@@ -83,11 +87,17 @@ def by_length() -> list[tuple[str, str]]:
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; those without words are left out."""
-    plain = F.transform(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9.\x{80}-\x{10FFFF}]+", " ")))
+    """Normalised sentences of a text, in order; those without words are left out. A blank line is the sentence BLANK."""
+    marked = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))+", f"\n{BLANK}\n")
+    plain = F.transform(F.split(marked, BREAK), lambda s: F.when(s == BLANK, s).otherwise(F.trim(F.regexp_replace(s, r"[^a-z0-9.\x{80}-\x{10FFFF}]+", " "))))
     return F.filter(plain, lambda s: s != "")
 
 
+def as_split(sentence: str) -> str:
+    """A known sentence as it is once it has been split by BREAK and its parts are joined by a space."""
+    return " ".join(" ".join(re.split(BREAK, sentence)).split())
+
+
 def _codes() -> dict[str, str]:
     """A letter for each identifier, so that rules match a sequence as a pattern does."""
     return {name: chr(0x4E00 + i) for i, name in enumerate(SENTENCES)}
@@ -96,27 +106,31 @@ def _codes() -> dict[str, str]:
 def scan(documents: DataFrame, id: str = "doc_id", text: str = "text", others: dict[str, str] | None = None) -> DataFrame:
     """(id, n_sentences, n_known, sentence_ids, rules, licenses) for each row.
 
-    Sentences are normalised and looked up among SENTENCES (and ``others``: normalised sentence to one of its identifiers);
+    Sentences are normalised and looked up among SENTENCES (and ``others``: normalised sentence to one of its identifiers). A known
+    sentence may be one of the text's or several in a row, as line ends and marks such as the colon of a tag split it; blank lines
+    are not crossed, and of those that begin at one place the longest is taken. ``n_sentences`` counts the text's as split.
     ``sentence_ids`` are the identifiers found, in order, joined by commas. RULES are then matched from left to right
     on that sequence: ``rules`` are the licences of the rules in order of their match, and ``licenses`` the distinct
     ones, sorted; all joined by commas, empty if none. The row is read by itself, so there is no shuffle and ids, ties and
     repeated rows play no part. A null text has no sentence. Other columns are not read. An empty table gives an empty one.
     """
     codes = _codes()
-    known = F.create_map(*[F.lit(x) for s, name in [*by_length(), *sorted((others or {}).items())] for x in (s, codes[name])])
+    words = {as_split(s): codes[name] for s, name in [*by_length(), *sorted((others or {}).items())]}
+    known = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
     names = F.create_map(*[F.lit(x) for name, code in codes.items() for x in (code, name)])
-    words = {s for s, _ in by_length()} | set(others or {})
     rows = documents.select(F.col(id), sentences(F.col(text)).alias("all"))
     # Few sentences are of interest: those that are in the list. The map is only asked for these.
-    rows = rows.withColumn("found", F.filter("all", lambda s: s.isin(*sorted(words))))
-    rows = rows.withColumn("coded", F.transform("found", lambda s: F.element_at(known, s)))
+    any_of = "|".join(re.escape(s).replace("\\ ", f"[ {EDGE}]") for s in sorted(words, key=lambda s: (-len(s), s)))
+    joined = F.concat(F.lit(EDGE), F.array_join("all", EDGE), F.lit(EDGE))
+    rows = rows.withColumn("found", F.regexp_extract_all(joined, F.lit(f"(?<={EDGE})(?:{any_of})(?={EDGE})"), F.lit(0)))
+    rows = rows.withColumn("coded", F.transform("found", lambda s: F.element_at(known, F.translate(s, EDGE, " "))))
     sequence = F.array_join("coded", "")
     # An array holds each rule's letters; a match takes the first rule that fits at its place.
     pattern = "|".join("".join(codes[i] for i in ids) for _, ids in RULES)
     licence = F.create_map(*[F.lit(x) for key, name in {"".join(codes[i] for i in ids): name for name, ids in RULES}.items() for x in (key, name)])
     rows = rows.withColumn("matched", F.transform(F.regexp_extract_all(sequence, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.element_at(licence, m)))
     return rows.select(
-        F.col(id), F.size("all").cast("long").alias("n_sentences"), F.size("found").cast("long").alias("n_known"),
+        F.col(id), F.size(F.filter("all", lambda s: s != BLANK)).cast("long").alias("n_sentences"), F.size("found").cast("long").alias("n_known"),
         F.array_join(F.transform("coded", lambda c: F.element_at(names, c)), ",").alias("sentence_ids"),
         F.array_join("matched", ",").alias("rules"), F.array_join(F.array_sort(F.array_distinct("matched")), ",").alias("licenses"),
     )

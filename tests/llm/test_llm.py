@@ -197,6 +197,64 @@ def test_licenses(spark):
     assert got[4].sentence_ids == "apache2-notice,apache2-obey,apache2-copy"
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """# This program is free software{0} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy"""
+
+
+def test_licenses_as_they_are_written(spark):
+    tag = "// SPDX-License-Identifier: {}\nint x;"
+    rows = [
+        (MIT, "MIT"), (MIT.replace("\n", "\r\n"), "MIT"), (BSD, "BSD-3-Clause"), (GPL.format(":"), "GPL-3.0"), (GPL.format(";"), "GPL-3.0"), (APACHE, "Apache-2.0"), (MPL, "MPL-2.0"),
+        (tag.format("MIT"), "MIT"), (tag.format("Apache-2.0"), "Apache-2.0"), (tag.format("GPL-3.0-or-later"), "GPL-3.0"), (tag.format("GPL-2.0-only"), "GPL-2.0"),
+        ("SPDX-License-Identifier:\n\nMIT", ""), ("released under\n \nthe MIT license", ""), ("released under\nthe MIT license", "MIT"),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert [r.rules for r in sorted(got)] == [want for _, want in rows]
+
+
 def test_language(spark):
     draw = random.Random(1)
     parts = {"xx": "ba be bi bo bu".split(), "yy": "ka ke ki ko ku".split(), "zz": "ñá ñé ñí".split()}
