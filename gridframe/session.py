@@ -30,21 +30,28 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "gridfram
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder below ``spark.checkpoint.dir``, with its scheme. All machines can reach it.
 
-    Used where several consumers read one intermediate table (a map with its gradient, labels of a tile) and in
-    the rounds of component merging. The table is computed once, survives lost executors, and keeps the
-    plans of its consumers short.
     Only in local mode, where all tasks share the machine's folders, is a folder of our own chosen if neither the
-    setting nor a directory on the context exists; elsewhere that is an error. Spark removes the files of checkpoints
-    that are no longer used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    setting nor a directory on the context exists; elsewhere that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not sc.master.startswith(("local[", "local")) or not configured and sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gridframe-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    Used where several consumers read one intermediate table (a map with its gradient, labels of a tile) and in
+    the rounds of component merging. The table is computed once, survives lost executors, and keeps the
+    plans of its consumers short. Spark removes the files of checkpoints that are no longer used if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
