@@ -9,6 +9,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def all_queries():
     from checks import registry
-    from checks import q_basics, q_blocks, q_fields, q_requests, q_vision  # noqa: F401
+    from checks import q_basics, q_blocks, q_fields, q_files, q_requests, q_vision  # noqa: F401
 
     return dict(registry.QUERIES), dict(registry.ORACLES)

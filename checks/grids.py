@@ -62,6 +62,13 @@ def grid_y(spark: SparkSession, sf_dir: str) -> Grid:
     return from_points(points, ["price"], (7, 50, 40), one_id(spark, "Y"), n_grids=1, units={"price": "cent"})
 
 
+def grid_ly(spark: SparkSession, sf_dir: str) -> Grid:
+    """Grids L and Y in one: 28 and 7 steps."""
+    quarters, years = grid_l(spark, sf_dir), grid_y(spark, sf_dir)
+    dims = spark.createDataFrame([("L", *L_SHAPE), ("Y", 7, 50, 40)], "grid_id string, n_t int, n_y int, n_x int")
+    return Grid(quarters.cells.unionByName(years.cells), ("price",), L_SHAPE, dims=dims, n_grids=2)
+
+
 def grid_l3(spark: SparkSession, sf_dir: str) -> Grid:
     points = line_points(spark, sf_dir)
     return from_points(points, L3_VARS, L_SHAPE, one_id(spark, "L"), axis_t=quarter_axis(spark, "L"), n_grids=1, units={"price": "cent"})
@@ -129,6 +136,13 @@ cells AS (
   SELECT 'Y' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v
   FROM (SELECT * FROM addr WHERE t < 7) a LEFT JOIN (SELECT t // 4 AS t, y, x, avg(price) AS v FROM pts GROUP BY t // 4, y, x) p USING (t, y, x))"""
 
+SQL_LY = _POINTS + """,
+cells AS (
+  SELECT 'L' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v
+  FROM addr a LEFT JOIN (SELECT t, y, x, avg(price) AS v FROM pts GROUP BY t, y, x) p USING (t, y, x)
+  UNION ALL SELECT 'Y' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v
+  FROM (SELECT * FROM addr WHERE t < 7) a LEFT JOIN (SELECT t // 4 AS t, y, x, avg(price) AS v FROM pts GROUP BY t // 4, y, x) p USING (t, y, x))"""
+
 SQL_F = _POINTS + """,
 cells AS (
   SELECT 'L' AS grid_id, a.t, 'price' AS var, a.y, a.x, p.v

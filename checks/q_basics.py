@@ -489,7 +489,7 @@ def relation_feature_rows(spark, sf):
 WITH {SQL_L3}, {SERIES} SELECT grid_id, var, {rd('avg(v)', 4, 'mean')}, {rd('CASE WHEN count(v) = count(*) THEN regr_slope(v, t) END', 4, 'trend')}, var = 'tax' AS selected
 FROM sm GROUP BY grid_id, var""")
 def variable_cards(spark, sf):
-    return rounded(agg.variable_cards(agg.daily_matrix(grid_l3(spark, sf)), "tax", 28), 4)
+    return rounded(agg.variable_cards(agg.daily_matrix(grid_l3(spark, sf)), "tax"), 4)
 
 
 @query("robust_scale", f"""

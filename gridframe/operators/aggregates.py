@@ -10,9 +10,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridframe.functions.columns import count_where, pearson, ratio, share
+from gridframe.functions.columns import count_where, ratio, share
 from gridframe.model import CELL, MAP, Grid
 from gridframe.operators.missing import fill_nearest, missing_strategy
+from gridframe.operators.moments import pair_moments
 from gridframe.operators.quantile import agg_with_quantiles, group_quantiles
 from gridframe.operators.stencil import gradient
 
@@ -59,21 +60,21 @@ def profile(filled: Grid) -> DataFrame:
 
 
 def correlation(grid: Grid) -> DataFrame:
-    """(grid_id, left, right, r) for all ordered pairs of variables over cells where both are present.
+    """(grid_id, left, right, r) for all ordered pairs of variables over cells where both are present; NULL for under two cells or no spread."""
+    pairs = _named(grid, pair_moments(grid)).withColumn("r", _pearson())
+    both = F.array(F.struct("left", "right"), F.struct(F.col("right").alias("left"), F.col("left").alias("right")))
+    ordered = pairs.select("grid_id", F.explode(F.array_distinct(both)).alias("e"), "r")
+    return ordered.select("grid_id", "e.left", "e.right", "r")
 
-    The variables are pivoted into columns with one shuffle instead of joining cells to themselves.
-    """
-    wide = pivot(grid)
-    names = grid.variables
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    r = {f"r{k}": pearson(F.col(f"`{a}`"), F.col(f"`{b}`")) for k, (a, b) in enumerate(pairs)}
-    rows = wide.groupBy("grid_id").agg(*[c.alias(k) for k, c in r.items()])
-    entries = [
-        F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(f"r{k}").alias("r"))
-        for k, (a, b) in enumerate(pairs)
-        for x, y in ({(a, b), (b, a)})
-    ]
-    return rows.select("grid_id", F.explode(F.array(*entries)).alias("e")).select("grid_id", "e.left", "e.right", "e.r")
+
+def _named(grid: Grid, pairs: DataFrame) -> DataFrame:
+    names = F.lit(list(grid.variables))
+    return pairs.withColumns({side: F.get(names, F.col(f"{side}_pos")) for side in ("left", "right")})
+
+
+def _pearson() -> Column:
+    spread = F.sqrt("left2") * F.sqrt("right2")
+    return F.when(F.col("n") >= 2, F.try_divide(F.col("both"), spread))
 
 
 def pivot(grid: Grid, names: Sequence[str] | None = None) -> DataFrame:
@@ -278,25 +279,13 @@ def relation_features(grid: Grid) -> DataFrame:
             "grid_id", F.lit(names[0]).alias("left"), F.lit(names[0]).alias("right"), "f0", "f1",
             F.lit(1.0).alias("f2"), F.lit(0.0).alias("f3"), F.lit(0.0).alias("f4"),
         )
-    wide = pivot(grid)
-    aggs, entries = [], []
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            k = len(entries)
-            x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-            both = x.isNotNull() & y.isNotNull()
-            px, py = F.when(both, x), F.when(both, y)
-            enough = F.count(px) >= 2
-            aggs += [
-                pearson(x, y).alias(f"f0_{k}"),
-                F.when(enough, F.try_divide(F.avg(px), F.avg(py))).alias(f"f1_{k}"),
-                F.when(enough, F.avg(F.abs(px - py))).alias(f"f2_{k}"),
-                F.when(enough, F.stddev_pop(px - py)).alias(f"f3_{k}"),
-                F.count(px).cast("double").alias(f"f4_{k}"),
-            ]
-            entries.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), *[F.col(f"f{j}_{k}").alias(f"f{j}") for j in range(5)]))
-    rows = wide.groupBy("grid_id").agg(*aggs)
-    return rows.select("grid_id", F.explode(F.array(*entries)).alias("e")).select("grid_id", "e.*")
+    pairs = _named(grid, pair_moments(grid, away=True).where("left_pos < right_pos"))
+    enough = F.col("n") >= 2
+    apart = F.greatest(F.col("left2") + F.col("right2") - 2 * F.col("both"), F.lit(0.0))
+    return pairs.select(
+        "grid_id", "left", "right", _pearson().alias("f0"), F.when(enough, F.try_divide("mean_left", "mean_right")).alias("f1"),
+        F.when(enough, F.col("away") / F.col("n")).alias("f2"), F.when(enough, F.sqrt(apart / F.col("n"))).alias("f3"), F.col("n").alias("f4"),
+    )
 
 
 def across_variables(spatial: DataFrame, temporal: DataFrame) -> DataFrame:
@@ -310,10 +299,10 @@ def across_variables(spatial: DataFrame, temporal: DataFrame) -> DataFrame:
     return means.join(wobble, "grid_id").join(trends, "grid_id")
 
 
-def variable_cards(daily: DataFrame, selected: str, steps: int) -> DataFrame:
-    """Mean and slope of each variable's daily means; the slope needs more than two steps and no gap."""
-    gapless = F.count("mean") == F.count(F.lit(1))
-    slope = F.when(gapless, F.regr_slope("mean", F.col("t").cast("double"))) if steps > 2 else F.lit(None).cast("double")
+def variable_cards(daily: DataFrame, selected: str) -> DataFrame:
+    """Mean and slope of each variable's daily means; the slope needs more than two steps of the grid and no gap."""
+    whole = (F.count("mean") == F.count(F.lit(1))) & (F.count(F.lit(1)) > 2)
+    slope = F.when(whole, F.regr_slope("mean", F.col("t").cast("double")))
     cards = daily.groupBy(*MAP).agg(F.avg("mean").alias("mean"), slope.alias("trend"))
     return cards.withColumn("selected", F.col("var") == selected)
 

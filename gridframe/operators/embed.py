@@ -2,7 +2,7 @@
 
 Patches of one grid are kept to about 384 by enlarging them (a map one row high holds more, growing with the square
 root of its length). Attention works on pairs of blocks of patches, so it doesn't depend on that number. Feature rows
-(blocks, slices) are embedded through a Gram matrix summed over partitions: only feature-by-feature sums are grouped.
+(blocks, slices) are embedded through triangular factors merged over partitions: only feature-by-feature matrices are grouped.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridframe.functions import rules
@@ -47,40 +48,71 @@ def standardize(features: DataFrame, vector: str = "features", least: float = 0.
 def svd_embed(features: DataFrame, dim: int, vector: str = "features") -> DataFrame:
     """Projection of standardised vectors on the leading right singular vectors, padded with zeros to ``dim``.
 
-    The largest loading of each direction is made positive.
+    The vectors of a grid are a tall matrix. Each task reduces its rows to a triangular factor (QR), factors are stacked and reduced again
+    over two rounds of groups, and the singular vectors of the last one are those of the whole. Products of features are never summed, so small
+    singular values keep their digits. The largest loading of each direction is made positive.
     """
     scaled = standardize(cut_lineage(features), vector)
-    sums = scaled.select("grid_id", vector).mapInPandas(_gram_parts(vector), "grid_id string, k int, s double, n bigint")
-    gram = sums.groupBy("grid_id", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    axes = gram.groupBy("grid_id").applyInPandas(_leading(dim), "grid_id string, axes array<array<double>>")
+    parts = scaled.select("grid_id", vector).mapInArrow(_factors, FACTORS)
+    merged = parts.groupBy("grid_id", F.pmod(F.xxhash64("r"), F.lit(BRANCHES)).alias("branch")).applyInArrow(_stacked, FACTORS)
+    axes = merged.groupBy("grid_id").applyInArrow(_leading(dim), "grid_id string, axes array<array<double>>")
     dot = lambda a: F.aggregate(F.zip_with(F.col(vector), a, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
     return scaled.join(axes, "grid_id").withColumn("embedding", F.transform("axes", dot)).drop("axes", vector)
 
 
-def _gram_parts(vector: str):
-    """Sum of outer products of the vectors of one batch, per grid: one row per pair of features."""
+#: A triangular factor, row by row, with its number of columns and the number of vectors it stands for.
+FACTORS = "grid_id string, k int, n long, r array<double>"
+#: Groups in which the factors of a grid are first merged, and grids whose factors a task holds at a time.
+BRANCHES, HELD = 16, 256
+
+
+def _factor(rows: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def _factor_rows(held: dict[str, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    fields = [pa.array(held.keys(), pa.string()), pa.array([r.shape[1] for _, r in held.values()], pa.int32()), pa.array([n for n, _ in held.values()], pa.int64())]
+    return pa.RecordBatch.from_arrays([*fields, pa.array([r.ravel() for _, r in held.values()], pa.list_(pa.float64()))], ["grid_id", "k", "n", "r"])
+
+
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One factor per grid of the vectors of a task."""
+    held: dict[str, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        ids = batch.column(0).dictionary_encode()
+        code = ids.indices.to_numpy()
+        for c, grid_id in enumerate(ids.dictionary.to_pylist()):
+            rows = batch.column(1).take(pa.array(np.flatnonzero(code == c)))
+            x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            n, r = held.get(grid_id, (0, x[:0]))
+            held[grid_id] = n + len(x), _factor(np.concatenate([r, x]))
+        if len(held) > HELD:
+            yield _factor_rows(held)
+            held = {}
+    if held:
+        yield _factor_rows(held)
+
+
+def _merged_factor(table: pa.Table) -> tuple[int, np.ndarray]:
+    width = table.column("k")[0].as_py()
+    r = np.zeros((0, width))
+    for part in table.column("r"):
+        r = _factor(np.concatenate([r, part.values.to_numpy().reshape(-1, width)]))
+    return sum(table.column("n").to_pylist()), r
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for grid_id, rows in batch.groupby("grid_id"):
-                x = np.stack(rows[vector].to_numpy()).astype(float)
-                g = (x.T @ x).reshape(-1)
-                yield pd.DataFrame({"grid_id": grid_id, "k": np.arange(g.size, dtype=np.int32), "s": g, "n": len(x)})
 
-    return parts
+def _stacked(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_factor_rows({table.column("grid_id")[0].as_py(): _merged_factor(table)})])
 
 
 def _leading(dim: int):
-    def leading(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        size = math.isqrt(len(rows))
-        values, vectors = np.linalg.eigh(rows["s"].to_numpy().reshape(size, size))
-        order = np.argsort(values)[::-1][: min(dim, size, int(rows["n"].iloc[0]))]
-        axes = vectors[:, order].T
+    def leading(table: pa.Table) -> pa.Table:
+        n, r = _merged_factor(table)
+        axes = np.linalg.svd(r, full_matrices=False)[2][: min(dim, r.shape[1], n)]
         flip = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
-        padded = np.zeros((dim, size))
+        padded = np.zeros((dim, r.shape[1]))
         padded[: len(axes)] = axes * flip[:, None]
-        return pd.DataFrame({"grid_id": [rows["grid_id"].iloc[0]], "axes": [padded.tolist()]})
+        return pa.table({"grid_id": [table.column("grid_id")[0].as_py()], "axes": pa.array([padded.tolist()], pa.list_(pa.list_(pa.float64())))})
 
     return leading
 

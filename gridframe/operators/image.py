@@ -13,7 +13,7 @@ from gridframe.model import MAP, Grid
 from gridframe.operators.embed import colorfulness
 from gridframe.operators.missing import fill_nearest
 from gridframe.operators.quantile import agg_with_quantiles, group_quantiles
-from gridframe.operators.stencil import gradient, local_entropy, local_std
+from gridframe.operators.stencil import gradient, texture
 from gridframe.session import cut_lineage
 
 IMAGE = ["grid_id"]
@@ -79,7 +79,7 @@ def texture_stats(grid: Grid, sloped: DataFrame) -> DataFrame:
     ``sloped`` carries the gap-free intensity in ``filled`` and the original in v.
     """
     sized = grid.with_dims(sloped.select("grid_id", "y", "x", "v", "filled"))
-    textured = local_entropy(local_std(sized, "filled", 5, IMAGE), "filled", IMAGE, small=grid.per_map)
+    textured = texture(sized, "filled", IMAGE, small=grid.per_map, shape=grid.shape[1:])
     present = textured.where(F.col("v").isNotNull()).select("grid_id", "local_std", "entropy")
     stats = agg_with_quantiles(
         present, IMAGE, [F.avg("local_std").alias("local_std_mean"), F.avg("entropy").alias("local_entropy_mean")],

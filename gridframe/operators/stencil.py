@@ -1,7 +1,7 @@
 """Stencils on maps and series: gradients, boundaries, smoothing, spatial autocorrelation.
 
-Every stencil is a window along one axis at a time, partitioned by a single row, column or series.
-Maps are dense: one row per (keys, y, x).
+Gradients, boundaries and Gaussian smoothing are windows along one axis at a time, partitioned by a single row, column or series; box
+filters work on tiles with a halo. Maps are dense: one row per (keys, y, x).
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridframe.functions.columns import anisotropy, axis_direction
 from gridframe.model import MAP, Grid
+from gridframe.operators import tiles
 from gridframe.operators.missing import fill_nearest
 from gridframe.operators.quantile import agg_with_quantiles
 from gridframe.session import cut_lineage
@@ -118,38 +120,72 @@ def _mirrored(df: DataFrame, axis: str, size: Column, radius: Column | int) -> D
     return df.withColumn(axis, F.explode(near))
 
 
-def box_mean(df: DataFrame, values: Sequence[str], n: int, keys: Sequence[str]) -> DataFrame:
-    """Replaces each value by its mean over an n by n box with mirrored edges. Needs n_y and n_x."""
+def _one_tile(shape: tuple[int, int] | None, tile: int) -> bool:
+    return shape is not None and max(shape) <= tile
+
+
+def box_mean(df: DataFrame, values: Sequence[str], n: int, keys: Sequence[str], shape: tuple[int, int] | None = None, tile: int = tiles.TILE) -> DataFrame:
+    """Replaces each value by its mean over an n by n box with mirrored edges. Needs n_y and n_x; ``shape`` bounds them where known."""
+    half = n // 2
+
+    def compute(blocks: tiles.Blocks, _) -> tiles.Blocks:
+        return {v: tiles.box_means(block, n) for v, block in blocks.items()}
+
+    return tiles.on_tiles(df, keys, values, half, n - 1 - half, values, compute, one_tile=_one_tile(shape, tile), tile=tile)
+
+
+def local_std(df: DataFrame, value: str, n: int, keys: Sequence[str], out: str = "local_std", shape: tuple[int, int] | None = None, tile: int = tiles.TILE) -> DataFrame:
+    """sqrt(max(E[v^2] - E[v]^2, 0)) over an n by n box; other columns are kept. Needs n_y and n_x."""
     half = n // 2
-    for axis, other, size in (("y", "x", "n_y"), ("x", "y", "n_x")):
-        line = Window.partitionBy(*keys, other).orderBy(axis).rowsBetween(-half, n - 1 - half)
-        padded = _mirrored(df, axis, F.col(size), half)
-        smoothed = padded.withColumns({v: F.avg(v).over(line) for v in values})
-        df = smoothed.where((F.col(axis) >= 0) & (F.col(axis) < F.col(size)))
-    return df
 
+    def compute(blocks: tiles.Blocks, _) -> tiles.Blocks:
+        return {out: tiles.box_std(blocks[value], n)}
 
-def local_std(df: DataFrame, value: str, n: int, keys: Sequence[str], out: str = "local_std") -> DataFrame:
-    """sqrt(max(E[v^2] - E[v]^2, 0)) over an n by n box; other columns are kept."""
-    carried = df.withColumns({"_m": F.col(value), "_q": F.col(value) * F.col(value)})
-    boxed = box_mean(carried, ["_m", "_q"], n, keys)
-    spread = F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0)))
-    return boxed.withColumn(out, spread).drop("_m", "_q")
+    return tiles.on_tiles(df, keys, [value], half, n - 1 - half, [out], compute, one_tile=_one_tile(shape, tile), tile=tile)
 
 
-def local_entropy(df: DataFrame, value: str, keys: Sequence[str], bins: int = 16, n: int = 7, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Adds ``entropy``: entropy of min-max quantised levels in an n by n box, scaled to 0..1; 0 on flat maps."""
+def _span(df: DataFrame, value: str, keys: Sequence[str], small: Callable[[DataFrame], DataFrame], one_tile: bool) -> tuple[DataFrame, list[str]]:
+    """The map with its least and largest value as _lo and _hi; a map that fits one tile finds them there."""
+    if one_tile:
+        return df, []
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    scaled = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (bins - 1)
-    level = F.least(F.greatest(F.floor(scaled), F.lit(0)), F.lit(bins - 1))
-    flags = {f"_l{i}": F.when(F.col("_level") == i, 1.0).otherwise(0.0) for i in range(bins)}
-    levels = df.join(small(span), [*keys]).withColumn("_level", level).withColumns(flags)
-    boxed = box_mean(levels, list(flags), n, keys)
-    total = F.lit(0.0)
-    for p in flags:
-        total = total - F.when(F.col(p) > 1e-12, F.col(p) * F.log2(F.col(p))).otherwise(0.0)
-    entropy = F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise(total / math.log2(bins))
-    return boxed.withColumn("entropy", entropy).drop("_lo", "_hi", "_level", *flags)
+    return df.join(small(span), [*keys]), ["_lo", "_hi"]
+
+
+def _limits(block: np.ndarray, maps: tiles.Blocks) -> tuple[np.ndarray, np.ndarray]:
+    if "_lo" in maps:
+        return maps["_lo"].astype(float), maps["_hi"].astype(float)
+    return np.fmin.reduce(block, axis=(1, 2)), np.fmax.reduce(block, axis=(1, 2))
+
+
+def local_entropy(
+    df: DataFrame, value: str, keys: Sequence[str], bins: int = 16, n: int = 7, small: Callable[[DataFrame], DataFrame] = lambda df: df, shape: tuple[int, int] | None = None,
+    tile: int = tiles.TILE,
+) -> DataFrame:
+    """Adds ``entropy``: entropy of min-max quantised levels in an n by n box, scaled to 0..1; 0 on flat maps. Needs n_y and n_x."""
+    half, one = n // 2, _one_tile(shape, tile)
+    placed, limits = _span(df, value, keys, small, one)
+
+    def compute(blocks: tiles.Blocks, maps: tiles.Blocks) -> tiles.Blocks:
+        return {"entropy": tiles.box_entropy(blocks[value], *_limits(blocks[value], maps), n, bins)}
+
+    return tiles.on_tiles(placed, keys, [value], half, n - 1 - half, ["entropy"], compute, limits, one, tile).drop("_lo", "_hi")
+
+
+def texture(
+    df: DataFrame, value: str, keys: Sequence[str], std_box: int = 5, entropy_box: int = 7, bins: int = 16,
+    small: Callable[[DataFrame], DataFrame] = lambda df: df, shape: tuple[int, int] | None = None, tile: int = tiles.TILE,
+) -> DataFrame:
+    """Adds ``local_std`` and ``entropy`` over boxes of odd sizes, in one pass over the tiles. Needs n_y and n_x."""
+    reach, one = max(std_box, entropy_box) // 2, _one_tile(shape, tile)
+    placed, limits = _span(df, value, keys, small, one)
+
+    def compute(blocks: tiles.Blocks, maps: tiles.Blocks) -> tiles.Blocks:
+        block = blocks[value]
+        inner = [block[:, cut : block.shape[1] - cut, cut : block.shape[2] - cut] for cut in (reach - std_box // 2, reach - entropy_box // 2)]
+        return {"local_std": tiles.box_std(inner[0], std_box), "entropy": tiles.box_entropy(inner[1], *_limits(block, maps), entropy_box, bins)}
+
+    return tiles.on_tiles(placed, keys, [value], reach, reach, ["local_std", "entropy"], compute, limits, one, tile).drop("_lo", "_hi")
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:

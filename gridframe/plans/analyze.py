@@ -78,7 +78,6 @@ def analyze(
     subset = subset.with_cells(cut_lineage(subset.cells))
     if task is not None:
         return _for_task(grid, subset, var, task)
-    n_t = subset.shape[0]
     mean = lambda: agg.mean_map(subset)
     series = lambda: agg.series_mean(subset)
     out: Tables
@@ -104,7 +103,7 @@ def analyze(
         "similar_slices": lambda: tem.similar_slices(subset, t, min_cells=min_similar_cells),
         "daily": lambda: cut_lineage(agg.daily_matrix(grid)),
         "correlations": lambda: tem.driver_correlation(out["daily"], var),
-        "variables": lambda: agg.variable_cards(out["daily"], var, n_t),
+        "variables": lambda: agg.variable_cards(out["daily"], var),
         "facts": lambda: req.narrative_facts(out["trend"], out["correlations"], out["blocks"]),
     })
     return out

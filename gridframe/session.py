@@ -7,9 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that Spark hands to a Python worker.
+ARROW_BYTES = 4 << 20
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings that results depend on. Safe to call on a running session."""
+    """Settings that results, and the memory of Python workers, depend on. Safe to call on a running session.
+
+    Workers hold a batch of rows while they work on it; without a bound in bytes a few long texts or vectors make it large.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 
@@ -23,11 +31,12 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "gridfram
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

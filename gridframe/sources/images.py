@@ -1,11 +1,45 @@
-"""Image files as grids of pixels, through Spark's image source."""
+"""Image files as grids of pixels: Spark's image source decodes them, tasks unpack strips of rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridframe.functions import rules
-from gridframe.model import Grid
+from gridframe.model import CELLS, Grid
+
+
+#: Pixels that are unpacked at a time.
+STRIP = 1 << 16
+
+
+def _strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of images, a strip of whole pixel rows at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            grid_id, height, width, channels = (batch.column(c)[i].as_py() for c in range(4))
+            if height <= 0 or width <= 0:
+                continue
+            pixels = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8, height * width * channels).reshape(height, width, channels)
+            step = max(1, STRIP // width)
+            for top in range(0, height, step):
+                strip = pixels[top : top + step].astype(np.float64)
+                if channels >= 3:
+                    blue, green, red = (strip[..., c] for c in range(3))
+                    wr, wg, wb = rules.LUMA
+                    fields = {"intensity": wr * red + wg * green + wb * blue, "red": red, "green": green, "blue": blue}
+                else:
+                    fields = {"intensity": strip[..., 0]}
+                if channels in (2, 4):
+                    fields["alpha"] = strip[..., channels - 1]
+                y, x = np.indices(strip.shape[:2], dtype=np.int32)
+                n = y.size
+                for var, values in fields.items():
+                    columns = [pa.array([grid_id] * n, pa.string()), pa.array(np.zeros(n, np.int32)), pa.array([var] * n), pa.array(y.ravel() + np.int32(top)), pa.array(x.ravel()), pa.array(values.ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, ["grid_id", "t", "var", "y", "x", "v"])
 
 
 def image_cells(images: DataFrame) -> DataFrame:
@@ -13,25 +47,7 @@ def image_cells(images: DataFrame) -> DataFrame:
 
     Variables are intensity, red, green, blue and alpha; one-channel images give intensity, and alpha with two channels.
     """
-    places = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
-    pixels = images.where((F.col("height") > 0) & (F.col("width") > 0)).select("*", F.explode(places).alias("k"))
-    n = F.col("nChannels")
-    byte = lambda c: F.conv(F.hex(F.substring("data", F.col("k") * n + c + 1, 1)), 16, 10).cast("double")
-    staged = pixels.select(
-        "grid_id", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), n.alias("n"),
-        *[F.when(n > c, byte(c)).alias(f"b{c}") for c in range(4)],
-    )
-    color = F.col("n") >= 3
-    red, green, blue = F.col("b2"), F.col("b1"), F.col("b0")
-    wr, wg, wb = rules.LUMA
-    named = {
-        "intensity": F.when(color, wr * red + wg * green + wb * blue).otherwise(F.col("b0")),
-        "red": F.when(color, red), "green": F.when(color, green), "blue": F.when(color, blue),
-        "alpha": F.when(F.col("n") == 4, F.col("b3")).when(F.col("n") == 2, F.col("b1")),
-    }
-    entries = F.array(*[F.struct(F.lit(v).alias("var"), c.alias("v")) for v, c in named.items()])
-    long = staged.select("grid_id", "y", "x", F.explode(F.filter(entries, lambda e: e["v"].isNotNull())).alias("e"))
-    return long.select("grid_id", F.lit(0).alias("t"), "e.var", "y", "x", "e.v")
+    return images.select("grid_id", "height", "width", "nChannels", "data").mapInArrow(_strips, CELLS)
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*", skip_unreadable: bool = False) -> Grid:

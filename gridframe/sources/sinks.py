@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridframe.model import MAP, Grid
+from gridframe.session import cut_lineage
+from gridframe.sources.files import file_system
 
 
 def write_cells(grid: Grid, path: str, masks: DataFrame | None = None, mode: str = "errorifexists", buckets: int = 32) -> None:
@@ -26,6 +32,47 @@ def write_cells(grid: Grid, path: str, masks: DataFrame | None = None, mode: str
     out.sortWithinPartitions("var", "bucket", "grid_id", "t", "y", "x").write.mode(mode).partitionBy("var", "bucket").parquet(path)
 
 
+def write_arrays(grid: Grid, folder: str) -> DataFrame:
+    """One .npz file per grid and step with an array [y, x] per variable, NaN for missing values, and the axes that the grid has; returns (file, bytes).
+
+    A file is named by its grid, and by its step or the label of it. A task holds one step. Files appear under their names when they are whole, so a
+    task that runs twice leaves one file.
+    """
+    system, base = file_system(folder)
+    system.create_dir(base, recursive=True)
+    cells = grid.with_dims(grid.with_time(grid.cells.select("grid_id", "t", "var", "y", "x", "v")))
+    if grid.axis_y is not None:
+        cells = grid.with_lat(cells)
+    if grid.axis_x is not None:
+        cells = grid.with_lon(cells)
+
+    def write(table: pa.Table) -> pa.Table:
+        system, base = file_system(folder)
+        first = table.slice(0, 1).to_pylist()[0]
+        y, x, v = (table.column(c).to_numpy().astype(t) for c, t in (("y", np.int64), ("x", np.int64), ("v", np.float64)))
+        names = np.array(table.column("var").to_pylist())
+        arrays = {}
+        for name in sorted(set(names)):
+            at = names == name
+            arrays[name] = np.full((first["n_y"], first["n_x"]), np.nan)
+            arrays[name][y[at], x[at]] = v[at]
+        for axis, place, size in (("lat", y, first["n_y"]), ("lon", x, first["n_x"])):
+            if axis in table.column_names:
+                arrays[axis] = np.zeros(size)
+                arrays[axis][place] = table.column(axis).to_numpy()
+        buffer = io.BytesIO()
+        np.savez(buffer, **arrays)
+        label = first["label"] or f"{first['t']:08d}"
+        name = f"{first['grid_id']}_{label.replace('/', '-')}.npz"
+        temporary = f"{base}/_{uuid.uuid4().hex}"
+        with system.open_output_stream(temporary, compression=None) as out:
+            out.write(buffer.getvalue())
+        system.move(temporary, f"{base}/{name}")
+        return pa.table({"file": [name], "bytes": pa.array([buffer.tell()], pa.int64())})
+
+    return cut_lineage(cells.groupBy("grid_id", "t").applyInArrow(write, "file string, bytes long"))
+
+
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists", preview: int | None = None) -> None:
     """One JSON object per row; vectors whole, or cut to their length and first values if ``preview`` is given."""
     json_rows(df, preview).write.mode(mode).text(path)

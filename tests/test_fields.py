@@ -297,3 +297,103 @@ def test_all_change_points_are_counted(spark):
         values.append(values[-1] + (50.0 if k % 20 == 19 else 0.1 if k % 2 else -0.1))
     series = spark.createDataFrame([("g", "v", t, v) for t, v in enumerate(values)], "grid_id string, var string, t int, v double")
     assert tem.change_points(series, n=None).count() == 15 and tem.change_points(series).count() == 10
+
+
+def brute_box(a, n):
+    h = n // 2
+    padded = np.pad(a, ((h, n - 1 - h), (h, n - 1 - h)), "symmetric")
+    return np.lib.stride_tricks.sliding_window_view(padded, (n, n))
+
+
+@pytest.mark.parametrize("tile", [3, 4, 100])
+@pytest.mark.parametrize("n", [4, 5])
+def test_boxes_do_not_depend_on_tiles(grid_from, as_map, tile, n):
+    a = RNG.normal(size=(10, 13)) + 1e4
+    g = grid_from(a)
+    sized = g.with_dims(map_of(g))
+    assert np.allclose(as_map(st.box_mean(sized, ["v"], n, MAP, tile=tile), a.shape), brute_box(a, n).mean(axis=(2, 3)))
+    assert np.allclose(as_map(st.local_std(sized, "v", n, MAP, tile=tile), a.shape, "local_std"), brute_box(a, n).std(axis=(2, 3)), atol=1e-7)
+
+
+@pytest.mark.parametrize("tile,shape", [(3, None), (100, None), (100, (9, 8))])
+def test_texture_by_tiles(grid_from, as_map, tile, shape):
+    a = np.round(RNG.normal(size=(9, 8)), 2)
+    g = grid_from(a)
+    done = st.texture(g.with_dims(map_of(g)), "v", MAP, tile=tile, shape=shape)
+    level = np.clip(np.floor((a - a.min()) / (a.max() - a.min()) * 15), 0, 15)
+    boxes = brute_box(level, 7).reshape(9, 8, -1)
+    want = np.zeros(a.shape)
+    for k in range(16):
+        p = (boxes == k).mean(axis=2)
+        want -= np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0) / 4
+    assert np.allclose(as_map(done, a.shape, "entropy"), want)
+    assert np.allclose(as_map(done, a.shape, "local_std"), brute_box(a, 5).std(axis=(2, 3)))
+    assert np.allclose(as_map(done, a.shape), a)
+
+
+def test_boxes_take_one_exchange(grid_from):
+    g = grid_from(RNG.normal(size=(9, 8)))
+    plan = st.local_std(g.with_dims(g.cells.drop("t")), "v", 5, MAP)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_moments_of_pairs_with_gaps(spark):
+    from gridframe.model import CELLS, Grid
+    from gridframe.operators import moments
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(60, 5)) * [1, 10, 1e-3, 1, 0] + [1e6, 0, 0, -5, 0.1]
+    x[:, 3] += x[:, 1]
+    x[draw.random(x.shape) < 0.3] = np.nan
+    x[:, 4][~np.isnan(x[:, 4])] = 0.1
+    names = tuple("abcde")
+    rows = [(gid, i // 20, names[j], i // 5 % 4, i % 5, None if np.isnan(v) else float(v)) for gid in ("g", "h") for (i, j), v in np.ndenumerate(x)]
+    rows += [("none", 0, n, 0, 0, None) for n in names]
+    g = Grid(spark.createDataFrame(rows, CELLS).repartition(5), names, (3, 4, 5))
+    got = {(r["grid_id"], r["left"], r["right"]): r for r in agg.relation_features(g).collect()}
+    r = {(k["grid_id"], k["left"], k["right"]): k["r"] for k in agg.correlation(g).collect()}
+    assert len(got) == 30 and len(r) == 75 and all(v is None for k, v in r.items() if k[0] == "none")
+    for i in range(5):
+        for j in range(i + 1, 5):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            row = got["g", names[i], names[j]]
+            assert row["f4"] == both.sum() and np.isclose(row["f1"], a.mean() / b.mean()) and np.isclose(row["f2"], np.abs(a - b).mean())
+            assert np.isclose(row["f3"], (a - b).std(), rtol=1e-6)
+            if j == 4:
+                assert row["f0"] is None and r["g", "e", names[i]] is None
+            else:
+                assert np.isclose(row["f0"], np.corrcoef(a, b)[0, 1]) and r["h", names[j], names[i]] == r["h", names[i], names[j]]
+    parts = [moments._block_moments(x[k::7], x[k::7], True) for k in range(7)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = moments._merged(whole, p)
+    assert np.allclose(whole, moments._block_moments(x, x, True), rtol=1e-9, atol=1e-9)
+
+
+def test_many_variables_keep_the_plan_small(spark):
+    from gridframe.model import CELLS, Grid
+
+    names = tuple(f"v{i:03d}" for i in range(300))
+    rows = [("g", 0, n, 0, x, float((i * 7 + x * x * (i % 5 + 1)) % 11)) for i, n in enumerate(names) for x in range(12)]
+    g = Grid(spark.createDataFrame(rows, CELLS), names, (1, 1, 12))
+    r = {(k["left"], k["right"]): k["r"] for k in agg.correlation(g).collect()}
+    v = np.array([[row[5] for row in rows[i * 12 : i * 12 + 12]] for i in range(300)])
+    assert len(r) == 90_000 and np.isclose(r["v007", "v250"], np.corrcoef(v[7], v[250])[0, 1])
+
+
+def test_a_long_series(spark):
+    from gridframe.operators.temporal import _best_lag
+
+    n = 1_000_000
+    v = np.sin(np.arange(n) * 2 * np.pi / 365) + 1e-6 * np.arange(n) + 0.1 * np.random.default_rng(1).normal(size=n)
+    spread, power, lag, strength = _best_lag(v, None)
+    assert lag == 365 and 0.9 < strength < 1
+
+
+def test_autocorrelation_by_transform():
+    from gridframe.operators.temporal import _autocorrelation
+
+    e = np.random.default_rng(2).normal(size=77)
+    want = [(e[: 77 - k] * e[k:]).sum() / (e @ e) for k in range(77)]
+    assert np.allclose(_autocorrelation(e), want)

@@ -113,10 +113,127 @@ def test_image_files(spark, tmp_path):
 def test_series_of_files(spark, tmp_path):
     for day, v in (("20200102", 2.0), ("20200101", 1.0), ("20200104", 4.0)):
         (tmp_path / f"pm_{day}.csv").write_text(f"5.0,6.0,{v}\n5.0,7.0,\n")
-    rows, axis = tab.read_series(spark, str(tmp_path), "lat double, lon double, pm double", "csv", "*.csv")
-    times = {r["t"]: r["label"] for r in axis.collect()}
-    assert times == {0: "2020-01-01", 1: "2020-01-02", 2: "2020-01-04"}
-    assert {(r["t"], r["pm"]) for r in rows.where("pm is not null").collect()} == {(0, 1.0), (1, 2.0), (2, 4.0)}
+    (tmp_path / "pm_20200103.csv").write_text("")
+    g = tab.read_series(spark, str(tmp_path), "lat double, lon double, pm double", "csv", "*.csv")
+    assert g.shape == (4, 1, 2) and g.variables == ("pm",)
+    assert {r["t"]: r["label"] for r in g.time_axis().collect()} == {0: "2020-01-01", 1: "2020-01-02", 2: "2020-01-03", 3: "2020-01-04"}
+    assert np.allclose(values(g, (4, 1, 2), "pm")[:, 0], [[1, np.nan], [2, np.nan], [np.nan, np.nan], [4, np.nan]], equal_nan=True)
+
+
+def test_series_of_files_with_times_of_their_own(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("lat,lon,time,pm\n1,1,2021-03-01 06:00:00,1\n1,1,2021-03-01 18:00:00,2\n")
+    (tmp_path / "a.csv").write_text("lat,lon,time,pm\n1,2,2021-03-02,3\n")
+    (tmp_path / "c_2021-03-09.csv").write_text("lat,lon,time,pm\n")
+    g = tab.read_series(spark, str(tmp_path), None, "csv", "*.csv", header=True, inferSchema=True)
+    assert {r["t"]: r["label"] for r in g.time_axis().collect()} == {0: "2021-03-02", 1: "2021-03-01T06:00:00", 2: "2021-03-01T18:00:00", 3: "2021-03-09"}
+    assert np.allclose(values(g, (4, 1, 2), "pm")[:, 0], [[np.nan, 3], [1, np.nan], [2, np.nan], [np.nan, np.nan]], equal_nan=True)
+
+
+def test_series_of_array_files(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    a, b, c = draw.normal(size=(2, 3, 4)), draw.normal(size=(3, 4)), draw.normal(size=(3, 4, 2))
+    lat, lon = np.array([10.0, 11, 12]), np.array([1.0, 2, 3, 4])
+    np.savez(tmp_path / "d_20200101.npz", lat=lat, lon=lon, time=np.array(["2020-01-01T06", "2020-01-01T12"], "datetime64[h]"), pm=a, wind=-a)
+    np.savez_compressed(tmp_path / "d_20200102.npz", pm=b)
+    (tmp_path / "d_20200103.npz").write_bytes(b"")
+    np.savez(tmp_path / "d_20200104.npz", lat=lat, lon=lon, time=np.array(["x", "y"]), pm=np.asfortranarray(c))
+    g = tab.read_series(spark, str(tmp_path), format="arrays")
+    assert g.shape == (6, 3, 4) and g.variables == ("pm", "wind")
+    assert [r["label"] for r in g.time_axis().orderBy("t").collect()] == ["2020-01-01", "2020-01-01", "2020-01-02", "2020-01-03", "x", "y"]
+    gap = np.full((1, 3, 4), np.nan)
+    assert np.allclose(values(g, (6, 3, 4), "pm"), np.concatenate([a, b[None], gap, np.moveaxis(c, 2, 0)]), equal_nan=True)
+    assert np.allclose(values(g, (6, 3, 4), "wind"), np.concatenate([-a, gap, gap, gap, gap]), equal_nan=True)
+    assert [r["lat"] for r in g.lat_axis().orderBy("y").collect()] == lat.tolist() and g.cells.count() == 144
+    np.save(tmp_path / "e.npy", np.zeros((5, 5)))
+    with pytest.raises(ValueError, match="another size"):
+        tab.read_series(spark, str(tmp_path), format="arrays")
+
+
+def test_strips_of_large_maps(spark, tmp_path, monkeypatch):
+    from gridframe.sources import series
+
+    monkeypatch.setattr(series, "STRIP", 8)
+    monkeypatch.setattr(series, "CELLS_PER_PARTITION", 24)
+    a = np.random.default_rng(4).normal(size=(3, 2, 7, 4)).astype(">f4")
+    np.save(tmp_path / "a.npy", a)
+    np.savez(tmp_path / "b.npz", var_0=a[0, 0], var_1=np.full((7, 4), 1e35))
+    g = tab.read_series(spark, str(tmp_path), format="arrays")
+    assert g.shape == (4, 7, 4) and g.variables == ("var_0", "var_1")
+    assert np.allclose(values(g, (4, 7, 4), "var_0"), np.concatenate([a[:, 0], a[:1, 0]]))
+    assert np.allclose(values(g, (4, 7, 4), "var_1"), np.concatenate([a[:, 1], np.full((1, 7, 4), np.nan)]), equal_nan=True)
+
+
+def test_filters_open_only_the_members_asked_for(spark, tmp_path):
+    for i in range(4):
+        np.savez(tmp_path / f"{i}.npz", pm=np.full((2, 2), i), wind=np.zeros((2, 2)))
+    cells = tab.read_series(spark, str(tmp_path), format="arrays").cells
+    for i in (0, 1, 3):
+        (tmp_path / f"{i}.npz").write_bytes(b"no longer there")
+    rows = cells.where("t = 2 AND var = 'pm'").collect()
+    assert [r["v"] for r in rows] == [2.0] * 4
+    assert [r["v"] for r in cells.where("t > 1 AND t <= 2 AND var IN ('wind')").collect()] == [0.0] * 4
+    with pytest.raises(Exception, match="zip"):
+        cells.where("t = 1").collect()
+
+
+def test_lines_of_a_file_of_many_splits(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("".join(f"{i},{i * 2},{'' if i % 7 else i}\n" for i in range(500)) + "\n \n")
+    (tmp_path / "h.csv").write_text("a,b\n1,2\n\n3,4")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines = tab.numbered_lines(spark, str(tmp_path), "*.csv")
+        assert lines.rdd.getNumPartitions() > 10
+        found = {(r["grid_id"], r["line"]): r["txt"] for r in lines.collect()}
+        assert len(found) == 504 and all(found["m", i].split(",")[0] == str(i) for i in range(500)) and found["h", 2] == ""
+        g = tab.read_matrix_csv(spark, str(tmp_path))
+        assert g.shape[1:] == (500, 3)
+        assert np.allclose(values(g, (500, 3), grid_id="m")[:, 1], np.arange(500) * 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+GOOD = {"a": "[[1, null], [3, NaN]]", "b": '{"note": "x]y\\"", "values": [[9]], "data": null, "grid": [[[1]], [[2.5e0]]]}'}
+BAD = {
+    "cut": "[[1, 2], [3, 4", "key": '{"rows": [[1]]}', "ragged": "[[1, 2], [3]]", "word": '[["a"]]', "flat": "[1, 2]", "empty": "", "none": "null", "deep": "[[[1], [2]], [[1]]]",
+    "half": '{"data": [[1], [2]', "number": "[[1], 2]",
+}
+
+
+def test_json_matrices_that_are_none_are_named(spark, tmp_path):
+    for name, text in {**GOOD, **BAD}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    errors = {r["grid_id"]: r["error"] for r in tab.read_json_errors(spark, str(tmp_path)).collect()}
+    assert set(errors) == set(BAD) and "data, grid or values" in errors["key"] and "ends" in errors["cut"]
+    g = tab.read_matrix_json(spark, str(tmp_path), skip_unreadable=True)
+    assert g.shape == (2, 2, 2) and {r["grid_id"] for r in g.cells.select("grid_id").distinct().collect()} == set(GOOD)
+    assert values(g, (2, 1, 1), grid_id="b").ravel().tolist() == [1.0, 2.5]
+    with pytest.raises(Exception, match="no matrix in"):
+        tab.read_matrix_json(spark, str(tmp_path))
+
+
+def test_points_snapped_to_a_cell_size(spark):
+    draw = np.random.default_rng(8)
+    lat, lon, v = draw.uniform(10, 12, 300), draw.uniform(-1, 1, 300), draw.normal(size=300)
+    df = spark.createDataFrame(list(zip(lat.tolist(), lon.tolist(), v.tolist())), "lat double, lon double, v double")
+    g = tab.rasterize(df, step=(0.5, 0.25))
+    assert g.shape == (1, 5, 9)
+    want = {}
+    for a, o, x in zip(np.floor(lat / 0.5 + 0.5) * 0.5, np.floor(lon / 0.25 + 0.5) * 0.25, v):
+        want.setdefault((a, o), []).append(x)
+    got = {(r["lat"], r["lon"]): r["v"] for r in g.with_coords(g.cells).collect() if r["v"] is not None}
+    assert set(got) == set(want) and all(np.isclose(got[k], np.mean(want[k])) for k in want)
+    with pytest.raises(ValueError, match="1 steps x 300 rows x 300 columns"):
+        tab.rasterize(df, most_cells=1000)
+
+
+def test_grids_of_points_keep_their_own_axes(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0, 1.0), ("a", 3.0, 5.0, 2.0), ("b", 2.0, 6.0, 3.0), ("b", 2.0, 8.0, 4.0), ("b", 2.0, 9.0, None)], "grid_id string, lat double, lon double, v double")
+    g = tab.rasterize(df)
+    assert {(r["grid_id"], r["n_y"], r["n_x"]) for r in g.dims_table().collect()} == {("a", 2, 1), ("b", 1, 3)}
+    assert {(r["grid_id"], r["y"], r["x"], r["v"]) for r in g.cells.collect()} == {("a", 0, 0, 1.0), ("a", 1, 0, 2.0), ("b", 0, 0, 3.0), ("b", 0, 1, 4.0), ("b", 0, 2, None)}
 
 
 def test_cells_round_trip(spark, grid_from, tmp_path):
