@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import lower_ascii, small
+from gridframe.session import cut_lineage
 
 #: A word. Digits, letters a-z and everything beyond ASCII belong to words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,8 +41,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id",
     shingles (of ``shingle`` words, or of the window's own length if that is less), each with its place. It can only lie in a
     document that has all of them, so the window is looked up by its prefix alone: its rarest shingle, by the number of places
     at which documents have it, ties by place. A find has to fit into the document (length and position) and then has to agree
-    with the window word by word. The table of prefixes goes to every task if it is small; else finds are made by a
-    shuffle of hashes and the documents are joined to them afterwards.
+    with the window word by word; for that, the documents with such a find are read again. Tables of shingles and prefixes
+    go to every task if they are small, and are joined by a shuffle of hashes otherwise.
 
     Null texts have no words; an item without words has no window. Repeated items or rows count once each by id, and repeated
     documents come back as often as they went in; rows with one id but different texts are judged apart. Other columns
@@ -54,28 +55,30 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id",
     cut = items.select("item", "all", first).select("item", F.slice("all", F.col("at") + 1, window).alias("window"))
     windows, _ = small(cut.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("size", F.size("window")))
 
-    # Rarity of every shingle of every window, over all documents.
+    # Where documents have a shingle of any window. Texts are cut into words once for this; all that follows works on these places.
     lengths = sorted(r[0] for r in windows.select(F.least("size", F.lit(shingle))).distinct().collect())
     if not lengths:
         return rows.select(F.col("__id").alias(id), F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
     parts = occurrences(windows.withColumn("names", F.transform("window", lambda w: F.xxhash64(w))), lengths).where(F.col("length") == F.least("size", F.lit(shingle)))
     parts, fits = small(parts.select("window", "items", "size", "length", F.col("place").alias("offset"), "code"))
-    seen = occurrences(named.select("names"), lengths).select("length", "code")
     wanted = parts.select("length", "code").distinct()
-    counts = seen.join(F.broadcast(wanted) if fits else wanted, ["length", "code"], "left_semi").groupBy("length", "code").agg(F.count(F.lit(1)).alias("n"))
+    seen = occurrences(named.select("__r", "names", F.size("names").alias("n_words")), lengths).select("__r", "n_words", "length", "code", "place")
+    places = cut_lineage(seen.join(F.broadcast(wanted) if fits else wanted, ["length", "code"], "left_semi"))
+
+    # The rarest shingle of a window, over all documents, is its prefix.
+    counts = places.groupBy("length", "code").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "code")
     prefixes, fits = small(parts.join(counts, ["length", "code"], "left").groupBy("window", "items", "size", "length").agg(F.min(order).alias("o")).where("o.n > 0").select("window", "items", "size", "length", "o.offset", "o.code"))
-
     start = F.col("place") - F.col("offset")
-    inside = (start >= 0) & (start + F.col("size") <= F.size("words"))
-    same = F.slice("words", F.when(inside, start + 1).otherwise(1), F.col("size")) == F.col("window")
-    if fits:
-        found = occurrences(named, lengths).join(prefixes, ["length", "code"]).where(inside & same)
-    else:
-        places = occurrences(named.select("__r", "names"), lengths).join(prefixes, ["length", "code"]).drop("names")
-        found = places.join(rows.select("__r", "words").dropDuplicates(["__r"]), "__r").where(inside & same)
+    able = places.join(prefixes, ["length", "code"]).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
+    able = cut_lineage(able.select("__r", "start", "size", "window", "items").distinct())
+    # Only documents with such a place are cut into words again. Copies have one key, and one of them is compared.
+    keys, _ = small(able.select("__r").distinct())
+    texts = documents.select(F.xxhash64(id, text).alias("__r"), F.col(text).alias("__text")).join(keys, "__r", "left_semi").dropDuplicates(["__r"])
+    words = texts.select("__r", words_of(F.col("__text")).alias("words"))
+    found = able.join(words, "__r").where(F.slice("words", F.col("start") + 1, F.col("size")) == F.col("window"))
     # A place that is hit by several windows counts once: each start goes on with its longest window.
-    hits = found.groupBy("__r").agg(F.collect_set(F.struct(start.alias("s"), F.col("size").alias("n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"))
+    hits = found.groupBy("__r").agg(F.collect_set(F.struct(F.col("start").alias("s"), F.col("size").alias("n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"))
     covered = F.expr("size(array_distinct(flatten(transform(spans, x -> sequence(x.s, x.s + x.n - 1)))))")
     joined = rows.select("__id", "__r", F.size("words").cast("long").alias("n_words")).join(hits.select("__r", covered.cast("long").alias("n_hit"), "found"), "__r", "left")
     return joined.select(

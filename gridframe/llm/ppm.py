@@ -28,7 +28,7 @@ NODES = 2_000_000
 #: Words whose counts go to every task, at most: the most frequent ones. Counts of all others are joined.
 COMMON = 200_000
 #: Bytes of text that a task works on at a time, and grams or words that it counts before it hands them on.
-SLICE, HELD = 3 << 20, 1_000_000
+SLICE, HELD = 2 << 20, 250_000
 #: Ends a text, and stands before it as context. No word has this byte.
 END = b"\n"
 
