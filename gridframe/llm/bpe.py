@@ -3,8 +3,10 @@
 The automaton reads tokens and accepts, for every byte string, exactly one token sequence: the one that applying
 the merges in order gives (Berglund, Martens and van der Merwe, 2024). It starts with one state and an arc per byte. The
 gadget of the merge (u, v) -> w copies the state that u leads to without its v-arc, sends all u-arcs to the copy, and adds a w-arc
-wherever a u-arc was, into the state that v led to. As all arcs of one label lead to one state, a state is a
-label with the list of arcs cut from it; copies share what they have in common.
+wherever a u-arc was, into the state that v led to. As all arcs of one label lead to one state, a state is a label with the list of arcs
+cut from it, and copies share what they have in common: the gadgets compile to tables of births, halves and cuts, in which an
+arc is tested by walking down two tokens. Which tokens end at a byte comes from a second table, the transitions of the trie of
+all labels with failure links. Words are run through both tables together, one byte of every word at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +25,14 @@ from gridframe.llm.common import pieces, send
 #: How the byte-level pre-tokenizer splits text. A fixed value of the public format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Words and arcs kept by a task before it starts afresh.
-MEMORY = 200_000
+#: Bytes of text that a task works on at a time.
+SLICE = 3 << 20
+#: Words of one half of a task's memory, about.
+MEMORY = 120_000
+#: Bytes of words that are run together, and of words that are run alone.
+CELLS, LONG = 1 << 20, 2000
+#: A rank beyond all merges.
+NEVER = np.int64(1 << 40)
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,6 +42,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Lookup:
+    """Numbers for keys, both in arrays; -1 for a key that is not there."""
+
+    def __init__(self, found: dict[int, int]):
+        self.keys = np.array(sorted(found), np.int64)
+        self.values = np.array([found[k] for k in sorted(found)], np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+
 class Automaton:
     """Compiled merges. Built once on the driver and sent to the tasks; its size is that of the vocabulary."""
 
@@ -41,15 +64,20 @@ class Automaton:
         self.special = dict(special)
         self.label = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items() if token not in special}
         self.label |= {i: token.encode() for token, i in special.items()}
-        self.number = {self.label[i]: i for token, i in vocabulary.items() if token not in special}
-        if len({b for b in self.number if len(b) == 1}) != 256:
+        number = {self.label[i]: i for token, i in vocabulary.items() if token not in special}
+        if len({b for b in number if len(b) == 1}) != 256:
             raise ValueError("the vocabulary lacks single bytes")
-        self.born = dict.fromkeys((i for b, i in self.number.items() if len(b) == 1), -1)
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.cut: dict[tuple[int, int], int] = {}
+        size = max(self.label) + 1
+        #: The rank at which a token appears, -1 for a byte, and the halves of which it is made.
+        self.born = np.full(size, NEVER, np.int64)
+        self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.born[[i for b, i in number.items() if len(b) == 1]] = -1
+        self.cuts: dict[int, int] = {}
         for rank, (left, right) in enumerate(merges):
             self.gadget(rank, vocabulary[left], vocabulary[right], vocabulary[left + right])
-        self.longest = max(len(self.label[i]) for i in self.born)
+        self.cut = Lookup(self.cuts)
+        del self.cuts
+        self._trie([(b, i) for b, i in number.items() if self.born[i] < NEVER], size)
 
     @classmethod
     def read(cls, path: str) -> Automaton:
@@ -67,63 +95,157 @@ class Automaton:
 
     def gadget(self, rank: int, u: int, v: int, w: int) -> None:
         """One merge: the state behind u loses its v-arc at this rank, and w-arcs appear beside u-arcs."""
-        if w in self.born or u not in self.born or v not in self.born:
+        if self.born[w] < NEVER or self.born[u] == NEVER or self.born[v] == NEVER:
             raise ValueError(f"merge {rank} makes a token twice or uses one that is not there yet")
-        self.cut[u, v] = rank
-        self.halves[w] = (u, v)
-        self.born[w] = rank
-
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state behind a token has an arc for another.
+        self.cuts[u << 32 | v] = rank
+        self.left[w], self.right[w], self.born[w] = u, v, rank
+
+    def _trie(self, labels: list[tuple[bytes, int]], size: int) -> None:
+        """Transitions of the trie of all labels. For each node: where to go on when there is none, and the longest token that ends
+        there; for each token the next shorter one that ends with it (-1 for none)."""
+        step: dict[int, int] = {}
+        token = [-1]
+        for label, i in labels:
+            node = 0
+            for byte in label:
+                node = step.setdefault(node << 8 | byte, len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = i
+        fail, longest, shorter = [0] * len(token), list(token), [-1] * size
+        level = [0]
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, node in step.items():
+            below.setdefault(key >> 8, []).append((key & 255, node))
+        while level:
+            following = []
+            for up in level:
+                for byte, node in below.get(up, ()):
+                    back = fail[up]
+                    if up:
+                        while back and back << 8 | byte not in step:
+                            back = fail[back]
+                        back = step.get(back << 8 | byte, 0)
+                    fail[node] = back
+                    if token[node] >= 0:
+                        shorter[token[node]] = longest[back]
+                    else:
+                        longest[node] = longest[back]
+                    following.append(node)
+            level = following
+        self.step = Lookup(step)
+        self.fail, self.longest, self.shorter = (np.array(x, np.int32) for x in (fail, longest, shorter))
+        self.size = np.zeros(size, np.int32)
+        for label, i in labels:
+            self.size[i] = len(label)
+
+    def has_arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether the state behind each token has an arc for another.
 
         The state inherits its cuts from the right halves of its label, each up to the rank at which the label grew. The arc
-        grew out of the arcs of the token's left halves, each of which must have been there at that rank.
+        grew out of the arcs of the other token's left halves, each of which must have been there at that rank. Of two
+        tokens, the one born later is split first, so only halves that were there at the same time meet.
         """
-        ends: list[tuple[int, float]] = []
-        limit: float = float("inf")
-        while True:
-            ends.append((state, limit))
-            if state not in self.halves:
-                break
-            limit, state = self.born[state], self.halves[state][1]
-        limit = float("inf")
-        while True:
-            for end, until in ends:
-                rank = self.cut.get((end, token))
-                if rank is not None and rank < until and rank <= limit:
-                    return False
-            if token not in self.halves:
-                return True
-            limit, token = self.born[token], self.halves[token][0]
-
-    def run(self, word: bytes, arcs: dict[int, bool]) -> list[int]:
-        """The one accepted token sequence of a word: for each prefix, the last arc of its only path."""
-        number, longest, n = self.number, self.longest, len(word)
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = number.get(word[start:end])
-                if token is None:
-                    continue
-                state = last[start]
-                if start:
-                    key = state << 32 | token
-                    ok = arcs.get(key)
-                    if ok is None:
-                        ok = arcs[key] = self.has_arc(state, token)
-                    if not ok:
-                        continue
-                last[end] = token
-                break
-        out, at = [], n
+        arc = np.ones(len(state), bool)
+        row, x, y = np.arange(len(state)), state.astype(np.int64), token.astype(np.int64)
+        until, upto = np.full(len(row), NEVER), np.full(len(row), NEVER)
+        while len(row):
+            rank = self.cut(x << 32 | y)
+            cut = (rank >= 0) & (rank < until) & (rank <= upto)
+            arc[row[cut]] = False
+            born_x, born_y = self.born[x], self.born[y]
+            on = ~cut & ((born_x >= 0) | (born_y >= 0))
+            row, x, y, until, upto, born_x, born_y = (a[on] for a in (row, x, y, until, upto, born_x, born_y))
+            split = born_x >= born_y
+            until, upto = np.where(split, born_x, until), np.where(split, upto, born_y)
+            x, y = np.where(split, self.right[x], x), np.where(split, y, self.left[y])
+        return arc
+
+    def run(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The one accepted token sequence of each word: for each prefix, the last arc of its only path."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > LONG:
+            i = order.pop()
+            out[i] = self._long(words[i])
+        at = 0
+        while at < len(order):  # words of like lengths, in blocks of bounded size
+            most = max(1, len(words[order[at]]))
+            stop = at
+            while stop < len(order) and len(words[order[stop]]) <= 2 * most and (stop - at) * len(words[order[stop]]) < CELLS:
+                stop += 1
+            some = order[at : max(stop, at + 1)]
+            for i, ids in zip(some, self._block([words[i] for i in some]), strict=True):
+                out[i] = ids
+            at += len(some)
+        return out
+
+    def _block(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        n = np.array([len(w) for w in words])
+        longest = int(n.max(initial=0))
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        text = np.zeros((len(words), longest), np.uint8)
+        text[np.arange(longest) < n[:, None]] = flat
+        last = np.full((len(words), longest + 1), -1, np.int32)
+        node = np.zeros(len(words), np.int64)
+        for end in range(1, longest + 1):
+            live = np.flatnonzero(n >= end)
+            byte = text[live, end - 1].astype(np.int64)
+            here = node[live]
+            to = self.step(here << 8 | byte)
+            lost = np.flatnonzero((to < 0) & (here > 0))
+            while len(lost):
+                here[lost] = self.fail[here[lost]]
+                to[lost] = self.step(here[lost] << 8 | byte[lost])
+                lost = lost[(to[lost] < 0) & (here[lost] > 0)]
+            node[live] = np.maximum(to, 0)
+            token = self.longest[node[live]]
+            while len(live):
+                start = end - self.size[token]
+                ok = start == 0
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self.has_arc(last[live[inner], start[inner]], token[inner])
+                last[live[ok], end] = token[ok]
+                live, token = live[~ok], self.shorter[token[~ok]]
+        ids = np.zeros((len(words), longest), np.int32)
+        used, end, live = np.zeros(len(words), np.int64), n.copy(), np.flatnonzero(n)
+        while len(live):
+            token = last[live, end[live]]
+            used[live] += 1
+            ids[live, longest - used[live]] = token
+            end[live] -= self.size[token]
+            live = live[end[live] > 0]
+        return [tuple(row[longest - k :]) for row, k in zip(ids.tolist(), used.tolist(), strict=True)]
+
+
+    def _long(self, word: bytes) -> tuple[int, ...]:
+        """The same for one very long word, byte by byte, with its arcs remembered."""
+        step = dict(zip(self.step.keys.tolist(), self.step.values.tolist(), strict=True))
+        fail, longest, shorter, size = (x.tolist() for x in (self.fail, self.longest, self.shorter, self.size))
+        last, arcs, node = [-1] * (len(word) + 1), {}, 0
+        for end, byte in enumerate(word, 1):
+            while node and node << 8 | byte not in step:
+                node = fail[node]
+            node = step.get(node << 8 | byte, 0)
+            token = longest[node]
+            while end > size[token]:
+                pair = last[end - size[token]] << 32 | token
+                ok = arcs.get(pair)
+                if ok is None:
+                    ok = arcs[pair] = bool(self.has_arc(np.array([pair >> 32]), np.array([token]))[0])
+                if ok:
+                    break
+                token = shorter[token]
+            last[end] = token
+        out, at = [], len(word)
         while at:
             out.append(last[at])
-            at -= len(self.label[last[at]])
-        return out[::-1]
+            at -= size[last[at]]
+        return tuple(out[::-1])
 
 
 class Coder:
-    """Encodes and decodes within a task; remembers words and arcs up to a bound."""
+    """Encodes and decodes within a task; remembers words in two halves, of which the older one is forgotten when the newer one is full."""
 
     def __init__(self, automaton: Automaton):
         import regex
@@ -131,29 +253,39 @@ class Coder:
         self.automaton = automaton
         self.split = regex.compile(SPLIT).findall
         self.words: dict[str, tuple[int, ...]] = {}
-        self.arcs: dict[int, bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         names = sorted(automaton.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.label = automaton.label
 
-    def _plain(self, text: str) -> list[int]:
-        found, words = self.split(text), self.words
-        for word in {w for w in found if w not in words}:
-            words[word] = tuple(self.automaton.run(word.encode(), self.arcs))
-        ids = list(chain.from_iterable(map(words.__getitem__, found)))
-        if len(words) > MEMORY:
-            words.clear()
-        if len(self.arcs) > 2 * MEMORY:
-            self.arcs.clear()
-        return ids
-
     def encode(self, text: str) -> list[int]:
-        if self.marks is None or not any(name in text for name in self.automaton.special):
-            return self._plain(text)
-        ids: list[int] = []
-        for part in self.marks.split(text):
-            ids += [self.automaton.special[part]] if part in self.automaton.special else self._plain(part)
-        return ids
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. The words that are new in these texts are run together."""
+        parts: list[list[str]] = []
+        special, known, older = self.automaton.special, self.words, self.older
+        for text in texts:
+            if self.marks is None or not any(name in text for name in special):
+                parts.append(self.split(text))
+            else:
+                parts.append([w for part in self.marks.split(text) for w in ([part] if part in special else self.split(part))])
+        seen = {w for words in parts for w in words}
+        new = []
+        for w in seen:
+            if w not in known:
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+        known.update(zip(new, self.automaton.run([w.encode() for w in new]), strict=True))
+        for name in seen & special.keys():
+            known[name] = (special[name],)
+        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in parts]
+        if len(known) > MEMORY:
+            self.words, self.older = {}, known
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one after the other, read as UTF-8. Bytes that are no UTF-8 become replacement characters."""
@@ -175,8 +307,8 @@ def encode_decode(documents: DataFrame, tokenizer: str, text: str = "text") -> D
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(sent())
-        for batch in pieces(batches, at):
-            coded = [coder.encode(t or "") for t in batch.column(at).to_pylist()]
+        for batch in pieces(batches, at, SLICE):
+            coded = coder.encode_all([t or "" for t in batch.column(at).to_pylist()])
             offsets = pa.array([0, *_sums(map(len, coded))], pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(coded)), pa.int32()))
             yield pa.RecordBatch.from_arrays(

@@ -148,6 +148,20 @@ def test_automaton_on_random_bytes():
         assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_automaton_on_long_words_and_few_remembered_ones(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, draw = Tokenizer.from_file(TOKENS), random.Random(6)
+    monkeypatch.setattr(bpe, "LONG", 30)
+    monkeypatch.setattr(bpe, "MEMORY", 10)
+    monkeypatch.setattr(bpe, "CELLS", 100)
+    coder = bpe.Coder(bpe.Automaton.read(TOKENS))
+    texts = ["".join(draw.choice("aeinorst é") for _ in range(draw.randrange(200))) for _ in range(200)] + ["ab" * 500 + "c" * 2000, "x" * 501, ""]
+    for at in range(0, len(texts), 40):
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 40]]
+        assert coder.encode_all(texts[at : at + 40]) == want
+
+
 def test_decontamination(spark, docs):
     rows = docs.collect()
     long = rows[0].text or "one two"
