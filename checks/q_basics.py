@@ -208,6 +208,20 @@ def polygon_mask(spark, sf):
     return sel.polygon_mask(grid_l(spark, sf), rings, band=8.0)
 
 
+@query("polygon_mask_bands", f"""
+WITH {SQL_L}, {MEAN}, edge AS (
+  SELECT c_custkey % 6 * 7.0::DOUBLE AS lon1, c_custkey % 400 * 0.25::DOUBLE - 30 AS lat1, 31.7::DOUBLE - (c_custkey % 7) AS lon2, c_custkey % 400 * 0.25::DOUBLE - 30 + power(2.0, c_custkey % 13 - 6) * 1.1::DOUBLE AS lat2
+  FROM customer)
+SELECT grid_id, y, x, (SELECT count(*) FROM edge WHERE (lat1 > y) <> (lat2 > y) AND lon1 + (y - lat1) * (lon2 - lon1) / (lat2 - lat1) > x) % 2 = 1 AS inside
+FROM mm""")
+def polygon_mask_bands(spark, sf):
+    """Edges from hundredths of a degree to seventy degrees."""
+    k = F.col("c_custkey")
+    lat1 = k % 400 * 0.25 - 30
+    rings = table(spark, sf, "customer").select((k % 6 * 7.0).alias("lon1"), lat1.alias("lat1"), (31.7 - k % 7).alias("lon2"), (lat1 + F.pow(F.lit(2.0), k % 13 - 6) * 1.1).alias("lat2"))
+    return sel.polygon_mask(grid_l(spark, sf), rings)
+
+
 # --- missing data -------------------------------------------------------------------------------------------
 
 

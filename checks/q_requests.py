@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from checks.grids import BOXES, E_VARS, SQL_E, SQL_I, SQL_L, SQL_L3, SQL_RGB, grid_e, grid_i, grid_l, grid_l3, grid_rgb, rd, rounded, table
 from checks.q_blocks import REGION_CELLS, blocks_sql
-from checks.q_fields import SPATIAL_SQL, TEMPORAL_SQL, similar_sql
+from checks.q_fields import _JUMPS, SPATIAL_SQL, TEMPORAL_SQL, similar_sql
 from checks.q_vision import flat_image, image_sql
-from checks.registry import MEAN, SERIES, corr_sql, fill_sql, query
+from checks.registry import MEAN, SERIES, comp_sql, corr_sql, fill_sql, query
 from gridframe.functions import rules
 from gridframe.functions.columns import unite
 from gridframe.model import MAP
@@ -95,13 +95,14 @@ def request_page_tags(spark, sf):
 
 _STEPS = "CASE " + " ".join(f"WHEN task = '{t}' THEN '{'|'.join(s).replace('{}', 'click')}'" for t, s in rules.TASK_STEPS.items()) + " END"
 _PRODUCTS = "CASE WHEN image THEN '" + "|".join(rules.IMAGE_PRODUCTS) + "' " + " ".join(f"WHEN task = '{t}' THEN '{'|'.join(p)}'" for t, p in rules.TASK_PRODUCTS.items()) + " END"
+_PATCH_STEPS = f"CASE WHEN patches THEN '{'|'.join(rules.PATCH_STEPS)}' || CASE WHEN image THEN '|{'|'.join(rules.PATCH_IMAGE_STEPS)}' ELSE '' END || CASE WHEN task IN {rules.PATCH_REGION_TASKS} THEN '|{'|'.join(rules.PATCH_REGION_STEPS)}' ELSE '' END ELSE '' END"
 _TABLES = "CASE " + " ".join(f"WHEN task = '{t}' THEN '|{'|'.join(f)}'" for t, f in rules.TASK_FEATURES.items()) + " ELSE '' END"
 
 
 @query("request_products", f"""
 WITH {_TEXT_SQL}, k AS (SELECT id, {_TASK} AS task, id % 4 = 0 AS image, id % 3 = 0 AS patches, id % 2 AS hotspots FROM rq)
 SELECT id, '{'|'.join(rules.BASE_FEATURES)}' || CASE WHEN image THEN '|image_features' ELSE '' END || CASE WHEN patches THEN '|transformer_features' ELSE '' END || {_TABLES} AS required_features, {_PRODUCTS} AS derived_products,
-  {_STEPS} AS steps, CASE WHEN task IN ('anomaly_detection', 'source_tracing') THEN 'high' WHEN hotspots > 0 THEN 'medium' ELSE 'low' END AS priority FROM k""")
+  {_STEPS} AS steps, {_PATCH_STEPS} AS patch_steps, CASE WHEN task IN ('anomaly_detection', 'source_tracing') THEN 'high' WHEN hotspots > 0 THEN 'medium' ELSE 'low' END AS priority FROM k""")
 def request_products(spark, sf):
     tags = req.tag_products(req.tag_task(F.col("q")), F.col("id") % 4 == 0, F.col("id") % 3 == 0, F.col("id") % 2, F.lit("click"))
     joined = {k: F.array_join(v, "|") if k != "priority" else v for k, v in tags.items()}
@@ -162,6 +163,40 @@ def merged_plans(spark, sf):
     return done.select("id", "task_type", "region", F.array_join("variables", ",").alias("variables"), "chart_type", F.array_join("uncertainty_risks", ",").alias("risks"), "color_encoding", "focus_region", F.array_join("follow_up_questions", ",").alias("follow_up"))
 
 
+@query("merged_analysis_plans", """
+WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text FROM conversations)
+SELECT id, 'base' AS kept, CASE WHEN turn % 3 = 0 THEN 'base' ELSE role END AS priority, CASE WHEN turn % 2 = 0 THEN '["' || role || '",' || conv_id || ']' ELSE '["a"]' END AS products,
+  CASE WHEN turn % 4 = 1 THEN '{"depth":' || turn || '}' END AS extra, CASE WHEN turn % 5 = 0 THEN NULL ELSE conv_id::DOUBLE / 2 END AS threshold, md5(coalesce(nullif(text, ''), 'none')) AS answer,
+  CASE WHEN turn % 2 = 1 THEN 'goal ' || conv_id END AS goal FROM c""")
+def merged_analysis_plans(spark, sf):
+    """Fields of replies that no column has, over those of the plan; the texts of the conversations come back as answers."""
+    k, t = F.col("conv_id"), F.col("turn")
+    priority = F.when(t % 3 == 0, F.lit("")).otherwise(F.col("role"))
+    # Lists of a text and a number have no column type, so the text of the reply is put together.
+    products = F.when(t % 2 == 0, F.format_string('["%s", %d]', "role", "conv_id")).otherwise("[]")
+    extra = F.when(t % 4 == 1, F.format_string('{"depth": %d}', "turn")).otherwise("{}")
+    threshold = F.when(t % 5 == 0, F.lit("null")).otherwise((k / 2).cast("string"))
+    goal = F.when(t % 2 == 1, F.format_string('{"analysis_goals": "goal %d", "task_type": ""}', "conv_id")).otherwise('"none"')
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
+    body = F.concat(
+        F.lit('{"analysis_plan": {"priority": '), quoted(priority), F.lit(', "products": '), products, F.lit(', "extra": '), extra, F.lit(', "threshold": '), threshold,
+        F.lit('}, "task_graph": '), goal, F.lit(', "semantic_response": '), quoted(F.coalesce("text", F.lit(""))), F.lit("}"),
+    )
+    rows = table(spark, sf, "conversations").select((k * 1000 + t).alias("id"), "conv_id", "turn", "role", "text").withColumn("r", body)
+    none = F.lit(None).cast("string")
+    base = F.from_json(F.lit('{"priority": "base", "kept": "base", "products": ["a"]}'), "map<string,variant>")
+    plans_ = req.with_defaults(req.parse_replies(rows, "r").withColumns({
+        **{c: none for c in ("task_type", "region", "time_range", "chart_type", "layout", "color_encoding", "focus_region")}, "variables": F.array(F.lit("v")), "uncertainty_risks": F.array().cast("array<string>"),
+    })).withColumns({"analysis_plan": base, "semantic_response": F.lit("none")})
+    done = req.merge_plans(plans_)
+    at = lambda m, name, kind: F.try_variant_get(F.try_element_at(F.col(m), F.lit(name)), "$", kind)
+    return done.select(
+        "id", at("analysis_plan", "kept", "string").alias("kept"), at("analysis_plan", "priority", "string").alias("priority"), F.to_json(F.try_element_at("analysis_plan", F.lit("products"))).alias("products"),
+        F.to_json(F.try_element_at("analysis_plan", F.lit("extra"))).alias("extra"), at("analysis_plan", "threshold", "double").alias("threshold"), F.md5("semantic_response").alias("answer"),
+        at("more_task_graph", "analysis_goals", "string").alias("goal"),
+    )
+
+
 @query("united_lists", """
 WITH u AS (SELECT c_custkey AS k, unnest(['BUILDING', 'A', c_mktsegment, '', 'Z', c_mktsegment]) AS s, unnest([1, 2, 3, 4, 5, 6]) AS i FROM customer), d AS (SELECT k, s, min(i) AS i FROM u WHERE s <> '' GROUP BY k, s)
 SELECT k, string_agg(s, ',' ORDER BY i) AS s FROM d GROUP BY k""")
@@ -368,7 +403,7 @@ def task_mean_map_of_valid_cells(spark, sf):
 WITH {SQL_L3}, p AS (SELECT t, y, x, price AS a, discount AS b, row_number() OVER (ORDER BY t, y, x) - 1 AS k, count(*) OVER () AS n FROM wide WHERE price IS NOT NULL AND discount IS NOT NULL AND x BETWEEN 5 AND 30 AND y BETWEEN 10 AND 40)
 SELECT 'L' AS grid_id, t, y, x, {rd('a')}, {rd('b')} FROM p WHERE n <= 3000 OR k % (n // 3000) = 0""")
 def task_pairs(spark, sf):
-    return rounded(plans.analyze(grid_l3(spark, sf), "price", "core", task="attribution", boxes=BOXES)["pairs"])
+    return rounded(plans.analyze(grid_l3(spark, sf), "price", "core", task="attribution", boxes=BOXES, pair_rows=rules.MAX_SCATTER_POINTS)["pairs"])
 
 
 _FILLED_E = f"""{SQL_E.replace("cells AS (", "cells0 AS (")}, {fill_sql('cells0', 'filled', ('grid_id', 't', 'var'))}"""
@@ -397,3 +432,35 @@ SELECT grid_id, var, strategy, 30 AS n_t, 8 AS n_y, 16 AS n_x, CAST(NULL AS VARC
 FROM filled JOIN st USING (grid_id, var) GROUP BY grid_id, var, strategy""")
 def grid_description(spark, sf):
     return rounded(plans.describe(grid_e(spark, sf))["profiles"])
+
+
+# --- the bundle's tables -----------------------------------------------------------------------------------------------
+
+_BUNDLE_MEAN = "ok AS (SELECT grid_id, y, x FROM cells GROUP BY grid_id, y, x HAVING avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) < 0.8), cv AS (SELECT c.grid_id, t, var, c.y, c.x, CASE WHEN ok.y IS NOT NULL THEN v END AS v FROM cells c LEFT JOIN ok ON c.grid_id = ok.grid_id AND c.y = ok.y AND c.x = ok.x)"
+_BUNDLE_MM = "mm AS (SELECT grid_id, var, y, x, avg(v) AS v FROM cv GROUP BY grid_id, var, y, x)"
+_BUNDLE_SM = "sm AS (SELECT grid_id, var, t, avg(v) AS v FROM cv GROUP BY grid_id, var, t)"
+
+
+@query("bundle_hotspots", f"""
+WITH RECURSIVE {SQL_E}, {_BUNDLE_MEAN}, {_BUNDLE_MM}, hq AS (SELECT grid_id, var, quantile_cont(v, 0.9) AS q FROM mm GROUP BY grid_id, var),
+hc AS (SELECT mm.* FROM mm JOIN hq USING (grid_id, var) WHERE v >= q), {comp_sql('hc', 'cc', width=16)}
+SELECT grid_id, var, component, count(*) AS cells, {rd('max(v)', 4, 'peak')} FROM cc GROUP BY grid_id, var, component""")
+def bundle_hotspots(spark, sf):
+    """Every region of every variable, without a limit."""
+    done = plans.extract_features(grid_e(spark, sf), block=(3, 5), fill=None, patches=False)
+    return rounded(done["hotspots"].select(*MAP, "component", "cells", "peak"), 4)
+
+
+@query("bundle_change_points", f"""
+WITH {SQL_E}, {_BUNDLE_MEAN}, {_BUNDLE_SM}, {TEMPORAL_SQL}, {_JUMPS}
+SELECT grid_id, var, t, strftime(DATE '2024-01-01' + to_days(t), '%Y-%m-%d') AS label, {rd('d', 4, 'delta')} FROM jp""")
+def bundle_change_points(spark, sf):
+    done = plans.extract_features(grid_e(spark, sf), block=(3, 5), fill=None, patches=False)
+    return rounded(done["change_points"].select(*MAP, "t", "label", "delta"), 4)
+
+
+@query("bundle_coverage", f"""
+WITH {SQL_L3}, m AS (SELECT grid_id, var, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS r FROM cells GROUP BY grid_id, var)
+SELECT grid_id, var, {rd('r', 6, 'missing_ratio')}, CASE WHEN r = 0 THEN 'complete grid' WHEN r < 0.05 THEN 'nearly complete grid' WHEN r < 0.3 THEN 'moderate missing regions' ELSE 'large fixed or invalid regions' END AS coverage FROM m""")
+def bundle_coverage(spark, sf):
+    return rounded(plans.extract_features(grid_l3(spark, sf), patches=False)["coverage"], 6)

@@ -138,7 +138,7 @@ def patch_sizes(spark, sf):
         F.col("o_orderkey").cast("string").alias("grid_id"), F.lit(1).alias("n_t"), (F.col("o_orderkey") % 700 + 1).cast("int").alias("n_y"), (F.col("o_custkey") % 900 + 1).cast("int").alias("n_x")
     )
     g = grid_i(spark, sf).with_cells(dims, dims=dims)
-    return emb.with_patches(g, dims.select("grid_id", F.lit(0).alias("y"), F.lit(0).alias("x")), (8, 8)).select("grid_id", "ph", "pw")
+    return emb.with_patches(g, dims.select("grid_id", F.lit(0).alias("y"), F.lit(0).alias("x")), (8, 8), rules.MAX_TOKENS).select("grid_id", "ph", "pw")
 
 
 def _matrix(name: str, rows: int, cols: int) -> str:

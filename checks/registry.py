@@ -43,14 +43,26 @@ def grad_sql(src: str, out: str, keys: str = "grid_id, var", value: str = "v") -
 
 
 def fill_sql(src: str, out: str, keys: tuple[str, ...] = ("grid_id", "var"), empty: str = "NULL") -> str:
-    """Nearest fill by comparing every gap with every present cell; adds column f."""
+    """Nearest fill; adds column f. Each column has its nearest present cell above or below; a gap is compared with those of
+    its row, which hold the nearest cell of all."""
     same = " AND ".join(f"m.{k} = p.{k}" for k in keys)
-    cols = ", ".join(f"m.{k}" for k in keys)
-    return f"""{out}_near AS MATERIALIZED (
-  SELECT {cols}, m.y, m.x, arg_min(p.v, CAST((m.y - p.y) * (m.y - p.y) + (m.x - p.x) * (m.x - p.x) AS BIGINT) * 1000000 + p.y * 1000 + p.x) AS n
-  FROM {src} m JOIN {src} p ON {same} WHERE m.v IS NULL AND p.v IS NOT NULL GROUP BY {cols}, m.y, m.x),
+    cols, plain = ", ".join(f"m.{k}" for k in keys), ", ".join(keys)
+    there = "CASE WHEN v IS NOT NULL THEN y END"
+    up = f"(PARTITION BY {plain}, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    down = f"(PARTITION BY {plain}, x ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"""{out}_src AS MATERIALIZED (SELECT * FROM {src}),
+{out}_seen AS MATERIALIZED (
+  SELECT {plain}, y, x, last_value({there} IGNORE NULLS) OVER {up} AS y1, last_value(v IGNORE NULLS) OVER {up} AS v1,
+    first_value({there} IGNORE NULLS) OVER {down} AS y2, first_value(v IGNORE NULLS) OVER {down} AS v2 FROM {out}_src),
+{out}_best AS MATERIALIZED (
+  SELECT {plain}, y, x, CASE WHEN y2 IS NULL OR y - y1 <= y2 - y THEN y1 ELSE y2 END AS py, CASE WHEN y2 IS NULL OR y - y1 <= y2 - y THEN v1 ELSE v2 END AS pv
+  FROM {out}_seen WHERE y1 IS NOT NULL OR y2 IS NOT NULL),
+{out}_gaps AS MATERIALIZED (SELECT {plain}, y, x FROM {out}_src WHERE v IS NULL),
+{out}_near AS MATERIALIZED (
+  SELECT {cols}, m.y, m.x, arg_min(p.pv, CAST((m.y - p.py) * (m.y - p.py) + (m.x - p.x) * (m.x - p.x) AS BIGINT) * 1000000 + p.py * 1000 + p.x) AS n
+  FROM {out}_gaps m JOIN {out}_best p ON {same} AND m.y = p.y GROUP BY {cols}, m.y, m.x),
 {out} AS (
-  SELECT m.*, coalesce(m.v, s.n, {empty}) AS f FROM {src} m
+  SELECT m.*, coalesce(m.v, s.n, {empty}) AS f FROM {out}_src m
   LEFT JOIN {out}_near s ON {" AND ".join(f"m.{k} = s.{k}" for k in keys)} AND m.y = s.y AND m.x = s.x)"""
 
 

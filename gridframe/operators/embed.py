@@ -1,7 +1,7 @@
 """Embeddings of blocks, slices and patches, attention over patches, saliency, text alignment.
 
-Patches of one grid are kept to about 384 by enlarging them (a map one row high holds more, growing with the square
-root of its length). Attention works on pairs of blocks of patches, so it doesn't depend on that number. Feature rows
+On request, patches of a grid are kept to a number by enlarging them. Attention works on pairs of blocks of patches, so it
+doesn't depend on that number. Feature rows
 (blocks, slices) are embedded through triangular factors merged over partitions: only feature-by-feature matrices are grouped.
 """
 
@@ -16,7 +16,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridframe.functions import rules
 from gridframe.functions.columns import bin_index, cosine, ratio, share, strip
@@ -147,20 +147,20 @@ def relation_embedding(grid: Grid, dim: int = 8) -> DataFrame:
 
 # --- patches -------------------------------------------------------------------------------------------------
 
-def patch_shape(n_y: int, n_x: int, shape: tuple[int, int], cap: int = rules.MAX_TOKENS) -> tuple[int, int]:
-    """Patch size enlarged so that at most about ``cap`` patches cover the map."""
+def patch_shape(n_y: int, n_x: int, shape: tuple[int, int], cap: int | None = None) -> tuple[int, int]:
+    """Patch size; with ``cap``, enlarged so that at most about that many patches cover the map."""
     h, w = max(1, shape[0]), max(1, shape[1])
     count = math.ceil(n_y / h) * math.ceil(n_x / w)
-    grow = math.sqrt(count / cap) if count > cap else 1.0
+    grow = math.sqrt(count / cap) if cap is not None and count > cap else 1.0
     return max(1, math.ceil(h * grow)), max(1, math.ceil(w * grow))
 
 
-def with_patches(grid: Grid, df: DataFrame, shape: tuple[int, int], cap: int = rules.MAX_TOKENS) -> DataFrame:
-    """Adds n_y, n_x, the patch size ph, pw and the patch index py, px."""
+def with_patches(grid: Grid, df: DataFrame, shape: tuple[int, int], cap: int | None = None) -> DataFrame:
+    """Adds n_y, n_x, the patch size ph, pw (as ``patch_shape`` has it, for the size of each grid) and the patch index py, px."""
     h, w = max(1, shape[0]), max(1, shape[1])
     sized = grid.with_dims(df)
     count = F.ceil(F.col("n_y") / h) * F.ceil(F.col("n_x") / w)
-    grow = F.when(count > cap, F.sqrt(count / cap)).otherwise(1.0)
+    grow = F.when(count > cap, F.sqrt(count / cap)).otherwise(1.0) if cap is not None else F.lit(1.0)
     sized = sized.withColumns({"ph": F.ceil(h * grow).cast("int"), "pw": F.ceil(w * grow).cast("int")})
     return sized.withColumns({"py": F.floor(F.col("y") / F.col("ph")).cast("int"), "px": F.floor(F.col("x") / F.col("pw")).cast("int")})
 
@@ -173,12 +173,12 @@ def _masked_cells(grid: Grid, mask: DataFrame | None) -> DataFrame:
     return cells.join(valid, ["grid_id", "y", "x"]).withColumn("v", F.when(F.col("valid_region"), F.col("v"))).drop("valid_region")
 
 
-def patch_maps(grid: Grid, shape: tuple[int, int], mask: DataFrame | None = None) -> DataFrame:
+def patch_maps(grid: Grid, shape: tuple[int, int], mask: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
     """Mean maps cut into patches, gaps filled inside each patch, with the gradient of the patch."""
     means = _masked_cells(grid, mask).groupBy("grid_id", "var", "y", "x").agg(F.avg("v").alias("v"))
     keys = [*PATCH, "var"]
-    placed = with_patches(grid, means, shape).select(*keys, "y", "x", "v")
-    width = patch_shape(grid.shape[1], grid.shape[2], shape)[1]
+    placed = with_patches(grid, means, shape, max_tokens).select(*keys, "y", "x", "v")
+    width = patch_shape(grid.shape[1], grid.shape[2], shape, max_tokens)[1]
     return cut_lineage(gradient(fill_nearest(placed, tuple(keys), all_missing=0.0, width=width), keys).select(*keys, "y", "x", F.col("v_original").alias("v"), "g"))
 
 
@@ -187,15 +187,17 @@ def _patch_slopes(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return maps.groupBy(*keys).agg(strength.alias("gradient"))
 
 
-def patch_features(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame | None = None, maps: DataFrame | None = None) -> DataFrame:
+def patch_features(
+    grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame | None = None, maps: DataFrame | None = None, max_tokens: int | None = None
+) -> DataFrame:
     """Per patch and variable: mean, std, min, max, p05, p95, missing share, gradient of the mean map."""
-    maps = patch_maps(grid, shape, mask) if maps is None else maps
+    maps = patch_maps(grid, shape, mask, max_tokens) if maps is None else maps
     keys = [*PATCH, "var"]
-    h, w = patch_shape(grid.shape[1], grid.shape[2], shape)
+    h, w = patch_shape(grid.shape[1], grid.shape[2], shape, max_tokens)
     v = F.col("v")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     stats = agg_with_quantiles(
-        with_patches(grid, _masked_cells(grid, mask), shape), keys,
+        with_patches(grid, _masked_cells(grid, mask), shape, max_tokens), keys,
         [zero(F.avg(v)).alias("mean"), zero(F.stddev_pop(v)).alias("std"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"), share(v.isNull()).alias("missing_ratio"), F.count("v").alias("n")],
         {"v": {"p05": 0.05, "p95": 0.95}}, grid.shape[0] * h * w,
     )
@@ -206,10 +208,10 @@ def patch_features(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFram
     return filled.join(_patch_slopes(maps, keys), keys).drop("n")
 
 
-def patch_summary(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame | None = None, maps: DataFrame | None = None, bins: int = 32) -> DataFrame:
+def patch_summary(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame | None = None, maps: DataFrame | None = None, bins: int = 32, max_tokens: int | None = None) -> DataFrame:
     """Per patch, of the first variable's mean map: mean, std, range, gradient, histogram entropy; colourfulness of
     variables two to four where there are four."""
-    maps = patch_maps(grid, shape, mask) if maps is None else maps
+    maps = patch_maps(grid, shape, mask, max_tokens) if maps is None else maps
     first = maps.where(F.col("var") == grid.primary)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     stats = first.groupBy(*PATCH).agg(
@@ -366,9 +368,9 @@ def attend(tokens: DataFrame, dim: int = 32, heads: int = 4) -> DataFrame:
     grid may have any number of patches.
     """
     heads = max(1, min(heads, dim))
-    whole = Window.partitionBy("grid_id")
-    rows = standardize(tokens.select(*PATCH, "features", "center_y", "center_x"), least=1e-12)
-    rows = rows.withColumns({"token_id": (F.row_number().over(whole.orderBy("py", "px")) - 1).cast("int"), "n_tokens": F.count(F.lit(1)).over(whole)})
+    sizes = tokens.groupBy("grid_id").agg((F.max("px") + 1).alias("_across"), F.count(F.lit(1)).alias("n_tokens"))
+    rows = standardize(tokens.select(*PATCH, "features", "center_y", "center_x"), least=1e-12).join(sizes, "grid_id")
+    rows = rows.withColumn("token_id", (F.col("py") * F.col("_across") + F.col("px")).cast("int"))
     known = "grid_id string, py int, px int, token_id int, n_tokens bigint"
     sides = "q array<double>, k array<double>"
     rows = rows.select(*PATCH, "token_id", "n_tokens", "features", "center_y", "center_x")
@@ -381,12 +383,12 @@ def attend(tokens: DataFrame, dim: int = 32, heads: int = 4) -> DataFrame:
     return done.join(arrived.groupBy("grid_id", "token_id").agg(F.sum("incoming").alias("incoming")), ["grid_id", "token_id"])
 
 
-def patch_tokens(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame | None = None) -> DataFrame:
-    """One row per patch: feature vector, bounds, normalised centre and summary."""
-    maps = patch_maps(grid, shape, mask)
+def patch_tokens(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
+    """One row per patch: feature vector, bounds, normalised centre and summary. With ``max_tokens``, patches are enlarged so that about as many cover a map."""
+    maps = patch_maps(grid, shape, mask, max_tokens)
     names = ["mean", "std", "min", "max", "p05", "p95", "missing_ratio", "gradient"]
-    vectors = _ordered(patch_features(grid, shape, mask, maps), grid, PATCH, names)
-    summary = patch_summary(grid, shape, mask, maps)
+    vectors = _ordered(patch_features(grid, shape, mask, maps, max_tokens), grid, PATCH, names)
+    summary = patch_summary(grid, shape, mask, maps, max_tokens=max_tokens)
     bounds = maps.where(F.col("var") == grid.primary).groupBy(*PATCH).agg(
         F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")
     )
@@ -398,36 +400,35 @@ def patch_tokens(grid: Grid, shape: tuple[int, int] = (32, 32), mask: DataFrame
     }).drop("n_t")
 
 
-def _unit(c: Column) -> Column:
-    """Min-max scaling over the patches of a grid; 0 without spread. A window of about 384 rows at most."""
-    whole = Window.partitionBy("grid_id")
-    return F.coalesce(F.try_divide(c - F.min(c).over(whole), F.max(c).over(whole) - F.min(c).over(whole)), F.lit(0.0))
+def _units(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns scaled to 0..1 over the patches of a grid, 0 without spread: a grouped minimum and maximum, joined back."""
+    raw = df.withColumns({f"_raw_{name}": c for name, c in columns.items()})
+    spans = raw.groupBy("grid_id").agg(*[f(f"_raw_{name}").alias(f"_{side}_{name}") for name in columns for side, f in (("lo", F.min), ("hi", F.max))])
+    part = lambda name: F.try_divide(F.col(f"_raw_{name}") - F.col(f"_lo_{name}"), F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
+    scaled = raw.join(spans, "grid_id").withColumns({name: F.coalesce(part(name), F.lit(0.0)) for name in columns})
+    return scaled.drop(*[f"_{side}_{name}" for name in columns for side in ("raw", "lo", "hi")])
 
 
 def saliency_parts(tokens: DataFrame) -> DataFrame:
     """Adds the visual and energy parts of saliency, each scaled to 0..1 within a grid."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    scaled = tokens.withColumns({f"_{c}": _unit(zero(c)) for c in rules.VISUAL_WEIGHTS})
+    scaled = _units(tokens, {f"_{c}": zero(c) for c in rules.VISUAL_WEIGHTS})
     visual = sum((w * F.col(f"_{c}") for c, w in rules.VISUAL_WEIGHTS.items()), F.lit(0.0))
     energy = F.abs(zero("mean")) + zero("std") + zero("dynamic_range") + zero("gradient_strength")
-    raw = scaled.withColumns({"_visual": visual, "_energy": energy})
-    return raw.withColumns({"visual": _unit(F.col("_visual")), "energy": _unit(F.col("_energy"))}).drop(
-        "_visual", "_energy", *[f"_{c}" for c in rules.VISUAL_WEIGHTS]
-    )
+    return _units(scaled, {"visual": visual, "energy": energy}).drop(*[f"_{c}" for c in rules.VISUAL_WEIGHTS])
 
 
 def saliency(tokens: DataFrame) -> DataFrame:
     """Adds attention centrality and the fused saliency of encoded patches."""
     a, b, c = rules.SALIENCY_WEIGHTS
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    central = saliency_parts(tokens).withColumn("_c", F.col("incoming") * length)
-    fused = central.withColumn("centrality", _unit(F.col("_c"))).withColumn("_f", a * F.col("visual") + b * F.col("centrality") + c * F.col("energy"))
-    return fused.withColumn("saliency", _unit(F.col("_f"))).drop("_c", "_f")
+    central = _units(saliency_parts(tokens), {"centrality": F.col("incoming") * length})
+    return _units(central, {"saliency": a * F.col("visual") + b * F.col("centrality") + c * F.col("energy")})
 
 
-def encode(grid: Grid, shape: tuple[int, int] = (32, 32), dim: int = 32, heads: int = 4, mask: DataFrame | None = None) -> DataFrame:
+def encode(grid: Grid, shape: tuple[int, int] = (32, 32), dim: int = 32, heads: int = 4, mask: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
     """The full patch encoder: tokens with features, vectors, saliency and its sources."""
-    tokens = cut_lineage(patch_tokens(grid, shape, mask))
+    tokens = cut_lineage(patch_tokens(grid, shape, mask, max_tokens))
     return cut_lineage(saliency(tokens.join(attend(tokens, dim, heads), PATCH)))
 
 
@@ -469,14 +470,14 @@ def saliency_summary(encoded: DataFrame) -> DataFrame:
     )
 
 
-def saliency_map(grid: Grid, encoded: DataFrame, shape: tuple[int, int] = (32, 32)) -> DataFrame:
+def saliency_map(grid: Grid, encoded: DataFrame, shape: tuple[int, int] = (32, 32), max_tokens: int | None = None) -> DataFrame:
     """Saliency per cell, smoothed with sigma = max(1, median patch side / 7), scaled to 0..1."""
     sides = encoded.select("grid_id", F.explode(F.array(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))).alias("side"))
     sigma = sides.groupBy("grid_id").agg(F.greatest(F.lit(1.0), F.percentile("side", F.lit(0.5)) / 7.0).alias("sigma"))
     area = F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")
     rows = encoded.join(grid.per_map(sigma), "grid_id").select("grid_id", "n_y", "n_x", "sigma", "saliency", "x0", "x1", area)
     cells = rows.select("grid_id", "n_y", "n_x", "sigma", "saliency", "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
-    widest = max(1.0, max(patch_shape(grid.shape[1], grid.shape[2], shape)) / 7.0)
+    widest = max(1.0, max(patch_shape(grid.shape[1], grid.shape[2], shape, max_tokens)) / 7.0)
     smoothed = smooth_map(cells, "saliency", F.col("sigma"), ["grid_id"], max_sigma=widest)
     return min_max(smoothed.select("grid_id", "y", "x", F.col("smoothed").alias("v")), "v", ["grid_id"], small=grid.per_map)
 

@@ -92,7 +92,7 @@ def tag_time(text: Column, start: Column | None = None, end: Column | None = Non
 
 
 def tag_products(task: Column, is_image: Column, has_patches: Column, hotspots: Column, primary: Column) -> dict[str, Column]:
-    """Feature tables, products, steps and priority that a task needs."""
+    """Feature tables, products, steps, steps of the patch encoder and priority that a task needs."""
     none = F.array().cast("array<string>")
 
     def by_task(table: dict[str, Sequence[str]], default: Column) -> Column:
@@ -110,6 +110,10 @@ def tag_products(task: Column, is_image: Column, has_patches: Column, hotspots:
         "required_features": F.array_distinct(features),
         "derived_products": products,
         "steps": F.when(channel, _list(rules.IMAGE_STEPS)).otherwise(named),
+        "patch_steps": F.when(has_patches, F.concat(
+            _list(rules.PATCH_STEPS), F.when(is_image, _list(rules.PATCH_IMAGE_STEPS)).otherwise(none),
+            F.when(task.isin(list(rules.PATCH_REGION_TASKS)), _list(rules.PATCH_REGION_STEPS)).otherwise(none),
+        )).otherwise(none),
         "priority": F.when(task.isin(list(rules.URGENT_TASKS)), "high").when(F.coalesce(hotspots, F.lit(0)) > 0, "medium").otherwise("low"),
     }
 
@@ -174,10 +178,14 @@ def with_defaults(plans: DataFrame) -> DataFrame:
     })
 
 
+#: Parts of a reply that are merged field by field, whatever the fields are.
+SECTIONS = ("task_graph", "visualization_strategy", "analysis_plan")
+
+
 def parse_replies(df: DataFrame, text: str, out: str = "reply") -> DataFrame:
     """Structured replies from free text: without code fences, whole text if it is JSON, else its outermost braces.
 
-    NULL where neither parses, or where the JSON is not an object.
+    Adds the known fields as a struct, and all fields as a map of variants, ``<out>_fields``. NULL where neither parses, or where the JSON is not an object.
     """
     bare = strip(F.col(text))
     fenced = bare.startswith("```")
@@ -188,16 +196,47 @@ def parse_replies(df: DataFrame, text: str, out: str = "reply") -> DataFrame:
     inner = F.regexp_extract("_body", r"(?s)\{.*\}", 0)
     chosen = F.when(whole, F.col("_body")).when(F.try_parse_json(inner).isNotNull(), inner)
     is_object = F.ltrim("_json").startswith("{")
-    return staged.withColumn("_json", chosen).withColumn(out, F.when(is_object, F.from_json("_json", PLAN))).drop("_body", "_json")
+    read = lambda form: F.when(is_object, F.from_json("_json", form))
+    return staged.withColumn("_json", chosen).withColumns({out: read(PLAN), f"{out}_fields": read("map<string,variant>")}).drop("_body", "_json")
+
+
+def section(fields: Column, name: str) -> Column:
+    """One part of a map of variants as a map of its own; empty where it is no object."""
+    text = F.to_json(F.try_element_at(fields, F.lit(name)))
+    return F.coalesce(F.when(text.startswith("{"), F.from_json(text, "map<string,variant>")), F.from_json(F.lit("{}"), "map<string,variant>"))
+
+
+def merge_fields(base: Column, reply: Column) -> Column:
+    """Fields of a reply that say something over those of a base: null, empty texts, lists and objects leave the base as it is."""
+    said = F.map_filter(reply, lambda _, v: ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", '""', "[]", "{}"))
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(said, k))
+    return F.map_concat(kept, said)
+
+
+def _unknown(known: Sequence[str]):
+    return lambda k, _: ~k.isin(*known)
 
 
 def merge_plans(plans: DataFrame, reply: str = "reply") -> DataFrame:
-    """Non-empty fields of a reply over those of the rule-based plan; lists are united; an unknown task type falls back."""
+    """Non-empty fields of a reply over those of the rule-based plan; lists are united; an unknown task type falls back.
+
+    Fields without a column of their own survive in maps of variants: ``analysis_plan`` (over that of the plan, if it has one), ``more_task_graph`` and
+    ``more_visualization_strategy``. ``semantic_response`` is the reply's text, else the plan's.
+    """
     r = lambda path: F.col(f"{reply}.{path}")
     text = lambda path, name: F.coalesce(F.nullif(r(path), F.lit("")), F.col(name))
     task = text("task_graph.task_type", "task_type")
     asked = r("task_graph.variables")
+    fields = F.col(f"{reply}_fields")
+    empty = F.from_json(F.lit("{}"), "map<string,variant>")
+    said = {name: section(fields, name) for name in SECTIONS}
+    base = F.coalesce("analysis_plan", empty) if "analysis_plan" in plans.columns else empty
+    own = {"task_graph": ("task_type", "region", "variables", "time_range"), "visualization_strategy": ("chart_type", "layout", "color_encoding", "focus_region")}
+    more = {f"more_{name}": merge_fields(empty, F.map_filter(said[name], _unknown(known))) for name, known in own.items()}
+    answer = F.nullif(F.variant_get(F.try_element_at(fields, F.lit("semantic_response")), "$", "string"), F.lit(""))
+    fallback = F.col("semantic_response") if "semantic_response" in plans.columns else F.lit(None).cast("string")
     return plans.withColumns({
+        "analysis_plan": merge_fields(base, said["analysis_plan"]), **more, "semantic_response": F.coalesce(answer, fallback),
         "task_type": F.when(task.isin(list(rules.TASK_TYPES)), task).otherwise(F.col("task_type")),
         "region": text("task_graph.region", "region"),
         "variables": F.when(F.size(F.coalesce(asked, F.array().cast("array<string>"))) > 0, asked).otherwise(F.col("variables")),

@@ -181,6 +181,88 @@ def prepare(
     return one.with_cells(cells.withColumns({"v": F.when(keep, F.col("v")), "in_region": keep}).drop("valid_region"))
 
 
+#: Largest and smallest size, as a power of two, of a band of intervals.
+BAND_LEVELS = (-30, 30)
+
+
+def banded(intervals: DataFrame, low: Column, high: Column) -> tuple[DataFrame, list[int]]:
+    """Intervals with ``level`` and ``band``, a row for each of the two or three bands of size 2**level that cover one, and the levels there are.
+
+    The level follows from the length of the interval, so long and short ones make equally few rows. A point lies in
+    one band of each level: ``in_bands`` gives them, and an equal band is all a join has to look at.
+    """
+    least, most = BAND_LEVELS
+    length = high - low
+    level = F.when(length > 0, F.least(F.greatest(F.ceil(F.log2(length)), F.lit(least)), F.lit(most))).otherwise(F.lit(least)).cast("int")
+    sized = intervals.withColumn("level", level)
+    unit = F.pow(F.lit(2.0), F.col("level"))
+    placed = sized.withColumn("band", F.explode(F.sequence(F.floor(low / unit), F.floor(high / unit))))
+    return placed, sorted(r[0] for r in sized.select("level").distinct().collect())
+
+
+def in_bands(points: DataFrame, at: Column, levels: Sequence[int]) -> DataFrame:
+    """Points with ``level`` and ``band``, a row for each of the levels."""
+    chosen = F.array(*[F.lit(n) for n in levels]).cast("array<int>")
+    return points.withColumn("level", F.explode(chosen)).withColumn("band", F.floor(at / F.pow(F.lit(2.0), F.col("level"))))
+
+
+def polygon_mask(grid: Grid, rings: DataFrame, band: float | None = None) -> DataFrame:
+    """(grid_id, y, x, inside): cells inside a set of rings by the even-odd rule.
+
+    ``rings`` holds one row per edge: lon1, lat1, lon2, lat2. Edges meet rows of the latitude axis through
+    latitude bands (an equi-join), and each meeting gives one crossing longitude. Bands have sizes of powers of two, chosen edge by edge, or the
+    one size ``band``. A cell is inside if the crossings to its east are odd in number; crossings are accumulated along the row, so the work is
+    crossings + cells, not crossings x cells.
+    """
+    lat, lon = grid.lat_axis(), grid.lon_axis()
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    leaning = rings.where(F.col("lat1") != F.col("lat2"))
+    if band is None:
+        edges, levels = banded(leaning, low, high)
+        rows = in_bands(lat, F.col("lat"), levels)
+    else:
+        edges = leaning.select("*", F.lit(0).alias("level"), F.explode(F.sequence(F.floor(low / band), F.floor(high / band))).alias("band"))
+        rows = lat.withColumns({"level": F.lit(0), "band": F.floor(F.col("lat") / band)})
+    crosses = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
+    at = F.col("lon1") + (F.col("lat") - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
+    crossings = (
+        rows.join(edges, ["level", "band"]).where(crosses)
+        .select("grid_id", "y", F.lit(None).cast("int").alias("x"), at.alias("lon"), F.lit(1).alias("crossing"))
+    )
+    columns = lon.groupBy("grid_id").agg(F.collect_list("x").alias("xs"))
+    return lat.select("grid_id", "y").join(columns, "grid_id").select("grid_id", "y", F.explode("xs").alias("x"))
+
+
+def in_region(grid: Grid, df: DataFrame, name: str, boxes: Sequence[tuple] = rules.REGION_BOXES) -> DataFrame:
+    """Adds ``in_region`` to rows that carry y and x."""
+    box = next((b for b in boxes if b[0] == name and b[1] is not None), None)
+    if box is None:
+        return df.withColumn("in_region", F.lit(True))
+    placed = grid.with_coords(df)
+    inside = F.col("lon").between(box[1], box[2]) & F.col("lat").between(box[3], box[4])
+    return placed.withColumn("in_region", inside).drop("lat", "lon")
+
+
+def prepare(
+    grid: Grid,
+    var: str,
+    region: str | None = None,
+    mask: DataFrame | None = None,
+    boxes: Sequence[tuple] = rules.REGION_BOXES,
+) -> Grid:
+    """One variable with values outside the valid region and the box set to NULL; no cell is dropped."""
+    one = grid.one(var)
+    cells = one.cells
+    keep = F.lit(True)
+    if mask is not None:
+        valid = mask.select("grid_id", "y", "x", "valid_region")
+        cells = cells.join(valid, ["grid_id", "y", "x"], "left")
+        keep = keep & F.coalesce(F.col("valid_region"), F.lit(True))
+    cells = in_region(one, cells, region, boxes) if region is not None else cells.withColumn("in_region", F.lit(True))
+    keep = keep & F.col("in_region")
+    return one.with_cells(cells.withColumns({"v": F.when(keep, F.col("v")), "in_region": keep}).drop("valid_region"))
+
+
 def polygon_mask(grid: Grid, rings: DataFrame, band: float = 1.0) -> DataFrame:
     """(grid_id, y, x, inside): cells inside a set of rings by the even-odd rule.
 

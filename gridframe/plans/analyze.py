@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridframe.functions import rules
+from gridframe.functions.columns import coverage_label
 from gridframe.model import MAP, Grid
 from gridframe.operators import aggregates as agg, blocks as blk, embed as emb, image as img, missing as mis
 from gridframe.operators import regions as reg, requests as req, selection as sel, temporal as tem
@@ -64,9 +65,15 @@ def analyze(
     block_cols: int = 14,
     min_similar_cells: int = 200,
     mask: DataFrame | None = None,
+    display_points: int | None = None,
+    pair_rows: int | None = None,
+    hotspot_rows: int | None = None,
 ) -> Mapping[str, DataFrame]:
     """Tables of the analysis of a variable in a region for one step; with a task, only those it needs.
 
+    All tables are whole. Where asked for, the four tables for display keep at most ``display_points`` rows and columns of a map, ``pairs`` about ``pair_rows`` rows, and
+    ``hotspots`` the first ``hotspot_rows`` regions of a map.
+
     Cells outside the valid region of ``mask`` (as ``missing_masks`` returns it) count as missing. The tasks that compare steps
     fall back on the mean map where no grid has a second step.
 
@@ -77,13 +84,14 @@ def analyze(
     subset = sel.prepare(grid, var, region, mask, boxes)
     subset = subset.with_cells(cut_lineage(subset.cells))
     if task is not None:
-        return _for_task(grid, subset, var, task)
+        return _for_task(grid, subset, var, task, pair_rows)
     mean = lambda: agg.mean_map(subset)
     series = lambda: agg.series_mean(subset)
     out: Tables
 
     def display(column: str):
-        return lambda: sel.downsample(subset, out["maps"].select(*MAP, "y", "x", F.col(column).alias("v")))
+        whole = lambda: out["maps"].select(*MAP, "y", "x", F.col(column).alias("v"))
+        return whole if display_points is None else lambda: sel.downsample(subset, whole(), display_points)
 
     out = Tables({
         "statistics_overall": lambda: stats_of(subset.cells, subset.stack_cells),
@@ -95,7 +103,7 @@ def analyze(
         "quality": lambda: agg.quality(subset),
         "series": lambda: agg.series_stats(subset).join(agg.hotspot_share(subset), [*MAP, "t"]),
         "anomaly_days": lambda: subset.with_time(tem.anomaly_days(series())),
-        "hotspots": lambda: reg.component_table(subset, reg.hotspots(subset, mean()), n=12, by_peak=True),
+        "hotspots": lambda: reg.component_table(subset, reg.hotspots(subset, mean()), n=hotspot_rows, by_peak=True),
         "blocks": lambda: cut_lineage(blk.block_table(subset, t, block_rows, block_cols)),
         "top_blocks": lambda: blk.top_blocks(out["blocks"]),
         "block_labels": lambda: blk.block_labels(out["blocks"]),
@@ -109,7 +117,7 @@ def analyze(
     return out
 
 
-def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> Mapping[str, DataFrame]:
+def _for_task(grid: Grid, subset: Grid, var: str, task: str, pair_rows: int | None) -> Mapping[str, DataFrame]:
     mean = agg.mean_map(subset)
 
     other = sel.secondary_variable(grid, var)
@@ -118,7 +126,8 @@ def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> Mapping[str, Dat
         both = subset.with_cells(
             subset.cells.drop("in_region").unionByName(grid.one(other).cells.select("grid_id", "t", "var", "y", "x", "v")), variables=(var, other)
         )
-        return sel.thin(both, agg.pair_vars(both, var, other))
+        found = agg.pair_vars(both, var, other)
+        return found if pair_rows is None else sel.thin(both, found, pair_rows)
 
     makers = {
         "mean_map": lambda: mean,
@@ -131,8 +140,12 @@ def _for_task(grid: Grid, subset: Grid, var: str, task: str) -> Mapping[str, Dat
         "pairs": pairs,
     }
     names = TASK_TABLES.get(task, DEFAULT_TABLES)
-    if subset.shape[0] <= 1 and task in OVER_TIME:
-        names = (*DEFAULT_TABLES, *(n for n in names if n == "hotspot_cells"))
+    if task in OVER_TIME:
+        if subset.shape[0] <= 1:
+            names = (*DEFAULT_TABLES, *(n for n in names if n == "hotspot_cells"))
+        elif subset.dims is not None:  # grids of one step beside longer ones have a mean map only
+            names = tuple(dict.fromkeys(("mean_map", *names)))
+            makers = {name: (maker if name == "mean_map" else _of_several_steps(subset, maker)) for name, maker in makers.items()}
     return Tables({name: makers[name] for name in names if name != "pairs" or other is not None})
 
 
@@ -156,9 +169,13 @@ def describe(grid: Grid, fill: str | None = "nearest") -> Mapping[str, DataFrame
 
 
 def extract_features(
-    grid: Grid, block: tuple[int, int] = (32, 32), dim: int = 8, q: float = 0.9, fill: str | None = "nearest", patches: bool = True
+    grid: Grid, block: tuple[int, int] = (32, 32), dim: int = 8, q: float = 0.9, fill: str | None = "nearest", patches: bool = True, max_tokens: int | None = None
 ) -> Mapping[str, DataFrame]:
-    """The feature tables of a grid: statistics, correlation, spatial, temporal, embeddings, image, patches, labels."""
+    """The feature tables of a grid: statistics, correlation, spatial, temporal, embeddings, image, patches, labels, and what they say of the primary variable.
+
+    ``hotspots`` has all regions at or above the quantile ``q`` of the mean map, ``change_points`` all steps that stand out, with their times. With
+    ``max_tokens``, patches are enlarged so that about as many cover a map.
+    """
     whole = mis.fill(grid, fill)
     whole = whole.with_cells(cut_lineage(whole.cells))
     valid = cut_lineage(mis.missing_masks(grid))
@@ -170,6 +187,10 @@ def extract_features(
         "strongest_partner": lambda: agg.strongest_partner(out["correlation"], grid.primary),
         "spatial": lambda: reg.spatial_features(whole, q, valid),
         "temporal": lambda: tem.temporal_features(whole, valid),
+        "hotspots": lambda: reg.component_table(whole, reg.hotspots(whole, cut_lineage(_valid(agg.mean_map(whole), valid)), q), n=None),
+        "change_points": lambda: whole.with_time(tem.change_points(agg.series_mean(whole, valid), n=None)),
+        "coverage": lambda: out["statistics"].select(*MAP, "missing_ratio", coverage_label(F.col("missing_ratio")).alias("coverage")),
+        "facts": lambda: _facts(whole, out),
         "across_variables": lambda: agg.across_variables(out["spatial"], out["temporal"]),
         "labels": lambda: req.semantic_labels(out["spatial"].join(out["temporal"], MAP)),
         "block_embedding": lambda: emb.block_embedding(whole, block, dim, "v_original"),
@@ -179,7 +200,7 @@ def extract_features(
     if img.is_image(grid):
         makers["image"] = lambda: img.image_features(whole)
     if patches:
-        makers["patches"] = lambda: emb.encode(whole, block, max(16, dim * 4), 4, valid)
+        makers["patches"] = lambda: emb.encode(whole, block, max(16, dim * 4), 4, valid, max_tokens)
         makers["top_patches"] = lambda: emb.top_patches(out["patches"])
         makers["attention_edges"] = lambda: emb.attention_edges(out["patches"])
         makers["saliency_summary"] = lambda: emb.saliency_summary(out["patches"])
@@ -187,6 +208,30 @@ def extract_features(
     return out
 
 
+def _of_several_steps(grid: Grid, maker: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """A table without the grids that have one step only."""
+    return lambda: maker().join(grid.dims_table().where("n_t > 1").select("grid_id"), "grid_id", "left_semi")
+
+
+def _valid(map_df: DataFrame, mask: DataFrame) -> DataFrame:
+    valid = mask.select("grid_id", "y", "x", "valid_region")
+    return map_df.join(valid, ["grid_id", "y", "x"]).withColumn("v", F.when(F.col("valid_region"), F.col("v"))).drop("valid_region")
+
+
+def _facts(grid: Grid, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per grid: its size, and of the primary variable coverage, patterns in words, hotspots, trend and the strongest relation; of images, size, edges and texture."""
+    primary = F.col("var") == grid.primary
+    rows = grid.dims_table().select("grid_id", F.lit(grid.primary).alias("variable"), "n_t", "n_y", "n_x")
+    labels = tables["labels"].where(primary).select("grid_id", "hotspot_count", "trend", "spatial_pattern", "temporal_pattern")
+    partner = tables["strongest_partner"].select("grid_id", "partner", F.col("r").alias("partner_r"))
+    rows = rows.join(tables["coverage"].where(primary).select("grid_id", "missing_ratio", "coverage"), "grid_id", "left").join(labels, "grid_id", "left").join(partner, "grid_id", "left")
+    if "image" in tables:
+        rows = rows.join(tables["image"].select("grid_id", "width", "height", "edge_density", "texture_label"), "grid_id", "left")
+    if "saliency_summary" in tables:
+        rows = rows.join(tables["saliency_summary"].select("grid_id", "tokens", F.col("p95").alias("saliency_p95")), "grid_id", "left")
+    return rows
+
+
 def flags(spatial: DataFrame, statistics: DataFrame, steps: int, image: bool, anomalies: DataFrame | None = None) -> DataFrame:
     """Cautions per variable from its missing share, the number of steps, the kind of grid and the anomalies found."""
     rows = spatial.select(*MAP).join(statistics.select(*MAP, "missing_ratio"), MAP)

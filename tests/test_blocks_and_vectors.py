@@ -162,7 +162,8 @@ def test_attention_in_several_blocks(spark, monkeypatch):
 
 def test_patch_shape():
     assert emb.patch_shape(72, 112, (32, 32)) == (32, 32)
-    h, w = emb.patch_shape(3000, 5000, (32, 32))
+    assert emb.patch_shape(3000, 5000, (32, 32)) == (32, 32)
+    h, w = emb.patch_shape(3000, 5000, (32, 32), rules.MAX_TOKENS)
     assert math.ceil(3000 / h) * math.ceil(5000 / w) <= 1.1 * 384
 
 

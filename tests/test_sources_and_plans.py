@@ -323,9 +323,53 @@ def test_reply_fields_are_merged(spark):
     assert rows[0]["follow_up_questions"] == ["a", "b"] and rows[1]["follow_up_questions"] == []
 
 
+def test_fields_without_a_column_survive(spark):
+    reply = '{"analysis_plan": {"a": [], "b": [1, {"c": null}], "d": 0}, "task_graph": {"task_type": "clustering", "depth": {"x": 1.5}}, "visualization_strategy": 7, "semantic_response": "yes"}'
+    none = F.lit(None).cast("string")
+    plan = spark.createDataFrame([(reply,), ("no reply",), ('{"analysis_plan": "text"}',)], "r string").withColumns(
+        {c: none for c in ("task_type", "region", "time_range", "chart_type", "layout", "color_encoding", "focus_region")}
+    ).withColumns({c: F.lit(None).cast("array<string>") for c in ("variables", "uncertainty_risks")})
+    base = F.from_json(F.lit('{"a": ["kept"], "d": "old"}'), "map<string,variant>")
+    done = req.merge_plans(req.with_defaults(req.parse_replies(plan, "r")).withColumn("analysis_plan", base))
+    rows = done.select("task_type", "semantic_response", *[F.to_json(c).alias(c) for c in ("analysis_plan", "more_task_graph", "more_visualization_strategy")]).collect()
+    first = json.loads(rows[0]["analysis_plan"])
+    assert first == {"a": ["kept"], "b": [1, {"c": None}], "d": 0} and json.loads(rows[0]["more_task_graph"]) == {"depth": {"x": 1.5}}
+    assert rows[0]["task_type"] == "clustering" and rows[0]["semantic_response"] == "yes" and rows[0]["more_visualization_strategy"] == "{}"
+    for r in rows[1:]:
+        assert json.loads(r["analysis_plan"]) == {"a": ["kept"], "d": "old"} and r["more_task_graph"] == "{}" and r["semantic_response"] is None
+
+
+def test_long_edges_make_few_rows(spark):
+    edges = spark.createDataFrame([(0.0, 60.0), (10.2, 10.3), (-5.0, -5.0), (-0.001, 0.001), (-90.0, 90.0)], "a double, b double")
+    placed, levels = sel.banded(edges, F.col("a"), F.col("b"))
+    assert placed.groupBy("a").count().agg(F.max("count")).first()[0] <= 3 and len(levels) == 5
+    met = sel.in_bands(spark.createDataFrame([(10.25,), (59.9,), (0.0,)], "p double"), F.col("p"), levels).join(placed, ["level", "band"]).where("p BETWEEN a AND b")
+    assert {(r["p"], r["a"]) for r in met.collect()} == {(10.25, 0.0), (10.25, 10.2), (10.25, -90.0), (59.9, 0.0), (59.9, -90.0), (0.0, 0.0), (0.0, -0.001), (0.0, -90.0)}
+
+
+def test_limits_of_an_analysis_are_arguments(spark):
+    g = bumpy_field(spark, 18, 20, 6)
+    whole, few = plans.analyze(g), plans.analyze(g, display_points=5, hotspot_rows=1)
+    assert whole["mean_display"].count() == 360 and few["mean_display"].count() == 25
+    assert few["hotspots"].count() == 1 <= whole["hotspots"].count()
+
+
+def test_single_steps_beside_longer_grids(spark, grid_from):
+    from gridframe.model import Grid
+
+    a = np.arange(24, dtype=float).reshape(2, 4, 3)
+    two, one = grid_from(a, grid_id="two"), grid_from(a[:1], grid_id="one")
+    dims = spark.createDataFrame([("two", 2, 4, 3), ("one", 1, 4, 3)], "grid_id string, n_t int, n_y int, n_x int")
+    tables = plans.analyze(Grid(two.cells.unionByName(one.cells), ("v",), (2, 4, 3), dims=dims, n_grids=2), task="comparison")
+    assert {r["grid_id"] for r in tables["difference_map"].collect()} == {"two"} and tables["mean_map"].count() == 24
+
+
 def test_feature_bundle(spark):
     g = bumpy_field(spark, 18, 20, 6)
     tables = plans.extract_features(g, block=(6, 5), dim=4)
+    facts = tables["facts"].first()
+    assert facts["n_t"] == 6 and facts["coverage"] and facts["hotspot_count"] == tables["hotspots"].count() and facts["saliency_p95"] > 0
+    assert tables["change_points"].columns[-2:] == ["ts", "label"]
     assert tables["statistics"].first()["missing_ratio"] > 0
     assert tables["block_embedding"].count() == 12 and len(tables["block_embedding"].first()["embedding"]) == 4
     assert tables["saliency_summary"].first()["max"] == 1.0 and tables["labels"].count() == 1
