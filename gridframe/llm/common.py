@@ -15,6 +15,8 @@ from gridframe.session import cut_lineage
 
 #: Rows up to which a table is sent to every task. Such tables are counted first; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of such a table, written as JSON.
+BROADCAST_BYTES = 64 << 20
 
 #: Bytes A-Z to a-z, all others as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,10 +64,18 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa
         yield rest.combine_chunks()
 
 
+def drawn(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most ``most`` distinct rows, those with the smallest keys, a hash of all that tells rows apart. Repeated rows count once, so neither
+    they nor repeated ids make the draw larger; only keys are sorted."""
+    hashed = rows.withColumn("__key", key)
+    chosen = hashed.select("__key").distinct().orderBy("__key").limit(most)
+    return hashed.join(F.broadcast(chosen), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
 def small(df: DataFrame) -> tuple[DataFrame, bool]:
-    """The table, computed once, and whether it is of a size to send to every task."""
+    """The table, computed once, and whether it is of a size, in rows and in bytes, to send to every task."""
     df = cut_lineage(df)
-    fits = df.count() <= BROADCAST_ROWS
+    fits = df.count() <= BROADCAST_ROWS and (df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
     return (F.broadcast(df) if fits else df), fits
 
 

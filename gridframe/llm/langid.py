@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import pieces, send
+from gridframe.llm.common import drawn, pieces, send
 from gridframe.llm.ftrl import Ftrl, chances
 
 #: Buckets of hashed n-grams, and their longest length.
@@ -89,7 +89,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, alpha: float = 0.5, l1: float = 0.02, l2: float = 0.01, epochs: int = 4) -> Model:
     """Model from the rows where ``learn`` holds and ``lang`` is not null.
 
-    Document frequencies are counted over all such rows. The weights are fitted on at most ``fit_rows`` of them; every fifth of
+    Document frequencies are counted over all such rows. The weights are fitted on at most ``fit_rows`` distinct rows, those with the smallest hashes; every fifth of
     these serves to set the temperature at which the predicted probabilities have the least log loss; as one more row of any
     language might come, that loss is smoothed, so a model without errors does not become certain.
     """
@@ -99,10 +99,10 @@ def train(documents: DataFrame, learn: Column, id: str = "doc_id", text: str = "
     for bucket, n in counted:
         seen[bucket] = n
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
-    chosen = labelled.select(F.col(id).alias("chosen"), F.xxhash64(id).alias("h")).orderBy("h", "chosen").limit(fit_rows).select("chosen").distinct()
-    sample = labelled.join(F.broadcast(chosen), F.col(id).eqNullSafe(F.col("chosen")), "left_semi").select(F.col(lang).cast("string"), F.col(text))
+    known = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
+    sample = drawn(known, F.xxhash64("id", "lang", "text"), fit_rows).select("lang", "text")
     rows = sorted(map(tuple, sample.mapInArrow(_features, "lang string, at binary, counts binary").collect()))
-    rows = [(name, np.frombuffer(at, np.int32), np.frombuffer(counts, np.float32).astype(float)) for name, at, counts in rows if at][: 2 * fit_rows]
+    rows = [(name, np.frombuffer(at, np.int32), np.frombuffer(counts, np.float32).astype(float)) for name, at, counts in rows if at]
     languages = sorted({name for name, _, _ in rows})
     model = Model(languages, np.zeros((BUCKETS + 1, len(languages))), idf, 1.0)
     if len(languages) < 2:

@@ -126,16 +126,25 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _links(batches, bits), "a long, b long")
 
 
+def grouped(documents: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (id, fp) of all rows, and (fp, root) for each fingerprint: the least one reachable over links."""
+    rows = cut_lineage(fingerprints(documents, id, text, shingle))
+    nodes = cut_lineage(rows.select("fp").distinct())
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), bits))
+    roots = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"))
+    return rows, cut_lineage(roots)
+
+
 def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """(id, fingerprint, component_id) for each row: the fingerprint as 16 hex digits and the smallest id reachable over links.
 
-    Rows with one fingerprint are one node, named by their smallest id, so exact copies make no pairs. Null or empty texts have
-    the zero fingerprint and link like others. Repeated rows come back as often as they went in. A null id is no
-    candidate for the smallest id, and component_id is null if all rows of a component lack an id. Other columns
-    of the input are not read. An empty table gives an empty one.
+    Rows with one fingerprint are one node, so exact copies make no pairs; a component is named by its smallest id when it is
+    whole. Null or empty texts have the zero fingerprint and link like others. Repeated rows come back as often as they went
+    in. Rows without an id link like others but are no candidate for the smallest id; component_id is null if all rows of a
+    component lack an id. Other columns of the input are not read. An empty table gives an empty one.
     """
-    rows = cut_lineage(fingerprints(documents, id, text, shingle))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    found = components(links(nodes.where("id IS NOT NULL"), bits))
-    named = cut_lineage(nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")))
+    rows, roots = grouped(documents, id, text, shingle, bits)
+    least = rows.groupBy("fp").agg(F.min("id").alias("id")).join(roots, "fp")
+    names = least.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = cut_lineage(roots.join(names, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

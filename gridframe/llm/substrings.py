@@ -163,7 +163,7 @@ def _lists(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListAr
 
 
 #: Rows that go on by key have a place; settled rows have a list and stay with their document.
-KEYED = "settled boolean, k1 long, k2 long, d long, r int, place int, list array<int>"
+KEYED = "settled boolean, k1 long, k2 long, d long, r long, place int, list array<int>"
 
 
 def _going(k1: np.ndarray, k2: np.ndarray, d: np.ndarray, r: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -173,7 +173,7 @@ def _going(k1: np.ndarray, k2: np.ndarray, d: np.ndarray, r: np.ndarray, place:
 
 def _settled(d: np.ndarray, r: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
     n = len(d)
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(d), pa.array(r.astype(np.int64)), pa.array(d), pa.array(r), pa.nulls(n, pa.int32()), lists], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(mix(d.view(np.uint64) ^ mix(r.view(np.uint64))).view(np.int64)), pa.array(r), pa.array(d), pa.array(r), pa.nulls(n, pa.int32()), lists], NAMES)
 
 
 NAMES = [part.split()[0] for part in KEYED.split(", ")]
@@ -283,10 +283,10 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
     id. Windows are judged on the input. A null text has no words. A null id counts as larger than all others. Rows with the
     same id don't remove from each other, and repeated rows get equal results. Passages repeated within one document
     alone stay. Columns of the input that have one of the three names are replaced. An empty table gives an empty one.
-    Window sequences are compared by 80 bits of hashes; rows that share an id but not the text are told apart by 24 bits.
+    Window sequences are compared by 80 bits of hashes; rows that share an id, or have none, are told apart by 64 bits of a hash of id and text.
     """
     rest = [c for c in documents.columns if c not in ("kept", "n_words", "n_removed", text)]
-    row = F.xxhash64(id, text).bitwiseAND(0xFFFFFF).cast("int").alias("__r")
+    row = F.xxhash64(id, text).alias("__r")
     rows = documents.select(row, F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("__d"), F.col(text).alias("__text"), *rest)
 
     def by_row(found: DataFrame, entries: Column) -> DataFrame:

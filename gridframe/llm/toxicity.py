@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import pieces, send
+from gridframe.llm.common import drawn, pieces, send
 from gridframe.llm.ftrl import Ftrl
 from gridframe.llm.substrings import mix
 
@@ -70,12 +70,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, alpha: float = 2.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 6, least: int = 3) -> Model:
     """Model from the labelled documents among those where ``learn``, a condition on the id, holds.
 
-    Labels that are null or lack a document don't count; an id with both labels counts as 1. At most ``fit_rows`` ids are used. Features that
+    Labels that are null or lack a document don't count; an id with both labels counts as 1. At most ``fit_rows`` ids, and of their distinct texts as many, are used: those with the smallest hashes. Features that
     occur in fewer than ``least`` of their texts are left out. Without labels every score is one half.
     """
     known = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("chosen")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("chosen"), "chosen").limit(fit_rows)
-    sample = documents.join(F.broadcast(chosen), F.col(id) == F.col("chosen")).select("label", F.col(text).alias("text"))
+    met = documents.join(F.broadcast(chosen), F.col(id) == F.col("chosen")).select("label", F.col(text).alias("text"), F.col(id).alias("id"))
+    sample = drawn(met, F.xxhash64("id", "text"), fit_rows).select("label", "text")
     rows = sample.mapInArrow(_gather, "label int, found binary").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
