@@ -7,13 +7,15 @@ cluster names in ``spark.checkpoint.dir`` and goes on from there.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.llm import bpe, decontam, langid, simhash, substrings
-from gridframe.llm.common import share
-from gridframe.session import cut_lineage
+from gridframe.llm.common import share, small
+from gridframe.session import configure, cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if its most probable language has at least this calibrated probability.
@@ -30,10 +32,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies. Of rows with one id, one stays."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one document of each group of near copies: that with the smallest id, one without an id only if none has one.
+
+    Rows are told apart by id and text, so rows without an id, and different texts under one id, are documents of their own; rows that agree in both are
+    one.
+    """
+    row = F.xxhash64("doc_id", "text").alias("row")
+    found, roots = simhash.grouped(docs.select(row, "text"), id="row")
+    known = docs.select(row, "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    first = found.distinct().join(roots, "fp").withColumnRenamed("id", "row").join(known, "row").groupBy("root").agg(F.min(order).alias("first"))
+    kept = cut_lineage(first.select("first.row"))
+    return docs.withColumn("row", row).dropDuplicates(["row"]).join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +57,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that hold a passage of the benchmark, told apart by id and text."""
+    row = F.xxhash64("doc_id", "text")
+    keyed = docs.select(row.alias("row"), "text")
+    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id="row")
+    hit, _ = small(found.where("contaminated").select("row").distinct())
+    return docs.withColumn("row", row).join(hit, "row", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +71,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("benchmark_passages", benchmark_passages), ("tokens", tokens)]
+def configured(stage):
+    """The stage with the session settings that the memory of its tasks depends on."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, configured(stage)) for stage in (language, near_copies, repeated_passages, benchmark_passages, tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
