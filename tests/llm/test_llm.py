@@ -414,6 +414,58 @@ def test_tree_matching():
     assert len(wrappers.match(a, b)) == 3 and wrappers.match(a, ["s", 0, []]) == []
 
 
+def largest(a, b):
+    """Brute force of the size of the largest alignment."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, x in enumerate(a[2], 1):
+        for j, y in enumerate(b[2], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + largest(x, y))
+    return 1 + best[-1][-1]
+
+
+def a_tree(draw, depth=0):
+    return [draw.choice("abc") if depth else "r", draw.randrange(3), [a_tree(draw, depth + 1) for _ in range(draw.randrange(5 if depth < 3 else 1))]]
+
+
+def changed(draw, tree):
+    kids = [changed(draw, c) if draw.random() < 0.8 else c for c in tree[2] if draw.random() > 0.1]
+    if draw.random() < 0.2:
+        kids.insert(draw.randrange(len(kids) + 1), a_tree(draw, 2))
+    return [tree[0], tree[1] if draw.random() < 0.8 else 9, kids]
+
+
+def test_tree_matching_finds_the_largest_alignment():
+    draw = random.Random(8)
+    for _ in range(150):
+        a = a_tree(draw)
+        b = changed(draw, a) if draw.random() < 0.7 else a_tree(draw)
+        pairs = wrappers.match(a, b)
+        assert len(pairs) == largest(a, b) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+        assert all(x[0] == y[0] for x, y in pairs)
+
+
+def test_long_pages_align_in_time():
+    import time
+
+    def page(k, n=20_000):
+        return ["r", 0, [["p", 1, []], *[["p", k * 10**7 + i if i % 3 else i + 5, []] for i in range(n)], ["div", 7, [["b", k, []]]], *[[("li", "dt")[i % 2], k + i, []] for i in range(300)], ["p", 2, []]]]
+
+    start = time.process_time()
+    pairs = wrappers.match(page(1), page(2))
+    assert time.process_time() - start < 2 and len(pairs) == 1 + 1 + 20_000 + 2 + 300 + 1
+    start = time.process_time()
+    assert len(wrappers.match(page(1, 500), page(2, 20_000))) >= 500 + 300
+    assert wrappers.parse("<a href=\"x" * 20_000) and wrappers.parse("<a href='" + "y" * 3_000_000 + "'>z</a>")
+    assert time.process_time() - start < 6
+
+
+def test_quotes_that_are_not_closed():
+    assert wrappers.text_of("<p class=\"a>One</p><p>Two</p>", frozenset()) == "One\nTwo"
+    assert wrappers.text_of("<p title='a > b'>One</p><p data-x=\"" + "z" * 100_000 + "\">Two</p>", frozenset()) == "One\nTwo"
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline as p
 
