@@ -43,7 +43,57 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "mpl2-notice": ("this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"),
     "as-is": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
     "rights": ("all rights reserved",),
+    "gpl2-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "lgpl21-free": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",),
+    "lgpl3-free": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "agpl3-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "isc-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "isc-as-is": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "0bsd-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "zlib-as-is": ("this software is provided as is without any express or implied warranty",),
+    "zlib-grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "zlib-origin": ("the origin of this software must not be misrepresented you must not claim that you wrote the original software",),
+    "unlicense-free": ("this is free and unencumbered software released into the public domain",),
+    "unlicense-anyone": ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",),
+    "boost-grant": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and "
+        "transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    ),
+    "epl-notice": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at"),
+    "wtfpl-do": ("you just do what the fuck you want to",),
+}
+
+#: Licences by their identifiers, with the names by which notices call them. Fixed values.
+NAMES: dict[str, tuple[str, ...]] = {
+    "LGPL-2.1": ("gnu lesser general public license version 2.1", "lgpl v2.1"), "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lesser general public license v3.0", "lgpl v3"),
+    "AGPL-3.0": ("gnu affero general public license version 3", "gnu affero general public license v3.0", "agpl v3"), "ISC": ("isc license",), "Zlib": ("zlib license",), "Unlicense": ("unlicense",),
+    "BSL-1.0": ("boost software license version 1.0", "boost software license"), "EPL-2.0": ("eclipse public license 2.0", "eclipse public license version 2.0"), "EPL-1.0": ("eclipse public license 1.0", "eclipse public license version 1.0"),
+    "CDDL-1.0": ("common development and distribution license version 1.0", "cddl"), "Artistic-2.0": ("artistic license 2.0",), "WTFPL": ("wtfpl", "do what the fuck you want to public license"),
+    "PostgreSQL": ("postgresql license",), "NCSA": ("university of illinois ncsa open source license",), "OFL-1.1": ("sil open font license version 1.1", "sil open font license"),
+    "MS-PL": ("microsoft public license",), "0BSD": ("zero clause bsd license", "0bsd license"), "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license"), "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license"),
+    "MPL-2.0": ("mozilla public license 2.0",), "CC-BY-ND-4.0": ("cc by nd 4.0",), "CC-BY-NC-SA-4.0": ("cc by nc sa 4.0",), "CC-BY-NC-ND-4.0": ("cc by nc nd 4.0",), "EUPL-1.2": ("european union public licence v. 1.2", "eupl 1.2"),
+    "Apache-2.0": ("apache 2.0 license", "apache license 2.0"), "GPL-3.0": ("gpl v3", "gnu gpl v3", "gnu general public license v3.0"), "GPL-2.0": ("gpl v2", "gnu gpl v2", "gnu general public license v2.0"),
+    "CC0-1.0": ("creative commons zero v1.0 universal", "cc0 1.0 universal"), "CC-BY-4.0": ("creative commons attribution 4.0 international license",), "CC-BY-SA-4.0": ("creative commons attribution sharealike 4.0 international license",),
 }
+#: What stands before a name in a notice, and licences whose tags say which versions are meant.
+OPENINGS = ("licensed under the", "released under the", "distributed under the", "this project is licensed under the", "this work is licensed under the", "this software is licensed under the")
+VERSIONED = ("LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+#: Licences with tags among SENTENCES.
+TAGGED = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0")
+
+
+def _named() -> None:
+    """Notices and tags of all licences in NAMES, by rule."""
+    for licence, names in NAMES.items():
+        key = licence.lower()
+        own = {s for some in SENTENCES.values() for s in some}
+        SENTENCES[f"{key}:notice"] = tuple(f"{opening} {name}" for opening in OPENINGS for name in names if f"{opening} {name}" not in own)
+        if licence not in TAGGED:
+            tag = f"spdx license identifier {key.replace('-', ' ')}"
+            SENTENCES[f"{key}:tag"] = (tag, f"{tag} only", f"{tag} or later") if licence in VERSIONED else (tag,)
+
+
+_named()
 
 #: Ordered rules: licence, and the identifiers that follow each other. Where rules start at one place, the first that fits is taken,
 #: and matching goes on behind it. Identifiers that no rule uses at their place are passed over.
@@ -73,6 +123,20 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-notice",)),
     ("MPL-2.0", ("mpl2-notice",)),
+    ("GPL-2.0", ("gpl2-free",)),
+    ("LGPL-2.1", ("lgpl21-free",)),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("AGPL-3.0", ("agpl3-free",)),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-2.0", ("epl-notice",)),
+    ("WTFPL", ("wtfpl-do",)),
+    *((licence, (f"{licence.lower()}:{kind}",)) for licence in NAMES for kind in ("notice", "tag") if f"{licence.lower()}:{kind}" in SENTENCES),
 )
 
 #: Sentences end at a line end and at a full stop, semicolon, colon or similar mark that is followed by white space or the end.

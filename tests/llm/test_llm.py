@@ -273,6 +273,45 @@ def test_licenses_as_they_are_written(spark):
     assert [r.rules for r in sorted(got)] == [want for _, want in rows]
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE"""
+LGPL = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+def test_more_licenses(spark):
+    rows = [
+        (ISC, "ISC"), (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), "0BSD"), (LGPL, "LGPL-2.1"), (UNLICENSE, "Unlicense"), (ZLIB, "Zlib"),
+        ("// SPDX-License-Identifier: AGPL-3.0-or-later\n", "AGPL-3.0"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("This project is licensed under the Apache License 2.0.", "Apache-2.0"), ("Released under the GPL v3.", "GPL-3.0"),
+        ("This work is licensed under the Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("the ISC license of others", ""),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert [r.licenses for r in got] == [name for _, name in rows]
+    words = [s for some in licenses.SENTENCES.values() for s in some]
+    assert len(words) == len(set(words)) and {name for _, ids in licenses.RULES for name in ids} <= set(licenses.SENTENCES)
+
+
 def test_language(spark):
     draw = random.Random(1)
     parts = {"xx": "ba be bi bo bu".split(), "yy": "ka ke ki ko ku".split(), "zz": "ñá ñé ñí".split()}
