@@ -525,7 +525,7 @@ def log_summary(spark, sf):
         F.col("user_id").alias("run_id"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool"),
         F.concat(F.lit("e"), F.col("event_id")).alias("message"),
     )
-    done = agg.log_summary(log)
+    done = agg.log_summary(log, 12)
     return done.withColumns({"tools": F.array_join("tools", ","), "messages": F.array_join("messages", ",")})
 
 

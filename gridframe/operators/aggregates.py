@@ -323,14 +323,14 @@ def robust_scale(map_df: DataFrame, map_cells: int, keys: Sequence[str] = MAP, s
     return centre.join(mad, [*keys]).select(*keys, "median", "mad", scale.alias("outlier_scale"))
 
 
-def log_summary(log: DataFrame) -> DataFrame:
-    """Per run: number of events, distinct tools in order of first use, first 12 messages."""
+def log_summary(log: DataFrame, messages: int | None = None) -> DataFrame:
+    """Per run: number of events, distinct tools in order of first use, messages in order (the first ``messages`` events' ones)."""
     firsts = log.where(F.col("tool") != "").groupBy("run_id", "tool").agg(F.min(F.struct("time", "seq")).alias("k"))
     tools = firsts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("k", "tool")))["tool"].alias("tools"))
-    early = top_rows(log, ["run_id"], [F.col("time"), F.col("seq")], 12).where(F.col("message") != "")
-    messages = early.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("rank", "message")))["message"].alias("messages"))
+    early = log if messages is None else top_rows(log, ["run_id"], [F.col("time"), F.col("seq")], messages)
+    said = early.where(F.col("message") != "").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("time", "seq", "message")))["message"].alias("messages"))
     counts = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("event_count"))
-    return counts.join(tools, "run_id", "left").join(messages, "run_id", "left")
+    return counts.join(tools, "run_id", "left").join(said, "run_id", "left")
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

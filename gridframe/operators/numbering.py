@@ -12,6 +12,18 @@ from gridframe.session import cut_lineage
 ROW_BITS = 33
 
 
+def _placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows sorted by range partitions and checkpointed, with their place (``_at``) and the number of their partition (``_part``)."""
+    return cut_lineage(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", ROW_BITS))
+
+
+def _before(placed: DataFrame, amount: Column) -> DataFrame:
+    """(_part, _offset): what the partitions before hold, from one number per partition."""
+    sums = placed.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")))
+
+
 def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:
     """Adds the position of each row, from 0, in the given order.
 
@@ -20,12 +32,16 @@ def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "position"
     partitions. Rows that the order leaves equal are numbered in any order; a last, row by row different
     term in ``order`` lets Spark split a large group of them.
     """
-    placed = cut_lineage(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", ROW_BITS))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = _placed(df, order)
     inside = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return placed.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_offset") + inside).drop("_at", "_part", "_offset")
+    return placed.join(_before(placed, F.lit(1)), "_part").withColumn(out, F.col("_offset") + inside).drop("_at", "_part", "_offset")
+
+
+def running_totals(df: DataFrame, order: Sequence[Column | str], amount: str, out: str) -> DataFrame:
+    """Adds the sum of a whole-number column over all rows up to and with each one, in the given order, in the same way."""
+    placed = _placed(df, order)
+    inside = F.sum(amount).over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.withColumn("_inside", inside).join(_before(placed, F.col(amount)), "_part").withColumn(out, F.col("_offset") + F.col("_inside")).drop("_at", "_part", "_offset", "_inside")
 
 
 def dense_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -12,7 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gridframe.model import bounded
+from gridframe.operators.numbering import running_totals
+from gridframe.session import cut_lineage
 
 SMALL_GROUP = 200_000
 ACCURACY = 20_000
@@ -78,7 +82,9 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: Mapping[str, f
         *[F.when(tiny, F.col("_min")).otherwise(F.col("_at")[i]).alias(f"_lo{i}") for i in range(len(names))],
         *[F.when(tiny, F.col("_max")).otherwise(F.col("_at")[len(names) + i]).alias(f"_hi{i}") for i in range(len(names))],
     )
-    marked = present.join(brackets, [*keys])
+    brackets = cut_lineage(brackets)
+    groups = brackets.count()
+    marked = present.join(bounded(brackets, groups), [*keys])
     below = marked.groupBy(*keys).agg(
         F.first("_n").alias("_n"),
         *[F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), 1).otherwise(0)).alias(f"_below{i}") for i in range(len(names))],
@@ -88,14 +94,17 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: Mapping[str, f
     candidates = (
         marked.select(*keys, "_v", F.explode(hits).alias("_p")).groupBy(*keys, "_p", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = candidates.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_v")))
+    # Values inside a bracket are ranked over range partitions, so that a bracket need not fit one task.
+    summed = running_totals(candidates, [*keys, "_p", "_v"], "_c", "_all")
+    starts = cut_lineage(summed.groupBy(*keys, "_p").agg(F.min(F.col("_all") - F.col("_c")).alias("_start")))
+    ranked = summed.join(bounded(starts, groups * len(names)), [*keys, "_p"]).withColumn("_upto", F.col("_all") - F.col("_start")).drop("_all", "_start")
     offsets = below.select(
         *keys, "_n", F.posexplode(F.array(*[F.col(f"_below{i}") for i in range(len(names))])).alias("_p", "_below")
     )
     prob = F.get(F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_p"))
     rank = prob * (F.col("_n") - 1)
     placed = (
-        ranked.join(offsets, [*keys, "_p"])
+        ranked.join(bounded(offsets, groups * len(names)), [*keys, "_p"])
         .withColumn("_rank", rank)
         .withColumn("_last", F.col("_below") + F.col("_upto") - 1)
         .withColumn("_first", F.col("_last") - F.col("_c") + 1)

@@ -1,4 +1,4 @@
-"""Description of a collection of files, and a synthetic grid for trials."""
+"""Description of a collection of files."""
 
 from __future__ import annotations
 

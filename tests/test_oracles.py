@@ -13,8 +13,11 @@ from checks.run import TABLES, rows_of
 
 QUERIES, ORACLES = all_queries()
 SOME = (
-    "rasterize_points", "cells_by_index", "matrix_text", "thin_pairs", "polygon_mask", "fill_nearest", "global_statistics", "correlation_matrix", "log_summary", "gradient_statistics",
-    "box_filter", "hotspot_table", "trend_map", "change_points", "similar_slices", "block_features", "patch_summary", "text_hash_embedding", "hsv_statistics", "request_variables", "merged_plans",
+    "rasterize_points", "points_snapped", "cells_by_index", "cells_written_and_read", "matrix_text", "matrix_csv_files", "matrix_json_files", "matrix_json_errors", "series_of_files", "series_of_arrays", "array_axis_order",
+    "image_pixels", "thin_pairs", "polygon_mask", "polygon_mask_bands", "fill_nearest", "global_statistics", "large_group_quantiles", "correlation_matrix", "correlation_of_many", "relations_of_many", "log_summary",
+    "gradient_statistics", "box_filter", "local_entropy", "texture_statistics", "hotspot_table", "trend_map", "maps_of_lengths", "cards_of_lengths", "change_points", "periodicity", "similar_slices", "block_features",
+    "block_embedding_products", "time_slice_embedding_products", "relation_embedding_products", "patch_summary", "text_hash_embedding", "hsv_statistics", "request_variables", "request_products", "merged_plans",
+    "merged_analysis_plans", "bundle_hotspots", "bundle_change_points", "bundle_coverage",
 )
 SF = "/root/testdata/sf0.001"
 
