@@ -55,11 +55,11 @@ def fill_sql(src: str, out: str, keys: tuple[str, ...] = ("grid_id", "var"), emp
   SELECT {plain}, y, x, last_value({there} IGNORE NULLS) OVER {up} AS y1, last_value(v IGNORE NULLS) OVER {up} AS v1,
     first_value({there} IGNORE NULLS) OVER {down} AS y2, first_value(v IGNORE NULLS) OVER {down} AS v2 FROM {out}_src),
 {out}_best AS MATERIALIZED (
-  SELECT {plain}, y, x, CASE WHEN y2 IS NULL OR y - y1 <= y2 - y THEN y1 ELSE y2 END AS py, CASE WHEN y2 IS NULL OR y - y1 <= y2 - y THEN v1 ELSE v2 END AS pv
+  SELECT {plain}, y, x, CASE WHEN y2 IS NULL OR y - y1 <= y2 - y THEN y1 ELSE y2 END AS _from, CASE WHEN y2 IS NULL OR y - y1 <= y2 - y THEN v1 ELSE v2 END AS _value
   FROM {out}_seen WHERE y1 IS NOT NULL OR y2 IS NOT NULL),
 {out}_gaps AS MATERIALIZED (SELECT {plain}, y, x FROM {out}_src WHERE v IS NULL),
 {out}_near AS MATERIALIZED (
-  SELECT {cols}, m.y, m.x, arg_min(p.pv, CAST((m.y - p.py) * (m.y - p.py) + (m.x - p.x) * (m.x - p.x) AS BIGINT) * 1000000 + p.py * 1000 + p.x) AS n
+  SELECT {cols}, m.y, m.x, arg_min(p._value, CAST((m.y - p._from) * (m.y - p._from) + (m.x - p.x) * (m.x - p.x) AS BIGINT) * 1000000 + p._from * 1000 + p.x) AS n
   FROM {out}_gaps m JOIN {out}_best p ON {same} AND m.y = p.y GROUP BY {cols}, m.y, m.x),
 {out} AS (
   SELECT m.*, coalesce(m.v, s.n, {empty}) AS f FROM {out}_src m

@@ -285,8 +285,10 @@ def block_table(
     against cells with any value over time and reports the mean absolute difference from the mean.
     """
     maps = block_maps(grid, t, variant)
-    features = block_features_semantic(grid, maps, rows, cols, shape)
-    labelled = evidence(choose_label(label_scores(features, thresholds), thresholds))
+    # One row per block. Written between the steps, else Spark puts the scores' formulas into every place that uses them.
+    features = cut_lineage(block_features_semantic(grid, maps, rows, cols, shape))
+    scored = cut_lineage(label_scores(features, thresholds))
+    labelled = cut_lineage(evidence(choose_label(scored, thresholds)))
     placed = assign_blocks(grid, grid.cells, rows, cols, shape)
     per_step = placed.groupBy(*BLOCK, "t").agg(F.bround(F.avg("v"), 6).alias("m"))
     wobble = per_step.groupBy(*BLOCK).agg(F.bround(F.stddev_pop("m"), 6).alias("volatility"))
