@@ -500,6 +500,25 @@ def test_long_pages_align_in_time():
     assert time.process_time() - start < 6
 
 
+def test_template_of_a_layout_is_what_all_its_pages_share(spark):
+    # Four of nine pages share a text, in many hosts: in some of these the pages of the least hashes are among the four.
+    page = "<body><div><h1>T{0} {1}</h1><p>Own text {0} of {1}</p>{2}</div></body>"
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page.format(h, i, "<p>Shared by some</p>" * (i < 4))) for h in range(60) for i in range(9)]
+    # A layout of its own, small beside the others of its host, whose pages all share a text at a place that all pages have.
+    rows += [(10_000 + i, "http://l.example/", f"<body><div><p>Page {i}</p><p>Other {i}</p></div></body>") for i in range(30)]
+    rows += [(11_000 + i, "http://l.example/", f"<body><div><p>Page {i} b</p><p>Of this layout</p><h2>Head {i}</h2></div></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert all(got[100 * h + i] == f"T{h} {i}\nOwn text {h} of {i}" + "\nShared by some" * (i < 4) for h in range(60) for i in range(9))
+    assert all(got[11_000 + i] == f"Page {i} b\nHead {i}" for i in range(6)) and all(got[10_000 + i] == f"Page {i}\nOther {i}" for i in range(30))
+
+
+def test_gaps_too_large_for_the_table_lose_no_equal_text():
+    a, b = (["r", 0, [["div", 0, [["p", 5 if i in at else start + i, []] for i in range(200)]]]] for start, at in ((1000, (10, 11)), (5000, (90, 150))))
+    first = wrappers.Signed(a)
+    equal = wrappers.same_text(first, wrappers.Signed(b))
+    assert equal == {id(a[2][0][2][i]) for i in (10, 11)} and [n for n, _ in wrappers.keys_of(a, equal)] == [12, 13]
+
+
 def test_quotes_that_are_not_closed():
     assert wrappers.text_of("<p class=\"a>One</p><p>Two</p>", frozenset()) == "One\nTwo"
     assert wrappers.text_of("<p title='a > b'>One</p><p data-x=\"" + "z" * 100_000 + "\">Two</p>", frozenset()) == "One\nTwo"
