@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridframe.functions import rules
@@ -21,6 +22,11 @@ from gridframe.session import cut_lineage
 
 #: A row per array: its axes as letters (t, v, y, x; one letter for coordinates), its lengths, and the values of coordinates.
 HEADS = "grid_id string, member string, var string, axes string, n_t int, n_y int, n_x int, values array<double>, labels array<string>"
+_HEADS = pa.schema(
+    [*((c, pa.string()) for c in ("grid_id", "member", "var", "axes")), *((c, pa.int32()) for c in ("n_t", "n_y", "n_x")), ("values", pa.list_(pa.float64())), ("labels", pa.list_(pa.string()))]
+)
+#: Cells, or coordinates, of small files that are handed on together; a larger slice goes alone.
+TOGETHER = 1 << 16
 
 
 def axis_letters(shape: tuple[int, ...], n_y: int, n_x: int, n_t: int) -> str:
@@ -38,38 +44,33 @@ def _shape(stream) -> tuple[int, ...]:
     return read(stream)[0]
 
 
-def _members(content: bytes) -> dict[str, str]:
-    """Array names of a .npz file and their places in it; one without a name for .npy."""
+def _members(content: bytes) -> dict[str, Callable]:
+    """Array names of a .npz file and what opens them; one without a name for .npy."""
     source = io.BytesIO(content)
     if not zipfile.is_zipfile(source):
-        return {"": ""}
-    with zipfile.ZipFile(source) as packed:
-        return {place.removesuffix(".npy"): place for place in packed.namelist()}
+        return {"": partial(io.BytesIO, content)}
+    packed = zipfile.ZipFile(source)
+    return {place.removesuffix(".npy"): partial(packed.open, place) for place in packed.namelist()}
 
 
-def _open(content: bytes, place: str):
-    return zipfile.ZipFile(io.BytesIO(content)).open(place) if place else io.BytesIO(content)
-
-
-def _values(content: bytes, place: str) -> np.ndarray:
-    with _open(content, place) as stream:
+def _values(member: Callable) -> np.ndarray:
+    with member() as stream:
         return np.lib.format.read_array(stream, allow_pickle=False)
 
 
-def _heads(path: str, content: bytes) -> list[dict]:
+def _heads(path: str, members: dict[str, Callable]) -> list[dict]:
     """Rows of HEADS for one file, coordinates first."""
     grid_id = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    places = _members(content)
     shapes = {}
-    for name, place in places.items():
-        with _open(content, place) as stream:
+    for name, member in members.items():
+        with member() as stream:
             shapes[name] = _shape(stream)
     rows, lengths = [], {"y": 0, "x": 0, "t": 0}
     for axis, aliases in (("x", rules.LON_NAMES), ("y", rules.LAT_NAMES), ("t", rules.TIME_NAMES)):
-        name = match_name([n for n in places if n], aliases)
+        name = match_name([n for n in members if n], aliases)
         if not name:
             continue
-        found = _values(content, places[name])
+        found = _values(members[name])
         shapes.pop(name, None)
         # Coordinates given for every cell: the first row or column has the axis.
         found = found[:, 0] if found.ndim == 2 and axis == "y" else found.reshape(-1, found.shape[-1])[0] if found.ndim > 1 else np.atleast_1d(found)
@@ -98,37 +99,67 @@ def _heads(path: str, content: bytes) -> list[dict]:
 def array_heads(files: DataFrame) -> DataFrame:
     """Names, axes, sizes and coordinates of array files given as (path, content)."""
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                found = pd.DataFrame(_heads(path, content))
-                yield found.astype({c: "Int32" for c in ("n_t", "n_y", "n_x")})
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, content in _files(batches):
+            for row in _heads(path, _members(content)):
+                rows.append(row)
+                held += 1 + len(row["values"] or row["labels"] or ())
+            if held >= TOGETHER:
+                yield pa.RecordBatch.from_pylist(rows, _HEADS)
+                rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, _HEADS)
 
-    return files.select("path", "content").mapInPandas(heads, HEADS)
+    return files.select("path", "content").mapInArrow(heads, HEADS)
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            places = _members(content)
-            member, array = None, None
-            for head in _heads(path, content):
-                letters = head["axes"]
-                if len(letters) == 1:
-                    continue
-                if head["member"] != member:
-                    member, array = head["member"], _values(content, places[head["member"]])
-                part = array.transpose([letters.index(a) for a in "vtyx" if a in letters]).reshape(-1, head["n_t"], head["n_y"], head["n_x"])
-                for t, field in enumerate(part[int(head["var"].removeprefix("var_")) if "v" in letters else 0].astype(float)):
-                    y, x = np.indices(field.shape, dtype=np.int32)
-                    bad = ~(np.abs(field) <= rules.FILL_LIMIT)
-                    values = pd.Series(np.where(bad, 0.0, field).ravel()).astype("Float64").mask(bad.ravel())
-                    yield pd.DataFrame({"grid_id": head["grid_id"], "t": np.int32(t), "var": head["var"], "y": y.ravel(), "x": x.ravel(), "v": values})
+        for path, content in zip(*batch.columns, strict=True):
+            yield path.as_py(), content.as_py()
+
+
+@lru_cache(4)
+def _places(n_y: int, n_x: int) -> tuple[np.ndarray, np.ndarray]:
+    y, x = np.indices((n_y, n_x), dtype=np.int32)
+    return y.ravel(), x.ravel()
+
+
+def _together(slices: list[tuple[str, int, str, np.ndarray]]) -> pa.RecordBatch:
+    """Cells of some slices, given as (grid_id, t, var, values)."""
+    ids, steps, names, fields = zip(*slices, strict=True)
+    at = np.repeat(np.arange(len(fields)), [f.size for f in fields])
+    y, x = (np.concatenate(c) for c in zip(*(_places(*f.shape) for f in fields), strict=True))
+    values = np.concatenate([f.ravel() for f in fields])
+    columns = [pa.array(ids, pa.string()).take(pa.array(at)), pa.array(np.array(steps, np.int32)[at]), pa.array(names, pa.string()).take(pa.array(at)), pa.array(y), pa.array(x)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(values, mask=~(np.abs(values) <= rules.FILL_LIMIT))], ["grid_id", "t", "var", "y", "x", "v"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for path, content in _files(batches):
+        members = _members(content)
+        member, array = None, None
+        for head in _heads(path, members):
+            letters = head["axes"]
+            if len(letters) == 1:
+                continue
+            if head["member"] != member:
+                member, array = head["member"], _values(members[head["member"]])
+            part = array.transpose([letters.index(a) for a in "vtyx" if a in letters]).reshape(-1, head["n_t"], head["n_y"], head["n_x"])
+            for t, field in enumerate(part[int(head["var"].removeprefix("var_")) if "v" in letters else 0]):
+                held.append((head["grid_id"], t, head["var"], field.astype(float)))
+                n += field.size
+                if n >= TOGETHER:
+                    yield _together(held)
+                    held, n = [], 0
+    if held:
+        yield _together(held)
 
 
 def array_cells(files: DataFrame) -> DataFrame:
-    """Cells of array files given as (path, content). A task decodes one array at a time and yields slice by slice."""
-    return files.select("path", "content").mapInPandas(_cells, CELLS)
+    """Cells of array files given as (path, content). A task decodes one array at a time and yields slice by slice, small slices together."""
+    return files.select("path", "content").mapInArrow(_cells, CELLS)
 
 
 def read_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> Grid:

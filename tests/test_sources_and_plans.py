@@ -84,6 +84,27 @@ def test_array_times_and_meshes(spark, tmp_path):
     assert placed == {(40.0 + i // 3, 7.0 + i % 3, 6.0 + i) for i in range(6)}
 
 
+def test_small_arrays_are_handed_on_together():
+    import io
+
+    import pyarrow as pa
+
+    from gridframe.sources import arrays
+
+    def file(values, **axes):
+        out = io.BytesIO()
+        np.savez(out, **axes, level=values)
+        return out.getvalue()
+
+    big = np.arange(300 * 300.0).reshape(1, 300, 300)
+    files = [file(np.full((2, 2, 3), float(i)), lat=[i, i + 1], time=["a", "b"]) for i in range(40)] + [file(big), file(np.array([[[np.nan, 1e300, 2.0]]]))]
+    made = list(arrays._cells(iter([pa.RecordBatch.from_pydict({"path": [f"/x/{i}.npz" for i in range(42)], "content": files})])))
+    assert len(made) == 2 and sum(b.num_rows for b in made) == 40 * 12 + 300 * 300 + 3
+    rows = pa.Table.from_batches(made).to_pylist()
+    assert rows[12 * 7 + 11] == {"grid_id": "7", "t": 1, "var": "level", "y": 1, "x": 2, "v": 7.0}
+    assert [r["v"] for r in rows[480:-3]] == big.ravel().tolist() and [r["v"] for r in rows[-3:]] == [None, None, 2.0]
+
+
 def test_array_axes_are_told_apart():
     assert arrays.axis_letters((5, 6), 0, 0, 0) == "yx" and arrays.axis_letters((9, 5, 6), 5, 6, 0) == "tyx"
     assert arrays.axis_letters((5, 6, 9), 5, 6, 0) == "yxt" and arrays.axis_letters((9, 2, 3), 5, 6, 9) == "tyx"
