@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import LOWER, pieces, send
+from gridframe.llm.common import LOWER, pieces
 from gridframe.session import cut_lineage
 
 #: Bytes of the longest context.
@@ -28,7 +28,7 @@ NODES = 2_000_000
 #: Words whose counts go to every task, at most: the most frequent ones. Counts of all others are joined.
 COMMON = 200_000
 #: Bytes of text that a task works on at a time, and grams or words that it counts before it hands them on.
-SLICE, HELD = 2 << 20, 250_000
+SLICE, HELD = 512 << 10, 250_000
 #: Ends a text, and stands before it as context. No word has this byte.
 END = b"\n"
 
@@ -181,12 +181,12 @@ def score(documents: DataFrame, learn: Column, id: str = "doc_id", text: str = "
     key, log = (kept.column(i).to_numpy() for i in range(2))
     at = np.argsort(key)
     missing = len(key) < sum(r[1] for r in levels)
-    sent = send(documents, (key[at].view(np.uint64), log[at], frequent))
+    sent = documents.sparkSession.sparkContext.broadcast((key[at].view(np.uint64), log[at], list(frequent), np.array(list(frequent.values()), float)))
     del kept, key, log, at
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, log, frequent = sent()
-        table = np.log10(np.array([*frequent.values()], float) + 1) - unit if frequent else np.zeros(1)
+        key, log, frequent, table = sent.value
+        table = np.log10(table + 1) - unit if frequent else np.zeros(1)
         get = {w: i for i, w in enumerate(frequent)}.get
         for batch in pieces(batches, 2, SLICE):
             texts = [words_of(t) for t in batch.column(2).to_pylist()]

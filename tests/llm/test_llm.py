@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -500,6 +501,19 @@ def test_long_pages_align_in_time():
     assert time.process_time() - start < 6
 
 
+def test_byte_model_counts_in_small_slices():
+    import tracemalloc
+
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(5000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "learn": [True] * len(texts)})
+    tracemalloc.start()
+    n = sum(1 for _ in ppm._grams(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 100 << 20, peak
+
+
 def test_template_of_a_layout_is_what_all_its_pages_share(spark):
     # Four of nine pages share a text, in many hosts: in some of these the pages of the least hashes are among the four.
     page = "<body><div><h1>T{0} {1}</h1><p>Own text {0} of {1}</p>{2}</div></body>"
