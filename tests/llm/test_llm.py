@@ -533,6 +533,22 @@ def test_gaps_too_large_for_the_table_lose_no_equal_text():
     assert equal == {id(a[2][0][2][i]) for i in (10, 11)} and [n for n, _ in wrappers.keys_of(a, equal)] == [12, 13]
 
 
+def test_large_gaps_are_aligned_by_the_whole_table():
+    draw = random.Random(4)
+
+    def tree(n):
+        return ["r", 0, [[draw.choice("abcd"), draw.randrange(10**6), [["e", 1, []] for _ in range(draw.randrange(3))]] for _ in range(n)]]
+
+    for n, m in ((130, 110), (400, 3), (250, 260)):
+        a, b = tree(n), tree(m)
+        pairs = wrappers.match(a, b)
+        assert len(pairs) == largest(a, b) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+        for place, side in enumerate((a, b)):
+            at = {id(node): i for i, node in enumerate(side[2])}
+            order = [at[id(pair[place])] for pair in pairs if id(pair[place]) in at]
+            assert order == sorted(order)
+
+
 def test_quotes_that_are_not_closed():
     assert wrappers.text_of("<p class=\"a>One</p><p>Two</p>", frozenset()) == "One\nTwo"
     assert wrappers.text_of("<p title='a > b'>One</p><p data-x=\"" + "z" * 100_000 + "\">Two</p>", frozenset()) == "One\nTwo"
