@@ -200,7 +200,7 @@ def extract_features(
     if img.is_image(grid):
         makers["image"] = lambda: img.image_features(whole)
     if patches:
-        makers["patches"] = lambda: emb.encode(whole, block, max(16, dim * 4), 4, valid, max_tokens)
+        makers["patches"] = lambda: cut_lineage(emb.encode(whole, block, max(16, dim * 4), 4, valid, max_tokens))
         makers["top_patches"] = lambda: emb.top_patches(out["patches"])
         makers["attention_edges"] = lambda: emb.attention_edges(out["patches"])
         makers["saliency_summary"] = lambda: emb.saliency_summary(out["patches"])

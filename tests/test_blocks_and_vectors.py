@@ -160,6 +160,33 @@ def test_attention_in_several_blocks(spark, monkeypatch):
     assert edges == all_edges and len(edges[0]) == 15 * 14 + 10 * 9 and len(edges[1]) == 14
 
 
+def test_many_small_grids_are_encoded_without_a_table_between(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    sizes = {"a": (2, 5, 6), "b": (2, 4, 3), "c": (1, 1, 1), "d": (2, 5, 6), "e": (2, 5, 6)}
+    rows = [(k, t, var, y, x, None if rng.random() < 0.3 or k == "d" and y < 2 else float(rng.normal())) for k, (n_t, n_y, n_x) in sizes.items() for t in range(n_t) for var in "pq" for y in range(n_y) for x in range(n_x)]
+    rows += rows[:7] + [(None, *r[1:]) for r in rows[:20]]
+    dims = spark.createDataFrame([(k, *n) for k, n in sizes.items()], "grid_id string, n_t int, n_y int, n_x int")
+    g = Grid(spark.createDataFrame(rows, CELLS).repartition(5), ("p", "q"), (2, 5, 6), dims=dims)
+    cuts, cut = [], emb.cut_lineage
+    monkeypatch.setattr(emb, "cut_lineage", lambda df: cuts.append(df) or cut(df))
+
+    def results():
+        done = emb.encode(g, (2, 3), 9, 2)
+        edges = emb.attention_edges(done, 3).orderBy("grid_id", "rank").select("grid_id", "source", "target", "attention")
+        return done, sorted(done.columns), done.orderBy(*emb.PATCH).collect(), edges.collect()
+
+    whole, columns, got, edges = results()
+    assert len(cuts) == 1  # that of the edges
+    plan = emb.saliency_summary(whole)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(grid_id") <= 4
+    monkeypatch.setattr(emb, "WHOLE", 0)
+    _, other, want, other_edges = results()
+    assert columns == other and len(got) == len(want) == 3 * 6 + 2 + 1 and {r["grid_id"] for r in got} == set(sizes)
+    flat = lambda rows: [np.hstack([np.nan if r[c] is None else r[c] for c in columns if c != "grid_id"]).astype(float) for r in rows]
+    assert all(np.allclose(a, b, atol=1e-9, equal_nan=True) for a, b in zip(flat(got), flat(want), strict=True))
+    assert [r[:3] for r in edges] == [r[:3] for r in other_edges] and np.allclose([r[3] for r in edges], [r[3] for r in other_edges])
+
+
 def test_patch_shape():
     assert emb.patch_shape(72, 112, (32, 32)) == (32, 32)
     assert emb.patch_shape(3000, 5000, (32, 32)) == (32, 32)
